@@ -1,9 +1,13 @@
 """The queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from ostinato.llm import mixing
+from ostinato.llm import langid, licenses, mixing, pii, secrets
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op5_secret_scan": secrets.op5_secret_scan,
+    "op7_license_scan": licenses.op7_license_scan,
+    "op8_language_id": langid.op8_language_id,
+    "op9_pii_pseudonyms": pii.op9_pii_pseudonyms,
 }
 
 ORACLE_SQL = {
