@@ -78,7 +78,7 @@ class Novelty:
                 start, end = m.span()
                 if start > word.end() + REACH:
                     break
-                if start <= seen or not any(c.isdigit() for c in m[0]) or any(a < end and start < b for a, _, b in taken):
+                if start <= seen or not (any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])) or any(a < end and start < b for a, _, b in taken):
                     continue
                 seen = start
                 added = self.marginal(text[max(0, start - AROUND) : start], m[0], text[end : end + AROUND])
