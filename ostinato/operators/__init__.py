@@ -1 +1 @@
-
+"""Operators: sequences, joins, statistics, samples and recurrences."""
