@@ -1,17 +1,21 @@
 """Recurrences over one sequence, where each step depends on what the step before chose.
 
-Each sequence is one group of ``applyInPandas``: songs have some hundred events. Everything else that a window can say is in
+Each sequence becomes one row with an array of its events, of which songs have some hundred, and batches of such rows go to
+Python; a group of its own for every short song would cost more than its work. Everything that a window can say is in
 ``sequence``; only true recurrences are here.
 """
 
 from __future__ import annotations
 
-from functools import cache
+from collections.abc import Callable, Iterator
+from functools import cache, lru_cache
 from itertools import pairwise
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # Semitones of chord qualities above the root.
 QUALITIES = {
@@ -22,6 +26,21 @@ LOWEST_NOTE, HIGHEST_NOTE, WIDEST = 40, 84, 24
 NOTES_TYPE = "array<struct<step: int, velocity: int>>"
 
 
+def per_sequence(df: DataFrame, key: str, columns: list[str], run: Callable[[list[dict]], list[tuple]], schema: str) -> DataFrame:
+    """Calls ``run`` with the events of each sequence, sorted by ``columns``; it returns rows without the key."""
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, {schema}"
+    to = to_arrow_schema(StructType.fromDDL(schema))
+
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, events = (batch.column(k).to_pylist() for k in (0, 1))
+            made = [(k, *row) for k, rows in zip(keys, events, strict=True) for row in run(rows)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in made], f.type) for i, f in enumerate(to)], schema=to)
+
+    grouped = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("_events"))
+    return grouped.mapInArrow(call, schema)
+
+
 # --- cleaning
 
 
@@ -63,18 +82,15 @@ def cut_tail(chords: list[dict], most: int) -> list[dict]:
     return chords
 
 
-def clean_chords(df: DataFrame, key: str, key_type: str, least: int = 3, most: int = 2) -> DataFrame:
+def clean_chords(df: DataFrame, key: str, least: int = 3, most: int = 2) -> DataFrame:
     """(key, chord, onset, duration, n_notes, steps) of (key, onset, duration, notes) after merging and cutting."""
 
-    def clean(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("onset", kind="stable")
-        chords = [{"onset": o, "duration": d, "notes": [{"step": int(n["step"]), "velocity": int(n["velocity"])} for n in notes]} for o, d, notes in zip(group["onset"], group["duration"], group["notes"], strict=True)]
-        chords = cut_tail(merged_chords(chords, least), most)
-        rows = [(group[key].iloc[0], i, c["onset"], c["duration"], len(c["notes"]), " ".join(str(n["step"]) for n in c["notes"])) for i, c in enumerate(chords)]
-        return pd.DataFrame(rows, columns=[key, "chord", "onset", "duration", "n_notes", "steps"])
+    def clean(chords: list[dict]) -> list[tuple]:
+        kept = cut_tail(merged_chords(chords, least), most)
+        return [(i, c["onset"], c["duration"], len(c["notes"]), " ".join(str(n["step"]) for n in c["notes"])) for i, c in enumerate(kept)]
 
     rows = df.select(key, F.col("onset").cast("double").alias("onset"), F.col("duration").cast("double").alias("duration"), F.col("notes").cast(NOTES_TYPE).alias("notes"))
-    return rows.groupBy(key).applyInPandas(clean, f"{key} {key_type}, chord int, onset double, duration double, n_notes int, steps string")
+    return per_sequence(rows, key, ["onset", "duration", "notes"], clean, "chord int, onset double, duration double, n_notes int, steps string")
 
 
 # --- voicing
@@ -109,24 +125,30 @@ def movement(a: tuple[int, ...], b: tuple[int, ...]) -> float:
     return near / 2 + 0.1 * abs(sum(a) / len(a) - sum(b) / len(b))
 
 
+@lru_cache(1 << 16)
+def following(before: tuple[int, ...], root: int, quality: str) -> tuple[int, ...]:
+    """The voicing nearest to the one before; of several the lowest."""
+    return min(voicings(root, quality), key=lambda v: (movement(before, v), v))
+
+
 def lead(chords: list[tuple[int, str]]) -> list[tuple[int, ...]]:
     """A voicing for each (root, quality), the nearest to the one before; the first is the nearest to the middle."""
     made: list[tuple[int, ...]] = []
     for root, quality in chords:
         before = made[-1] if made else ((LOWEST_NOTE + HIGHEST_NOTE) // 2,)
-        made.append(min(voicings(root % 12, quality), key=lambda v: (movement(before, v), v)))
+        made.append(following(before, root % 12, quality))
     return made
 
 
-def voice_lead(df: DataFrame, key: str, key_type: str) -> DataFrame:
+def voice_lead(df: DataFrame, key: str) -> DataFrame:
     """(key, pos, voicing) of (key, pos, root, quality); voicings are eight slots, filled up with zeros."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos", kind="stable")
-        made = lead([(int(r), q) for r, q in zip(group["root"], group["quality"], strict=True)])
-        return pd.DataFrame({key: group[key], "pos": group["pos"].astype("int32"), "voicing": [([*v] + [0] * 8)[:8] for v in made]})
+    def run(chords: list[dict]) -> list[tuple]:
+        made = lead([(c["root"], c["quality"]) for c in chords])
+        return [(c["pos"], ([*v] + [0] * 8)[:8]) for c, v in zip(chords, made, strict=True)]
 
-    return df.groupBy(key).applyInPandas(run, f"{key} {key_type}, pos int, voicing array<int>")
+    rows = df.select(key, F.col("pos").cast("int").alias("pos"), F.col("root").cast("int").alias("root"), "quality")
+    return per_sequence(rows, key, ["pos", "root", "quality"], run, "pos int, voicing array<int>")
 
 
 # --- form
@@ -180,17 +202,17 @@ def _end_of_section(tokens: list[str], at: int) -> int | None:
     return next((i for i in range(at, len(tokens)) if tokens[i] == ":|"), None)
 
 
-def expand_charts(df: DataFrame, key: str, key_type: str) -> DataFrame:
+def expand_charts(df: DataFrame, key: str) -> DataFrame:
     """(key, pos, tok, source_pos, ok): charts played out, repeat signs as plain bar lines; a chart too long has one row with ok false."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos", kind="stable")
-        tokens, places = list(group["tok"]), list(group["pos"])
+    def run(events: list[dict]) -> list[tuple]:
+        tokens, places = [e["tok"] for e in events], [e["pos"] for e in events]
         played = expand(tokens)
-        rows = [(group[key].iloc[0], 0, None, None, False)] if played is None else [(group[key].iloc[0], i, "|" if tokens[k] in ("|:", ":|") else tokens[k], int(places[k]), True) for i, k in enumerate(played)]
-        return pd.DataFrame(rows, columns=[key, "pos", "tok", "source_pos", "ok"]).astype({"source_pos": "Int32"})
+        if played is None:
+            return [(0, None, None, False)]
+        return [(i, "|" if tokens[k] in ("|:", ":|") else tokens[k], places[k], True) for i, k in enumerate(played)]
 
-    return df.groupBy(key).applyInPandas(run, f"{key} {key_type}, pos int, tok string, source_pos int, ok boolean")
+    return per_sequence(df.select(key, F.col("pos").cast("int").alias("pos"), "tok"), key, ["pos", "tok"], run, "pos int, tok string, source_pos int, ok boolean")
 
 
 def without_doubled(tokens: list[str]) -> list[str]:

@@ -80,7 +80,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MESSAGES_SQL = """messages AS (
-    SELECT user_id, event_id, ts, epoch_ms(ts) AS tick, value,
+    SELECT user_id, event_id, ts, (epoch_us(ts) // 1000) AS tick, value,
         CASE event_type WHEN 'click' THEN 'on' WHEN 'view' THEN 'off' WHEN 'error' THEN 'bend' ELSE 'other' END AS type FROM events
 )"""
 

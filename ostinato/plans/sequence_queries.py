@@ -31,8 +31,8 @@ def chord_span(spark, sf_dir):
 @query("q_local_position", f"""WITH {TOKENS_SQL}, s AS (
     SELECT l_orderkey, pos, tok, sum((tok = 'CHORD_START')::INT) OVER (PARTITION BY l_orderkey ORDER BY pos) AS a,
         coalesce(sum((tok = 'CHORD_END')::INT) OVER (PARTITION BY l_orderkey ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b,
-        max(CASE WHEN tok = 'CHORD_START' THEN pos END) OVER (PARTITION BY l_orderkey ORDER BY pos) AS at FROM tokens
-) SELECT CASE WHEN a > b THEN least(pos - at, 19) ELSE 0 END::INTEGER AS local, count(*) AS n FROM s GROUP BY 1""")
+        max(CASE WHEN tok = 'CHORD_START' THEN pos END) OVER (PARTITION BY l_orderkey ORDER BY pos) AS begun FROM tokens
+) SELECT CASE WHEN a > b THEN least(pos - begun, 19) ELSE 0 END::INTEGER AS local, count(*) AS n FROM s GROUP BY 1""")
 def local_position(spark, sf_dir):
     return sequence.local_positions(tokens(spark, sf_dir), KEY, ["pos"]).groupBy("local").agg(F.count("*").alias("n"))
 
@@ -70,7 +70,7 @@ def bar_numbers(spark, sf_dir):
     return counted.groupBy("l_orderkey").agg(F.max("bar").alias("bars"), F.count_if(F.col("tok") == "CHORD_START").alias("chords"))
 
 
-EVENT_GAPS_SQL = "g AS (SELECT *, lead(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) - epoch_ms(ts) AS gap FROM events)"
+EVENT_GAPS_SQL = "g AS (SELECT *, lead((epoch_us(ts) // 1000)) OVER (PARTITION BY user_id ORDER BY ts, event_id) - (epoch_us(ts) // 1000) AS gap FROM events)"
 
 
 def event_times(spark, sf_dir):
@@ -119,20 +119,20 @@ def round_robin_channel(spark, sf_dir):
     return sequence.round_robin(table(spark, sf_dir, "lineitem"), KEY, LINE_ORDER).groupBy("channel").agg(F.count("*").alias("n"), F.sum("l_partkey").alias("parts"))
 
 
-@query("q_delta_time", "SELECT event_id, epoch_ms(ts) - coalesce(lag(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS delta FROM events")
+@query("q_delta_time", "SELECT event_id, (epoch_us(ts) // 1000) - coalesce(lag((epoch_us(ts) // 1000)) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS delta FROM events")
 def delta_time(spark, sf_dir):
     return sequence.deltas(event_times(spark, sf_dir), ["user_id"], ["ts", "event_id"], "tick").select("event_id", "delta")
 
 
 @query("q_anchor_groups", """WITH RECURSIVE e AS (
-    SELECT user_id, epoch_ms(ts) // 1000 AS s, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) // 1000, event_id) AS n FROM events
+    SELECT user_id, (epoch_us(ts) // 1000) // 1000 AS s, row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000) // 1000, event_id) AS n FROM events
 ), g AS (
     SELECT user_id, n, s, s AS anchor FROM e WHERE n = 1
     UNION ALL SELECT e.user_id, e.n, e.s, CASE WHEN e.s - g.anchor <= 7200 THEN g.anchor ELSE e.s END FROM g JOIN e ON e.user_id = g.user_id AND e.n = g.n + 1
 ) SELECT user_id, anchor, count(*) AS n_notes, max(s) AS last FROM g GROUP BY 1, 2""")
 def anchor_groups(spark, sf_dir):
     df = event_times(spark, sf_dir).select("user_id", F.expr("tick div 1000").alias("s"), "event_id")
-    return sequence.anchor_groups(df, ["user_id"], "s", F.lit(7200), ["event_id"]).groupBy("user_id", "anchor").agg(F.count("*").alias("n_notes"), F.max("s").alias("last"))
+    return sequence.anchor_groups(df, ["user_id"], "s", F.lit(7200), ["event_id"]).groupBy("user_id", "anchor").agg(F.count("*").alias("n_notes"), F.max("onset").alias("last"))
 
 
 @query("q_chords_from_notes", f"""WITH {LINES_SQL} SELECT l_orderkey, min(pos) AS onset, greatest(max(pos + l_quantity / 10) - min(pos), 0.25)::DOUBLE AS duration,
@@ -170,7 +170,7 @@ def repeat_body(spark, sf_dir):
     return sequence.repeated_body(df, KEY, "pos", F.col("pos") == 0, F.col("total") < 4).select("l_orderkey", "pos", "l_partkey")
 
 
-@query("q_trim_window", """WITH e AS (SELECT event_id, user_id, epoch_ms(ts) AS tick, (value * 60000)::BIGINT AS dur, min(epoch_ms(ts)) OVER (PARTITION BY user_id) + 86400000 AS a FROM events)
+@query("q_trim_window", """WITH e AS (SELECT event_id, user_id, (epoch_us(ts) // 1000) AS tick, (value * 60000)::BIGINT AS dur, min((epoch_us(ts) // 1000)) OVER (PARTITION BY user_id) + 86400000 AS a FROM events)
 SELECT event_id, greatest(tick, a) - a AS tick, least(tick + dur, a + 259200000) - greatest(tick, a) AS dur FROM e WHERE tick < a + 259200000 AND tick + dur > a""")
 def trim_window(spark, sf_dir):
     df = event_times(spark, sf_dir).select("event_id", "user_id", "tick", F.round(F.col("value") * 60000).cast("bigint").alias("dur"))
@@ -178,7 +178,7 @@ def trim_window(spark, sf_dir):
     return sequence.trim_to_window(df, "tick", "dur", F.col("a"), F.col("a") + 259200000).select("event_id", "tick", "dur")
 
 
-@query("q_trim_end", """WITH e AS (SELECT event_id, user_id, epoch_ms(ts) - min(epoch_ms(ts)) OVER (PARTITION BY user_id) AS tick, (value * 60000)::BIGINT AS dur FROM events)
+@query("q_trim_end", """WITH e AS (SELECT event_id, user_id, (epoch_us(ts) // 1000) - min((epoch_us(ts) // 1000)) OVER (PARTITION BY user_id) AS tick, (value * 60000)::BIGINT AS dur FROM events)
 SELECT event_id, tick, least(tick + dur, 259200000) - tick AS dur FROM e WHERE tick < 259200000 AND tick + dur > 0""")
 def trim_end(spark, sf_dir):
     df = event_times(spark, sf_dir).withColumn("tick", F.col("tick") - F.min("tick").over(sequence.Window.partitionBy("user_id")))
@@ -220,11 +220,11 @@ def element_counter(spark, sf_dir):
 def clean_chords(spark, sf_dir):
     """Undersized chords are merged into their nearest neighbours; orders are sequences."""
     df = with_onsets(spark, sf_dir).select("l_orderkey", "onset", F.col("l_quantity").alias("duration"), F.transform(F.sequence(F.lit(0), (F.col("l_suppkey") % 4).cast("int")), lambda k: F.struct((F.col("l_partkey") % 200 + k * 13 + 110).cast("int").alias("step"), F.lit(64).alias("velocity"))).alias("notes"))
-    return recurrent.clean_chords(df, "l_orderkey", "bigint")
+    return recurrent.clean_chords(df, "l_orderkey")
 
 
 @query("q_voice_leading")
 def voice_leading(spark, sf_dir):
     """Each chord takes the voicing that is nearest to the one chosen before it."""
     df = lines(spark, sf_dir).select("l_orderkey", "pos", (F.col("l_partkey") % 12).cast("int").alias("root"), F.element_at(F.array(F.lit("maj7"), F.lit("m7"), F.lit("dom7"), F.lit("m7b5")), (F.col("l_suppkey") % 4 + 1).cast("int")).alias("quality"))
-    return recurrent.voice_lead(df, "l_orderkey", "bigint")
+    return recurrent.voice_lead(df, "l_orderkey")
