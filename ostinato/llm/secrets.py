@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +28,9 @@ KINDS = ("assign", "access", "hex", "novel")
 SENSITIVE = re.compile(r"(?:key|secret|token|passw|passphrase|pwd|auth|credential|bearer|private|signature|cookie)", re.IGNORECASE | re.ASCII)
 #: One of these is in every text that SENSITIVE or ASSIGN matches, in lower case.
 HINTS = ("key", "secret", "token", "passw", "passphrase", "pwd", "auth", "credential", "bearer", "private", "signature", "cookie")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+LEAST_LENGTH = 12
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_LENGTH},}}")
+DIGITS, LETTERS = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 
 IDENTIFIERS = """
 self this return import from class def function const let var public private static void int string bool boolean float
@@ -69,19 +73,24 @@ class Novelty:
         return len(self.compressor.compress((before + after + candidate).encode("utf-8", "surrogatepass"))) - without
 
     def spans(self, text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Spans of novel strings that overlap none of ``taken``."""
-        low, found, seen = text.lower(), [], -1
+        """Spans of novel strings that overlap none of ``taken``, which is sorted."""
+        low, found, seen = text.lower(), [], 0
         if not any(x in low for x in HINTS):
             return found
+        starts = [a for a, _, _ in taken]
+        furthest = list(accumulate((b for _, _, b in taken), max))
         for word in SENSITIVE.finditer(text):
-            for m in CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + REACH + 256)):
-                start, end = m.span()
-                if start > word.end() + REACH:
-                    break
-                if start <= seen or not (any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])) or any(a < end and start < b for a, _, b in taken):
+            last = word.end() + REACH
+            at = max(word.end(), seen)
+            # A candidate begins within reach and is read to its end, once; only its first characters are looked for.
+            while at <= last and (near := CANDIDATE.search(text, at, last + LEAST_LENGTH)):
+                whole = CANDIDATE.match(text, near.start())
+                start, end = whole.span()
+                at = seen = end
+                earlier = bisect_left(starts, end)
+                if (earlier and furthest[earlier - 1] > start) or not (DIGITS.search(whole[0]) and LETTERS.search(whole[0])):
                     continue
-                seen = start
-                added = self.marginal(text[max(0, start - AROUND) : start], m[0], text[end : end + AROUND])
+                added = self.marginal(text[max(0, start - AROUND) : start], whole[0], text[end : end + AROUND])
                 if added >= max(LEAST_BYTES, LEAST_RATIO * (end - start)):
                     found.append((start, 3, end))
         return found
