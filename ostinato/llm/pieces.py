@@ -36,18 +36,20 @@ KEPT_LENGTH, KEPT_CHUNKS = 40, 200_000
 
 
 class Vocabulary:
-    """Pieces with integer scores; ``trie`` has every prefix of a piece, with id -1 where it isn't one itself."""
+    """Pieces with integer scores; ``trie`` leads from character to character to nodes [id or -1, score, next nodes]."""
 
     def __init__(self, pieces: list[str], scores: list[int], byte_ids: list[int], byte_score: int):
         self.pieces, self.byte_ids, self.byte_score = pieces, byte_ids, byte_score
         self.byte_values = {i: b for b, i in enumerate(byte_ids)}
-        self.trie: dict[str, tuple[int, int]] = {}
+        self.trie: dict[str, list] = {}
         for i, (piece, score) in enumerate(zip(pieces, scores, strict=True)):
-            if score == NEVER:
+            if score == NEVER or not piece:
                 continue
-            for end in range(1, len(piece)):
-                self.trie.setdefault(piece[:end], (-1, 0))
-            self.trie[piece] = (i, score)
+            into = self.trie
+            for c in piece:
+                node = into.setdefault(c, [-1, 0, {}])
+                into = node[2]
+            node[:2] = i, score
 
 
 def load_vocabulary(path: str = MODEL_FILE) -> Vocabulary:
@@ -73,41 +75,69 @@ def load_vocabulary(path: str = MODEL_FILE) -> Vocabulary:
 Edge = tuple[int, int, tuple[int, ...]]
 
 
+def spelt(vocabulary: Vocabulary, c: str) -> tuple[int, tuple[int, ...]]:
+    """Score and ids of a character in bytes."""
+    raw = c.encode("utf-8", "surrogatepass")
+    return vocabulary.byte_score * len(raw), tuple(vocabulary.byte_ids[b] for b in raw)
+
+
 def edges(vocabulary: Vocabulary, chunk: str) -> Iterator[tuple[int, Edge]]:
     """(end, (start, score, ids)) of the lattice, by start."""
-    trie, n = vocabulary.trie, len(chunk)
-    for i in range(n):
+    for i, c in enumerate(chunk):
+        node = vocabulary.trie.get(c)
+        if node is None or node[0] < 0:
+            yield i + 1, (i, *spelt(vocabulary, c))
         j = i + 1
-        found = trie.get(chunk[i:j])
-        if found is None or found[0] < 0:
-            raw = chunk[i].encode("utf-8", "surrogatepass")
-            yield j, (i, vocabulary.byte_score * len(raw), tuple(vocabulary.byte_ids[b] for b in raw))
-        while found is not None:
-            if found[0] >= 0:
-                yield j, (i, found[1], (found[0],))
+        while node is not None:
+            if node[0] >= 0:
+                yield j, (i, node[1], (node[0],))
+            node = node[2].get(chunk[j]) if j < len(chunk) else None
             j += 1
-            found = trie.get(chunk[i:j]) if j <= n else None
 
 
 def forward(vocabulary: Vocabulary, chunk: str) -> tuple[list[int], tuple[int, ...], int]:
-    """Best score to each place, the ids of the best way to the end, and how much worse the second best way is."""
-    n = len(chunk)
+    """Best score to each place, the ids of the best way to the end, and how much worse the second best way is.
+
+    It goes over the same lattice as ``edges``, without making its tuples: most of an encoder's time is spent here.
+    """
+    n, first = len(chunk), vocabulary.trie
     best, second = [NEVER] * (n + 1), [NEVER] * (n + 1)
     best[0] = 0
-    back: list[Edge | None] = [None] * (n + 1)
-    for j, edge in edges(vocabulary, chunk):
-        i, score, _ = edge
-        way, other = best[i] + score, second[i] + score
-        if way > best[j]:
-            second[j] = max(best[j], other)
-            best[j], back[j] = way, edge
-        elif way > second[j]:
-            second[j] = way
+    came: list[int] = [0] * (n + 1)
+    piece: list[int | tuple[int, ...]] = [0] * (n + 1)
+    for i, c in enumerate(chunk):
+        to_here, other = best[i], second[i]
+        node, j = first.get(c), i + 1
+        if node is None or node[0] < 0:
+            score, ids = spelt(vocabulary, c)
+            way = to_here + score
+            if way > best[j]:
+                second[j] = max(best[j], other + score)
+                best[j], came[j], piece[j] = way, i, ids
+            elif way > second[j]:
+                second[j] = way
+        while node is not None:
+            own, score, after = node
+            if own >= 0:
+                way = to_here + score
+                if way > best[j]:
+                    second[j] = best[j] if best[j] > other + score else other + score
+                    best[j], came[j], piece[j] = way, i, own
+                elif way > second[j]:
+                    second[j] = way
+            if j == n:
+                break
+            node = after.get(chunk[j])
+            j += 1
     ids, j = [], n
     while j:
-        j, _, own = back[j]
-        ids.append(own)
-    return best, tuple(chain.from_iterable(reversed(ids))), best[n] - second[n] if second[n] > NEVER // 2 else -NEVER
+        if isinstance(piece[j], int):
+            ids.append(piece[j])
+        else:
+            ids += piece[j][::-1]
+        j = came[j]
+    ids.reverse()
+    return best, tuple(ids), best[n] - second[n] if second[n] > NEVER // 2 else -NEVER
 
 
 def n_best(vocabulary: Vocabulary, chunk: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
