@@ -54,7 +54,7 @@ def write_files(df: DataFrame, folder: str, name: str, content: str) -> DataFram
         for batch in batches:
             paths, sizes = [], []
             for own, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with store.open_output_stream(f"{top}/{own}") as out:
+                with store.open_output_stream(f"{top}/{own}", compression=None) as out:
                     out.write(data)
                 paths.append(f"{folder}/{own}")
                 sizes.append(len(data))
