@@ -211,7 +211,7 @@ def write_archives(records: DataFrame, folder: str, date: str = "2024-01-01T00:0
             dictionary = make_dictionary(sample)
             packed = compressor(dictionary)
             name, n, first = f"{path}/pages-{uuid.uuid4().hex}.warc.zst", 0, None
-            with store.open_output_stream(name) as out:
+            with store.open_output_stream(name, compression=None) as out:  # else Arrow would pack a .zst file once more
                 written = write_head(out, dictionary)
                 for row in sample:
                     written += out.write(packed.compress(row))
@@ -264,7 +264,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
             for path in batch.column("path").to_pylist():
                 store, own = open_store(path)
                 held, size = [], 0
-                with store.open_input_stream(own) as source:
+                with store.open_input_stream(own, compression=None) as source:
                     for offset, raw in frames(source):
                         held.append(read(path, offset, raw))
                         size += len(held[-1]["payload"] or b"") + 500

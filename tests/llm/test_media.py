@@ -196,3 +196,20 @@ def test_the_query_is_its_sql(spark, data):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{data}/pages.parquet'")
     assert made == sorted(con.execute(f"SELECT page_id, payload_bytes, payload_digest, record_type, refers_to FROM ({warc.OP3_SQL})").fetchall())
+
+
+def test_archives_on_disk_are_of_the_format(spark, tmp_path):
+    """A leading skippable frame with the dictionary, then a frame for each record, that any zstandard reader decodes."""
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 50) for i in range(40)], PAGES).coalesce(1)
+    (row,) = warc.write_archives(warc.with_revisits(pages).coalesce(1), f"file://{tmp_path}/w").collect()
+    data = open(row["path"].removeprefix("file://"), "rb").read()
+    assert len(data) == row["bytes"]
+    kind, size = struct.unpack_from("<II", data)
+    assert kind == warc.SKIPPABLE
+    reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + size]))
+    rest, n = data[8 + size :], 0
+    while rest:
+        frame = reader.decompressobj()
+        assert frame.decompress(rest).startswith(b"WARC/1.1\r\n")
+        rest, n = frame.unused_data, n + 1
+    assert n == row["records"] == 40
