@@ -21,7 +21,7 @@ def fifths_between(a: Column, b: Column) -> Column:
 
 def note_at(position: Column) -> Column:
     """The note at a place of the line, which closes to a circle of 35."""
-    return F.element_at(F.array(*[F.lit(n) for n in LINE]), (F.pmod(position, F.lit(len(LINE))) + 1).cast("int"))
+    return F.when(position.isNotNull(), F.element_at(F.array(*[F.lit(n) for n in LINE]), (F.pmod(position, F.lit(len(LINE))) + 1).cast("int")))
 
 
 def transposed(note: Column, old_key: Column, new_key: Column) -> Column:
