@@ -2,7 +2,8 @@
 
 A compressor is primed with a dictionary of identifiers and with the code around a candidate. What the candidate adds
 to the compressed size is its novelty: names and words are mostly repeats and add little, keys and passwords add
-about as much as their entropy. Candidates stand shortly after a word such as key or credential.
+about as much as their entropy. Candidates stand shortly after a word such as key or credential; what follows a
+reported one after a line break, dot or quote only is measured too, and a private key's PEM block up to its END line.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
-from itertools import accumulate
+from collections.abc import Callable
+from itertools import accumulate, pairwise
 
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +32,11 @@ SENSITIVE = re.compile(r"(?:key|secret|token|passw|passphrase|pwd|auth|credentia
 HINTS = ("key", "secret", "token", "passw", "passphrase", "pwd", "auth", "credential", "bearer", "private", "signature", "cookie")
 LEAST_LENGTH = 12
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_LENGTH},}}")
+#: What may lie between two parts of one secret: dots, quotes and line breaks, the latter with indentation or a mark of quotation.
+GAP = re.compile(r"""(?:[.'"]|\\[nr]|[\x20\t]*+[,+\\]?+[\x20\t]*+[\r\n]++[\x20\t]*+(?:[>\#*][\x20\t]++)?+)++""")
+PEM_MARK = re.compile(r"-----(BEGIN|END) (?:[A-Z0-9]+ ){0,4}?PRIVATE KEY(?: BLOCK)?-----")
+#: The base64 runs of a PEM block's body; headers and written line breaks aren't any.
+PEM_RUN = re.compile(r"\\[nr]|^[A-Za-z-]+:.*$|([A-Za-z0-9+/=]+)", re.MULTILINE)
 DIGITS, LETTERS = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 
 IDENTIFIERS = """
@@ -61,6 +68,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def apart(taken: list[tuple[int, int, int]]) -> Callable[[int, int], bool]:
+    """Whether a span overlaps none of ``taken``, which is sorted."""
+    starts, furthest = [a for a, _, _ in taken], list(accumulate((b for _, _, b in taken), max))
+
+    def free(start: int, end: int) -> bool:
+        earlier = bisect_left(starts, end)
+        return not earlier or furthest[earlier - 1] <= start
+
+    return free
+
+
 class Novelty:
     """Marginal compressed bytes of a string within its surroundings."""
 
@@ -72,13 +90,28 @@ class Novelty:
         without = len(self.compressor.compress((before + after).encode("utf-8", "surrogatepass")))
         return len(self.compressor.compress((before + after + candidate).encode("utf-8", "surrogatepass"))) - without
 
+    def novel(self, text: str, start: int, end: int) -> bool:
+        added = self.marginal(text[max(0, start - AROUND) : start], text[start:end], text[end : end + AROUND])
+        return added >= max(LEAST_BYTES, LEAST_RATIO * (end - start))
+
+    def pem_spans(self, text: str) -> list[tuple[int, int, int]]:
+        """All runs between the BEGIN and the END line of a private key of which some run is novel."""
+        found, marks = [], list(PEM_MARK.finditer(text)) if "PRIVATE KEY" in text else []
+        for begin, end in pairwise(marks):
+            if (begin[1], end[1]) == ("BEGIN", "END"):
+                runs = [m.span(1) for m in PEM_RUN.finditer(text, begin.end(), end.start()) if m[1]]
+                if any(b - a >= LEAST_LENGTH and self.novel(text, a, b) for a, b in runs):
+                    found += [(a, 3, b) for a, b in runs]
+        return found
+
     def spans(self, text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Spans of novel strings that overlap none of ``taken``, which is sorted."""
         low, found, seen = text.lower(), [], 0
         if not any(x in low for x in HINTS):
             return found
-        starts = [a for a, _, _ in taken]
-        furthest = list(accumulate((b for _, _, b in taken), max))
+        free = apart(taken)
+        found = [x for x in self.pem_spans(text) if free(x[0], x[2])]
+        free = apart(sorted(taken + found))
         for word in SENSITIVE.finditer(text):
             last = word.end() + REACH
             at = max(word.end(), seen)
@@ -87,12 +120,13 @@ class Novelty:
                 whole = CANDIDATE.match(text, near.start())
                 start, end = whole.span()
                 at = seen = end
-                earlier = bisect_left(starts, end)
-                if (earlier and furthest[earlier - 1] > start) or not (DIGITS.search(whole[0]) and LETTERS.search(whole[0])):
-                    continue
-                added = self.marginal(text[max(0, start - AROUND) : start], whole[0], text[end : end + AROUND])
-                if added >= max(LEAST_BYTES, LEAST_RATIO * (end - start)):
+                if free(start, end):
+                    if not (DIGITS.search(whole[0]) and LETTERS.search(whole[0])) or not self.novel(text, start, end):
+                        continue
                     found.append((start, 3, end))
+                # The next part of what was reported is within reach wherever it begins.
+                if gap := GAP.match(text, end):
+                    last = max(last, gap.end())
         return found
 
     def all_spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
