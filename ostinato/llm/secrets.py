@@ -4,14 +4,20 @@ A compressor is primed with a dictionary of identifiers and with the code around
 to the compressed size is its novelty: names and words are mostly repeats and add little, keys and passwords add
 about as much as their entropy. Candidates stand shortly after a word such as key or credential; what follows a
 reported one after a line break, dot or quote only is measured too, and a private key's PEM block up to its END line.
+Every candidate of at least LEAST_BYTES characters is measured. Long words that the dictionary doesn't have are as new
+as keys to that compressor; strings without a digit must therefore be novel to a second one too, whose adaptive letter
+statistics are primed with prose.
 """
 
 from __future__ import annotations
 
 import hashlib
+import lzma
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Callable
+from functools import lru_cache
 from itertools import accumulate, pairwise
 
 import zstandard
@@ -30,14 +36,19 @@ KINDS = ("assign", "access", "hex", "novel")
 SENSITIVE = re.compile(r"(?:key|secret|token|passw|passphrase|pwd|auth|credential|bearer|private|signature|cookie)", re.IGNORECASE | re.ASCII)
 #: One of these is in every text that SENSITIVE or ASSIGN matches, in lower case.
 HINTS = ("key", "secret", "token", "passw", "passphrase", "pwd", "auth", "credential", "bearer", "private", "signature", "cookie")
-LEAST_LENGTH = 12
-CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_LENGTH},}}")
+#: Parameters of the novelty scan: code points of context, compressed bytes for each character and in all.
+REACH, AROUND, LEAST_RATIO, LEAST_BYTES = 40, 200, 0.6, 9
+#: The second compressor's bytes for each character of strings without a digit; the length from which characters are entropy coded.
+WORD_RATIO, LONG = 0.68, 64
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_BYTES},}}")
 #: What may lie between two parts of one secret: dots, quotes and line breaks, the latter with indentation or a mark of quotation.
 GAP = re.compile(r"""(?:[.'"]|\\[nr]|[\x20\t]*+[,+\\]?+[\x20\t]*+[\r\n]++[\x20\t]*+(?:[>\#*][\x20\t]++)?+)++""")
 PEM_MARK = re.compile(r"-----(BEGIN|END) (?:[A-Z0-9]+ ){0,4}?PRIVATE KEY(?: BLOCK)?-----")
 #: The base64 runs of a PEM block's body; headers and written line breaks aren't any.
 PEM_RUN = re.compile(r"\\[nr]|^[A-Za-z-]+:.*$|([A-Za-z0-9+/=]+)", re.MULTILINE)
-DIGITS, LETTERS = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+DIGITS = re.compile(r"[0-9]")
+#: The part of a word before a place in it.
+BEGUN = re.compile(r"[A-Za-z]*\Z")
 
 IDENTIFIERS = """
 self this return import from class def function const let var public private static void int string bool boolean float
@@ -52,8 +63,65 @@ aws_access_key_id aws_secret_access_key client_id client_secret refresh_token ac
 BEGIN PRIVATE KEY END CERTIFICATE ssh-rsa encryption decrypt encrypt hash digest salt nonce uuid timestamp version
 """
 
-#: Parameters of the novelty scan: code points of context, compressed bytes for each character and in all.
-REACH, AROUND, LEAST_RATIO, LEAST_BYTES = 40, 200, 0.6, 9
+#: Long words of prose.
+PROSE = """
+the of and to in that with for was are this from have which their would about there other into more than when been because
+international national organisation organization organisational responsible responsibility possible possibility administration
+administrative information informative communication education application association operation operational generation regulation
+population situation production protection introduction construction collection connection direction election function section
+instruction description subscription transaction interaction condition tradition addition position composition definition decision
+commission permission expression impression discussion understanding government management agreement disagreement development
+environment department statement investment requirement document treatment movement argument employment establishment announcement
+important importance difference different experience conference reference evidence audience influence independent independence
+university community security authority authorities authentication authenticated authorization authorisation identity activity
+quality ability available availability reliability liability capability technology technological psychological history
+historical political economic economical scientific electronic traditional professional individual additional personal original
+particular particularly especially immediately approximately unfortunately certainly generally recently usually actually completely
+following something everything everyone everybody sometimes somewhere however therefore together throughout although whatever
+themselves ourselves yourself children business interesting interested including according considered considerable beautiful
+successful wonderful meaningful knowledge language character literature temperature agriculture structure infrastructure
+manufacturer signature signatures certificate certificates secretary secretariat privately privacy tokenization keyboard
+remember september october november december january february american european british christian wednesday thursday saturday
+question questions answer answered example examples problem problems programme program company companies customers customer
+passwordless passphrases credentials encrypted decrypted encryption decryption algorithm configuration documentation implementation
+initialization directory repository variables parameter parameters arguments response request endpoint database
+gouvernement développement investissement particulièrement notamment également seulement aujourd'hui toujours
+connaissance naissance puissance différence expérience société université communauté sécurité qualité activité
+entreprise entreprises politique économique historique électronique nationale internationale personnes personne première premier
+maintenant pendant plusieurs beaucoup quelque quelques lorsque notre votre leurs cette avec dans pour sur sont être avoir
+Zusammenarbeit Zusammenhang Geschwindigkeit Möglichkeit Schwierigkeit Wirklichkeit Gesellschaft Wirtschaft Wissenschaft Mannschaft
+Regierung Entwicklung Verwaltung Bedeutung Ausbildung Verbindung Veröffentlichung Beschreibung Verschlüsselung Versicherung
+wissenschaftlich wirtschaftlich gesellschaftlich natürlich möglich wahrscheinlich verschiedene verschiedenen unterschiedlich
+zwischen während werden worden wurden andere anderen einige einigen können müssen sollen nicht auch eine einer eines durch gegen
+unter über nach beim aber oder sich sind haben hatte geworden Deutschland deutschen Schlüssel Passwort Zugang
+gobierno desarrollo investigación investigacion administración organización información educación comunicación producción situación
+conocimiento movimiento crecimiento establecimiento importancia diferencia experiencia sociedad universidad comunidad seguridad
+calidad actividad empresa empresas política económica histórica nacional internacional personas persona primero primera
+principalmente especialmente actualmente también siempre entonces mientras durante aunque porque cuando donde sobre entre desde hasta
+ABCDEFGHIJKLMNOPQRSTUVWXYZ INTERNATIONAL ORGANIZATION INFORMATION AUTHORIZATION AUTHENTICATION CERTIFICATE DOCUMENTATION CONFIGURATION
+-----BEGIN RSA PRIVATE KEY----- -----END OPENSSH ENCRYPTED EC DSA PUBLIC ======== --------
+acknowledgement advertisement anniversary appreciated architecture arrangements assassination astonishing bankruptcy
+battlefield breakthrough broadcasting catastrophe celebration championship chronological circumstances civilization
+coincidence collaboration commissioner comprehensive concentrated congratulations consciousness consequences conservation
+consideration constituency contemporary controversial conversation correspondent counterpart craftsmanship demonstration
+determination disappointed disciplinary distinguished embarrassing encouragement enlightenment entertainment enthusiastic
+extraordinary flexibility frustration fundamental grandmother handwriting headquarters hypothetical illustration imagination
+implications independently inheritance installation intellectual intelligence interpretation intervention jurisdiction
+kilometres legislation lighthouse locksmith locksmiths maintenance mathematics measurements misunderstanding neighbourhood
+nevertheless observation occasionally opportunities orchestra parliamentary partnership perspective philosophical photograph
+preliminary presentation prestigious professor psychology questionnaire recommendation refrigerator relationship renaissance
+representative revolutionary satisfaction schoolteacher settlement significantly sophisticated spokesperson straightforward
+strengthening substantial superintendent surrounding sustainable sympathetic thunderstorm transformation transportation
+tremendous unbelievable undergraduate unemployment unprecedented vegetables vocabulary vulnerability warehouse wilderness
+workshop appartement bibliothèque changement chercheurs conséquence construire enseignement environnement fonctionnaires
+habitants magnifique naturellement professeur quotidienne recherche renseignements traditionnel Arbeitsplatz Aufmerksamkeit
+Bundesregierung Bürgermeister Einrichtung Fahrrad Forschung Gemeinschaft Gesundheit Krankenhaus Landwirtschaft Mitarbeiter
+Nachrichten Staatsanwaltschaft Straßenbahn Unternehmen Verantwortung Wohnungen ayuntamiento biblioteca ciudadanos compañeros
+construcción enfermedad estadounidense extranjero funcionamiento medioambiente naturaleza presidente profesores trabajadores
+authoritative reauthorisation authorship keyholders secretarial signatories cookiecutter privateer
+1234567890 0123456789 abcdefghijklmnopqrstuvwxyz
+"""
+MONTHS = " ".join(f"{year}-{month:02d}" for year in range(2000, 2036) for month in range(1, 13))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -79,20 +147,35 @@ def apart(taken: list[tuple[int, int, int]]) -> Callable[[int, int], bool]:
     return free
 
 
+ADAPTIVE = [{"id": lzma.FILTER_LZMA2, "lc": 4, "lp": 0, "pb": 0, "dict_size": 1 << 16, "mode": lzma.MODE_NORMAL, "nice_len": 64, "mf": lzma.MF_BT2, "depth": 64}]
+
+
 class Novelty:
     """Marginal compressed bytes of a string within its surroundings."""
 
-    def __init__(self, identifiers: str = IDENTIFIERS):
+    def __init__(self, identifiers: str = MONTHS + PROSE + IDENTIFIERS):
         primed = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.prose = (identifiers + " ").encode()
+        self.words = lru_cache(1 << 14)(lambda word: self.adaptive(self.prose + word.encode()) - self.adaptive(self.prose))
         self.compressor = zstandard.ZstdCompressor(level=9, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
 
+    def adaptive(self, data: bytes) -> int:
+        return len(lzma.compress(data, lzma.FORMAT_RAW, filters=ADAPTIVE))
+
     def marginal(self, before: str, candidate: str, after: str) -> int:
         without = len(self.compressor.compress((before + after).encode("utf-8", "surrogatepass")))
         return len(self.compressor.compress((before + after + candidate).encode("utf-8", "surrogatepass"))) - without
 
     def novel(self, text: str, start: int, end: int) -> bool:
         added = self.marginal(text[max(0, start - AROUND) : start], text[start:end], text[end : end + AROUND])
-        return added >= max(LEAST_BYTES, LEAST_RATIO * (end - start))
+        share = math.log2(len(set(text[start:end]))) / 6 if end - start >= LONG else 1
+        if added < max(LEAST_BYTES, LEAST_RATIO * min(1, share) * (end - start)):
+            return False
+        if end - start >= LONG or DIGITS.search(text, start, end):
+            return True
+        # A sensitive word may be the head of a longer one, as in authoritative: that is measured whole.
+        word = BEGUN.search(text[max(0, start - AROUND) : start])[0] + text[start:end]
+        return self.words(word) >= WORD_RATIO * len(word)
 
     def pem_spans(self, text: str) -> list[tuple[int, int, int]]:
         """All runs between the BEGIN and the END line of a private key of which some run is novel."""
@@ -100,7 +183,7 @@ class Novelty:
         for begin, end in pairwise(marks):
             if (begin[1], end[1]) == ("BEGIN", "END"):
                 runs = [m.span(1) for m in PEM_RUN.finditer(text, begin.end(), end.start()) if m[1]]
-                if any(b - a >= LEAST_LENGTH and self.novel(text, a, b) for a, b in runs):
+                if any(b - a >= LEAST_BYTES and self.novel(text, a, b) for a, b in runs):
                     found += [(a, 3, b) for a, b in runs]
         return found
 
@@ -116,12 +199,12 @@ class Novelty:
             last = word.end() + REACH
             at = max(word.end(), seen)
             # A candidate begins within reach and is read to its end, once; only its first characters are looked for.
-            while at <= last and (near := CANDIDATE.search(text, at, last + LEAST_LENGTH)):
+            while at <= last and (near := CANDIDATE.search(text, at, last + LEAST_BYTES)):
                 whole = CANDIDATE.match(text, near.start())
                 start, end = whole.span()
                 at = seen = end
                 if free(start, end):
-                    if not (DIGITS.search(whole[0]) and LETTERS.search(whole[0])) or not self.novel(text, start, end):
+                    if not self.novel(text, start, end):
                         continue
                     found.append((start, 3, end))
                 # The next part of what was reported is within reach wherever it begins.

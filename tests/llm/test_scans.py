@@ -173,6 +173,24 @@ def test_all_lines_of_a_key_and_all_parts_of_a_token(spark, tmp_path):
     assert made[0].endswith("-----END RSA PRIVATE KEY-----\nThe end.") and "Proc-Type: 4,ENCRYPTED" in made[0] and made[4] == texts[4]
 
 
+def test_secrets_need_neither_digits_nor_letters(spark):
+    """Random strings of every alphabet and length are found; long words, dates and names in the same places aren't."""
+    r = random.Random(21)
+    small, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    texts, values = ["passphrase QxvTzKpLmWnRbYcD", "pwd is x7Kq9mZ2pQ"], ["QxvTzKpLmWnRbYcD", "x7Kq9mZ2pQ"]
+    for letters in (small + small.upper(), small, small.upper(), digits, small + small.upper() + digits):
+        for n in (16, 20, 32, 64, 128, 500):
+            values.append("".join(r.choice(letters) for _ in range(n)))
+            texts.append(f"The passphrase is {values[-1]} for now.")
+    words = ["An authoritative secretariat asked for keyboard-interactive authentication.", "The private correspondence of international organisations", "signature 2024-01-31", "Authorization documentation/configuration", "the private Zusammenarbeit and the key to investigation", "private_key_configuration_documentation"]
+    found: dict[int, list] = {}
+    for x in secrets.find_secrets(table(spark, texts + words)).collect():
+        found.setdefault(x["doc_id"], []).append(x["value"])
+    missed = [v for i, v in enumerate(values) if found.get(i) != [v]]
+    assert not missed
+    assert not [w for i, w in enumerate(words) if len(values) + i in found]
+
+
 def test_redaction_keeps_clean_documents(spark):
     texts = ["nothing here", "password: hunter2hunter2 and token=abcdef0123456789abcdef012345", None, "", "api_key=secret=abcdefgh"]
     made = {r["doc_id"]: r for r in secrets.redact(table(spark, texts).withColumn("spans", F.lit(0))).collect()}
