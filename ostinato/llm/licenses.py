@@ -13,6 +13,7 @@ The templates are the small side, a few hundred words that every task has; docum
 from __future__ import annotations
 
 import math
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,27 +93,61 @@ class Matcher:
                     found.add(k)
         return sorted(k for k in found if len(self.sets[k].intersection(own)) >= self.needed[k])
 
-    def best_blocks(self, words: list[bytes]) -> list[tuple[int, float, int, int]]:
-        """(template, containment, first word, end) of the best block for each template that some block matches."""
+    def tight_windows(self, k: int, own: list[tuple[int, int]]) -> list[tuple[float, int, int]]:
+        """(containment, end, first word) of the shortest blocks of template ``k`` with each sufficient number of its words.
+
+        Any block with so many of them holds one of these. ``own`` has the places and ranks of the template's words.
+        """
+        found = []
+        for count in range(self.needed[k], len(self.records[k]) + 1):
+            inside, low, some = {}, 0, False
+            for i, token in own:
+                inside[token] = inside.get(token, 0) + 1
+                shrunk = False
+                while len(inside) >= count:
+                    start, first = own[low]
+                    low += 1
+                    inside[first] -= 1
+                    if not inside[first]:
+                        del inside[first]
+                    shrunk = True
+                if shrunk and i - start < self.lengths[k]:
+                    found.append((count / len(self.records[k]), i + 1, start))
+                    some = True
+            if not some:
+                break
+        return found
+
+    def blocks(self, words: list[bytes]) -> list[tuple[int, float, int, int]]:
+        """(template, containment, first word, end) of all matching blocks, in the order of templates and places.
+
+        Notices of one family differ in a word or two: a block is ruled out by a better one that it overlaps, if that
+        one isn't ruled out itself; and of one template's equally good blocks that overlap, the first one stands. So each
+        matching block overlaps a returned one of at least its containment, or is one.
+        """
         found = []
         if possible := self.candidates(words):
             places = [(i, self.rank[w]) for i, w in enumerate(words) if w in self.vocabulary]
-            for k in possible:
-                most, span, inside, low = 0, (0, 0), {}, 0
-                own = [p for p in places if p[1] in self.sets[k]]
-                for i, token in own:
-                    inside[token] = inside.get(token, 0) + 1
-                    while i - own[low][0] >= self.lengths[k]:
-                        inside[own[low][1]] -= 1
-                        if not inside[own[low][1]]:
-                            del inside[own[low][1]]
-                        low += 1
-                    if len(inside) > most:
-                        most, span = len(inside), (own[low][0], i + 1)
-                if most >= self.needed[k]:
-                    found.append((k, most / len(self.records[k]), *span))
-        # Notices of one family differ in a word or two: where blocks overlap, a better one rules out the others.
-        return [x for x in found if not any(y[1] > x[1] and y[2] < x[3] and x[2] < y[3] for y in found)]
+            windows = [(-score, end, start, k) for k in possible for score, end, start in self.tight_windows(k, [p for p in places if p[1] in self.sets[k]])]
+            better = bytearray(len(words))
+            for score, equal in groupby(sorted(windows), lambda x: x[0]):
+                kept, until = [], {}
+                for _, end, start, k in equal:
+                    if start >= until.get(k, 0) and better.find(1, start, end) < 0:
+                        kept.append((k, -score, start, end))
+                        until[k] = end
+                for _, _, start, end in kept:
+                    better[start:end] = b"\1" * (end - start)
+                found += kept
+        return sorted(found, key=lambda x: (x[0], x[2]))
+
+    def best_blocks(self, words: list[bytes]) -> list[tuple[int, float, int, int]]:
+        """The best of each template's blocks."""
+        best: dict[int, tuple[int, float, int, int]] = {}
+        for block in self.blocks(words):
+            if block[0] not in best or block[1] > best[block[0]][1]:
+                best[block[0]] = block
+        return list(best.values())
 
 
 def phrase_places(words: list[bytes], phrases: dict[str, str]) -> list[tuple[int, str]]:
@@ -146,7 +181,7 @@ def word_frequencies(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: its number of words, the places of phrases, labels, the best score, and the matched blocks.
+    """One row per document: its number of words, the places of phrases, labels, the best score, and all matched blocks.
 
     A null or empty text has no words, no labels and score 0. Repeated rows give repeated rows, an empty table an empty
     one; other columns aren't read. The score is 1 where a phrase stands, else the best block's containment, else 0.
@@ -161,7 +196,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
             out: dict[str, list] = {"doc_id": batch["doc_id"], "n_words": [], "n_base": [], "first_word": [], "last_word": [], "base_labels": [], "labels": [], "score": [], "blocks": []}
             for text in batch["text"]:
                 words = words_of(text)
-                places, blocks = phrase_places(words, phrases), matcher.best_blocks(words)
+                places, blocks = phrase_places(words, phrases), matcher.blocks(words)
                 base = {label for _, label in places}
                 out["n_words"].append(len(words))
                 out["n_base"].append(len(places))

@@ -254,6 +254,38 @@ def test_no_matching_block_is_lost(spark):
             assert any(x[0] == k for x in got) or any(x[1] > s for x in got)
 
 
+def test_every_notice_of_a_text_is_a_block(spark):
+    r = random.Random(6)
+    texts = {label: text for label, text in licenses.TEMPLATES}
+    lgpl = texts["lgpl"].replace("terms", "rules").replace("published", "printed")
+    filler = " ".join(f"w{i}" for i in range(60))
+    mpl = texts["mpl"]
+    rows = [f"{texts['agpl']} {filler} {lgpl} {filler} {texts['lgpl']}", f"{mpl} {filler} {mpl} {mpl} {filler} {mpl.replace('terms', 'rules')}"]
+    made = licenses.scan_licenses(table(spark, rows)).orderBy("doc_id").collect()
+    n, a = 60, len(licenses.words_of(texts["agpl"]))
+    lgpl_blocks = [x for x in made[0]["blocks"].split(",") if x.startswith("lgpl:")]
+    assert {"agpl", "lgpl"} <= set(made[0]["labels"].split(",")) and len(lgpl_blocks) == 2
+    assert [a + n <= int(x.split(":")[1]) for x in lgpl_blocks] == [True, True]
+    assert len([x for x in made[1]["blocks"].split(",") if x.startswith("mpl:")]) == 4
+    # Against all windows: what matches is a block or overlaps one that is at least as good.
+    frequency = licenses.word_frequencies(table(spark, rows), {w for _, t in licenses.TEMPLATES for w in licenses.words_of(t)})
+    matcher = licenses.Matcher(licenses.TEMPLATES, frequency)
+    for _ in range(6):
+        parts = [" ".join(w if r.random() < 0.93 else "foo" for w in r.choice(licenses.TEMPLATES)[1].split()) for _ in range(5)]
+        words = licenses.words_of(" ".join(x for p in parts for x in (p, *r.choices("the license of lorem".split(), k=r.randrange(4)))))
+        got = matcher.blocks(words)
+        for k, (_, template) in enumerate(licenses.TEMPLATES):
+            own = set(licenses.words_of(template))
+            for i in range(len(words)):
+                for j in range(i + matcher.needed[k], min(i + matcher.lengths[k], len(words)) + 1):
+                    share = len(set(words[i:j]) & own)
+                    if share >= matcher.needed[k]:
+                        assert any(s >= share / len(own) and a < j and i < b for _, s, a, b in got)
+        for k, s, a, b in got:
+            assert s == len(set(words[a:b]) & set(licenses.words_of(licenses.TEMPLATES[k][1]))) / len(matcher.records[k]) and b - a <= matcher.lengths[k]
+            assert not any(y[1] > s and y[2] < b and a < y[3] for y in got)
+
+
 def test_licenses_of_odd_texts(spark):
     texts = [None, "", "MIT License", "general public\nLICENSE mit license", "Ünder the mit-license!", "İmit license"]
     frame = table(spark, texts).withColumn("labels", F.lit(1)).withColumn("blocks", F.lit(1))
