@@ -88,6 +88,27 @@ def iban(text: str, key: bytes) -> str | None:
     return "".join(c if c == " " else next(fresh) for c in text)
 
 
+#: Characters of an IBAN by the code of its country.
+IBAN_LENGTH = {
+    code: n for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items() for code in codes.split()
+}
+
+
+def iban_ends(text: str, start: int, end: int) -> list[int]:
+    """Where an IBAN may end within a match that can hold words after it: at its country's length, else at any space.
+
+    The whole match comes last where the length is known, and first where it isn't.
+    """
+    ends = [i for i in range(start, end) if text[i] == " "] + [end]
+    if length := IBAN_LENGTH.get(text[start : start + 2]):
+        return [e for e in ends if e - start - text.count(" ", start, e) == length] + [end]
+    return ends[::-1]
+
+
 def ssn(text: str, key: bytes) -> str | None:
     """Area 001 to 899 without 666, group 01 to 99, serial 0001 to 9999."""
     area, group, serial = int(text[:3]), int(text[4:6]), int(text[7:])
@@ -194,9 +215,17 @@ def pseudonymiser(key: bytes):
         for k, (kind, pattern, _) in enumerate(FORMATS):
             if kind == "email" and "@" not in text:
                 continue
-            for m in pattern.finditer(text):
-                if all(m.end() <= a or b <= m.start() for a, b, *_ in found) and (made := cached(k, m[0])) is not None:
-                    found.append((m.start(), m.end(), kind, made))
+            at = 0
+            while m := pattern.search(text, at):
+                start, at = m.start(), m.end()
+                for end in iban_ends(text, start, at) if kind == "iban" else [at]:
+                    if all(end <= a or b <= start for a, b, *_ in found) and (made := cached(k, text[start:end])) is not None:
+                        found.append((start, end, kind, made))
+                        at = end
+                        break
+                else:
+                    if kind == "iban":  # Another one may begin within.
+                        at = start + 1
         found.sort()
         parts, at = [], 0
         for a, b, _, made in found:

@@ -327,6 +327,24 @@ def test_pseudonyms_stay_in_their_format(spark):
     assert len({pii.date(d, KEY) for d in days}) == len(days)
 
 
+def test_ibans_of_every_length_before_other_words():
+    r = random.Random(9)
+    replace = pii.pseudonymiser(KEY)
+    known = ["AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"]
+    for code, n in [*pii.IBAN_LENGTH.items(), ("ZZ", 20), ("ZZ", 23)]:
+        body = "".join(r.choice("0123456789") for _ in range(n - 4))
+        plain = f"{code}{98 - pii.iban_number(code + '00' + body) % 97:02d}{body}"
+        known += [plain, " ".join(plain[i : i + 4] for i in range(0, n, 4))]
+    for text in known:
+        for after in ("", " BIC GIBAATWW", " EUR 20", " 2024 1234", " GIBAATWWXXX and", ", BIC", " A"):
+            made, spans = replace(f"To {text}{after}")
+            assert (3, 3 + len(text), "iban") in spans, text + after
+            assert made.endswith(after) or "2024" in after
+            assert text not in made and pii.iban_number(made[3 : 3 + len(text)].replace(" ", "")) % 97 == 1
+    assert [s[:2] for s in replace("AB12 3456 7890 AT61 1904 3002 3457 3201 BIC")[1]] == [(15, 39)]
+    assert replace("AT62 1904 3002 3457 3201 BIC")[1] == []
+
+
 def test_dates_with_the_day_first_stay_apart():
     days = [f"{d:02d}/{m:02d}/1999" for d in range(13, 29) for m in range(1, 13)]
     made = [pii.date(d, KEY) for d in days]
