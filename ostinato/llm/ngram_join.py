@@ -1,10 +1,11 @@
-"""Join of documents by the Jaccard similarity of their word n-grams: a MinHash LSH forest with exact verification.
+"""Join of documents by the Jaccard similarity of their word n-grams: MinHash bands with exact verification.
 
 Documents with equal n-gram sets are one class from the start. The signature of a class is cut into paths of several
-trees; in a tree's trie of sorted paths, classes below a common node are candidates. Common prefixes are shortened from
-full paths, level by level, until a pair that is just at the threshold shares a node in some tree with the target
-probability. Nodes link their classes in stars, not in pairs, and the connected candidates are compared exactly: all
-pairs of a group, in cells of two bounded blocks each, of which only counts and a spanning forest leave the task.
+trees; classes with equal paths in a tree are candidates. This takes the place of an LSH forest: all paths have one
+length, the longest at which a pair that is just at the threshold shares one with the target probability. Longer common
+prefixes aren't looked up, as they give no pairs that this length doesn't. Equal paths link their classes in stars, not
+in pairs, and the connected candidates are compared exactly: all pairs of a group, in cells of two bounded blocks each,
+of which only counts and a spanning forest leave the task.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ COLUMNS_AT_ONCE = 8192
 
 
 def prefix_length(threshold: float, trees: int = TREES, longest: int = LONGEST, target: float = TARGET) -> int:
-    """Shortens prefixes from the longest until pairs at the threshold are found with the target probability.
+    """The longest paths by which pairs at the threshold are found with the target probability.
 
-    If even prefixes of one value are too few, these are used.
+    If even paths of one value are too few, these are used.
     """
     length = longest
     while length > 1 and 1 - (1 - threshold**length) ** trees < target:
@@ -39,7 +40,7 @@ def prefix_length(threshold: float, trees: int = TREES, longest: int = LONGEST,
 
 
 def trie_nodes(values: np.ndarray, trees: int, length: int) -> np.ndarray:
-    """The node of each tree at which a set's path of so many MinHash values ends, as a signed 64-bit integer."""
+    """A hash of a set's path of so many MinHash values in each tree (a band), as a signed 64-bit integer."""
     paths = minhashes(values, trees * length).reshape(trees, length)
     node = np.arange(trees, dtype=np.uint64)
     for k in range(length):
