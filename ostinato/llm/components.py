@@ -12,13 +12,29 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
+#: The rows of one key are dealt to so many tasks at most.
+SALTS = 1024
+
+
+def with_least(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """``rows`` with the least ``value`` among those of the same ``key``, of which any number may exist.
+
+    They are dealt by the key and a salt of the value; only one row for each salt that occurs is gathered by the key.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy(key, "_salt").agg(F.min(value).alias(name))
+    whole = parts.groupBy(key).agg(F.min(name).alias(name), F.collect_list("_salt").alias("_salts"))
+    back = whole.select(F.col(key).alias("_key"), name, F.explode("_salts").alias("_part"))
+    return salted.join(back, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_part"))).drop("_key", "_part", "_salt")
+
+
 def connected_components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that is reachable, for each node of the links in columns ``u`` and ``v``.
 
     Alternates two steps until nothing changes: every node links its larger neighbours to the smallest of its
     neighbours and itself, then every node links all its smaller neighbours to the smallest of them. The number of
-    rounds grows with the logarithm of the longest chain. Minima are aggregated before they are shuffled and come back
-    by joins, so a node with very many links is no larger a task. Self links and repeated links do no harm.
+    rounds grows with the logarithm of the longest chain. The links of a node are dealt to many tasks by with_least, so a
+    node with very many links is no larger a task. Self links and repeated links do no harm.
     """
     up = lambda df: df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     edges = cut(up(edges.select("u", "v")))
@@ -27,12 +43,10 @@ def connected_components(edges: DataFrame, *, most_rounds: int = 60) -> DataFram
         if not before[0]:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
         # A node without smaller neighbours is its own minimum.
-        large = both.where("v > u").join(least, "u", "left").select(F.col("v").alias("u"), F.coalesce("m", "u").alias("v"))
+        large = with_least(both, "u", "v", "m").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         edges = cut(up(large))
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        small = edges.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        small = with_least(edges, "u", "v", "m").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = cut(up(small))
         after = _fingerprint(edges)
         if after == before:

@@ -92,18 +92,16 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     return np.rint(common).astype(np.int64)
 
 
-def forest(links: np.ndarray) -> list[int]:
-    """For each row of a link matrix, the first row of its connected part."""
-    root = list(range(len(links)))
+def forest(links: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric link matrix, the first row of its connected part."""
+    root = np.full(len(links), -1)
     for start in range(len(links)):
-        if root[start] == start:
-            reach = links[start].copy()
-            todo = [k for k in np.flatnonzero(reach) if root[k] > start]
-            while todo:
-                k = int(todo.pop())
-                if root[k] > start:
-                    root[k] = start
-                    todo += [x for x in np.flatnonzero(links[k]) if root[x] > start]
+        if root[start] < 0:
+            new = np.zeros(len(links), bool)
+            new[start] = True
+            while new.any():
+                root[new] = start
+                new = links[new].any(axis=0) & (root < 0)
     return root
 
 

@@ -200,7 +200,7 @@ def found_vectors(df):
 
 @pytest.mark.parametrize(("seed", "n", "block"), [(1, 500, 256), (2, 400, 16)])
 def test_range_join_is_that_of_brute_force(spark, monkeypatch, seed, n, block):
-    monkeypatch.setattr(metric_join, "LEAST_BLOCK", block)
+    monkeypatch.setattr(metric_join, "BLOCK", block)
     rows = vectors(seed, n)
     rows += [(n + i, *rows[i % 7][1:]) for i in range(60)]
     counts, components = brute_vectors(rows)
