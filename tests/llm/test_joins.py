@@ -148,6 +148,54 @@ def test_prefixes_shorten_until_the_target():
     assert ngram_join.prefix_length(0.1, target=0.999999) == 1
 
 
+def test_floors_suit_all_partners_of_a_size():
+    for n in range(1, 40):
+        possible = [i / (n + m - i) for m in range(1, 80) for i in range(1, min(n, m) + 1) if i / (n + m - i) >= 0.8 and not i == n == m]
+        least = ngram_join.least_similarity(n, 0.8)
+        assert least == (pytest.approx(min(possible)) if possible else None)
+    floor = lambda n: ngram_join.floor_length(n, 0.8, ngram_join.TREES, ngram_join.LONGEST, ngram_join.TARGET)
+    assert floor(3) == ngram_join.LONGEST + 1  # no other set is as close as 0.8
+    assert floor(6) > floor(4) == floor(1000) == ngram_join.prefix_length(0.8)
+
+
+def test_the_forest_links_all_that_share_a_prefix_and_no_others(spark):
+    r = random.Random(8)
+    rows = [(bytes([k]), r.choice([2, 2, 3, 4]), [(t << 8) + r.randrange(12) for t in range(3)], [r.randrange(1 << 63) & r.choice([0, 3 << 60, -1 & ((1 << 63) - 1)]) for _ in range(3)]) for k in range(90)]
+    classes = spark.createDataFrame(rows, "key binary, floor int, roots array<long>, suffixes array<long>")
+    links = [(bytes(x["u"])[0], bytes(x["v"])[0]) for x in ngram_join.forest_links(classes, 2, 4).collect()]
+    bits, want = ngram_join.suffix_bits(2, 4), []
+    for (a, fa, ra, sa), (b, fb, rb, sb) in combinations(rows, 2):
+        for t in range(3):
+            shift = bits * (4 - max(fa, fb))
+            if ra[t] == rb[t] and sa[t] >> shift == sb[t] >> shift:
+                want.append((a[0], b[0]))
+    assert len(set(roots(90, want))) > 3
+    assert roots(90, links) == roots(90, want)
+
+
+def test_paths_are_prefixes_of_one_signature():
+    r = np.random.default_rng(1)
+    a = np.unique(r.integers(0, 1 << 62, 400).astype(np.uint64))
+    b = np.concatenate((a[:-20], r.integers(0, 1 << 62, 20).astype(np.uint64)))
+    for lowest, longest in ((5, 8), (8, 8)):
+        x, y = ngram_join.paths(a, 24, lowest, longest), ngram_join.paths(b, 24, lowest, longest)
+        m = ngram_join.minhashes(a, 24 * longest).reshape(24, longest) == ngram_join.minhashes(b, 24 * longest).reshape(24, longest)
+        bits = ngram_join.suffix_bits(lowest, longest)
+        for length in range(lowest, longest + 1):
+            shift = np.int64(min(63, bits * (longest - length)))
+            same = (x[0] == y[0]) & (x[1] >> shift == y[1] >> shift)
+            assert (same == m[:, :length].all(axis=1)).all()
+
+
+def test_rows_that_share_an_id_are_lost_only_as_near_duplicates(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a, "en", "x", 1), (1, b, "en", "x", 2), (1, b, "en", "x", 2), (2, a, "en", "y", 3), (3, b + " c", "en", "y", 4), (4, "", None, None, 0), (4, "", None, None, 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for n in (1, 3):
+        kept = ngram_join.drop_near_duplicates(docs.repartition(n)).collect()
+        assert len(kept) == 4 and {(r[0], r[1]) for r in kept} == {(1, a), (1, b), (4, "")}
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_components(spark, seed):
     r = random.Random(seed)
