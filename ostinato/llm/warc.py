@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ostinato.llm.rows import arrow_schema, bounded_batches
-from ostinato.llm.storage import cut, new_folder, open_store, read_table
+from ostinato.llm.storage import cut, keep_columns, new_folder, open_store, read_table
 
 # Fixed values of the formats.
-SKIPPABLE, FRAME, VERSION = 0x184D2A5D, 0xFD2FB528, b"WARC/1.1"
+SKIPPABLE, MARK, VERSION = 0x184D2A5D, struct.pack("<I", 0xFD2FB528), b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 LEAST_REVISIT = 1000
@@ -32,7 +32,6 @@ CHUNK = 1 << 18
 #: The dictionary is made from so many pages, or bytes, at the start of an archive, and has at most so many bytes.
 SAMPLE_PAGES, SAMPLE_BYTES, DICTIONARY_BYTES = 256, 1 << 20, 32 << 10
 ARCHIVE_BYTES = 256 << 20
-MOST_RECORD_BYTES = 1 << 30
 
 
 class Malformed(ValueError):
@@ -110,11 +109,11 @@ def write_head(to: BinaryIO, dictionary: bytes) -> int:
     return 8 + len(dictionary)
 
 
-def frames(source: BinaryIO) -> Iterator[tuple[int, bytes | Malformed]]:
+def frames(source: BinaryIO, most_bytes: int | None = None) -> Iterator[tuple[int, bytes | Malformed]]:
     """(offset, content) of each frame; the dictionary comes from a leading skippable frame, if there is one.
 
-    A frame that can't be decoded gives a Malformed in place of its content and ends the archive, as the place of the
-    next one isn't known.
+    A frame that can't be decoded, or that holds more than ``most_bytes`` (for archives that aren't trusted), gives a
+    Malformed in place of its content; reading goes on where the next frame's mark stands.
     """
     held, at = source.read(CHUNK), 0
     dictionary = b""
@@ -123,30 +122,34 @@ def frames(source: BinaryIO) -> Iterator[tuple[int, bytes | Malformed]]:
         while len(held) < 8 + size and (more := source.read(max(CHUNK, 8 + size - len(held)))):
             held += more
         dictionary, held, at = held[8 : 8 + size], held[8 + size :], 8 + size
-        if dictionary[:4] == struct.pack("<I", FRAME):
+        if dictionary[:4] == MARK:
             dictionary = zstandard.ZstdDecompressor().decompress(dictionary)
     reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
     while held or (held := source.read(CHUNK)):
-        frame, parts, size, used = reader.decompressobj(), [], 0, 0
+        frame, parts, size, packed = reader.decompressobj(), [], 0, [held]
         try:
             while True:
-                part = frame.decompress(held)
-                parts.append(part)
-                size += len(part)
-                if size > MOST_RECORD_BYTES:
+                parts.append(frame.decompress(packed[-1]))
+                size += len(parts[-1])
+                if most_bytes is not None and size > most_bytes:
                     raise Malformed("a record is too large")
                 if frame.eof:
-                    used += len(held) - len(frame.unused_data)
-                    held = frame.unused_data
                     break
-                used += len(held)
-                if not (held := source.read(CHUNK)):
+                if not (more := source.read(CHUNK)):
                     raise Malformed("the last frame is cut off")
+                packed.append(more)
+            yield at, b"".join(parts)
+            held = frame.unused_data
+            at += sum(map(len, packed)) - len(held)
         except (zstandard.ZstdError, Malformed) as e:
             yield at, Malformed(str(e))
-            return
-        yield at, b"".join(parts)
-        at += used
+            held, seek = b"".join(packed), 1
+            while (found := held.find(MARK, seek)) < 0 and (more := source.read(CHUNK)):
+                gone = max(seek, len(held) - 3)  # a mark may be cut in two
+                held, at, seek = held[gone:] + more, at + gone, 0
+            if found < 0:
+                return
+            held, at = held[found:], at + found
 
 
 # --- Spark
@@ -228,11 +231,13 @@ def write_archives(records: DataFrame, folder: str, date: str = "2024-01-01T00:0
     return cut(bounded_batches(records).mapInArrow(run, schema))
 
 
-def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
+def read_archives(archives: DataFrame, payloads: bool = True, most_bytes: int | None = None) -> DataFrame:
     """One row per record of the archives in (path): place, type, ids, addresses, the payload's size and digest.
 
     Version, header lines and lengths of each record are validated, and a response's payload against its digest; a record
-    that fails has a text in ``error`` and nulls otherwise. ``payloads=False`` leaves the payloads themselves out.
+    that fails has a text in ``error`` and nulls otherwise. Where ``archives`` tells the number of their ``records``, an
+    archive with another number of frames has one more row with an ``error``. ``payloads=False`` leaves the payloads
+    themselves out.
     """
     schema = "path string, offset long, record_type string, record_id string, refers_to string, target_uri string, payload_bytes long, payload_digest string, payload binary, error string"
     to = arrow_schema(schema)
@@ -261,28 +266,36 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column("path").to_pylist():
+            for path, records in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist(), strict=True):
                 store, own = open_store(path)
-                held, size = [], 0
+                held, size, n = [], 0, 0
                 with store.open_input_stream(own, compression=None) as source:
-                    for offset, raw in frames(source):
+                    for offset, raw in frames(source, most_bytes):
+                        n += 1
                         held.append(read(path, offset, raw))
                         size += len(held[-1]["payload"] or b"") + 500
                         if size > CHUNK * 32:
                             yield pa.RecordBatch.from_pylist(held, schema=to)
                             held, size = [], 0
+                if records not in (None, n):
+                    held.append(read(path, 0, Malformed(f"{n} records in place of {records}")))
                 yield pa.RecordBatch.from_pylist(held, schema=to)
 
-    return bounded_batches(archives.select("path")).mapInArrow(run, schema)
+    return bounded_batches(keep_columns(archives, ["path", "records"])).mapInArrow(run, schema)
 
 
 def op3_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes a record per page, reads the archives back and returns what they say of each page."""
+    """Writes a record per page, reads the archives back and returns what they say of each page.
+
+    A record that can't be read, or is missing, fails the query: no page is left out silently.
+    """
     archives = write_archives(with_revisits(read_table(spark, sf_dir, "pages")), new_folder(spark, "warc"))
     records = read_archives(archives, payloads=False)
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(-?[0-9]+)>$', 1) AS BIGINT)")
-    return records.where("error is null").select(
-        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"),
+    fault = F.raise_error(F.concat_ws(" ", "path", "offset", "error"))
+    return records.select(
+        F.when(F.col("error").isNull(), number("record_id")).otherwise(fault).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        number("refers_to").alias("refers_to"),
     )
 
 
