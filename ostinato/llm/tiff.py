@@ -315,21 +315,18 @@ def write(images: list[tuple[np.ndarray, int, int, tuple[int, int] | None, int]]
 
 #: A text's picture is this wide and has pages of so many rows.
 ROW, PAGE_ROWS = 192, 256
+#: The codecs of pages; a page's checksum chooses one, so that each has its share of pages of every size.
+CODECS = (PACKBITS, LZW, DEFLATE, DEFLATE, DEFLATE, DEFLATE, DEFLATE, DEFLATE)
 
 
-def store(payload: bytes) -> bytes:
-    """A payload, some multiple of ROW bytes, as a picture: PackBits while it is tiny, LZW while it is small, then deflate.
-
-    Pictures of more than one page are in tiles and differenced; the others are in strips.
-    """
+def store(payload: bytes, codecs: tuple[int, ...] = CODECS) -> bytes:
+    """A payload, some multiple of ROW bytes, as a picture. Whole pages are in differenced tiles, shorter ones in strips."""
     grey = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
-    if len(payload) <= 4 * ROW:
-        return write([(grey, PACKBITS, 1, None, len(grey))])
-    if len(payload) <= 8 * ROW:
-        return write([(grey, LZW, 1, None, len(grey))])
-    if len(grey) <= PAGE_ROWS:
-        return write([(grey, DEFLATE, 1, None, 64)])
-    return write([(grey[a : a + PAGE_ROWS], DEFLATE, 2, (64, 64), 0) for a in range(0, len(grey), PAGE_ROWS)])
+    images = []
+    for page in (grey[a : a + PAGE_ROWS] for a in range(0, len(grey), PAGE_ROWS)):
+        codec = codecs[zlib.crc32(page) % len(codecs)]
+        images.append((page, codec, 2, (64, 64), 0) if len(page) == PAGE_ROWS else (page, codec, 1, None, 64))
+    return write(images)
 
 
 def padded(text: str | None) -> tuple[bytes, int]:
@@ -352,13 +349,17 @@ def feature(data: bytes, n_pages: int) -> str:
     return f"pages={n_pages};mean={mean:.4f};deviation={deviation:.4f};entropy={entropy:.4f};hash={bits:016x}"
 
 
-def store_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): every text as a picture; a null text is an empty one. Rows and ids stay as they are."""
+def store_texts(docs: DataFrame, codecs: tuple[int, ...] = CODECS) -> DataFrame:
+    """(doc_id, n_bytes, media): every text as a picture; a null text is an empty one. Rows and ids stay as they are.
+
+    Equal texts give equal pictures, repeated rows repeated ones, an empty table an empty one; columns other than doc_id
+    and text aren't read. ``codecs`` are those that a page's checksum chooses from.
+    """
 
     def step():
         def call(batch: dict[str, list]) -> dict[str, list]:
             made = [padded(t) for t in batch["text"]]
-            return {"doc_id": batch["doc_id"], "n_bytes": [n for _, n in made], "media": [store(p) for p, _ in made]}
+            return {"doc_id": batch["doc_id"], "n_bytes": [n for _, n in made], "media": [store(p, codecs) for p, _ in made]}
 
         return call
 
@@ -390,7 +391,12 @@ def read_pages(media: DataFrame) -> DataFrame:
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """One row per picture of (doc_id, n_bytes, media): digests of what is stored and of what is read back from it."""
+    """One row per picture of (doc_id, n_bytes, media): digests of what is stored and of what is read back from it.
+
+    The payload is that of all pages in their order. A null picture, or one that can't be read, fails the job, as there is
+    nothing to describe; read_pages gives such rows an error instead. Repeated rows give repeated rows, an empty table an
+    empty one; other columns aren't read.
+    """
 
     def step():
         def call(batch: dict[str, list]) -> dict[str, list]:
@@ -408,7 +414,7 @@ def digests(media: DataFrame) -> DataFrame:
 
         return call
 
-    return map_rows(media, step, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_rows(media.select("doc_id", "n_bytes", "media"), step, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op4_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:

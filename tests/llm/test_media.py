@@ -107,6 +107,21 @@ def test_every_text_is_read_back(spark, data):
         assert (got["n_bytes"], got["payload_bytes"], got["payload_sha256"], got["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
         assert got["media_bytes"] > 0 and len(got["media_sha256"]) == 64
     assert list(made[-1])[1:] == list(made[-5])[1:] == list(made[-2])[1:]
+    clash = both.selectExpr("*", "'clash' AS media", "'clash' AS n_bytes", "0 AS page")
+    assert tiff.digests(tiff.store_texts(clash)).count() == len(made)
+    assert tiff.digests(tiff.store_texts(both.where("doc_id = 10000000"))).count() == 0
+
+
+def test_codecs_are_dealt_to_pages_of_every_size():
+    r = np.random.default_rng(4)
+    seen: dict[bool, set] = {True: set(), False: set()}
+    for n in [192] * 60 + [192 * 700] * 6:
+        payload = r.integers(97, 100, n).astype(np.uint8).tobytes()
+        made = list(tiff.pages(tiff.store(payload)))
+        assert b"".join(p.data for p in made) == payload
+        seen[n > 192].update(p.compression for p in made)
+    assert seen[True] == seen[False] == {"packbits", "lzw", "deflate"}
+    assert {p.compression for p in tiff.pages(tiff.store(payload, (tiff.LZW,)))} == {"lzw"}
 
 
 # --- WARC
@@ -147,7 +162,33 @@ def test_frames_with_and_without_dictionaries(kind):
     assert [type(r) for _, r in warc.frames(kind(archive(records)[:-3]))] == [bytes] * 8 + [warc.Malformed]
     offsets = [at for at, _ in warc.frames(kind(archive(records, raw)))]
     whole = archive(records, raw)
-    assert all(struct.unpack_from("<I", whole, at)[0] == warc.FRAME for at in offsets)
+    assert all(whole[at : at + 4] == warc.MARK for at in offsets)
+
+
+@pytest.mark.parametrize("kind", [io.BytesIO, Slow])
+def test_reading_goes_on_after_a_frame_that_is_broken(kind):
+    records = [record(i, b"payload %d " % i * 40) for i in range(5)]
+    data = bytearray(archive(records))
+    offsets = [at for at, _ in warc.frames(io.BytesIO(bytes(data)))]
+    data[offsets[2] + 5 : offsets[3] - 1] = b"\xff" * (offsets[3] - 1 - offsets[2] - 5)
+    made = list(warc.frames(kind(bytes(data))))
+    assert [at for at, _ in made] == offsets
+    assert [r if isinstance(r, bytes) else None for _, r in made] == [*records[:2], None, *records[3:]]
+    assert [type(r) for _, r in warc.frames(kind(archive(records)), most_bytes=10)] == [warc.Malformed] * 5
+
+
+def test_a_missing_record_is_told(spark, tmp_path):
+    (tmp_path / "a.warc.zst").write_bytes(archive([record(1), record(2)]))
+    paths = spark.createDataFrame([(f"file://{tmp_path}/a.warc.zst", 3)], "path string, records long")
+    assert [r["error"] for r in warc.read_archives(paths).collect()] == [None, None, "2 records in place of 3"]
+
+
+def test_no_page_is_left_out_silently(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(1, "u", "x")], PAGES)
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    monkeypatch.setattr(warc, "page_record", lambda row, date: b"no record")
+    with pytest.raises(Exception, match="no WARC version"):
+        warc.op3_warc_archives(spark, str(tmp_path)).collect()
 
 
 @pytest.mark.parametrize("bad", [b"", b"WARC/2.0\r\n\r\n", record(1).replace(b"Content-Length: 4", b"Content-Length: 5"), record(1).replace(b"Content-Length: 4", b"Content-Length: x"), record(1).replace(b"WARC-Type", b"WARC-Tipe"), record(1)[:-2], record(1).replace(b"WARC-Type: ", b"WARC-Type ")])
