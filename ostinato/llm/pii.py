@@ -18,7 +18,8 @@ from ostinato.llm.rows import map_rows
 from ostinato.llm.storage import read_table
 
 ROUNDS = 8
-#: For tests and examples; give operators a key of your own.
+#: The session setting that holds the key. The example key stands in for it in tests and trials only.
+KEY_SETTING = "spark.ostinato.pseudonymKey"
 EXAMPLE_KEY = b"an example key, not a secret"
 
 
@@ -150,26 +151,33 @@ def address(text: str, key: bytes) -> str | None:
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1), (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days
 
 
+def other_day(day: datetime.date, key: bytes) -> datetime.date:
+    """A keyed permutation of the days of 1900 to 2099, of those up to the twelfth of a month and of the later ones apart.
+
+    So a day has one pseudonym in all formats: in d/m/y only a number above 12 tells that the day comes first.
+    """
+    late, made = day.day > 12, (day - FIRST_DAY).days
+    while True:
+        made = feistel(made, DAYS, key, "date")
+        found = FIRST_DAY + datetime.timedelta(made)
+        if (found.day > 12) == late:
+            return found
+
+
 def date(text: str, key: bytes) -> str | None:
     """A day of 1900 to 2099 as y-m-d, d.m.y or m/d/y (d/m/y where the first number is above 12), two digits each."""
     a, b, c = (int(x) for x in re.split(r"[-/.]", text))
     order = "ymd" if len(re.split(r"[-/.]", text)[0]) == 4 else "dmy" if "." in text or a > 12 else "mdy"
     parts = dict(zip(order, (a, b, c), strict=True))
     try:
-        day = (datetime.date(parts["y"], parts["m"], parts["d"]) - FIRST_DAY).days
+        day = datetime.date(parts["y"], parts["m"], parts["d"])
     except ValueError:
         return None
-    if not 0 <= day < DAYS:
+    if not 0 <= (day - FIRST_DAY).days < DAYS:
         return None
-    made, separator = feistel(day, DAYS, key, "date"), re.search(r"[-/.]", text)[0]
-    day = FIRST_DAY + datetime.timedelta(made)
-    if order == "dmy" and separator == "/" and day.day <= 12:
-        # In this format only days above 12 tell that the day comes first: walk on within the format.
-        while day.day <= 12:
-            made = feistel(made, DAYS, key, "date")
-            day = FIRST_DAY + datetime.timedelta(made)
+    day = other_day(day, key)
     written = {"y": f"{day.year:04d}", "m": f"{day.month:02d}", "d": f"{day.day:02d}"}
-    return separator.join(written[x] for x in order)
+    return re.search(r"[-/.]", text)[0].join(written[x] for x in order)
 
 
 def email(text: str, key: bytes) -> str | None:
@@ -193,12 +201,12 @@ def email(text: str, key: bytes) -> str | None:
 
 #: (kind, pattern, pseudonym or None where validation fails); an earlier kind wins where matches overlap.
 FORMATS = [
-    ("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", re.ASCII), email),
+    ("email", re.compile(r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", re.ASCII), email),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", re.ASCII), iban),
     ("card", re.compile(r"(?<![\d+])(?<!\d[.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?!-?\d)", re.ASCII), card),
     ("ssn", re.compile(r"(?<![\d-])\d{3}([- ])\d{2}\1\d{4}(?!-?\d)", re.ASCII), ssn),
     ("phone", re.compile(r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!-?\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{1,5}\)?){1,5}(?!\d)", re.ASCII), phone),
-    ("address", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", re.ASCII), address),
+    ("address", re.compile(r"(?<![\d.])(?<![A-Za-z]\.)(?<!\bv)(?<!\bversion )(?<!\brelease )\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", re.ASCII | re.IGNORECASE), address),
     ("date", re.compile(r"(?<![\d./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![./-]?\d)", re.ASCII), date),
 ]
 DIGIT = re.compile(r"\d", re.ASCII)
@@ -211,7 +219,7 @@ def pseudonymiser(key: bytes):
     def replace(text: str | None) -> tuple[str | None, list[tuple[int, int, str]]]:
         if not text or not (DIGIT.search(text) or "@" in text):
             return text, []
-        found = []
+        found, taken = [], bytearray(len(text))
         for k, (kind, pattern, _) in enumerate(FORMATS):
             if kind == "email" and "@" not in text:
                 continue
@@ -219,8 +227,9 @@ def pseudonymiser(key: bytes):
             while m := pattern.search(text, at):
                 start, at = m.start(), m.end()
                 for end in iban_ends(text, start, at) if kind == "iban" else [at]:
-                    if all(end <= a or b <= start for a, b, *_ in found) and (made := cached(k, text[start:end])) is not None:
+                    if taken.find(1, start, end) < 0 and (made := cached(k, text[start:end])) is not None:
                         found.append((start, end, kind, made))
+                        taken[start:end] = b"\1" * (end - start)
                         at = end
                         break
                 else:
@@ -236,7 +245,7 @@ def pseudonymiser(key: bytes):
     return replace
 
 
-def pseudonymise(docs: DataFrame, key: bytes = EXAMPLE_KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, the text with pseudonyms, n_found, and spans (kind:start:end in code points of the text as it was).
 
     A null text stays null and has no spans; an empty one stays empty. Equal texts give equal rows, repeated rows are
@@ -255,6 +264,12 @@ def pseudonymise(docs: DataFrame, key: bytes = EXAMPLE_KEY) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), step, "doc_id long, text string, n_found long, spans string")
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session names, else the example key."""
+    named = spark.conf.get(KEY_SETTING, None)
+    return named.encode() if named else EXAMPLE_KEY
+
+
 def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its personal data replaced."""
-    return pseudonymise(read_table(spark, sf_dir, "documents"))
+    """Every document with its personal data replaced, by the session's key."""
+    return pseudonymise(read_table(spark, sf_dir, "documents"), session_key(spark))
