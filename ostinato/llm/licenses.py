@@ -7,7 +7,8 @@ document with fewer words, or fewer of the template's words, than needed has no
 the first shared word stands late in both orders, too few words are left (positional filter). Only around the first
 words are blocks then counted, and all of these are: the filters lose nothing.
 
-The templates are the small side, a few hundred words that every task has; documents are never moved.
+The templates are the small side, license texts and notices of some thousand words together that every task has;
+documents are never moved. Matching several of one family's texts is told apart block by block.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from itertools import groupby
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ostinato.llm.license_texts import TEMPLATES
 from ostinato.llm.rows import map_rows
 from ostinato.llm.storage import read_table
 
@@ -26,26 +28,6 @@ THRESHOLD, STRETCH = 0.8, 1.25
 #: Phrases whose every place counts, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: (label, text) of the license notices that are searched for; texts are those that the licenses tell authors to use.
-TEMPLATES = [
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("apache", "Licensed under the Apache License, Version 2.0"),
-    ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("gpl", "licensed under the GNU General Public License, version 3"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
-    ("agpl", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
-    ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
-    ("cc0", "dedicated to the public domain under the Creative Commons Zero CC0 1.0 Universal Public Domain Dedication"),
-]
-
 
 def _word_table() -> bytes:
     """A to Z to lower case; digits, a to z and all bytes from 128 stay; the rest separates."""
@@ -141,14 +123,6 @@ class Matcher:
                 found += kept
         return sorted(found, key=lambda x: (x[0], x[2]))
 
-    def best_blocks(self, words: list[bytes]) -> list[tuple[int, float, int, int]]:
-        """The best of each template's blocks."""
-        best: dict[int, tuple[int, float, int, int]] = {}
-        for block in self.blocks(words):
-            if block[0] not in best or block[1] > best[block[0]][1]:
-                best[block[0]] = block
-        return list(best.values())
-
 
 def phrase_places(words: list[bytes], phrases: dict[str, str]) -> list[tuple[int, str]]:
     """(first word, label) of every place where a phrase's words stand one after another."""
