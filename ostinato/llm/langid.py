@@ -18,8 +18,6 @@ from ostinato.llm.storage import DOCUMENT_COLUMNS, read_table
 
 UNDETERMINED = "und"
 PROFILE_SIZE = 300
-#: Parts of a language's n-grams that are ranked apart before the best of all parts are ranked together.
-PARTS = 16
 SPACE = 32
 
 
@@ -61,7 +59,8 @@ def learn(docs: DataFrame, size: int = PROFILE_SIZE) -> dict[str, list[int]]:
     """A profile of each value of ``lang``, from all rows with a text and a lang; counts are over whole texts.
 
     Each task sums its batches, Spark sums over tasks. To rank the n-grams of one language without a task that has all
-    of them, parts are ranked first. What reaches the driver is ``size`` integers for each language.
+    of them, parts are ranked first, as many as the session has shuffle partitions. What reaches the driver is ``size``
+    integers for each language.
     """
 
     def step():
@@ -82,8 +81,8 @@ def learn(docs: DataFrame, size: int = PROFILE_SIZE) -> dict[str, list[int]]:
 
     rows = docs.where("text is not null and lang is not null").select("lang", "text")
     counts = map_rows(rows, step, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    order = [F.col("n").desc(), F.col("gram")]
-    part = Window.partitionBy("lang", F.pmod(F.xxhash64("gram"), F.lit(PARTS))).orderBy(*order)
+    order, parts = [F.col("n").desc(), F.col("gram")], int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("gram"), F.lit(parts))).orderBy(*order)
     best = counts.withColumn("place", F.row_number().over(part)).where(F.col("place") <= size).drop("place")
     ranked = best.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("place") <= size)
     profiles: dict[str, list[int]] = {}
