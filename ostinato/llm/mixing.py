@@ -91,7 +91,7 @@ def copies(sized: DataFrame, *, cap: float = 3.0, seed: int = 17, weight: Column
     starts = cell_start.join(class_start, same(cell_start, class_start, ["source", "class"])).select(cell_start["source"], cell_start["class"], "cell", (F.col("cell_start") + F.col("class_start")).alias("start"))
     starts = starts.join(targets, starts["source"].eqNullSafe(targets["source"])).select(starts["source"].alias("s"), starts["class"].alias("c"), starts["cell"].alias("k"), "start", "source_size", "target", "offset")
 
-    within = Window.partitionBy("source", "class", "cell").orderBy("hash", "doc_id", "tie", "size")
+    within = Window.partitionBy("source", "class", "cell").orderBy("hash", "doc_id", "tie", "size", *[c for c in sized.columns if c == "row"])
     ranked = placed.withColumn("place", F.row_number().over(within) - 1)
     joined = ranked.join(starts, ranked["source"].eqNullSafe(starts["s"]) & (ranked["class"] == starts["c"]) & (ranked["cell"] == starts["k"]))
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -102,18 +102,20 @@ def copies(sized: DataFrame, *, cap: float = 3.0, seed: int = 17, weight: Column
     return joined.withColumn("expected", expected).withColumn("copies", crossed).drop("s", "c", "k", "class", "cell", "hash", "place", "start", "offset", "expected")
 
 
-def with_sizes(docs: DataFrame) -> DataFrame:
+def with_sizes(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, source, size and tie (a fingerprint of the text) of each document; null texts have size 0."""
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.coalesce(F.md5("text"), F.lit("")).alias("tie"))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.coalesce(F.md5("text"), F.lit("")).alias("tie"), *more)
 
 
 def mix(docs: DataFrame, *, cap: float = 3.0, seed: int = 17, weight: Column | None = None) -> DataFrame:
     """The mixed corpus: every document of ``docs`` as often as it is taken, with the columns of documents."""
-    plan = copies(cut(with_sizes(docs)), cap=cap, seed=seed, weight=weight).where("copies > 0")
-    # Rows with equal id, source and text are interchangeable, so their copies are summed and the rows joined once.
-    wanted = plan.groupBy("doc_id", "source", "tie").agg(F.sum("copies").cast("int").alias("copies")).select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("tie").alias("t"), "copies")
-    marked = docs.select(*DOCUMENT_COLUMNS).dropDuplicates(["doc_id", "source", "text"]).withColumn("tie", F.coalesce(F.md5("text"), F.lit("")))
-    kept = marked.join(wanted, marked["doc_id"].eqNullSafe(wanted["d"]) & marked["source"].eqNullSafe(wanted["s"]) & (marked["tie"] == wanted["t"]))
+    rows = docs.select(*DOCUMENT_COLUMNS).withColumn("row", F.xxhash64(*DOCUMENT_COLUMNS))
+    plan = copies(cut(with_sizes(rows, "row")), cap=cap, seed=seed, weight=weight)
+    # Rows that are equal in all columns are interchangeable: their copies are summed, and they are joined once.
+    wanted = plan.groupBy("doc_id", "row").agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("n")).where("copies > 0")
+    wanted = cut(wanted.select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "copies", "n"))
+    kept = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["d"]) & (rows["row"] == wanted["r"]))
+    kept = kept.where("n = 1").unionByName(kept.where("n > 1").dropDuplicates(["doc_id", "row"]))
     return kept.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*DOCUMENT_COLUMNS)
 
 
