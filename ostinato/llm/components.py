@@ -12,20 +12,14 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-#: The rows of one key are dealt to so many tasks at most.
-SALTS = 1024
-
-
 def with_least(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
     """``rows`` with the least ``value`` among those of the same ``key``, of which any number may exist.
 
-    They are dealt by the key and a salt of the value; only one row for each salt that occurs is gathered by the key.
+    The least values are aggregated before they are dealt, and written: so both sides of the join are dealt anew, and
+    the rows of a key that has very many of them are split among tasks.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
-    parts = salted.groupBy(key, "_salt").agg(F.min(value).alias(name))
-    whole = parts.groupBy(key).agg(F.min(name).alias(name), F.collect_list("_salt").alias("_salts"))
-    back = whole.select(F.col(key).alias("_key"), name, F.explode("_salts").alias("_part"))
-    return salted.join(back, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_part"))).drop("_key", "_part", "_salt")
+    least = cut(rows.groupBy(F.col(key).alias("_key")).agg(F.min(value).alias(name)))
+    return rows.join(least, F.col(key) == F.col("_key")).drop("_key")
 
 
 def connected_components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
@@ -33,8 +27,8 @@ def connected_components(edges: DataFrame, *, most_rounds: int = 60) -> DataFram
 
     Alternates two steps until nothing changes: every node links its larger neighbours to the smallest of its
     neighbours and itself, then every node links all its smaller neighbours to the smallest of them. The number of
-    rounds grows with the logarithm of the longest chain. The links of a node are dealt to many tasks by with_least, so a
-    node with very many links is no larger a task. Self links and repeated links do no harm.
+    rounds grows with the logarithm of the longest chain. By with_least a node with very many links is split among
+    tasks. Self links and repeated links do no harm.
     """
     up = lambda df: df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     edges = cut(up(edges.select("u", "v")))
