@@ -37,10 +37,14 @@ SCALES = {
 }
 
 # Names of the 53 pitch classes.
-NOTE_NAMES = """
-C ^C ^^C vvC# vC# C# ^C# ^^C# vD D ^D ^^D vvD# vD# D# ^^Eb vvE vE E ^E ^^E vF F ^F ^^F vvF# vF# F# ^F# ^^F# vG
-G ^G ^^G vvG# vG# G# ^G# vvA vA A ^A ^^A vBb Bb ^Bb ^^Bb vvB vB B ^B ^^B vC
-""".split()
+NOTE_NAMES = [
+    "C", "^C", "^^C", "vvC#", "vC#", "C#", "^C#", "^^C#", "vD", "D",
+    "^D", "^^D", "vvD#", "vD#", "D#", "^^Eb", "vvE", "vE", "E", "^E",
+    "^^E", "vF", "F", "^F", "^^F", "vvF#", "vF#", "F#", "^F#", "^^F#",
+    "vG", "G", "^G", "^^G", "vvG#", "vG#", "G#", "^G#", "vvA", "vA",
+    "A", "^A", "^^A", "vBb", "Bb", "^Bb", "^^Bb", "vvB", "vB", "B",
+    "^B", "^^B", "vC",
+]
 
 # What a step above the root is called.
 SEMANTIC_STEPS = {
@@ -54,16 +58,16 @@ SEMANTIC_STEPS = {
 # Names of seventh chords on a perfect fifth, a row for each third, a column for each seventh of NAMED_SEVENTHS.
 NAMED_SEVENTHS = ["supermajor", "upmajor", "major", "downmajor", "neutral-major", "neutral", "neutral-minor", "minor", "downminor", "subminor"]
 SEVENTH_CHORDS = {
-    "supermajor": "S^S^7 S^^7 S^M7 S^^7 S^NM7 S^N7 S^Nm7 S^m7 S^vm7 S^sm7",
-    "upmajor": "^S^7 ^^7 ^M7 ^v7 ^NM7 ^N7 ^Nm7 ^m7 ^vm7 ^sm7",
-    "major": "S^7 ^M7 maj7 vM7 NM7 N7 Nm7 7 vm7 sm7",
-    "downmajor": "vMS^7 vM^M7 vMM7 vMvM7 vMNM7 vMN7 vMNm7 vMm7 vMvm7 vMsm7",
-    "neutral-major": "NMS^7 NM^7 NMM7 NMvM7 NMNM7 NMN7 NMNm7 NMm7 NMvm7 NMsm7",
-    "neutral": "NS^7 N^7 NM7 NvM7 NNM7 NN7 NNm7 Nm7 Nvm7 Nsm7",
-    "neutral-minor": "NmS^7 Nm^7 NmM7 NmvM7 NmNM7 NmN7 NmNm7 Nmm7 Nmvm7 Nmsm7",
-    "minor": "mS^7 m^7 mM7 mvM7 mNM7 mN7 mNm7 m7 mvm7 msm7",
-    "downminor": "vmS^7 vm^7 vmM7 vmvM7 vmNM7 vmN7 vmNm7 vmm7 vmvm7 vmsm7",
-}
+    "supermajor": ["S^S^7", "S^^7", "S^M7", "S^^7", "S^NM7", "S^N7", "S^Nm7", "S^m7", "S^vm7", "S^sm7"],
+    "upmajor": ["^S^7", "^^7", "^M7", "^v7", "^NM7", "^N7", "^Nm7", "^m7", "^vm7", "^sm7"],
+    "major": ["S^7", "^M7", "maj7", "vM7", "NM7", "N7", "Nm7", "7", "vm7", "sm7"],
+    "downmajor": ["vMS^7", "vM^M7", "vMM7", "vMvM7", "vMNM7", "vMN7", "vMNm7", "vMm7", "vMvm7", "vMsm7"],
+    "neutral-major": ["NMS^7", "NM^7", "NMM7", "NMvM7", "NMNM7", "NMN7", "NMNm7", "NMm7", "NMvm7", "NMsm7"],
+    "neutral": ["NS^7", "N^7", "NM7", "NvM7", "NNM7", "NN7", "NNm7", "Nm7", "Nvm7", "Nsm7"],
+    "neutral-minor": ["NmS^7", "Nm^7", "NmM7", "NmvM7", "NmNM7", "NmN7", "NmNm7", "Nmm7", "Nmvm7", "Nmsm7"],
+    "minor": ["mS^7", "m^7", "mM7", "mvM7", "mNM7", "mN7", "mNm7", "m7", "mvm7", "msm7"],
+    "downminor": ["vmS^7", "vm^7", "vmM7", "vmvM7", "vmNM7", "vmN7", "vmNm7", "vmm7", "vmvm7", "vmsm7"],
+}
 # Further names, by third, fifth, seventh.
 OTHER_CHORDS = [
     ("subminor", "perfect", "supermajor", "smS^7"), ("subminor", "perfect", "subminor", "smsm7"), ("subminor", "perfect", "minor", "smm7"),
@@ -88,19 +92,35 @@ SEVENTH_SUFFIXES = {
     "neutral-minor": "Nm7", "minor": "7", "downminor": "vm7", "subminor": "sm7", "diminished-seventh": "dim7", "major-sixth": "6",
 }
 
+# Signs of thirds, fifths and sevenths.
+THIRD_SIGNS = {11: "sm", 12: "vm", 13: "m", 14: "^m", 15: "n", 16: "N", 17: "vM", 18: "M", 19: "^M", 20: "SM", 22: "sus4"}
+FIFTH_SIGNS = {26: "ø", 31: "P", 35: "+"}
+SEVENTH_SIGNS = {42: "sm7", 43: "vm7", 44: "m7", 45: "^m7", 46: "n7", 47: "N7", 48: "vM7", 49: "M7", 50: "^M7", 51: "SM7"}
+
 # Whole style names, then words; of words that occur, the last in this list decides.
 STYLE_NAMES = {
     "Moderately": "Pop", "Even 8th's": "Even 8ths", "Even 8's": "Even 8ths", "Even 8ths": "Even 8ths", "R'n'B": "RnB", "RnB": "RnB",
     "Beatles": "Rock", "Afoxe": "Afoxé", "Afoxé": "Afoxé", "Worship": "Gospel", "Traditional Gospel": "Gospel", "Hymn": "Gospel", "Deliberately": "Pop",
 }
+#: In the list of words it stands for a whole name in one of these spellings, without spaces and in lower case.
+RNB, RNB_SPELLINGS = "R&B in any spelling", ["rnb", "rhythmnblues", "rhythmblues"]
 STYLE_WORDS = [
     ("Swing", "Jazz"), ("Blues", "Blues"), ("Folk", "Folk"), ("Fusion", "Jazz"), ("Jazz", "Jazz"), ("Bossa", "Bossa"), ("Reggae", "Reggae"),
-    ("Samba", "Samba"), ("Funk", "Funk"), ("Pop", "Pop"), ("Son", "Son"), ("Rock", "Rock"), ("Soul", "Soul"), ("\0rnb", "RnB"),
+    ("Samba", "Samba"), ("Funk", "Funk"), ("Pop", "Pop"), ("Son", "Son"), ("Rock", "Rock"), ("Soul", "Soul"), (RNB, "RnB"),
     ("Balad", "Balad"), ("Ballad", "Balad"), ("Latin", "Son"), ("Salsa", "Son"), ("Bachata", "Son"), ("Bolero", "Son"), ("Mambo", "Son"),
     ("Merengue", "Son"), ("Montuno", "Son"), ("Calypso", "Son"), ("Tango", "Son"), ("Cha Cha", "Son"), ("Chacarera", "Son"),
     ("Baião", "Samba"), ("Afro", "Samba"), ("Choro", "Samba"), ("Marchinha", "Samba"), ("Frevo", "Samba"), ("Maxixe", "Samba"), ("Forró", "Samba"),
     ("Shuffle", "Blues"), ("Waltz", "Jazz"), ("Disco", "Pop"),
 ]
+# Words and whole names of the older style rules; early names give way to words.
+FORMAT_STYLE_WORDS = [
+    ("Swing", "Jazz"), ("Blues", "Blues"), ("Folk", "Folk"), ("Fusion", "Jazz"), ("Jazz", "Jazz"), ("Bossa", "Bossa"), ("Reggae", "Reggae"), ("Folk", "Folk"),
+    ("Samba", "Samba"), ("Funk", "Funk"), ("Pop", "Pop"), ("Son", "Son"), ("Rock", "Rock"), ("Soul", "Soul"), ("Balad", "Balad"),
+]
+FORMAT_STYLE_NAMES = [
+    (["R'n'B"], "RnB"), (["Beatles"], "Rock"), (["Afoxe"], "Afoxé"), (["Worship"], "Gospel"), (["Traditional Gospel"], "Gospel"), (["Deliberately"], "Pop"),
+]
+FORMAT_EARLY_NAMES = [(["Moderately"], "Pop"), (["Even 8th's", "Even 8's"], "Even 8ths")]
 # Labels of form markers, their aliases, and the raw markers of text sidecars.
 FORMS = ["INTRO", "A", "B", "C", "D", "VERSE", "HEAD", "CODA", "SEGNO"]
 FORM_ALIASES = {"IN": "INTRO", "INTR": "INTRO", "OUTRO": "CODA"}
@@ -142,7 +162,7 @@ def chromatic_scale(kind: str, tonic: int = 0) -> tuple[int, ...]:
 @cache
 def chord_names() -> dict[tuple[str, str, str | None], str]:
     """Names by third, fifth and seventh, without hyphens in the seventh."""
-    table = {(third, "perfect", seventh.replace("-", "")): name for third, names in SEVENTH_CHORDS.items() for seventh, name in zip(NAMED_SEVENTHS, names.split(), strict=True)}
+    table = {(third, "perfect", seventh.replace("-", "")): name for third, names in SEVENTH_CHORDS.items() for seventh, name in zip(NAMED_SEVENTHS, names, strict=True)}
     return table | {(t, f, s): n for t, f, s, n in OTHER_CHORDS}
 
 

@@ -109,16 +109,42 @@ def in_zone(found: Column, zone: tuple[int, int]) -> Column:
     return F.array_min(F.filter(found, lambda x: x.between(*zone)))
 
 
-def chord_ratios(found: Column) -> Column:
-    """alpha, beta and gamma of a chord's intervals: of its third, its fifth and its seventh.
+def in_grid(found: Column, zone: tuple[int, int], grid: list[int]) -> Column:
+    """The lowest interval in a zone, moved to the nearest of a grid (the smaller of two as near); null without one.
 
-    Without a third alpha is 1, without a fifth the perfect one is taken, without a seventh gamma equals beta.
+    The zone's few steps are a literal array, so the interval is looked up and computed once.
     """
-    third, fifth, seventh = (nearest(in_zone(found, zone), grid) for zone, grid in ((dims.THIRD_ZONE, dims.THIRDS), (dims.FIFTH_ZONE, dims.FIFTHS), (dims.SEVENTH_ZONE, dims.SEVENTHS)))
-    fifth = F.coalesce(fifth, F.lit(dims.DEFAULT_FIFTH))
-    alpha = F.coalesce(ratio_of_step(third), F.lit(1.0))
-    beta = ratio_of_step(fifth)
-    return F.struct(alpha.alias("alpha"), beta.alias("beta"), F.coalesce(ratio_of_step(seventh), beta).alias("gamma"))
+    moved = [min(grid, key=lambda g: (abs(g - x), g)) for x in range(zone[0], zone[1] + 1)]
+    return F.get(F.array(*[F.lit(g) for g in moved]), (in_zone(found, zone) - zone[0]).cast("int"))
+
+
+def chord_tones(found: Column) -> Column:
+    """third, fifth and seventh of a chord's intervals; a missing fifth is the perfect one, others are null."""
+    third, fifth, seventh = (in_grid(found, zone, grid) for zone, grid in ((dims.THIRD_ZONE, dims.THIRDS), (dims.FIFTH_ZONE, dims.FIFTHS), (dims.SEVENTH_ZONE, dims.SEVENTHS)))
+    return F.struct(third.alias("third"), F.coalesce(fifth, F.lit(dims.DEFAULT_FIFTH)).alias("fifth"), seventh.alias("seventh"))
+
+
+def tone_ratios(tones: Column) -> Column:
+    """alpha, beta and gamma of (third, fifth, seventh): without a third alpha is 1, without a seventh gamma equals beta."""
+    alpha = F.coalesce(ratio_of_step(tones["third"]), F.lit(1.0))
+    gamma = ratio_of_step(F.coalesce(tones["seventh"], tones["fifth"]))
+    return F.struct(alpha.alias("alpha"), ratio_of_step(tones["fifth"]).alias("beta"), gamma.alias("gamma"))
+
+
+def chord_ratios(found: Column) -> Column:
+    """alpha, beta and gamma of a chord's intervals: of its third, its fifth and its seventh. Each is found once."""
+    return F.get(F.transform(F.transform(F.array(found), chord_tones), tone_ratios), F.lit(0))
+
+
+def chord_label(tones: Column) -> Column:
+    """The signs of (third, fifth, seventh), joined by hyphens; a dash where one is missing."""
+    sign = lambda names, step: F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[step], F.lit("–"))
+    return F.concat_ws("-", sign(dims.THIRD_SIGNS, tones["third"]), sign(dims.FIFTH_SIGNS, tones["fifth"]), sign(dims.SEVENTH_SIGNS, tones["seventh"]))
+
+
+def extra_intervals(found: Column) -> Column:
+    """Intervals that are no chord's third, fifth or seventh: all but the lowest of each zone."""
+    return F.array_except(found, F.array(*[in_zone(found, z) for z in (dims.THIRD_ZONE, dims.FIFTH_ZONE, dims.SEVENTH_ZONE)]))
 
 
 def style_label(raw: Column) -> Column:
@@ -127,13 +153,35 @@ def style_label(raw: Column) -> Column:
     squeezed = F.lower(F.replace(F.replace(F.replace(name, F.lit("&"), F.lit("n")), F.lit(" and "), F.lit(" n ")), F.lit(" "), F.lit("")))
     found = F.lit(None).cast("string")
     for word, label in dims.STYLE_WORDS:
-        hit = squeezed.isin("rnb", "rhythmnblues", "rhythmblues") if word == "\0rnb" else name.contains(word)
+        hit = squeezed.isin(*dims.RNB_SPELLINGS) if word == dims.RNB else name.contains(word)
         found = F.when(hit, F.lit(label)).otherwise(found)
     for whole, label in dims.STYLE_NAMES.items():
         found = F.when(name == whole, F.lit(label)).otherwise(found)
     return F.when(F.length(name) > 0, found)
 
 
+def format_style(raw: Column) -> Column:
+    """The style of a raw name by the older rules: of words that occur the last listed, then whole names; else itself."""
+    found = raw
+    for word, label in dims.FORMAT_STYLE_WORDS:
+        found = F.when(raw.contains(word), F.lit(label)).otherwise(found)
+    for names, label in dims.FORMAT_STYLE_NAMES:
+        late = F.when(raw.isin(*names), F.lit(label))
+        found = F.coalesce(late, found)
+    for names, label in dims.FORMAT_EARLY_NAMES:
+        hit = F.greatest(*[raw.contains(word) for word, _ in dims.FORMAT_STYLE_WORDS])
+        found = F.when(raw.isin(*names) & ~hit, F.lit(label)).otherwise(found)
+    return found
+
+
+def clip_parts(file: Column) -> Column:
+    """(source, style, type) of a clip's file name: of model_A, model_B and dataset the first that occurs; the rest by its end."""
+    stem = F.regexp_replace(file, r"(?i)\.(wav|mp3)$", "")
+    part = lambda k: F.nullif(F.regexp_extract(stem, r"(?i)__([a-z0-9]+)__type_([A-Za-z0-9_]+)$", k), F.lit(""))
+    source = F.when(stem.contains("model_A"), "model_A").when(stem.contains("model_B"), "model_B").when(stem.contains("dataset"), "dataset")
+    return F.struct(source.alias("source"), part(1).alias("style"), F.concat(F.lit("type_"), part(2)).alias("type"))
+
+
 def form_label(raw: Column) -> Column:
     """The label of a form marker with or without its prefix, in any case; null if there is none."""
     label = F.upper(F.trim(F.regexp_replace(F.trim(raw), "(?i)^form_", "")))

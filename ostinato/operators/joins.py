@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sides that are broadcast by hint are dimensions of at most so many rows, which is checked.
-MOST_BROADCAST_ROWS = 100_000
+#: Sides that are broadcast by hint are dimensions whose size in bytes the planner bounds; references are at most so many rows.
+MOST_BROADCAST_BYTES, MOST_REFERENCES = 32 << 20, 100_000
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if it is no larger than a dimension may be, else as it is, for the planner to decide."""
-    return F.broadcast(df) if df.limit(MOST_BROADCAST_ROWS + 1).count() <= MOST_BROADCAST_ROWS else df
+    """``df`` with a broadcast hint if the planner's bound on its bytes allows it, else as it is, for the planner to decide.
+
+    The bound comes from the files' sizes and the plan, so no job is run; it is never below what is read.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(df) if int(str(size)) <= MOST_BROADCAST_BYTES else df
 
 
 def positional(left: DataFrame, right: DataFrame, key: list[str], position: str) -> tuple[DataFrame, DataFrame]:
@@ -69,8 +73,8 @@ def nearest_reference(df: DataFrame, references: DataFrame, axes: list[str], id_
 
     References are a small table. They become one array, so a row meets them in an expression and no pair is emitted.
     """
-    rows = references.limit(MOST_BROADCAST_ROWS + 1).count()
-    if rows > MOST_BROADCAST_ROWS:
+    rows = references.limit(MOST_REFERENCES + 1).count()
+    if rows > MOST_REFERENCES:
         raise ValueError("references are meant to be a small table")
     if not rows:
         return df.withColumn("nearest", F.lit(None).cast("string")).withColumn("distance", F.lit(None).cast("double"))
@@ -81,9 +85,25 @@ def nearest_reference(df: DataFrame, references: DataFrame, axes: list[str], id_
 
 
 def resolve_fragments(fragments: DataFrame, names: DataFrame, fragment: str, name: str) -> DataFrame:
-    """For each fragment the shortest name that contains it, then the first by spelling. Fragments are a small table."""
-    hits = names.join(small(fragments), F.col(name).contains(F.col(fragment)))
-    return hits.groupBy(fragment).agg(F.min(F.struct(F.length(name).alias("n"), F.col(name).alias("name"))).alias("_m")).select(fragment, F.col("_m.name").alias(name))
+    """For each fragment that is not empty the shortest name that contains it, then the first by spelling.
+
+    A fragment's first three characters, or fewer, are looked up among the pieces of names of that length, so both sides
+    may be large; what is found is compared as a whole.
+    """
+    heads = fragments.where(F.length(fragment) > 0).select(fragment, F.substring(fragment, 1, 3).alias("_piece")).distinct()
+    lengths = [r[0] for r in heads.select(F.length("_piece")).distinct().collect()]  # of 1, 2 and 3
+    if not lengths:
+        return fragments.where("false").select(fragment, F.lit("").alias(name))
+    own = F.col("_name")
+
+    def of_length(k: int) -> Column:
+        pieces = F.transform(F.sequence(F.lit(1), F.length(own) - (k - 1)), lambda i: F.substr(own, i, F.lit(k)))
+        return F.when(F.length(own) >= k, pieces).otherwise(F.array().cast("array<string>"))
+
+    pieces = F.array_distinct(F.flatten(F.array(*[of_length(k) for k in lengths])))
+    spread = names.select(F.col(name).alias("_name")).distinct().select("_name", F.explode(pieces).alias("_of"))
+    hits = heads.join(spread, F.col("_piece") == F.col("_of")).where(own.contains(F.col(fragment)))
+    return hits.groupBy(fragment).agg(F.min(F.struct(F.length("_name").alias("n"), "_name")).alias("_m")).select(fragment, F.col("_m._name").alias(name))
 
 
 def compare_in_order(left: DataFrame, right: DataFrame, key: list[str], position: str, value: str) -> DataFrame:
@@ -104,3 +124,43 @@ def still_to_do(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 def first_of_each(df: DataFrame, by: list[str], order: list) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+# --- vocabularies
+
+
+def encoded(df: DataFrame, vocabulary: DataFrame, token: str = "tok", pad: int = 0) -> DataFrame:
+    """Adds ``id`` from (tok, id); tokens that aren't in the vocabulary are padding."""
+    own = vocabulary.select(F.col("tok").alias("_tok"), F.col("id").alias("_id"))
+    return df.join(small(own), F.col(token) == F.col("_tok"), "left").withColumn("id", F.coalesce("_id", F.lit(pad)).cast("int")).drop("_tok", "_id")
+
+
+def encoded_strictly(df: DataFrame, vocabulary: DataFrame, token: str = "tok") -> DataFrame:
+    """As encoded; a token that isn't in the vocabulary fails the job."""
+    own = vocabulary.select(F.col("tok").alias("_tok"), F.col("id").alias("_id"))
+    fault = F.raise_error(F.concat(F.lit("not in the vocabulary: "), F.coalesce(token, F.lit("null"))))
+    return df.join(small(own), F.col(token) == F.col("_tok"), "left").withColumn("id", F.when(F.col("_id").isNotNull(), F.col("_id")).otherwise(fault).cast("int")).drop("_tok", "_id")
+
+
+def decoded(df: DataFrame, vocabulary: DataFrame, id_column: str = "id", unknown: str = "<pad>") -> DataFrame:
+    """Adds ``tok`` from (tok, id); ids that aren't in the vocabulary have a token of their own."""
+    own = vocabulary.select(F.col("tok").alias("_tok"), F.col("id").alias("_id"))
+    return df.join(small(own), F.col(id_column) == F.col("_id"), "left").withColumn("tok", F.coalesce("_tok", F.lit(unknown))).drop("_tok", "_id")
+
+
+def known_tokens(df: DataFrame, vocabulary: DataFrame, token: str = "tok") -> tuple[DataFrame, DataFrame]:
+    """Rows whose token is in the vocabulary, and the tokens that aren't with how often they occur."""
+    own = small(vocabulary.select(F.col("tok").alias("_tok")))
+    same = F.col(token) == F.col("_tok")
+    return df.join(own, same, "left_semi"), df.join(own, same, "left_anti").groupBy(token).agg(F.count("*").alias("n"))
+
+
+def ordered_vocabulary(groups: list[DataFrame]) -> DataFrame:
+    """(tok, id) of tables (nth, tok): one group after another, in the order of ``nth``; a token counts where it is first."""
+    rows = None
+    for g, group in enumerate(groups):
+        own = group.select(F.lit(g).alias("g"), F.col("nth").cast("long").alias("nth"), "tok")
+        rows = own if rows is None else rows.unionByName(own)
+    first = rows.groupBy("tok").agg(F.min(F.struct("g", "nth", "tok")).alias("at"))
+    # A vocabulary is a few thousand tokens: one window numbers it.
+    return first.select("tok", (F.row_number().over(Window.orderBy("at")) - 1).cast("int").alias("id"))

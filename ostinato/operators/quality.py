@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ostinato.functions import dims, music
+from ostinato.functions import dissonance, music
 
 
 def frequencies(df: DataFrame, token: str, top: int | None = None) -> DataFrame:
@@ -109,16 +109,50 @@ def coverage(used: DataFrame, vocabulary: DataFrame, token: str) -> DataFrame:
 
 
 def roughness(df: DataFrame, key: list[str], frequency: str, amplitude: str) -> DataFrame:
-    """(key, roughness): sensory dissonance summed over all pairs of a sound's partials; 0 with fewer than two.
-
-    Partials of one sound are an array of a few dozen; the sum over its pairs is an expression, no pair is a row.
-    """
-    c = dims.ROUGHNESS
+    """(key, roughness): sensory dissonance summed over all pairs of a sound's partials; 0 with fewer than two."""
     sounds = df.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(frequency).cast("double").alias("f"), F.col(amplitude).cast("double").alias("a")))).alias("_p"))
+    return sounds.select(*key, dissonance.roughness_of(F.col("_p")).alias("roughness"))
+
+
+def vocabulary_report(df: DataFrame, token: str) -> DataFrame:
+    """(kind, tokens, n): how many different tokens of each kind there are, and how often they occur."""
+    tok = F.col(token)
+    kind = F.when(tok.isin("<start>", "<end>", "<pad>", "<unk>"), "special").when(tok.isin("CHORD_START", "CHORD_END", "BAR", "REST"), "structure")
+    for prefix, name in (("DUR_", "duration"), ("TYPE_", "type"), ("PV_", "note"), ("H_", "note"), ("P_", "pitch"), ("V_", "velocity")):
+        kind = kind.when(tok.startswith(prefix), name)
+    return df.groupBy(kind.otherwise("other").alias("kind")).agg(F.countDistinct(token).alias("tokens"), F.count("*").alias("n"))
+
+
+def share_counts(df: DataFrame, value: str) -> DataFrame:
+    """(value, n, pct) of all values but null."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
+    return counted.withColumn("pct", F.round(F.col("n") * 100 / F.sum("n").over(Window.partitionBy()), 6))
+
+
+def chord_histograms(chords: DataFrame) -> DataFrame:
+    """(what, value, n, pct) of notes per chord, durations, qualities and roots of both_levels' chords."""
+    rows = chords.select(F.explode(F.array(*[F.struct(F.lit(what).alias("what"), value.cast("string").alias("value")) for what, value in (("notes", F.size("pitches")), ("duration", F.col("duration")), ("quality", F.col("quality")), ("root", F.col("root")))])).alias("h"))
+    counted = rows.select("h.*").where("value is not null").groupBy("what", "value").agg(F.count("*").alias("n"))
+    return counted.withColumn("pct", F.round(F.col("n") * 100 / F.sum("n").over(Window.partitionBy("what")), 6))
+
+
+def value_counts(df: DataFrame, value: str, top: int) -> DataFrame:
+    """(value, n, n_distinct): the most frequent values, and how many different ones there are at all."""
+    counted = df.groupBy(value).agg(F.count("*").alias("n"))
+    return counted.orderBy(F.col("n").desc(), value).limit(top).crossJoin(counted.agg(F.count("*").alias("n_distinct")))
+
+
+def axis_ranges(df: DataFrame, population: Column, axes: dict[str, tuple[float, float]], tolerance: float = 0.0) -> DataFrame:
+    """(population, n, outside_<axis>): rows of each population whose value leaves an axis' range by more than a tolerance."""
+    outside = [F.count_if((F.col(a) < low - tolerance) | (F.col(a) > high + tolerance)).alias(f"outside_{a}") for a, (low, high) in axes.items()]
+    return df.groupBy(population.alias("population")).agg(F.count("*").alias("n"), *outside)
 
-    def pair(low: Column, high: Column) -> Column:
-        x = F.lit(c["dstar"]) / (low["f"] * c["s1"] + c["s2"]) * (high["f"] - low["f"])
-        return F.least(low["a"], high["a"]) * (F.lit(c["c1"]) * F.exp(x * c["a1"]) + F.lit(c["c2"]) * F.exp(x * c["a2"]))
 
-    rows = F.transform("_p", lambda low, i: F.aggregate(F.slice("_p", i + 2, F.size("_p")), F.lit(0.0), lambda s, high: s + pair(low, high)))
-    return sounds.select(*key, F.aggregate(rows, F.lit(0.0), lambda s, x: s + x).alias("roughness"))
+def stem_counts(df: DataFrame, stem: str, top: int = 10) -> DataFrame:
+    """(what, value, n): the most frequent keys, types and last parts of file stems of at least four parts."""
+    parts = F.split(stem, "_")
+    rows = df.where(F.size(parts) >= 4)
+    kind = F.get(F.filter(parts, lambda p: p.contains("type")), F.lit(0))
+    pairs = F.array(*[F.struct(F.lit(w).alias("what"), v.alias("value")) for w, v in (("key", F.get(parts, F.lit(2))), ("type", kind), ("last", F.element_at(parts, -1)))])
+    counted = rows.select(F.explode(pairs).alias("p")).select("p.*").where("value is not null").groupBy("what", "value").agg(F.count("*").alias("n"))
+    return counted.withColumn("_r", F.row_number().over(Window.partitionBy("what").orderBy(F.col("n").desc(), "value"))).where(F.col("_r") <= top).drop("_r")

@@ -1,4 +1,4 @@
-"""Recurrences over one sequence, where each step depends on what the step before chose.
+"""Recurrences over one sequence, where each step depends on what the step before did.
 
 Each sequence becomes one row with an array of its events, of which songs have some hundred, and batches of such rows go to
 Python; a group of its own for every short song would cost more than its work. Everything that a window can say is in
@@ -8,7 +8,6 @@ Python; a group of its own for every short song would cost more than its work. E
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cache, lru_cache
 from itertools import pairwise
 
 import pyarrow as pa
@@ -17,12 +16,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-# Semitones of chord qualities above the root.
-QUALITIES = {
-    "maj": (0, 4, 7), "m": (0, 3, 7), "dim": (0, 3, 6), "aug": (0, 4, 8), "maj7": (0, 4, 7, 11), "m7": (0, 3, 7, 10), "dom7": (0, 4, 7, 10),
-    "m7b5": (0, 3, 6, 10), "dim7": (0, 3, 6, 9), "maj6": (0, 4, 7, 9), "m6": (0, 3, 7, 9), "m_maj7": (0, 3, 7, 11), "sus4": (0, 5, 7), "sus2": (0, 2, 7),
+from ostinato.functions.batches import bounded
+
+# Qualities and extensions that contradict each other, and the one to take out.
+CONTRADICTIONS = {
+    ("dom7", "sus7", "add b9"): "dom7", ("sus4", "add 7", "dom7"): "dom7", ("dom7", "sus4", "add b9"): "dom7", ("sus7", "add 13", "sus4"): "sus4",
+    ("sus7", "add 9", "sus4"): "sus4", ("dom7", "add 13", "sus7"): "sus7", ("dom7", "add 13", "sus4"): "sus4", ("dom7", "add 9", "sus7"): "sus7",
+    ("dom7", "add 9", "add #5", "add b9"): "add 9", ("m", "add 6", "add 9", "sus4"): "sus4", ("sus7", "add 13", "sus4", "add b9"): "sus4",
+    ("dom7", "add 13", "sus4", "add b9"): "sus4",
 }
-LOWEST_NOTE, HIGHEST_NOTE, WIDEST = 40, 84, 24
+REPAIR_ENDS = (".", "|", "||", ":|", "|:", "b||", "e||", "/")
 NOTES_TYPE = "array<struct<step: int, velocity: int>>"
 
 
@@ -38,7 +41,7 @@ def per_sequence(df: DataFrame, key: str, columns: list[str], run: Callable[[lis
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in made], f.type) for i, f in enumerate(to)], schema=to)
 
     grouped = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("_events"))
-    return grouped.mapInArrow(call, schema)
+    return bounded(grouped).mapInArrow(call, schema)
 
 
 # --- cleaning
@@ -82,73 +85,19 @@ def cut_tail(chords: list[dict], most: int) -> list[dict]:
     return chords
 
 
-def clean_chords(df: DataFrame, key: str, least: int = 3, most: int = 2) -> DataFrame:
-    """(key, chord, onset, duration, n_notes, steps) of (key, onset, duration, notes) after merging and cutting."""
+def clean_chords(df: DataFrame, key: str, least: int = 3, most: int = 2, with_notes: bool = False) -> DataFrame:
+    """(key, chord, onset, duration, n_notes, steps) of (key, onset, duration, notes) after merging and cutting.
+
+    ``with_notes`` gives the notes themselves in place of the steps as text.
+    """
 
     def clean(chords: list[dict]) -> list[tuple]:
         kept = cut_tail(merged_chords(chords, least), most)
-        return [(i, c["onset"], c["duration"], len(c["notes"]), " ".join(str(n["step"]) for n in c["notes"])) for i, c in enumerate(kept)]
+        shown = lambda c: c["notes"] if with_notes else " ".join(str(n["step"]) for n in c["notes"])
+        return [(i, c["onset"], c["duration"], len(c["notes"]), shown(c)) for i, c in enumerate(kept)]
 
     rows = df.select(key, F.col("onset").cast("double").alias("onset"), F.col("duration").cast("double").alias("duration"), F.col("notes").cast(NOTES_TYPE).alias("notes"))
-    return per_sequence(rows, key, ["onset", "duration", "notes"], clean, "chord int, onset double, duration double, n_notes int, steps string")
-
-
-# --- voicing
-
-
-def dropped(notes: tuple[int, ...], which: int) -> tuple[int, ...]:
-    """The ``which``-th note from the top an octave lower."""
-    if len(notes) < which:
-        return notes
-    chosen = notes[-which]
-    return tuple(sorted([*(n for n in notes if n != chosen), chosen - 12]))
-
-
-@cache
-def voicings(root: int, quality: str) -> tuple[tuple[int, ...], ...]:
-    """Close voicings in all inversions, with the second or third note from the top dropped, in every register that fits."""
-    found = set()
-    tones = QUALITIES.get(quality, QUALITIES["maj"])
-    for k in range(len(tones)):
-        close = tuple(sorted([*tones[k:], *(t + 12 for t in tones[:k])]))
-        for shape in (close, dropped(close, 2), dropped(close, 3)):
-            for octave in range(2, 8):
-                notes = tuple(n + root + 12 * octave for n in shape)
-                if notes[0] >= LOWEST_NOTE and notes[-1] <= HIGHEST_NOTE and notes[-1] - notes[0] <= WIDEST:
-                    found.add(notes)
-    return tuple(sorted(found))
-
-
-def movement(a: tuple[int, ...], b: tuple[int, ...]) -> float:
-    """Semitones from each note of one chord to the nearest of the other, and a tenth of how far their centres move."""
-    near = sum(min(abs(x - y) for y in b) for x in a) + sum(min(abs(x - y) for x in a) for y in b)
-    return near / 2 + 0.1 * abs(sum(a) / len(a) - sum(b) / len(b))
-
-
-@lru_cache(1 << 16)
-def following(before: tuple[int, ...], root: int, quality: str) -> tuple[int, ...]:
-    """The voicing nearest to the one before; of several the lowest."""
-    return min(voicings(root, quality), key=lambda v: (movement(before, v), v))
-
-
-def lead(chords: list[tuple[int, str]]) -> list[tuple[int, ...]]:
-    """A voicing for each (root, quality), the nearest to the one before; the first is the nearest to the middle."""
-    made: list[tuple[int, ...]] = []
-    for root, quality in chords:
-        before = made[-1] if made else ((LOWEST_NOTE + HIGHEST_NOTE) // 2,)
-        made.append(following(before, root % 12, quality))
-    return made
-
-
-def voice_lead(df: DataFrame, key: str) -> DataFrame:
-    """(key, pos, voicing) of (key, pos, root, quality); voicings are eight slots, filled up with zeros."""
-
-    def run(chords: list[dict]) -> list[tuple]:
-        made = lead([(c["root"], c["quality"]) for c in chords])
-        return [(c["pos"], ([*v] + [0] * 8)[:8]) for c, v in zip(chords, made, strict=True)]
-
-    rows = df.select(key, F.col("pos").cast("int").alias("pos"), F.col("root").cast("int").alias("root"), "quality")
-    return per_sequence(rows, key, ["pos", "root", "quality"], run, "pos int, voicing array<int>")
+    return per_sequence(rows, key, ["onset", "duration", "notes"], clean, "chord int, onset double, duration double, n_notes int, " + (f"notes {NOTES_TYPE}" if with_notes else "steps string"))
 
 
 # --- form
@@ -220,6 +169,41 @@ def without_doubled(tokens: list[str]) -> list[str]:
     return [b for a, b in pairwise(["", *tokens]) if not (a == b and b.split(" ")[0] in ("add", "alter", "subtract"))]
 
 
+def without_contradictions(tokens: list[str], passes: int = 4) -> list[str]:
+    """A token list with one quality of each contradicting pair taken out.
+
+    Two places after a token that has a dot in it, distinct tokens are gathered up to a structural or form token. Where they
+    are the start of CONTRADICTIONS' entries at a token, the one to take out goes: it is looked for as if three had been
+    gathered, so of four it is its right neighbour that goes. Passes are repeated, as one can make way for the next.
+    """
+    tokens = list(tokens)
+    for _ in range(passes):
+        at = 0
+        while at < len(tokens):
+            if "." in tokens[at]:
+                seen: list[str] = []
+                here, last = at + 2, ""
+                while here < len(tokens):
+                    # The last token of a list is never looked at, the one before it stands for it.
+                    last = tokens[here] if here < len(tokens) - 1 else last
+                    if last in REPAIR_ENDS or last.startswith("Form_"):
+                        break
+                    if last not in seen:
+                        seen.append(last)
+                    gone = CONTRADICTIONS.get(tuple(seen))
+                    if gone is not None and (place := seen.index(gone) + here - 2) < len(tokens):
+                        tokens.pop(place)
+                    here += 1
+            at += 1
+    return tokens
+
+
+def repaired_charts(df: DataFrame, key: str) -> DataFrame:
+    """(key, pos, tok) of (key, pos, tok) without contradicting qualities."""
+    rows = df.select(key, F.col("pos").cast("int").alias("pos"), F.coalesce("tok", F.lit("")).alias("tok"))
+    return per_sequence(rows, key, ["pos", "tok"], lambda events: list(enumerate(without_contradictions([e["tok"] for e in events]))), "pos int, tok string")
+
+
 # --- stuck notes, in windows
 
 

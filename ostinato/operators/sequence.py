@@ -110,19 +110,22 @@ def anchor_groups(df: DataFrame, key: list[str], onset: str, tolerance: Column,
     """(key, anchor, onset, others): a row joins the group whose first onset is within the tolerance, else it begins one.
 
     Distances count from a group's first onset, not from its last, so session windows don't give this: it is a fold over
-    the sorted onsets of one sequence, which is held as one array.
+    sorted onsets. A gap wider than the tolerance surely begins a group, so sequences are cut there first, and only a run
+    without such a gap is held as one array.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(onset).alias("onset"), *others)))
+    gap = F.col(onset) - F.lag(onset).over(ordered(key, [onset, *others]))
+    runs = df.withColumn("_run", F.sum(F.when(gap > tolerance, 1).otherwise(0)).over(before_and_now(key, [onset, *others])))
+    # The state is the group's first onset alone; where a row begins a group its onset is added to the starts.
+    kind = df.schema[onset].dataType
+    grouped = runs.groupBy(*key, "_run").agg(F.array_sort(F.collect_list(F.struct(F.col(onset).alias("onset"), *others))).alias("rows"), F.max(tolerance).alias("tolerance"))
     folded = F.aggregate(
-        "rows",
-        F.struct(F.lit(None).cast(df.schema[onset].dataType).alias("anchor"), F.array().cast(f"array<{df.schema[onset].dataType.simpleString()}>").alias("anchors")),
-        lambda state, row: F.when(row["onset"] - state["anchor"] <= F.col("tolerance"), F.struct(state["anchor"].alias("anchor"), F.concat(state["anchors"], F.array(state["anchor"])).alias("anchors"))).otherwise(
-            F.struct(row["onset"].alias("anchor"), F.concat(state["anchors"], F.array(row["onset"])).alias("anchors"))
-        ),
+        F.transform("rows", lambda r: r["onset"]),
+        F.array().cast(f"array<{kind.simpleString()}>"),
+        lambda starts, at: F.when((F.size(starts) > 0) & (at - F.get(starts, F.size(starts) - 1) <= F.col("tolerance")), starts).otherwise(F.concat(starts, F.array(at))),
     )
-    grouped = df.groupBy(*key).agg(rows.alias("rows"), F.max(tolerance).alias("tolerance"))
-    paired = grouped.withColumn("anchors", folded["anchors"]).withColumn("_row", F.explode(F.arrays_zip("anchors", "rows")))
-    return paired.select(*key, F.col("_row.anchors").alias("anchor"), *[F.col(f"_row.rows.{c}").alias(c) for c in ["onset", *others]])
+    placed = grouped.withColumn("_starts", folded).withColumn("_row", F.explode("rows"))
+    anchor = F.array_max(F.filter("_starts", lambda a: a <= F.col("_row.onset")))
+    return placed.select(*key, anchor.alias("anchor"), *[F.col(f"_row.{c}").alias(c) for c in ["onset", *others]])
 
 
 def chords_from_notes(df: DataFrame, key: list[str], anchor: str = "anchor", offset: str = "offset", step: str = "step", velocity: str = "velocity", least: float = 0.25) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def seeded(key: Column, seed: int) -> Column:
-    return F.xxhash64(key, F.lit(seed))
+    """A number of 60 bits that depends on a key and a seed only, the same in any engine that has MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"))), 1, 15), 16, 10).cast("long")
 
 
 def hashed_split(df: DataFrame, key: str, ratio: float, seed: int = 42) -> DataFrame:
@@ -16,17 +17,38 @@ def hashed_split(df: DataFrame, key: str, ratio: float, seed: int = 42) -> DataF
     return df.withColumn("split", F.when(share, "validation").otherwise("train"))
 
 
-def exact_split(df: DataFrame, key: str, ratio: float, seed: int = 42) -> DataFrame:
-    """As hashed_split, but with exactly max(1, floor(n * ratio)) validation keys, those with the smallest hashes."""
-    keys = df.select(key).distinct()
-    n = max(1, int(keys.count() * ratio))
-    chosen = keys.orderBy(seeded(F.col(key), seed), key).limit(n).withColumn("_v", F.lit(1))
-    return df.join(chosen, key, "left").withColumn("split", F.when(F.col("_v") == 1, "validation").otherwise("train")).drop("_v")
+#: Hashes of 60 bits are counted in so many ranges.
+RANGES = 1 << 14
+
 
+def exact_split(df: DataFrame, key: str, ratio: float, seed: int = 42) -> DataFrame:
+    """As hashed_split, but with exactly max(1, floor(n * ratio)) validation keys, those with the smallest hashes.
 
-def positional_split(df: DataFrame, key: list[str], order: list, n: int) -> DataFrame:
-    """The first n rows of each sequence are the first part."""
-    return df.withColumn("split", F.when(F.row_number().over(Window.partitionBy(*key).orderBy(*order)) <= n, "first").otherwise("second"))
+    Keys are counted in ranges of their hashes; only the range in which the last validation key lies is put in order.
+    """
+    width = (1 << 60) // RANGES
+    keys = df.select(key).distinct().withColumn("_h", seeded(F.col(key), seed)).withColumn("_range", F.expr(f"_h div {width}").cast("int"))
+    counted = keys.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sized = counted.withColumn("_before", before).withColumn("_all", F.sum("_n").over(Window.partitionBy()))
+    wanted = F.greatest(F.lit(1), F.floor(F.col("_all") * F.lit(ratio)))
+    placed = keys.join(F.broadcast(sized.select("_range", "_before", "_n", wanted.alias("_wanted"))), "_range")
+    whole = placed.where("_before + _n <= _wanted").select(F.col(key).alias("_k"))
+    last = placed.where("_before < _wanted and _before + _n > _wanted")
+    last = last.withColumn("_r", F.row_number().over(Window.partitionBy("_range").orderBy("_h", key)) + F.col("_before")).where("_r <= _wanted").select(F.col(key).alias("_k"))
+    chosen = whole.unionByName(last)
+    return df.join(chosen, F.col(key).eqNullSafe(F.col("_k")), "left").withColumn("split", F.when(F.col("_k").isNotNull(), "validation").otherwise("train")).drop("_k")
+
+
+def positional_split(df: DataFrame, key: list[str], order: list[str], n: int) -> DataFrame:
+    """The first n rows of each sequence, in a total order, are the first part.
+
+    Only these are ranked, which Spark prunes before it deals them; the others are compared with the last of them.
+    """
+    place = F.struct(*order)
+    ranked = df.select(*key, place.alias("_at")).withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("_at"))).where(F.col("_n") <= n)
+    last = ranked.groupBy(*key).agg(F.max("_at").alias("_last"))
+    return df.join(last, key).withColumn("split", F.when(place <= F.col("_last"), "first").otherwise("second")).drop("_last")
 
 
 def windowed_shuffle(df: DataFrame, ordinal: str, width: int, seed: int = 42) -> DataFrame:

@@ -8,28 +8,30 @@ from pyspark.sql import functions as F
 from ostinato.operators import joins, sequence, splits
 from ostinato.plans.common import LINES_SQL, WORDS_SQL, lines, query, table, words
 
-EVENT_POS_SQL = "ev AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INTEGER AS pos FROM events)"
+#: Events in order, cut in fours: as many places as an order of four lines has.
+EVENT_POS_SQL = "ev AS (SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 4 AS k, ((row_number() OVER (ORDER BY event_id) - 1) % 4)::INTEGER AS pos FROM events)"
 
 
-def user_events(spark, sf_dir):
-    return sequence.with_position(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"])
+def event_fours(spark, sf_dir):
+    """(k, pos, event_id): all events by their ids, which run from 1, cut in fours."""
+    rows = table(spark, sf_dir, "events").select("event_id")
+    lowest = rows.agg(F.min("event_id").alias("_least"))
+    return rows.crossJoin(F.broadcast(lowest)).select(F.expr("(event_id - _least) div 4").alias("k"), ((F.col("event_id") - F.col("_least")) % 4).cast("int").alias("pos"), "event_id")
 
 
-@query("q_positional_join", f"""WITH {LINES_SQL}, {EVENT_POS_SQL}, l AS (SELECT l_orderkey AS k, pos, l_partkey FROM lines), r AS (SELECT user_id AS k, pos, event_id FROM ev WHERE pos < 4),
-n AS (SELECT k, count(*) FILTER (side = 'l') AS a, count(*) FILTER (side = 'r') AS b FROM (SELECT k, 'l' AS side FROM l UNION ALL SELECT k, 'r' FROM r) GROUP BY k)
-SELECT l.k, l.pos, l_partkey, event_id FROM l JOIN r ON l.k = r.k AND l.pos = r.pos JOIN n ON n.k = l.k AND a = b""")
+@query("q_positional_join", f"""WITH {LINES_SQL}, {EVENT_POS_SQL}, l AS (SELECT l_orderkey AS k, pos, l_partkey FROM lines),
+n AS (SELECT k, count(*) FILTER (side = 'l') AS a, count(*) FILTER (side = 'r') AS b FROM (SELECT k, 'l' AS side FROM l UNION ALL SELECT k, 'r' FROM ev) GROUP BY k)
+SELECT l.k, l.pos, l_partkey, event_id FROM l JOIN ev ON l.k = ev.k AND l.pos = ev.pos JOIN n ON n.k = l.k AND a = b""")
 def positional_join(spark, sf_dir):
     left = lines(spark, sf_dir).select(F.col("l_orderkey").alias("k"), "pos", "l_partkey")
-    right = user_events(spark, sf_dir).where("pos < 4").select(F.col("user_id").alias("k"), "pos", "event_id")
-    return joins.positional(left, right, ["k"], "pos")[0].select("k", "pos", "l_partkey", "event_id")
+    return joins.positional(left, event_fours(spark, sf_dir), ["k"], "pos")[0].select("k", "pos", "l_partkey", "event_id")
 
 
 @query("q_count_guard", f"""WITH {EVENT_POS_SQL}, n AS (SELECT k, count(*) FILTER (side = 'l') AS n_left, count(*) FILTER (side = 'r') AS n_right FROM
-    (SELECT l_orderkey AS k, 'l' AS side FROM lineitem UNION ALL SELECT user_id, 'r' FROM ev WHERE pos < 4) GROUP BY k) SELECT k, n_left, n_right FROM n WHERE n_left <> n_right""")
+    (SELECT l_orderkey AS k, 'l' AS side FROM lineitem UNION ALL SELECT k, 'r' FROM ev) GROUP BY k) SELECT k, n_left, n_right FROM n WHERE n_left <> n_right""")
 def count_guard(spark, sf_dir):
     left = lines(spark, sf_dir).select(F.col("l_orderkey").alias("k"), "pos", "l_partkey")
-    right = user_events(spark, sf_dir).where("pos < 4").select(F.col("user_id").alias("k"), "pos", "event_id")
-    return joins.positional(left, right, ["k"], "pos")[1].select("k", "n_left", "n_right")
+    return joins.positional(left, event_fours(spark, sf_dir), ["k"], "pos")[1].select("k", "n_left", "n_right")
 
 
 @query("q_span_join", f"""WITH {LINES_SQL}, t AS (SELECT l_orderkey, pos, CASE WHEN pos % 3 = 2 THEN -1 ELSE pos END AS span FROM lines)
@@ -63,13 +65,16 @@ def normalised_name_join(spark, sf_dir):
     return joins.by_name(part, names, "p_name", "other_name", "brand", "nth").select("p_partkey", "brand")
 
 
-@query("q_nearest_reference", """WITH c AS (SELECT label, avg(embedding[1])::DOUBLE AS x, avg(embedding[2])::DOUBLE AS y, avg(embedding[3])::DOUBLE AS z FROM embeddings GROUP BY label), r AS (SELECT label, round(x, 9) AS x, round(y, 9) AS y, round(z, 9) AS z FROM c), d AS (
-    SELECT vec_id, r.label, (embedding[1]::DOUBLE - x) ** 2 + (embedding[2]::DOUBLE - y) ** 2 + (embedding[3]::DOUBLE - z) ** 2 AS d FROM embeddings, r
-) SELECT vec_id, 'ref' || arg_min(label, (d, label)) AS nearest, round(sqrt(min(d)), 6) AS distance FROM d GROUP BY vec_id""")
+@query("q_nearest_reference", """WITH u AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT label, k, round(avg(x), 9) AS c FROM u GROUP BY 1, 2),
+d AS (SELECT vec_id, c.label, sum((x - c) ** 2) AS d FROM u JOIN c USING (k) GROUP BY 1, 2) SELECT vec_id, 'ref' || arg_min(label, (d, label)) AS nearest, round(sqrt(min(d)), 6) AS distance FROM d GROUP BY vec_id""")
 def nearest_reference(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.col("embedding")[k].cast("double").alias(a) for k, a in enumerate("xyz")])
-    centres = e.groupBy("label").agg(*[F.round(F.avg(a), 9).alias(a) for a in "xyz"]).withColumn("name", F.concat(F.lit("ref"), F.col("label").cast("string")))
-    return joins.nearest_reference(e, centres, ["x", "y", "z"], "label", "name").select("vec_id", "nearest", F.round("distance", 6).alias("distance"))
+    """The nearest centre of a label, over all dimensions."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    n = rows.select(F.max(F.size("v"))).first()[0] or 0
+    e = rows.select("vec_id", "label", *[F.get("v", F.lit(k)).alias(f"x{k}") for k in range(n)])
+    axes = [f"x{k}" for k in range(n)]
+    centres = e.groupBy("label").agg(*[F.round(F.avg(a), 9).alias(a) for a in axes]).withColumn("name", F.concat(F.lit("ref"), F.col("label").cast("string")))
+    return joins.nearest_reference(e, centres, axes, "label", "name").select("vec_id", "nearest", F.round("distance", 6).alias("distance"))
 
 
 @query("q_fragment_resolve", """SELECT f.fragment, arg_min(p_name, (length(p_name), p_name)) AS p_name FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS fragment FROM part) f JOIN part ON contains(p_name, fragment) GROUP BY 1""")
@@ -87,11 +92,11 @@ def compare_in_order(spark, sf_dir):
     return made.select("l_orderkey", "n", "matches", F.round("accuracy", 6).alias("accuracy"))
 
 
-@query("q_side_by_side", f"""WITH {LINES_SQL} SELECT coalesce(a.l_orderkey, b.l_orderkey) AS l_orderkey, coalesce(a.pos, b.pos)::INTEGER AS pos, a.l_partkey AS "left", b.l_suppkey AS "right"
-FROM (SELECT * FROM lines WHERE pos < 3) a FULL JOIN (SELECT * FROM lines WHERE pos > 0) b ON a.l_orderkey = b.l_orderkey AND a.pos = b.pos""")
+@query("q_side_by_side", f"""WITH {LINES_SQL} SELECT coalesce(a.l_orderkey, b.l_orderkey) AS l_orderkey, coalesce(a.pos, b.p)::INTEGER AS pos, a.l_partkey AS "left", b.l_suppkey AS "right"
+FROM lines a FULL JOIN (SELECT *, pos + 1 AS p FROM lines) b ON a.l_orderkey = b.l_orderkey AND a.pos = b.p""")
 def side_by_side(spark, sf_dir):
     rows = lines(spark, sf_dir)
-    return joins.side_by_side(rows.where("pos < 3").select("l_orderkey", "pos", F.col("l_partkey").alias("v")), rows.where("pos > 0").select("l_orderkey", "pos", F.col("l_suppkey").alias("v")), ["l_orderkey"], "pos", "v")
+    return joins.side_by_side(rows.select("l_orderkey", "pos", F.col("l_partkey").alias("v")), rows.select("l_orderkey", (F.col("pos") + 1).alias("pos"), F.col("l_suppkey").alias("v")), ["l_orderkey"], "pos", "v")
 
 
 @query("q_resume", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
@@ -110,18 +115,15 @@ def smallest_n(spark, sf_dir):
     return table(spark, sf_dir, "part").orderBy("p_retailprice", "p_partkey").select("p_partkey", "p_retailprice").limit(10)
 
 
-@query("q_vocab_ids", f"""WITH {WORDS_SQL}, v AS (SELECT word, (row_number() OVER (ORDER BY word) - 1)::INTEGER AS id FROM (SELECT DISTINCT word FROM w WHERE length(word) <= 4))
-SELECT coalesce(v.id, 0)::INTEGER AS id, count(*) AS n FROM w LEFT JOIN v USING (word) GROUP BY 1""")
+@query("q_vocab_ids", f"""WITH {WORDS_SQL}, v AS (SELECT word, (row_number() OVER (ORDER BY word) - 1)::INTEGER AS id FROM (SELECT DISTINCT word FROM w))
+SELECT v.id, count(*) AS n FROM w JOIN v USING (word) GROUP BY 1""")
 def vocab_ids(spark, sf_dir):
-    """Ids are ranks in the order of words: partitions of ranges are numbered on their own and offset by those before."""
-    rows = words(spark, sf_dir)
-    distinct = rows.where("length(word) <= 4").select("word").distinct()
-    placed = distinct.repartitionByRange("word").sortWithinPartitions("word").withColumn("part", F.spark_partition_id())
-    placed = placed.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy("word")))
-    starts = placed.groupBy("part").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ids = placed.join(F.broadcast(starts), "part").select("word", (F.col("start") + F.col("nth") - 1).cast("int").alias("id"))
-    counted = rows.groupBy("word").agg(F.count("*").alias("n"))
-    return counted.join(ids, "word", "left").groupBy(F.coalesce("id", F.lit(0)).alias("id")).agg(F.sum("n").alias("n"))
+    """Ids are ranks in the order of words: each head of three characters is numbered on its own, from where those before end."""
+    counted = words(spark, sf_dir).groupBy("word").agg(F.count("*").alias("n")).withColumn("head", F.substring("word", 1, 3))
+    heads = counted.groupBy("head").agg(F.count("*").alias("words"))
+    starts = heads.select("head", F.coalesce(F.sum("words").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    nth = F.row_number().over(Window.partitionBy("head").orderBy("word")) - 1
+    return counted.withColumn("nth", nth).join(starts, "head").select((F.col("start") + F.col("nth")).cast("int").alias("id"), "n")
 
 
 @query("q_positional_split", "SELECT o_orderstatus, CASE WHEN row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) <= 100 THEN 'first' ELSE 'second' END AS split, o_orderkey FROM orders")
@@ -141,13 +143,17 @@ def nucleus(spark, sf_dir):
     return splits.nucleus(df, ["user_id"], "logit", ["event_id"], 0.9).select("user_id", "event_id")
 
 
-@query("q_split_hash")
+SEEDED = "('0x' || substr(md5('{seed}|' || {key}), 1, 15))::BIGINT"
+
+
+@query("q_split_hash", f"""WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY {SEEDED.format(seed=42, key='o_orderkey')}, o_orderkey) AS r, count(*) OVER () AS n FROM orders)
+SELECT o_orderkey, CASE WHEN r <= greatest(1, floor(n * 0.02)) THEN 'validation' ELSE 'train' END AS split FROM r""")
 def split_hash(spark, sf_dir):
     """Exactly two percent of the orders are for validation."""
     return splits.exact_split(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 0.02)
 
 
-@query("q_sample_per_group")
+@query("q_sample_per_group", f"""SELECT p_type, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY {SEEDED.format(seed=7, key='p_partkey')}, p_partkey) AS r FROM part) WHERE r <= 30""")
 def sample_per_group(spark, sf_dir):
     return splits.sample_per_group(table(spark, sf_dir, "part").select("p_type", "p_partkey"), "p_type", "p_partkey", 30)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ostinato.functions import music
 from ostinato.operators import quality, sequence
 from ostinato.plans.common import TOKENS_SQL, WORDS_SQL, query, table, tokens, words
 
@@ -38,10 +39,12 @@ def padding_stats(spark, sf_dir):
     return quality.padding_stats(table(spark, sf_dir, "documents"), "n_chars", 4096)
 
 
-@query("q_vector_stats", " UNION ALL ".join(f"SELECT 'd{k}' AS dim, round(avg(embedding[{k}]::DOUBLE), 6) AS mean, round(stddev_pop(embedding[{k}]::DOUBLE), 6) AS std FROM embeddings" for k in range(1, 5)))
+@query("q_vector_stats", "SELECT 'd' || k AS dim, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM (SELECT generate_subscripts(embedding, 1) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1")
 def vector_stats(spark, sf_dir):
-    df = table(spark, sf_dir, "embeddings").select(*[F.col("embedding")[k - 1].alias(f"d{k}") for k in range(1, 5)])
-    return quality.vector_stats(df, [f"d{k}" for k in range(1, 5)])
+    """All dimensions of all vectors in one pass."""
+    e = table(spark, sf_dir, "embeddings")
+    dims = range(1, (e.select(F.max(F.size("embedding"))).first()[0] or 0) + 1)
+    return quality.vector_stats(e.select(*[F.get("embedding", F.lit(k - 1)).alias(f"d{k}") for k in dims]), [f"d{k}" for k in dims])
 
 
 @query("q_describe_by", "SELECT p_type, count(p_retailprice) AS n, round(avg(p_retailprice), 6) AS mean, round(stddev_samp(p_retailprice), 6) AS std, min(p_retailprice) AS least, round(quantile_cont(p_retailprice, 0.25), 6) AS p25, round(quantile_cont(p_retailprice, 0.5), 6) AS p50, round(quantile_cont(p_retailprice, 0.75), 6) AS p75, max(p_retailprice) AS most FROM part GROUP BY 1")
@@ -69,38 +72,42 @@ def correlation(spark, sf_dir):
 
 
 GRAMMAR_SQL = """WITH t AS (
-    SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, CASE event_type WHEN 'click' THEN 'CHORD_START' WHEN 'view' THEN 'CHORD_END' WHEN 'purchase' THEN 'DUR_1.0' WHEN 'signup' THEN 'PV_212_3' ELSE '<start>' END AS tok FROM events
+    SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, CASE event_type WHEN 'click' THEN 'CHORD_START' WHEN 'view' THEN 'CHORD_END' WHEN 'purchase' THEN 'DUR_1.0' WHEN 'signup' THEN 'PV_212_3' WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN '<start>' ELSE '<end>' END ELSE '<start>' END AS tok FROM events
 ), o AS (
     SELECT *, coalesce(sum(CASE tok WHEN 'CHORD_START' THEN 1 WHEN 'CHORD_END' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS opened,
         sum((tok = 'CHORD_START')::INT) OVER (PARTITION BY user_id ORDER BY pos) AS block FROM t
 ), b AS (
     SELECT user_id, block, count(*) FILTER (tok LIKE 'DUR~_%' ESCAPE '~') AS dur, count(*) FILTER (tok LIKE 'PV~_%' ESCAPE '~') AS pv, count(*) FILTER (tok = 'CHORD_START') AS s, count(*) FILTER (tok = 'CHORD_END') AS e,
-        count(*) FILTER (tok = 'CHORD_START' AND opened > 0) AS nested, count(*) FILTER (tok = 'CHORD_END' AND opened <= 0) AS orphan, count(*) FILTER (tok = '<start>') AS beg FROM o GROUP BY 1, 2
+        count(*) FILTER (tok = 'CHORD_START' AND opened > 0) AS nested, count(*) FILTER (tok = 'CHORD_END' AND opened <= 0) AS orphan, count(*) FILTER (tok = '<start>') AS beg, count(*) FILTER (tok = '<end>') AS fin FROM o GROUP BY 1, 2
 ), f AS (
-    SELECT user_id, sum(beg) = 0 AS missing_start, true AS missing_end, sum(s) <> sum(e) AS pair_mismatch, sum(nested) > 0 AS nested_start, sum(orphan) > 0 AS orphan_end, bool_or(s > 0 AND dur = 0) AS no_duration, bool_or(s > 0 AND pv = 0) AS no_note, bool_or(s > 0 AND e = 0) AS unclosed FROM b GROUP BY 1
+    SELECT user_id, sum(beg) = 0 AS missing_start, sum(fin) = 0 AS missing_end, sum(s) <> sum(e) AS pair_mismatch, sum(nested) > 0 AS nested_start, sum(orphan) > 0 AS orphan_end, bool_or(s > 0 AND dur = 0) AS no_duration, bool_or(s > 0 AND pv = 0) AS no_note, bool_or(s > 0 AND e = 0) AS unclosed FROM b GROUP BY 1
 ), u AS (UNPIVOT f ON missing_start, missing_end, pair_mismatch, nested_start, orphan_end, no_duration, no_note, unclosed INTO NAME issue VALUE v)
 SELECT issue, count(*) AS n FROM u WHERE v GROUP BY 1"""
 
 
 @query("q_grammar_issues", GRAMMAR_SQL)
 def grammar_issues(spark, sf_dir):
-    token = F.when(F.col("event_type") == "click", "CHORD_START").when(F.col("event_type") == "view", "CHORD_END").when(F.col("event_type") == "purchase", "DUR_1.0").when(F.col("event_type") == "signup", "PV_212_3").otherwise("<start>")
+    token = F.when(F.col("event_type") == "click", "CHORD_START").when(F.col("event_type") == "view", "CHORD_END").when(F.col("event_type") == "purchase", "DUR_1.0").when(F.col("event_type") == "signup", "PV_212_3").when(F.col("event_id") % 2 == 1, "<end>").otherwise("<start>")
     df = sequence.with_position(table(spark, sf_dir, "events").withColumn("tok", token), ["user_id"], ["ts", "event_id"])
     return quality.grammar_issues(df, ["user_id"])
 
 
-@query("q_structural_invariants", f"""WITH {TOKENS_SQL} SELECT 0::BIGINT AS violations, (SELECT count(DISTINCT l_orderkey) FROM tokens) AS songs""")
+@query("q_structural_invariants", f"""WITH {TOKENS_SQL}, s AS (SELECT l_orderkey, tok, sum((tok = '.')::INT) OVER (PARTITION BY l_orderkey ORDER BY pos) - 1 AS span FROM tokens),
+e AS (SELECT l_orderkey, max(span) AS last, count(*) FILTER (tok = 'CHORD_START') AS n FROM s GROUP BY 1), l AS (SELECT l_orderkey, count(*) AS m FROM lineitem GROUP BY 1)
+SELECT (count(*) FILTER (last <> n - 1 OR n <> m))::BIGINT AS violations, count(*) AS songs FROM e JOIN l USING (l_orderkey)""")
 def structural_invariants(spark, sf_dir):
-    """Songs whose last span isn't their number of chords less one; there are none."""
+    """Songs whose last span isn't their number of chords less one, or whose chords aren't as many as their lines."""
     spans = sequence.chord_spans(tokens(spark, sf_dir), ["l_orderkey"], ["pos"])
     each = spans.groupBy("l_orderkey").agg(F.max("span").alias("last"), F.count_if(F.col("tok") == "CHORD_START").alias("chords"))
-    return each.agg(F.count_if(F.col("last") != F.col("chords") - 1).alias("violations"), F.count("*").alias("songs"))
+    each = each.join(table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("lines")), "l_orderkey")
+    return each.agg(F.count_if((F.col("last") != F.col("chords") - 1) | (F.col("chords") != F.col("lines"))).alias("violations"), F.count("*").alias("songs"))
 
 
-@query("q_coverage", f"WITH {WORDS_SQL}, v AS (SELECT DISTINCT word FROM w), u AS (SELECT DISTINCT word FROM w WHERE doc_id % 2 = 0) SELECT count(*) AS size, count(u.word) AS used, round(count(u.word) * 100 / count(*)::DOUBLE, 6) AS pct FROM v LEFT JOIN u USING (word)")
+@query("q_coverage", f"WITH {WORDS_SQL}, v AS (SELECT DISTINCT word FROM w), u AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM benchmark) SELECT count(*) AS size, count(u.word) AS used, round(count(u.word) * 100 / count(*)::DOUBLE, 6) AS pct FROM v LEFT JOIN u USING (word)")
 def coverage(spark, sf_dir):
-    rows = words(spark, sf_dir)
-    return quality.coverage(rows.where("doc_id % 2 = 0"), rows, "word")
+    """How much of the documents' vocabulary the benchmark uses."""
+    used = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("word"))
+    return quality.coverage(used, words(spark, sf_dir), "word")
 
 
 @query("q_tetrahedron", "SELECT CASE WHEN l_discount <= l_tax + 1e-6 AND l_tax <= l_quantity + 1e-6 THEN 'inside' ELSE 'outside' END AS place, count(*) AS n, min(l_discount) AS least, max(l_quantity) AS most FROM lineitem GROUP BY 1")
@@ -128,9 +135,20 @@ def histograms(spark, sf_dir):
     return counted.withColumn("pct", F.round(F.col("n") * 100 / F.sum("n").over(Window.partitionBy()), 6))
 
 
-@query("q_clip_meta", r"""SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+/([a-z]{2})/', 1) AS lang, TRY_CAST(regexp_extract(url, '[?&]page=([0-9]+)', 1) AS DOUBLE) AS page,
-    CASE WHEN contains(url, 'ref=') THEN 'referred' WHEN contains(url, '?') THEN 'query' ELSE 'plain' END AS kind FROM pages""")
+@query("q_clip_meta", r"""WITH f AS (SELECT page_id, page_id || '_' || (['dataset', 'model_A', 'model_B', 'other'])[(page_id % 4 + 1)::INTEGER] || '_' || regexp_extract(url, '^https?://([a-z0-9]*)', 1) || '__jazz__type_' || (page_id % 7) || '_major.' || (CASE WHEN page_id % 2 = 0 THEN 'mp3' ELSE 'WAV' END) AS file FROM pages)
+SELECT page_id, CASE WHEN page_id % 4 = 3 THEN NULL ELSE (['dataset', 'model_A', 'model_B'])[(page_id % 4 + 1)::INTEGER] END AS source, 'jazz' AS style, 'type_' || (page_id % 7) || '_major' AS type FROM f""")
 def clip_meta(spark, sf_dir):
+    """Names of clips for all pages, taken apart again."""
+    source = F.element_at(F.array(*[F.lit(x) for x in ("dataset", "model_A", "model_B", "other")]), (F.col("page_id") % 4 + 1).cast("int"))
+    end = F.when(F.col("page_id") % 2 == 0, "mp3").otherwise("WAV")
+    file = F.concat(F.col("page_id").cast("string"), F.lit("_"), source, F.lit("_"), F.regexp_extract("url", "^https?://([a-z0-9]*)", 1), F.lit("__jazz__type_"), (F.col("page_id") % 7).cast("string"), F.lit("_major."), end)
+    return table(spark, sf_dir, "pages").select("page_id", music.clip_parts(file).alias("c")).select("page_id", "c.*")
+
+
+@query("q_url_parts", r"""SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+/([a-z]{2})/', 1) AS lang, TRY_CAST(regexp_extract(url, '[?&]page=([0-9]+)', 1) AS DOUBLE) AS page,
+    CASE WHEN contains(url, 'ref=') THEN 'referred' WHEN contains(url, '?') THEN 'query' ELSE 'plain' END AS kind FROM pages""")
+def url_parts(spark, sf_dir):
+    """An extension: addresses taken apart, a number read where there is one."""
     part = lambda p: F.regexp_extract("url", p, 1)
     kind = F.when(F.col("url").contains("ref="), "referred").when(F.col("url").contains("?"), "query").otherwise("plain")
     return table(spark, sf_dir, "pages").select("page_id", part("^https?://([^/]+)").alias("host"), part("^https?://[^/]+/([a-z]{2})/").alias("lang"), part("[?&]page=([0-9]+)").try_cast("double").alias("page"), kind.alias("kind"))

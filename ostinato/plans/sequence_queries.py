@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ostinato.functions import music
-from ostinato.operators import recurrent, sequence
+from ostinato.operators import recurrent, sequence, voicing
 from ostinato.plans.common import LINE_ORDER, LINES_SQL, MESSAGES_SQL, TOKENS_SQL, WORDS_SQL, lines, messages, query, table, tokens, words
 
 KEY = ["l_orderkey"]
@@ -226,5 +226,5 @@ def clean_chords(spark, sf_dir):
 @query("q_voice_leading")
 def voice_leading(spark, sf_dir):
     """Each chord takes the voicing that is nearest to the one chosen before it."""
-    df = lines(spark, sf_dir).select("l_orderkey", "pos", (F.col("l_partkey") % 12).cast("int").alias("root"), F.element_at(F.array(F.lit("maj7"), F.lit("m7"), F.lit("dom7"), F.lit("m7b5")), (F.col("l_suppkey") % 4 + 1).cast("int")).alias("quality"))
-    return recurrent.voice_lead(df, "l_orderkey")
+    df = lines(spark, sf_dir).select("l_orderkey", "pos", (F.col("l_partkey") % 12 + 42).cast("int").alias("root"), F.element_at(F.array(F.lit("maj7"), F.lit("m7"), F.lit("dom7"), F.lit("ø7")), (F.col("l_suppkey") % 4 + 1).cast("int")).alias("quality"))
+    return voicing.voice_lead(df, "l_orderkey")

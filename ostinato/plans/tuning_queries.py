@@ -38,7 +38,7 @@ def velocity_bins(spark, sf_dir):
     return df.groupBy("velocity", "bin", music.velocity_of_bin(F.col("bin")).alias("back")).agg(F.count("*").alias("n"))
 
 
-SCALE_ROWS_SQL = dims.values_sql([(k, t, pc, s) for k in dims.SCALES for t in (0, 3, 7) for pc, s in enumerate(dims.chromatic_scale(k, t))], "type, tonic, pc, step")
+SCALE_ROWS_SQL = dims.values_sql([(k, t, pc, s) for k in dims.SCALES for t in range(12) for pc, s in enumerate(dims.chromatic_scale(k, t))], "type, tonic, pc, step")
 
 
 @query("q_retune_bend", f"""WITH n AS (SELECT DISTINCT (l_partkey % 128)::INTEGER AS note FROM lineitem), d AS (
@@ -47,19 +47,19 @@ SCALE_ROWS_SQL = dims.values_sql([(k, t, pc, s) for k in dims.SCALES for t in (0
 SELECT type, tonic, note, round(cents, 6) AS cents, least(greatest(trunc(round(cents / 200 * 8192, 6))::INTEGER, -8192), 8191) AS bend FROM w""")
 def retune_bend(spark, sf_dir):
     notes = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 128).cast("int").alias("note")).distinct()
-    scale = dims.scale_table(spark).where(F.col("tonic").isin(0, 3, 7))
-    df = notes.join(F.broadcast(scale), F.col("pc") == F.col("note") % 12)
+    df = notes.join(F.broadcast(dims.scale_table(spark)), F.col("pc") == F.col("note") % 12)
     cents = music.cents_between(music.retuned_hertz(F.col("note"), F.col("step")), music.hertz_of_note(F.col("note")))
     bend = F.least(F.greatest(F.round(cents / 200 * 8192, 6).cast("int"), F.lit(-8192)), F.lit(8191))
     return df.select("type", "tonic", "note", F.round(cents, 6).alias("cents"), bend.alias("bend"))
 
 
-@query("q_microtonality", f"""WITH s AS (SELECT type, step FROM {SCALE_ROWS_SQL} WHERE tonic = 0), u AS (
-    SELECT s.type, abs(step * 1200 / 53.0::DOUBLE - round_even(step * 1200 / 53.0::DOUBLE / 100, 0) * 100) AS off FROM s JOIN part ON p_partkey % 14 = length(s.type) % 14
+@query("q_microtonality", f"""WITH s AS (SELECT type, pc, step FROM {SCALE_ROWS_SQL} WHERE tonic = 0), u AS (
+    SELECT s.type, abs(step * 1200 / 53.0::DOUBLE - round_even(step * 1200 / 53.0::DOUBLE / 100, 0) * 100) AS off FROM s JOIN part ON p_partkey % 12 = pc
 ) SELECT type, round(avg((off <= 7)::INT::DOUBLE) * 100, 6) AS pct_near, round(avg(off), 6) AS mean_cents FROM u GROUP BY 1""")
 def microtonality(spark, sf_dir):
-    scale = dims.scale_table(spark).where("tonic = 0").select("type", "step")
-    df = table(spark, sf_dir, "part").join(F.broadcast(scale), F.col("p_partkey") % 14 == F.length("type") % 14)
+    """The pitch class of every part in each of the scale types."""
+    scale = dims.scale_table(spark).where("tonic = 0").select("type", "pc", "step")
+    df = table(spark, sf_dir, "part").join(F.broadcast(scale), F.col("p_partkey") % 12 == F.col("pc"))
     return quality.microtonality(df, "type", "step")
 
 
@@ -71,7 +71,7 @@ def cross_types(spark, sf_dir):
 
 STYLE_ARRAY = ["Medium Swing", "Bossa Nova", "Rock Pop", "Latin", "Ballad", "Unknown", "R&B", "Afro 12/8", "Slow Blues Shuffle", "Waltz Song", "Even 8ths", "Hymn"]
 STYLE_SQL = "CASE " + " ".join(f"WHEN name = '{k.replace(chr(39), chr(39) * 2)}' THEN '{v}'" for k, v in dims.STYLE_NAMES.items()) + " " + " ".join(
-    ("WHEN lower(replace(replace(replace(name, '&', 'n'), ' and ', ' n '), ' ', '')) IN ('rnb', 'rhythmnblues', 'rhythmblues')" if w == "\0rnb" else f"WHEN contains(name, '{w}')") + f" THEN '{v}'" for w, v in reversed(dims.STYLE_WORDS)
+    ("WHEN lower(replace(replace(replace(name, '&', 'n'), ' and ', ' n '), ' ', '')) IN ('rnb', 'rhythmnblues', 'rhythmblues')" if w == dims.RNB else f"WHEN contains(name, '{w}')") + f" THEN '{v}'" for w, v in reversed(dims.STYLE_WORDS)
 ) + " END"
 
 
@@ -120,16 +120,16 @@ _NAMES = list(dict.fromkeys(dims.SEMANTIC_STEPS.values()))
 
 
 @query("q_chord_names", f"""WITH q AS (SELECT (['major', 'minor', 'neutral', 'upmajor', 'subminor'])[(p_partkey % 5 + 1)::INTEGER] AS third, (['perfect', 'diminished', 'augmented'])[(p_size % 3 + 1)::INTEGER] AS fifth,
-    (['major', 'minor', 'neutral', 'subminor', NULL])[(p_partkey // 5 % 5 + 1)::INTEGER] AS seventh FROM part)
-SELECT q.third, q.fifth, q.seventh, d.name, count(*) AS n FROM q JOIN (SELECT * FROM {dims.values_sql([(*k, n) for k, n in dims.chord_names().items()], 'third, fifth, seventh, name')}) d
-ON q.third = d.third AND q.fifth = d.fifth AND q.seventh IS NOT DISTINCT FROM d.seventh GROUP BY ALL""")
+    (['major', 'minor', 'neutral', 'subminor', NULL])[(p_partkey // 5 % 5 + 1)::INTEGER] AS seventh FROM part), n AS (
+    SELECT q.*, d.name AS known, CASE q.third WHEN 'major' THEN '' WHEN 'minor' THEN 'm' WHEN 'neutral' THEN 'N' WHEN 'upmajor' THEN '^' ELSE 'sm' END AS base, CASE q.fifth WHEN 'perfect' THEN '' WHEN 'diminished' THEN 'dim' ELSE '+' END AS middle
+    FROM q LEFT JOIN (SELECT * FROM {dims.values_sql([(*k, n) for k, n in dims.chord_names().items()], 'third, fifth, seventh, name')}) d ON q.third = d.third AND q.fifth = d.fifth AND q.seventh IS NOT DISTINCT FROM d.seventh
+) SELECT third, fifth, seventh, coalesce(known, base || middle || CASE WHEN seventh IS NULL THEN '' WHEN seventh = 'major' THEN 'M7' WHEN seventh = 'neutral' THEN 'N7' WHEN seventh = 'subminor' THEN 'sm7'
+    WHEN third = 'major' OR base LIKE '%m' THEN '7' ELSE 'm7' END) AS name, count(*) AS n FROM n GROUP BY ALL""")
 def chord_names(spark, sf_dir):
+    """Names from the table, and put together where the table has none."""
     pick = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), (k + 1).cast("int"))
     df = table(spark, sf_dir, "part").select(pick(["major", "minor", "neutral", "upmajor", "subminor"], F.col("p_partkey") % 5).alias("third"), pick(["perfect", "diminished", "augmented"], F.col("p_size") % 3).alias("fifth"), pick(["major", "minor", "neutral", "subminor", None], F.expr("p_partkey div 5") % 5).alias("seventh"))
-    named = df.withColumn("name", music.chord_name(F.col("third"), F.col("fifth"), F.col("seventh")))
-    known = dims.chord_table(spark)
-    hit = (named["third"] == known["third"]) & (named["fifth"] == known["fifth"]) & named["seventh"].eqNullSafe(known["seventh"])
-    return named.join(F.broadcast(known), hit, "left_semi").groupBy("third", "fifth", "seventh", "name").agg(F.count("*").alias("n"))
+    return df.groupBy("third", "fifth", "seventh", music.chord_name(F.col("third"), F.col("fifth"), F.col("seventh")).alias("name")).agg(F.count("*").alias("n"))
 
 
 @query("q_pitch_arithmetic", """SELECT (p_partkey % 530)::INTEGER AS step, round(440.0::DOUBLE * pow(2, (p_partkey % 530) / 53.0::DOUBLE - 69 / 12.0::DOUBLE), 6) AS hz, round(pow(2, (p_partkey % 530) / 53.0::DOUBLE), 6) AS ratio,
@@ -153,15 +153,19 @@ def transposed_notes(spark, sf_dir):
     return df.groupBy("note", "key", spelling.transposed(F.col("note"), F.lit("C"), F.col("key")).alias("moved"), spelling.semitone(F.col("note")).alias("semitone")).agg(F.count("*").alias("n"))
 
 
-@query("q_chord_symbols", r"""WITH s AS (SELECT (['Cmaj7/E', 'F#m7b5', 'Bbdom7', 'Am7add9', 'G', 'D/F#'])[(p_partkey % 6 + 1)::INTEGER] AS symbol FROM part)
-SELECT symbol, regexp_extract(split_part(symbol, '/', 1), '^([A-G](?:##|bb|#|b)?)((?:maj7|maj|min|m7b5|m7|m|dim7|dim|aug|dom7|sus[24]|7|6)?)(.*)$', 1) AS root,
-    regexp_extract(split_part(symbol, '/', 1), '^([A-G](?:##|bb|#|b)?)((?:maj7|maj|min|m7b5|m7|m|dim7|dim|aug|dom7|sus[24]|7|6)?)(.*)$', 2) AS nature,
-    regexp_extract(split_part(symbol, '/', 1), '^([A-G](?:##|bb|#|b)?)((?:maj7|maj|min|m7b5|m7|m|dim7|dim|aug|dom7|sus[24]|7|6)?)(.*)$', 3) AS extension, nullif(split_part(symbol, '/', 2), '') AS bass, count(*) AS n FROM s GROUP BY ALL""")
+SYMBOLS = ["Cmaj7/E", "F#m7b5", "Bbdom7", "Am7 add 9", "G", "D/F#", "Cm7b5", "Ebb maj7 add 9 alter b5", "Abbbm"]
+ROOT_SIZE_SQL = "CASE WHEN contains(substr({0}, 2), '###') OR contains(substr({0}, 2), 'bbb') THEN 4 WHEN contains(substr({0}, 2), '##') OR contains(substr({0}, 2), 'bb') THEN 3 WHEN contains(substr({0}, 2), '#') OR contains(substr({0}, 2), 'b') THEN 2 ELSE 1 END"
+
+
+@query("q_chord_symbols", f"""WITH s AS (SELECT ({SYMBOLS!r})[(p_partkey % {len(SYMBOLS)} + 1)::INTEGER] AS symbol, count(*) AS n FROM part GROUP BY 1), h AS (
+    SELECT *, split_part(symbol, '/', 1) AS chord, nullif(split_part(symbol, '/', 2), '') AS bass, split_part(split_part(symbol, '/', 1), ' ', 1) AS head FROM s)
+SELECT symbol, substr(head, 1, {ROOT_SIZE_SQL.format('head')}) AS root, substr(head, {ROOT_SIZE_SQL.format('head')} + 1) AS nature, substr(chord, length(head) + 2) AS extension, bass, n FROM h""")
 def chord_symbols(spark, sf_dir):
-    symbol = F.element_at(F.array(*[F.lit(x) for x in ("Cmaj7/E", "F#m7b5", "Bbdom7", "Am7add9", "G", "D/F#")]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    symbol = F.element_at(F.array(*[F.lit(x) for x in SYMBOLS]), (F.col("p_partkey") % len(SYMBOLS) + 1).cast("int"))
     df = table(spark, sf_dir, "part").select(symbol.alias("symbol")).groupBy("symbol").agg(F.count("*").alias("n"))
-    c = spelling.split_chord(F.col("symbol"))
-    return df.select("symbol", c["root"].alias("root"), c["nature"].alias("nature"), c["extension"].alias("extension"), spelling.split_slash(F.col("symbol"))["bass"].alias("bass"), "n")
+    slash = spelling.split_slash(F.col("symbol"))
+    c = spelling.split_chord(slash["chord"])
+    return df.select("symbol", c["root"].alias("root"), c["nature"].alias("nature"), c["extension"].alias("extension"), slash["bass"].alias("bass"), "n")
 
 
 @query("q_form_labels", """WITH s AS (SELECT (['Form_A', 'form_intro', 'IN', 'Outro', 'Form_X', 'segno', 'Form_Head'])[(p_partkey % 7 + 1)::INTEGER] AS raw FROM part)
@@ -172,11 +176,11 @@ def form_labels(spark, sf_dir):
     return table(spark, sf_dir, "part").select(raw.alias("raw")).groupBy("raw", music.form_label(F.col("raw")).alias("form")).agg(F.count("*").alias("n"))
 
 
-@query("q_roughness", f"""WITH {LINES_SQL}, p AS (SELECT l_orderkey, 100 + l_partkey % 900 AS f, 1 / (1 + pos)::DOUBLE AS a, row_number() OVER (PARTITION BY l_orderkey ORDER BY 100 + l_partkey % 900, 1 / (1 + pos)::DOUBLE) AS k FROM lines WHERE pos < 6), d AS (
+@query("q_roughness", f"""WITH {LINES_SQL}, p AS (SELECT l_orderkey, 100 + l_partkey % 900 AS f, 1 / (1 + pos)::DOUBLE AS a, row_number() OVER (PARTITION BY l_orderkey ORDER BY 100 + l_partkey % 900, 1 / (1 + pos)::DOUBLE) AS k FROM lines), d AS (
     SELECT x.l_orderkey, least(x.a, y.a) * (5 * exp(-3.51 * s) - 5 * exp(-5.75 * s)) AS v FROM p x JOIN p y ON x.l_orderkey = y.l_orderkey AND x.k < y.k, LATERAL (SELECT 0.24 / (0.0207 * x.f + 18.96) * (y.f - x.f) AS s)
 ) SELECT p.l_orderkey, round(coalesce(sum(v), 0), 6) AS roughness FROM (SELECT DISTINCT l_orderkey FROM p) p LEFT JOIN d USING (l_orderkey) GROUP BY 1""")
 def roughness(spark, sf_dir):
-    df = lines(spark, sf_dir).where("pos < 6").select("l_orderkey", (F.col("l_partkey") % 900 + 100).alias("f"), (F.lit(1.0) / (F.col("pos") + 1)).alias("a"))
+    df = lines(spark, sf_dir).select("l_orderkey", (F.col("l_partkey") % 900 + 100).alias("f"), (F.lit(1.0) / (F.col("pos") + 1)).alias("a"))
     return quality.roughness(df, ["l_orderkey"], "f", "a").select("l_orderkey", F.round("roughness", 6).alias("roughness"))
 
 
@@ -185,9 +189,3 @@ def roughness(spark, sf_dir):
 def learning_rate(spark, sf_dir):
     step = (F.col("p_partkey") % 3000).cast("int")
     return table(spark, sf_dir, "part").groupBy(step.alias("step"), F.round(music.learning_rate(step, 6e-4, 6e-5, 200, 2500), 9).alias("rate")).agg(F.count("*").alias("n"))
-
-
-@query("q_cents_table", """SELECT p_size % 12 AS pc, round(avg(CASE WHEN p_type = 'PROMO' THEN p_retailprice END), 6) AS promo, round(avg(CASE WHEN p_type = 'SMALL' THEN p_retailprice END), 6) AS small FROM part GROUP BY 1""")
-def cents_table(spark, sf_dir):
-    made = table(spark, sf_dir, "part").groupBy((F.col("p_size") % 12).alias("pc")).pivot("p_type", ["PROMO", "SMALL"]).agg(F.avg("p_retailprice"))
-    return made.select("pc", F.round("PROMO", 6).alias("promo"), F.round("SMALL", 6).alias("small"))

@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ostinato.functions import dims, music
+from ostinato.functions.batches import bounded
 
 # Accidentals by alteration, and tokens that stand for bars.
 ALTERATIONS = {-2: "bb", -1: "b", 0: "", 1: "#", 2: "##"}
@@ -30,11 +31,11 @@ def _map_files(files: DataFrame, parse, schema: str) -> DataFrame:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     rows = [r | {"path": path} for r in parse(content)]
-                except (ValueError, SyntaxError, AttributeError, ET.ParseError) as e:
+                except (ValueError, SyntaxError, AttributeError, RecursionError, MemoryError, ET.ParseError) as e:
                     rows = [{"path": path, "error": f"{type(e).__name__}: {e}"[:200]}]
                 yield pa.RecordBatch.from_pylist([dict.fromkeys(to.names) | r for r in rows], schema=to)
 
-    return files.mapInArrow(run, schema)
+    return bounded(files).mapInArrow(run, schema)
 
 
 # --- MusicXML
@@ -92,10 +93,18 @@ def measure_rows(measure: ET.Element, divisions: int) -> Iterator[tuple[str, str
             yield "bar", ":|", 0.0
 
 
-def chart_rows(content: bytes) -> Iterator[dict]:
+def parsed_xml(content: bytes) -> ET.Element:
+    """The root of a document without namespaces. One that declares entities is refused: they could expand without bound."""
+    if b"<!ENTITY" in content:
+        raise ValueError("the document declares entities")
     root = ET.fromstring(content)  # noqa: S314
     for element in root.iter():
         element.tag = element.tag.rpartition("}")[2]
+    return root
+
+
+def chart_rows(content: bytes) -> Iterator[dict]:
+    root = parsed_xml(content)
     divisions = int(root.findtext(".//attributes/divisions") or 1)
     rows = (row for measure in root.findall(".//measure") for row in measure_rows(measure, divisions))
     for pos, (kind, token, duration) in enumerate(rows):
@@ -111,13 +120,24 @@ def read_charts(spark: SparkSession, folder: str, pattern: str = "*.{xml,musicxm
     return _map_files(_binary(spark, folder, pattern), chart_rows, CHART_ROWS)
 
 
+def harmony_rows(content: bytes) -> Iterator[dict]:
+    """Root, kind by name, kind as printed, and bass of every harmony, in order."""
+    spelled = lambda e, part: _altered(e.findtext(f"{part}/{part}-step"), e.findtext(f"{part}/{part}-alter")) if e.find(f"{part}/{part}-step") is not None else None
+    for nth, h in enumerate(parsed_xml(content).iter("harmony")):
+        kind = h.find("kind")
+        yield {"nth": nth, "root": spelled(h, "root"), "kind": (kind.text or "").strip() if kind is not None else "", "kind_text": kind.get("text", "") if kind is not None else "", "bass": spelled(h, "bass")}
+
+
+def read_harmonies(spark: SparkSession, folder: str, pattern: str = "*.{xml,musicxml}") -> DataFrame:
+    """(path, nth, root, kind, kind_text, bass, error): the harmonies of every chart alone."""
+    return _map_files(_binary(spark, folder, pattern), harmony_rows, "path string, nth int, root string, kind string, kind_text string, bass string, error string")
+
+
 META_ROWS = "path string, song_name string, composer string, style string, midi_key int, total double, bars int, software string, encoding_date string, error string"
 
 
 def _meta(content: bytes) -> Iterator[dict]:
-    root = ET.fromstring(content)  # noqa: S314
-    for element in root.iter():
-        element.tag = element.tag.rpartition("}")[2]
+    root = parsed_xml(content)
     divisions = int(root.findtext(".//attributes/divisions") or 1)
     creator = {c.get("type"): c.text for c in root.iter("creator")}
     total = sum(int(n.findtext("duration") or 0) / divisions for n in root.iter("note"))
@@ -150,6 +170,12 @@ def read_sidecars(spark: SparkSession, folder: str, pattern: str = "*.txt") -> D
     return _map_files(files.select(F.col("_metadata.file_path").alias("path"), "value"), sidecar_tokens, "path string, pos int, token string, error string")
 
 
+def token_lists(tokens: DataFrame) -> DataFrame:
+    """(path, tokens) of read_sidecars, in order; null where a file couldn't be read."""
+    grouped = tokens.groupBy("path").agg(F.max("error").alias("_e"), F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_t"))
+    return grouped.select("path", F.when(F.col("_e").isNull(), F.transform("_t", lambda r: r["token"])).alias("tokens"))
+
+
 def is_stop(token: Column) -> Column:
     """Whether a token ends the extensions of a chord."""
     return token.isin(".", "/", *BARS, *SKIPPED_BARS, *dims.RAW_FORMS) | token.rlike(r"^Repeat_\d+$")
@@ -243,3 +269,32 @@ SONG_SCHEMA = "file string, type_label string, style_label string, token_ids arr
 def read_songs(spark: SparkSession, folder: str) -> DataFrame:
     """Songs of one JSON file each; unreadable ones have their text in ``_corrupt_record``."""
     return spark.read.schema(f"{SONG_SCHEMA}, _corrupt_record string").json(folder, mode="PERMISSIVE", multiLine=True)
+
+
+META_SCHEMA = "song_name string, composer string, style string, tonality string, midi_key int, time_signature string, decade string, _corrupt_record string"
+
+
+def read_song_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, metadata) of one JSON file for each song; unreadable ones are left to the caller by ``_corrupt_record``."""
+    rows = spark.read.schema(META_SCHEMA).option("recursiveFileLookup", "true").json(folder, mode="PERMISSIVE", multiLine=True)
+    return rows.select(F.col("_metadata.file_path").alias("path"), "*")
+
+
+def style_map(metadata: DataFrame) -> DataFrame:
+    """(name, style) of readable metadata by normalised song name; of several files the last by path counts."""
+    from ostinato.operators.joins import normalised_name
+
+    readable = metadata.where("_corrupt_record is null and song_name is not null")
+    return readable.groupBy(normalised_name(F.col("song_name")).alias("name")).agg(F.max_by("style", "path").alias("style"))
+
+
+def parallel_path(path: Column, source: str, target: str, extension: str) -> Column:
+    """The file of the same stem in a parallel folder, with another extension."""
+    return F.regexp_replace(F.replace(path, F.lit(f"/{source}/"), F.lit(f"/{target}/")), r"\.[^./]+$", extension)
+
+
+def with_parallel_metadata(files: DataFrame, metadata: DataFrame, source: str, target: str, **defaults) -> DataFrame:
+    """Files with the metadata of their parallel sidecar (path, columns named in ``defaults``); defaults where there is none."""
+    own = metadata.select(F.col("path").alias("_meta_path"), *[F.col(c).alias(f"_m_{c}") for c in defaults])
+    joined = files.join(own, parallel_path(F.col("path"), source, target, ".json") == F.col("_meta_path"), "left")
+    return joined.withColumns({c: F.coalesce(f"_m_{c}", F.lit(v)) for c, v in defaults.items()}).drop("_meta_path", *[f"_m_{c}" for c in defaults])

@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ostinato.functions import music
+from ostinato.functions.batches import bounded
 from ostinato.operators import sequence
 
 MESSAGES = "path string, track int, seq int, tick long, type string, channel int, note int, velocity int, bend int, ticks_per_beat int, error string"
@@ -95,7 +96,7 @@ def read_messages(spark: SparkSession, folder: str, pattern: str = "*.mid") -> D
                 yield pa.RecordBatch.from_pylist([dict.fromkeys(to.names) | r for r in rows], schema=to)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", "content").mapInArrow(run, MESSAGES)
+    return bounded(files.select("path", "content")).mapInArrow(run, MESSAGES)
 
 
 def notes(rows: DataFrame, full_scale: int = 8191) -> DataFrame:
@@ -122,6 +123,30 @@ def chords(rows: DataFrame, speed: float = 1.0) -> DataFrame:
     return sequence.clip_to_next(made, ["path"], ["onset"], "onset", "duration")
 
 
+def exact_chords(rows: DataFrame, track: int = 1, full_scale: int = 8192) -> DataFrame:
+    """(path, tick, steps) of one track: the steps that begin at the same tick, with the bend of their channel."""
+    order, key = ["seq"], ["path", "channel"]
+    own = rows.where("error is null").where(F.col("track") == track)
+    bent = own.withColumn("_bend", F.coalesce(F.last(F.when(F.col("type") == "bend", F.col("value")), ignorenulls=True).over(sequence.before_and_now(key, order)), F.lit(0)))
+    begins = bent.where("type = 'on'").withColumn("step", music.step_of_note(F.col("note"), F.col("_bend"), full_scale))
+    return begins.groupBy("path", "tick").agg(F.array_sort(F.collect_set("step")).alias("steps"))
+
+
+def bend_range_messages(channels: list[int] = list(range(1, 16)), semitones: int = 2) -> list[tuple[int, int, int]]:  # noqa: B006
+    """(channel, controller, value) that set the bend range of channels."""
+    return [(c, k, v) for c in channels for k, v in ((101, 0), (100, 0), (6, semitones), (38, 0), (101, 127), (100, 127))]
+
+
+def with_random_velocity(chords: DataFrame, key: list[str], seed: int = 42, least: int = 55, most: int = 85) -> DataFrame:
+    """Chords of (onset, duration, voicing) as (onset, duration, notes): velocities that are the same on each run.
+
+    Voicings are MIDI notes, 0 where a slot is empty.
+    """
+    notes = F.filter("voicing", lambda n: n > 0)
+    velocity = lambda n: (F.pmod(F.xxhash64(*[F.col(k) for k in key], F.col("onset"), n, F.lit(seed)), F.lit(most - least)) + least).cast("int")
+    return chords.withColumn("notes", F.transform(notes, lambda n: F.struct(F.rint(n * 53 / 12).cast("int").alias("step"), velocity(n).alias("velocity"))))
+
+
 def note_messages(df: DataFrame, key: list[str], ticks_per_beat: int = 480) -> DataFrame:
     """(key, nth, delta, type, channel, note, value) of chords (onset, duration, notes) in beats.
 
@@ -169,4 +194,4 @@ def as_files(df: DataFrame, key: str, ticks_per_beat: int = 480, bpm: float = 12
             content = [file_bytes(rows, ticks_per_beat, bpm) for rows in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(to.field(0).type), pa.array(content, pa.binary())], schema=to)
 
-    return grouped.mapInArrow(run, schema)
+    return bounded(grouped).mapInArrow(run, schema)

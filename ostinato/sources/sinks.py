@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,3 +68,60 @@ def write_sidecars(tokens: DataFrame, folder: str) -> None:
     """(type, song, pos, tok) as a text table, a line of JSON for each song, in a folder for each type."""
     lines = tokens.groupBy("type", "song").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda r: r["tok"]).alias("tokens"))
     lines.select("type", F.to_json(F.struct("song", "tokens")).alias("value")).write.mode("error").partitionBy("type").text(folder)
+
+
+def read_packed_sidecars(spark, folder: str) -> DataFrame:
+    """(type, song, pos, tok) of write_sidecars."""
+    lines = spark.read.option("basePath", folder).text(folder)
+    parsed = lines.select("type", F.from_json("value", "song string, tokens array<string>").alias("r"))
+    return parsed.select("type", "r.song", F.posexplode("r.tokens").alias("pos", "tok"))
+
+
+def write_vectors(vectors: DataFrame, folder: str, by: list[str] = []) -> None:  # noqa: B006
+    """(song, chord_idx, alpha, beta, gamma, d) as a table, in a folder for each value of ``by``; one write for all songs."""
+    kept = [*by, *[c for c in ("song", "chord_idx", "alpha", "beta", "gamma", "d") if c not in by]]
+    vectors.select(*kept).write.mode("error").partitionBy(*by).parquet(folder)
+
+
+def unwritten(work: DataFrame, folder: str, key: str) -> DataFrame:
+    """What of ``work`` is not in a table that was written before: a run that is begun again goes on from there."""
+    try:
+        done = work.sparkSession.read.parquet(folder).select(key).distinct()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # the folder isn't there on the first run
+            raise
+        return work
+    return work.join(done, key, "left_anti")
+
+
+def song_metadata(rows: DataFrame, name: str) -> DataFrame:
+    """(file, content): a JSON document for each row, in a file by its sanitised name."""
+    from ostinato.functions.spelling import safe_file_name
+
+    return rows.select(F.concat(safe_file_name(F.col(name)), F.lit(".json")).alias("file"), F.encode(F.to_json(F.struct(*rows.columns)), "utf-8").alias("content"))
+
+
+def write_song_metadata(rows: DataFrame, name: str, folder: str) -> DataFrame:
+    """(path, bytes) of the files to which song_metadata is written, when acted on; of equal names the last written stays."""
+    return write_files(song_metadata(rows, name), folder, "file", "content")
+
+
+def dataset_stats(tokens: DataFrame, key: str, token: str, top: int = 20) -> DataFrame:
+    """One row: songs, tokens, length statistics, distinct tokens and the most frequent ones."""
+    lengths = tokens.groupBy(key).agg(F.count("*").alias("n"))
+    counted = lengths.agg(F.count("*").alias("n_songs"), F.sum("n").alias("n_tokens"), F.min("n").alias("shortest"), F.max("n").alias("longest"), F.round(F.avg("n"), 1).alias("mean"))
+    distinct = tokens.agg(F.countDistinct(token).alias("n_distinct"))
+    best = quality.frequencies(tokens, token, top).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), F.col(token).alias("tok")))).alias("_b"))
+    return counted.crossJoin(distinct).crossJoin(best.select(F.transform("_b", lambda b: F.struct(b["tok"].alias("tok"), (-b["minus"]).alias("n"))).alias("top")))
+
+
+def clip_manifest(clips: DataFrame, ratings: DataFrame, key: str, group: str) -> DataFrame:
+    """(group, clips): nested clips with their ratings, by key, as one document for each group."""
+    rated = ratings.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*[c for c in ratings.columns if c != key]))).alias("ratings"))
+    rows = clips.join(rated, key, "left")
+    return rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(key, *[c for c in rows.columns if c not in (key, group)]))).alias("clips"))
+
+
+def write_json(df: DataFrame, folder: str) -> None:
+    """Rows as lines of JSON: samples, manifests and indexes."""
+    df.write.mode("error").json(folder)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ostinato.functions import dims, music, spelling
-from ostinato.operators import joins, quality, recurrent, sequence, splits
+from ostinato.operators import joins, quality, recurrent, sequence, splits, voicing
 
 # The scale of each type on C.
 SCALES = {
@@ -155,10 +155,10 @@ def test_roughness_does_not_depend_on_order(spark):
 
 def test_voices_take_the_nearest_voicing(spark):
     df = spark.createDataFrame([("s", i, r, q) for i, (r, q) in enumerate([(0, "maj7"), (9, "m7"), (2, "m7"), (7, "dom7")])], "song string, pos int, root int, quality string")
-    made = [r["voicing"] for r in recurrent.voice_lead(df, "song").orderBy("pos").collect()]
+    made = [r["voicing"] for r in voicing.voice_lead(df, "song").orderBy("pos").collect()]
     assert all(len(v) == 8 for v in made)
     for v, root, quality_ in zip(made, (0, 9, 2, 7), ("maj7", "m7", "m7", "dom7"), strict=True):
-        assert {n % 12 for n in v if n} == {(root + t) % 12 for t in recurrent.QUALITIES[quality_]}
+        assert {n % 12 for n in v if n} == {(root + t) % 12 for t in voicing.CLOSED[quality_]}
 
 
 def test_cleaning_merges_small_chords_and_cuts_tails(spark):
@@ -177,5 +177,5 @@ def test_charts_are_played_out(spark):
 def test_spelling(spark):
     assert column(spark, ["C", "F#", "Bb", "H"], "string", lambda v: spelling.transposed(v, F.lit("C"), F.lit("D"))) == ["D", "G#", "C", None]
     assert column(spark, ["C", "B#", "Db", "A"], "string", spelling.semitone) == [0, 0, 1, 9]
-    assert column(spark, [["C add 9", "m", "G alter b5 x"]], "array<string>", spelling.split_compound) == [["C", "add 9", "m", "G", "alter b5"]]
+    assert column(spark, [["C add 9", "m", "G alter b5 x"]], "array<string>", spelling.split_compound) == [["C", "add 9", "m", "G", "alter b5 x"]]
     assert tuple(column(spark, ["00001_My_Song_C_major_type_0_major"], "string", spelling.stem_parts)[0]) == (1, "My_Song", "C", "major", "type_0_major")
