@@ -40,7 +40,9 @@ def connected_components(edges: DataFrame, *, most_rounds: int = 60) -> DataFram
         # A node without smaller neighbours is its own minimum.
         large = with_least(both, "u", "v", "m").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         edges = cut(up(large))
-        small = with_least(edges, "u", "v", "m").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        # Only few links lead down from a node now: each of its smaller neighbours has given it the smallest that it knows.
+        least = edges.groupBy(F.col("u").alias("_key")).agg(F.min("v").alias("m"))
+        small = edges.join(least, F.col("u") == F.col("_key")).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = cut(up(small))
         after = _fingerprint(edges)
         if after == before:

@@ -2,10 +2,9 @@
 
 Documents with equal n-gram sets are one class from the start. The signature of a class is a path of MinHash values in each
 of several trees. A path is kept as a root, its first values, and a suffix whose order is that of the trie below the root.
-Matched prefixes are shortened value by value from whole paths: classes with a common prefix link to one of them, which
-alone goes on to the next shorter prefix. Each class has a floor of its own, the longest prefix by which all partners that
-a set of its size can have are found with the target probability; it leaves where its floor is reached. So links are stars
-at each node of the tries, not pairs, and rows become fewer from level to level.
+Matched prefixes are shortened value by value from whole paths to a floor that each set has of its own: the longest prefix
+by which all partners that a set of its size can have are found with the target probability. At each node of a trie the
+classes that stand there link to one of them, so links are stars, not pairs.
 
 The connected candidates are compared exactly: all pairs of a group, in cells of two bounded blocks each, of which only
 counts and a spanning forest leave the task.
@@ -15,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from functools import cache, reduce
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -116,20 +115,18 @@ def signatures(rows: DataFrame, words: int, threshold: float, trees: int, target
 def forest_links(classes: DataFrame, lowest: int, longest: int = LONGEST) -> DataFrame:
     """(u, v): stars that connect all classes of (key, floor, roots, suffixes) with a common prefix in some tree.
 
-    Prefixes are shortened from ``longest`` values to ``lowest``. At each length the rows of a node link to the one of
-    them with the lowest floor, so that this one, which takes the others' place at shorter prefixes, goes as far as any.
+    A row stands in the trie's nodes from its whole path of ``longest`` values up to the prefix at its floor, ``lowest`` or
+    more; those of one node link to the one of them with the lowest floor. Only rows whose root others share are in a trie.
     """
     path = F.explode(F.arrays_zip("roots", "suffixes")).alias("path")
     members = classes.select(F.struct("floor", "key").alias("own"), path).select("own", "path.roots", "path.suffixes").toDF("own", "root", "suffix")
     shared = members.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select(F.col("root").alias("r"))
-    active, bits = cut(members.join(shared, F.col("root") == F.col("r")).select("own", "root", "suffix")), suffix_bits(lowest, longest)
-    found = []
-    for length in range(longest, lowest - 1, -1):
-        node = F.xxhash64("root", F.shiftright("suffix", min(63, bits * (longest - length))))
-        marked = cut(with_least(active.where(F.col("own.floor") <= length).withColumn("node", node), "node", "own", "hub"))
-        found.append(marked.where("own <> hub").select(F.col("hub.key").alias("u"), F.col("own.key").alias("v")))
-        active = marked.where("own = hub").select("own", "root", "suffix")
-    return reduce(DataFrame.unionByName, found).distinct()
+    bits = suffix_bits(lowest, longest)
+    # A node's hash has the prefix only, whose length is told by the bits that are left of the suffix.
+    nodes = F.transform(F.sequence(F.col("own.floor"), F.lit(longest)), lambda length: F.xxhash64("root", length, F.call_function("shiftright", F.col("suffix"), F.least(F.lit(63), (F.lit(longest) - length) * bits))))
+    placed = cut(members.join(shared, F.col("root") == F.col("r")).select("own", F.explode(nodes).alias("node")))
+    linked = with_least(placed, "node", "own", "hub").where("own <> hub")
+    return linked.select(F.col("hub.key").alias("u"), F.col("own.key").alias("v")).distinct()
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
