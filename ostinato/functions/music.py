@@ -192,11 +192,8 @@ def form_label(raw: Column) -> Column:
 
 def semantic_step(step: Column) -> Column:
     """What a step above the root is called; ``step<n>`` where it has no name."""
-    folded = F.pmod(step, F.lit(dims.STEPS))
-    found = F.concat(F.lit("step"), folded.cast("string"))
-    for s, name in dims.SEMANTIC_STEPS.items():
-        found = F.when(folded == s, F.lit(name)).otherwise(found)
-    return F.when(step.isNotNull(), found)
+    names = F.array(*[F.lit(dims.SEMANTIC_STEPS.get(s, f"step{s}")) for s in range(dims.STEPS)])
+    return F.get(names, F.pmod(step, F.lit(dims.STEPS)).cast("int"))
 
 
 def chord_name(third: Column, fifth: Column, seventh: Column) -> Column:

@@ -52,9 +52,8 @@ def positional_split(df: DataFrame, key: list[str], order: list[str], n: int) ->
 
 
 def windowed_shuffle(df: DataFrame, ordinal: str, width: int, seed: int = 42) -> DataFrame:
-    """Adds ``shuffled``, an order in which runs of ``width`` rows stay together."""
-    run = F.floor(F.col(ordinal) / width)
-    return df.withColumn("_h", seeded(run, seed)).orderBy("_h", ordinal).drop("_h")
+    """Adds ``shuffled``: rows ordered by it and their ordinal are shuffled in runs of ``width`` that stay together."""
+    return df.withColumn("shuffled", seeded(F.floor(F.col(ordinal) / width).cast("long"), seed))
 
 
 def sample_per_group(df: DataFrame, group: str, key: str, n: int, seed: int = 7) -> DataFrame:
@@ -65,12 +64,13 @@ def sample_per_group(df: DataFrame, group: str, key: str, n: int, seed: int = 7)
 
 def random_batch(df: DataFrame, ordinal: str, total: int, size: int, seed: int) -> DataFrame:
     """``size`` draws with replacement from ordinals below ``total``."""
-    draws = df.sparkSession.range(size).select(F.col("id").alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)).alias(ordinal))
-    return F.broadcast(draws).join(df, ordinal) if size <= 100_000 else draws.join(df, ordinal)
+    draws = df.sparkSession.range(size).select(F.col("id").alias("draw"), F.pmod(seeded(F.col("id"), seed), F.lit(total)).alias(ordinal))
+    return draws.join(df, ordinal)
 
 
-def presentation_order(df: DataFrame, key: str, seed: int) -> DataFrame:
-    return df.orderBy(seeded(F.col(key), seed), key)
+def presentation_order(df: DataFrame, group: list[str], key: str, seed: int) -> DataFrame:
+    """Adds ``place``: a shuffled order within each group, such as the clips of a listener."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(seeded(F.col(key), seed), key)) - 1)
 
 
 def top_k_filter(df: DataFrame, group: list[str], score: str, k: int) -> DataFrame:
