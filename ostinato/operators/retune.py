@@ -122,6 +122,11 @@ def _own_channels(df: DataFrame, file: list[str], note: list[str], order: list[s
     return numbered.withColumn("_channel", F.coalesce("_turn", F.when(F.col("type") == "off", opened))).drop("_turn")
 
 
+def _value(df: DataFrame) -> Column:
+    """What a message that stays has: its velocity, or its bend where the table has bends."""
+    return (F.coalesce("velocity", "bend") if "bend" in df.columns else F.col("velocity")).cast("int")
+
+
 def _spread(df: DataFrame, parts: Column, file: list[str], order: list[str]) -> DataFrame:
     out = df.withColumn("_parts", parts).select(*file, *order, "tick", F.posexplode("_parts").alias("nth", "m"))
     return out.select(*file, *order, "nth", "tick", "m.type", "m.channel", "m.note", "m.value")
@@ -131,7 +136,8 @@ def retuned_by_scale(df: DataFrame, file: list[str], order: list[str], step: Col
     """(file, order, nth, tick, type, channel, note, value): messages retuned by the ``step`` of each note's pitch class.
 
     A bend stands before a beginning unless it is 0, and one of 0 after each end; an end without a beginning keeps its
-    channel; all other messages stay, with their note and velocity in ``value``. Velocity 0 ends a note.
+    channel; all other messages stay, with their velocity, or their ``bend`` if there are any, in ``value``. Velocity 0 ends
+    a note.
     """
     rows = df.withColumn("type", F.when((F.col("type") == "on") & (F.col("velocity") == 0), "off").otherwise(F.col("type")))
     rows = _own_channels(rows, file, ["note"], order)
@@ -143,7 +149,7 @@ def retuned_by_scale(df: DataFrame, file: list[str], order: list[str], step: Col
     begin = message("on", own, F.col("note"), F.col("velocity"))
     bent = F.when(bend != 0, F.array(message("bend", own, none, bend), begin)).otherwise(F.array(begin))
     ended = F.array(message("off", own, F.col("note"), F.col("velocity")), message("bend", own, none, zero))
-    same = F.array(F.struct("type", F.col("channel").cast("int").alias("channel"), F.col("note").cast("int").alias("note"), F.col("velocity").cast("int").alias("value")))
+    same = F.array(F.struct("type", F.col("channel").cast("int").alias("channel"), F.col("note").cast("int").alias("note"), _value(df).alias("value")))
     parts = F.when(F.col("type") == "on", bent).when(F.col("type") == "off", ended).otherwise(same)
     return _spread(rows, parts.cast(MESSAGE_TYPE), file, order)
 
@@ -165,7 +171,7 @@ def retuned_by_pattern(df: DataFrame, file: list[str], order: list[str], step: C
     own = F.coalesce("_channel", "channel")
     begin = F.array(message("bend", own, F.lit(None), bend), message("on", own, F.col("note"), F.col("velocity")))
     ended = F.array(message("off", own, F.col("note"), F.col("velocity")))
-    same = F.array(F.struct("type", F.col("channel").cast("int").alias("channel"), F.col("note").cast("int").alias("note"), F.col("velocity").cast("int").alias("value")))
+    same = F.array(F.struct("type", F.col("channel").cast("int").alias("channel"), F.col("note").cast("int").alias("note"), _value(df).alias("value")))
     return _spread(rows, F.when(F.col("type") == "on", begin).when(F.col("type") == "off", ended).otherwise(same).cast(MESSAGE_TYPE), file, order)
 
 

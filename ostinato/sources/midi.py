@@ -127,7 +127,7 @@ def exact_chords(rows: DataFrame, track: int = 1, full_scale: int = 8192) -> Dat
     """(path, tick, steps) of one track: the steps that begin at the same tick, with the bend of their channel."""
     order, key = ["seq"], ["path", "channel"]
     own = rows.where("error is null").where(F.col("track") == track)
-    bent = own.withColumn("_bend", F.coalesce(F.last(F.when(F.col("type") == "bend", F.col("value")), ignorenulls=True).over(sequence.before_and_now(key, order)), F.lit(0)))
+    bent = own.withColumn("_bend", F.coalesce(F.last("bend", ignorenulls=True).over(sequence.before_and_now(key, order)), F.lit(0)))
     begins = bent.where("type = 'on'").withColumn("step", music.step_of_note(F.col("note"), F.col("_bend"), full_scale))
     return begins.groupBy("path", "tick").agg(F.array_sort(F.collect_set("step")).alias("steps"))
 
@@ -184,9 +184,11 @@ def file_bytes(rows: list[dict], ticks_per_beat: int = 480, bpm: float = 120.0)
 
 def as_files(df: DataFrame, key: str, ticks_per_beat: int = 480, bpm: float = 120.0) -> DataFrame:
     """(key, content): the bytes of a file for each sequence of chords."""
-    rows = note_messages(df, [key], ticks_per_beat)
-    grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("nth", "delta", "type", "channel", "note", "value"))).alias("rows"))
-    schema = f"{key} {df.schema[key].dataType.simpleString()}, content binary"
+    return messages_as_files(note_messages(df, [key], ticks_per_beat), key, ticks_per_beat, bpm)
+
+
+def _files(grouped: DataFrame, key: str, kind: str, ticks_per_beat: int, bpm: float) -> DataFrame:
+    schema = f"{key} {kind}, content binary"
     to = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,3 +197,9 @@ def as_files(df: DataFrame, key: str, ticks_per_beat: int = 480, bpm: float = 12
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(to.field(0).type), pa.array(content, pa.binary())], schema=to)
 
     return bounded(grouped).mapInArrow(run, schema)
+
+
+def messages_as_files(rows: DataFrame, key: str, ticks_per_beat: int = 480, bpm: float = 120.0) -> DataFrame:
+    """(key, content): the bytes of a file for each sequence of messages (key, nth, delta, type, channel, note, value)."""
+    grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("nth", "delta", "type", "channel", "note", "value"))).alias("rows"))
+    return _files(grouped, key, rows.schema[key].dataType.simpleString(), ticks_per_beat, bpm)

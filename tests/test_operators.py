@@ -5,8 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from ostinato.functions import dims, music, spelling
-from ostinato.operators import joins, quality, recurrent, sequence, splits, voicing
+from ostinato.functions import dims, dissonance, music, spelling
+from ostinato.operators import joins, quality, recurrent, relabel, retune, sequence, splits, streams, voicing
 
 # The scale of each type on C.
 SCALES = {
@@ -179,3 +179,155 @@ def test_spelling(spark):
     assert column(spark, ["C", "B#", "Db", "A"], "string", spelling.semitone) == [0, 0, 1, 9]
     assert column(spark, [["C add 9", "m", "G alter b5 x"]], "array<string>", spelling.split_compound) == [["C", "add 9", "m", "G", "alter b5 x"]]
     assert tuple(column(spark, ["00001_My_Song_C_major_type_0_major"], "string", spelling.stem_parts)[0]) == (1, "My_Song", "C", "major", "type_0_major")
+
+
+def test_candidates_are_clear_and_hold_the_chord():
+    for root in range(42, 57):
+        for quality_, stack in voicing.CLOSED.items():
+            for v in voicing.candidates(root, quality_):
+                assert {n % 12 for n in v} == {(root + t) % 12 for t in stack} and voicing.is_clear(list(v)) and v[0] % 12 == root % 12 and min(v) == v[0]
+    assert voicing.candidates(48, voicing.NO_CHORD) == ()
+    assert not voicing.is_clear([20, 60]) and not voicing.is_clear([40, 44]) and voicing.is_clear([40, 45]) and voicing.is_clear([40, 40])
+
+
+def test_movement_takes_each_voice_once():
+    assert voicing.movement([48, 52, 55], [48, 52, 55]) == 0
+    assert voicing.movement([48, 60], [49, 50]) == 1 + 10
+    assert voicing.movement([48], [48, 50]) == float("inf")
+    assert voicing.movement_by_octaves([48, 52], [60, 64]) == 0
+
+
+def test_voiced_charts(spark):
+    def voice(text):
+        rows = voicing.voice_charts(spark.createDataFrame([("s", i, t) for i, t in enumerate(text.split("_"))], "song string, pos int, tok string"), "song").orderBy("chord").collect()
+        return [(r["voicing"], r["duration"], r["label"]) for r in rows]
+
+    (plain,) = voice("._4.0_C_maj7")
+    assert plain == ([48, 55, 60, 64, 71, 0, 0, 0], 4.0, "maj7")
+    (more,) = voice("._4.0_C_maj7_add 9_alter b5")
+    assert more[0] == [48, 54, 60, 64, 71, 62, 0, 0]
+    (slash,) = voice("._2.0_C_maj7_/_E")
+    assert slash == ([40, 48, 55, 60, 71, 0, 0, 0], 2.0, "E")
+    (root,) = voice("._1.0_G")
+    assert root[0] == [43, 0, 0, 0, 0, 0, 0, 0]
+    assert voice("|_Form_A_.") == []
+    two = voice("._4.0_C_maj7_._4.0_C_maj7")
+    assert two[0][0] == two[1][0]
+
+
+def test_contradicting_qualities():
+    assert recurrent.without_contradictions([".", "4.0", "C", "dom7", "sus7", "add b9", "|"]) == [".", "4.0", "C", "sus7", "add b9", "|"]
+    assert recurrent.without_contradictions([".", "4.0", "C", "dom7", "add 9", "sus7", "|"]) == [".", "4.0", "C", "dom7", "add 9", "|"]
+    # Of four it is the right neighbour that goes.
+    assert recurrent.without_contradictions([".", "4.0", "C", "dom7", "add 9", "add #5", "add b9", "|"]) == [".", "4.0", "C", "dom7", "add 9", "add b9", "|"]
+    assert recurrent.without_contradictions(["C", "dom7"]) == ["C", "dom7"]
+
+
+def test_patterns():
+    assert retune.pattern_scale([9, 9, 4, 9, 9, 9, 4]) == [0, 4, 9, 13, 18, 22, 26, 31, 35, 40, 44, 49]
+    assert retune.pattern_scale([9, 9, 4, 9, 9, 9, 4], 1.0)[1] == 9
+    for bad in ([9] * 7, [53]):
+        with pytest.raises(ValueError, match="seven distances"):
+            retune.pattern_scale(bad)
+
+
+def test_patterns_that_are_done_are_left_out(spark):
+    messages = spark.createDataFrame([("f", 0, 0, 0, "on", 0, 60, 9), ("f", 0, 1, 5, "off", 0, 60, 0)], "file string, track int, seq int, tick long, type string, channel int, note int, velocity int")
+    patterns = retune.pattern_table(spark, {"a": [9, 9, 4, 9, 9, 9, 4], "b": [9, 8, 5, 9, 8, 9, 5]})
+    done = spark.createDataFrame([("f", "a")], "file string, pattern string")
+    made = retune.all_patterns(messages, patterns, "file", ["track", "seq"], done).collect()
+    assert {r["pattern"] for r in made} == {"b"} and len(made) == 3
+
+
+def test_an_end_takes_the_channel_of_its_own_beginning(spark):
+    rows = [(0, "on", 60, 9), (1, "on", 64, 9), (2, "off", 60, 0), (3, "off", 60, 0), (4, "on", 64, 0)]
+    df = spark.createDataFrame([("f", i, i, k, 7, n, v) for i, k, n, v in rows], "file string, seq int, tick int, type string, channel int, note int, velocity int")
+    made = retune.retuned_by_scale(df, ["file"], ["seq"], F.lit(0) + F.when(F.col("note") == 64, 18).otherwise(0)).orderBy("seq", "nth").collect()
+    assert [(r["seq"], r["type"], r["channel"], r["value"]) for r in made] == [
+        (0, "on", 1, 9), (1, "bend", 2, 309), (1, "on", 2, 9), (2, "off", 1, 0), (2, "bend", 1, 0), (3, "off", 7, 0), (3, "bend", 7, 0), (4, "off", 2, 0), (4, "bend", 2, 0),
+    ]
+
+
+def test_relabelling_by_neighbours(spark):
+    dim = relabel.name_dim(spark).cache()
+
+    def run(text, f=relabel.relabelled, d=dim):
+        df = stream(spark, text).withColumn("type", F.lit("type_0_major")).withColumn("tonic", F.lit(0))
+        return " ".join(r["tok"] for r in f(df, ["song"], d).orderBy("pos").collect())
+
+    assert run(". 4.0 C maj7 | . 4.0 G dom7 / G | . 4.0 C Form_A") == ". 4.0 C maj7 | . 4.0 G 7 / G | . 4.0 C Form_A"
+    assert run(". 4.0 C |").startswith(". 4.0 C") and run("/ C C maj").startswith("/ C C")
+    assert run("N.C. <style> x 2.0") == "N.C. <style> x 2.0"
+    older = relabel.name_dim(spark, unnamed=True).cache()
+    # Of roots in a row every second one is a quality and goes.
+    assert [t for t in run("C G C |", relabel.relabelled_by_text, older).split(" ") if t in dims.NOTE_NAMES] == ["C", "C"]
+    assert len({(r["type"], r["tonic"]) for r in dim.select("type", "tonic").distinct().collect()}) == 168
+
+
+def test_dissonance_has_no_order_and_interpolates(spark):
+    d = lambda a, b, g: spark.range(1).select(dissonance.dissonance_of_ratios(F.lit(a), F.lit(b), F.lit(g)).alias("d")).first()["d"]
+    assert d(1.2, 1.5, 1.8) == pytest.approx(d(1.8, 1.2, 1.5)) == pytest.approx(d(1.5, 1.8, 1.2))
+    dim = {(r["third"], r["fifth"], r["seventh"]): r["d"] for r in dissonance.dissonance_dim(spark).collect()}
+    assert len(dim) == 396
+    assert dim[18, 31, 49] == pytest.approx(d(2 ** (18 / 53), 2 ** (31 / 53), 2 ** (49 / 53)), abs=1.0)
+    assert dim[None, 31, None] == pytest.approx(d(1.0, 2 ** (31 / 53), 2 ** (31 / 53)), abs=1.0)
+    points = spark.createDataFrame([(0, 1.0, 1.5, 2.0), (1, 0.9, 1.0, 1.0)], "k int, alpha double, beta double, gamma double")
+    found = {r["k"]: r["d"] for r in dissonance.interpolated(points, dissonance.dissonance_map(spark, 5), ["k"], 5, -1.0).collect()}
+    assert found[0] == pytest.approx(d(1.0, 1.5, 2.0)) and found[1] == -1.0
+    assert len(dissonance.reference_chords()) == 190 and len({n for n, *_ in dissonance.reference_chords()}) > 180
+
+
+def test_songs_whose_counts_differ_are_set_aside(spark):
+    symbols = spark.createDataFrame([("a", 0, "C"), ("b", 0, "C"), ("b", 1, "X")], "song string, chord_idx int, root string")
+    chords = spark.createDataFrame([("a", 0, [106, 124]), ("a", 1, [106]), ("b", 0, [106, 124, 137]), ("b", 1, [110, 128])], "song string, chord_idx int, steps array<int>")
+    made, odd = streams.sidecar_vectors(symbols, chords, ["song"], dims.note_table(spark), dissonance.dissonance_dim(spark))
+    assert [r["song"] for r in odd.collect()] == ["a"]
+    rows = {r["chord_idx"]: r["alpha"] for r in made.collect()}
+    assert rows == {0: pytest.approx(2 ** (18 / 53)), 1: pytest.approx(2 ** (18 / 53))}
+
+
+def test_vectors_of_a_stream_that_is_not_at_its_end(spark):
+    dim = dissonance.dissonance_dim(spark)
+    df = stream(spark, "<start> CHORD_START DUR_1.0 PV_106_3 PV_124_3 CHORD_END BAR CHORD_START PV_106_1")
+    rows = streams.token_vectors(df, ["song"], dim).orderBy("pos").collect()
+    assert [r["alpha"] > 1.1 for r in rows] == [False, True, True, True, True, True, False, False, False]
+    assert (rows[0]["alpha"], rows[0]["beta"], rows[0]["gamma"], rows[0]["d"]) == streams.DEFAULT_VECTOR
+    prior = streams.vector_prior(streams.token_vectors(df, ["song"], dim), "song", "tok", ["alpha", "beta"])
+    assert prior.count() == 2 and streams.drawn_vectors(prior, ["song", "alpha"], 20).count() == 20
+
+
+def test_two_levels_with_odd_streams(spark):
+    df = stream(spark, "x . DUR_2.0 R_C CHORD_START PV_1_2 CHORD_END CHORD_START PV_9_9 CHORD_END | . R_D Q_m / R_A R_E")
+    rows = streams.both_levels(df, ["song"]).orderBy("chord").collect()
+    assert [(r["root"], r["quality"], r["bass"], r["duration"], r["pitches"]) for r in rows] == [("C", None, None, 2.0, [1]), ("D", "m", "A", None, [])]
+
+
+def test_whole_songs(spark):
+    notes = "array<struct<step: int, velocity: int>>"
+    df = spark.createDataFrame([("s", float(4 * i), 4.0, [(110 + k + i, 80) for k in range(0, 60, 18)]) for i in range(3)], f"song string, onset double, duration double, notes {notes}")
+    made, odd = streams.preprocessed_songs(df, "song", spark.createDataFrame([], "song string, type_label string, style_label string"), dissonance.dissonance_dim(spark))
+    assert odd.count() == 0 and made.where("tok = 'CHORD_START'").count() == 3 and made.select("type_label").distinct().collect()[0][0] == "unknown"
+    own, others = [(1, 9), (5, 9)], [(5, 1), (3, 1)]
+    merged = spark.createDataFrame([(own, others)], f"a {notes}, b {notes}").select(streams.merged_steps(F.col("a"), F.col("b")).alias("m")).first()["m"]
+    assert [tuple(n) for n in merged] == [(1, 9), (3, 1), (5, 9)]
+
+
+def test_vocabularies(spark):
+    vocabulary = spark.createDataFrame([("a", 1), ("b", 2)], "tok string, id int")
+    df = stream(spark, "a b z")
+    assert [r["id"] for r in joins.encoded(df, vocabulary).orderBy("pos").collect()] == [1, 2, 0]
+    with pytest.raises(Exception, match="not in the vocabulary: z"):
+        joins.encoded_strictly(df, vocabulary).collect()
+    ids = spark.createDataFrame([(1,), (9,)], "id int")
+    assert sorted(r["tok"] for r in joins.decoded(ids, vocabulary).collect()) == ["<pad>", "a"]
+    kept, unknown = joins.known_tokens(df, vocabulary)
+    assert kept.count() == 2 and [tuple(r) for r in unknown.collect()] == [("z", 1)]
+
+
+def test_splits_are_exact_at_every_ratio(spark):
+    df = spark.range(1000).withColumnRenamed("id", "song")
+    for ratio in (0.0, 0.001, 0.1, 0.5, 1.0):
+        assert splits.exact_split(df, "song", ratio).where("split = 'validation'").count() == max(1, int(1000 * ratio))
+    made = splits.positional_split(spark.createDataFrame([("a", i) for i in range(5)] + [("b", 1)], "k string, i int"), ["k"], ["i"], 3)
+    assert sorted(tuple(r) for r in made.collect()) == [("a", 0, "first"), ("a", 1, "first"), ("a", 2, "first"), ("a", 3, "second"), ("a", 4, "second"), ("b", 1, "first")]
+    assert spark.range(10).select(splits.seeded(F.col("id"), 1).alias("h")).distinct().count() == 10

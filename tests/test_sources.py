@@ -7,7 +7,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from ostinato.sources import charts, midi, sinks
+from ostinato.functions import dims
+from ostinato.plans import jobs
+from ostinato.sources import arrays, charts, midi, sinks
 from ostinato.streaming import spans
 
 NOTES = "array<struct<step: int, velocity: int>>"
@@ -124,3 +126,127 @@ def test_chords_of_a_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(tuple(r) for r in spark.sql("SELECT * FROM chords").collect()) == [("s", 0, "106 212"), ("s", 1, "300")]
+
+
+def test_raw_arrays_go_out_and_in(spark, tmp_path, monkeypatch):
+    rows = [(i, [i, 2 * i, 65535 - i]) for i in range(50)]
+    df = spark.createDataFrame(rows, "i int, v array<int>").repartition(3)
+    folder = f"file://{tmp_path}/raw"
+    assert sum(r["rows"] for r in arrays.write_raw(df, folder, "v", "uint16", 3).collect()) == 50
+    monkeypatch.setattr(arrays, "RANGE_BYTES", 24)
+    back = arrays.read_raw(spark, folder, "*.bin", "uint16", 3)
+    assert sorted(r["values"] for r in back.collect()) == sorted(v for _, v in rows)
+    assert back.select("path", "row").distinct().count() == 50
+    with pytest.raises(Exception, match="isn't a multiple"):
+        arrays.read_raw(spark, folder, "*.bin", "float32", 17).collect()
+    with pytest.raises(Exception, match="arrays of 2 numbers"):
+        arrays.write_raw(df, folder, "v", "uint16", 2).collect()
+
+
+def test_a_map_in_chunks(spark, tmp_path):
+    import numpy as np
+
+    values = np.arange(27, dtype=np.float32)
+    for k, part in enumerate((values[:10], values[10:])):
+        (tmp_path / f"harmonic-220Hz-3nodes-chunk{k}.bin").write_bytes(part.tobytes())
+    (tmp_path / "other.bin").write_bytes(b"1234")
+    rows = arrays.read_map(spark, f"file://{tmp_path}", 220, 3).collect()
+    assert {(r["i"], r["j"], r["k"]): r["d"] for r in rows} == {(i, j, k): float(9 * i + 3 * j + k) for i in range(3) for j in range(3) for k in range(3)}
+    listed = arrays.list_files(spark, f"file://{tmp_path}", "*.bin", limit=1, exclude="chunk0").collect()
+    assert [r["path"].rsplit("/", 1)[1] for r in listed] == ["harmonic-220Hz-3nodes-chunk1.bin"]
+
+
+def test_harmonies_alone_and_documents_with_entities(spark, tmp_path):
+    (tmp_path / "song.xml").write_text(CHART)
+    (tmp_path / "bomb.xml").write_text('<!DOCTYPE x [<!ENTITY a "b">]><x>&a;</x>')
+    rows = charts.read_harmonies(spark, f"file://{tmp_path}")
+    assert ["entities" in r["error"] for r in rows.where("error is not null").collect()] == [True]
+    assert [(r["root"], r["kind"], r["bass"]) for r in rows.where("error is null").orderBy("nth").collect()] == [("Bb", "dominant", "F"), ("C", "minor", None), ("D", "major", None)]
+
+
+def test_deeply_nested_sidecars_are_errors(spark, tmp_path):
+    (tmp_path / "deep.txt").write_text("[" * 100_000)
+    (tmp_path / "good.txt").write_text("['a', 'b']")
+    lists = {r["path"].rsplit("/", 1)[1]: r["tokens"] for r in charts.token_lists(charts.read_sidecars(spark, f"file://{tmp_path}")).collect()}
+    assert lists == {"deep.txt": None, "good.txt": ["a", "b"]}
+
+
+def test_song_metadata_and_parallel_sidecars(spark, tmp_path):
+    rows = spark.createDataFrame([("My Song: 1", "Jazz"), ("B/side", "Rock")], "song_name string, style string")
+    written = sinks.write_song_metadata(rows, "song_name", f"file://{tmp_path}/meta").collect()
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in written) == ["Bside.json", "My_Song_1.json"]
+    (tmp_path / "meta" / "bad.json").write_text("{")
+    found = charts.read_song_metadata(spark, f"file://{tmp_path}/meta").cache()
+    assert {tuple(r) for r in charts.style_map(found).collect()} == {("mysong1", "Jazz"), ("bside", "Rock")}
+    files = spark.createDataFrame([("/x/midi/My_Song_1.mid",), ("/x/midi/none.mid",)], "path string")
+    metadata = spark.createDataFrame([("/x/meta/My_Song_1.json", "Jazz")], "path string, style string")
+    assert sorted(r["style"] for r in charts.with_parallel_metadata(files, metadata, "midi", "meta", style="unknown").collect()) == ["Jazz", "unknown"]
+
+
+def test_exact_chords_and_random_velocities(spark):
+    rows = [("f", 1, 0, 0, "bend", 1, 0, 4096), ("f", 1, 1, 0, "on", 1, 60, None), ("f", 1, 2, 0, "on", 2, 64, None), ("f", 1, 3, 9, "on", 1, 60, None), ("f", 0, 0, 0, "on", 3, 50, None)]
+    df = spark.createDataFrame(rows, "path string, track int, seq int, tick long, type string, channel int, note int, bend int").withColumn("error", F.lit(None).cast("string"))
+    made = {r["tick"]: r["steps"] for r in midi.exact_chords(df).collect()}
+    assert made == {0: [round(60 * 53 / 12 + 53 / 12), round(64 * 53 / 12)], 9: [round(60 * 53 / 12 + 53 / 12)]}
+    voiced = spark.createDataFrame([("s", 0.0, 1.0, [48, 0, 55])], "song string, onset double, duration double, voicing array<int>")
+    notes = midi.with_random_velocity(voiced, ["song"]).first()["notes"]
+    assert [n["step"] for n in notes] == [212, 243] and all(55 <= n["velocity"] < 85 for n in notes)
+    assert notes == midi.with_random_velocity(voiced, ["song"]).first()["notes"]
+    assert len(midi.bend_range_messages()) == 90
+
+
+def test_stats_manifests_and_tables_that_go_on(spark, tmp_path):
+    tokens = spark.createDataFrame([("s", "a"), ("s", "b"), ("t", "a")], "song string, tok string")
+    (row,) = sinks.dataset_stats(tokens, "song", "tok").collect()
+    assert (row["n_songs"], row["n_tokens"], row["n_distinct"], [tuple(t) for t in row["top"]]) == (2, 3, 2, [("a", 2), ("b", 1)])
+    clips = spark.createDataFrame([("c1", "Jazz"), ("c2", "Jazz")], "clip string, style string")
+    ratings = spark.createDataFrame([("c1", 7.0), ("c1", 3.0)], "clip string, harmony double")
+    sinks.write_json(sinks.clip_manifest(clips, ratings, "clip", "style"), f"{tmp_path}/manifest")
+    (line,) = spark.read.text(f"{tmp_path}/manifest").collect()
+    assert json.loads(line["value"]) == {"style": "Jazz", "clips": [{"clip": "c1", "ratings": [{"harmony": 3.0}, {"harmony": 7.0}]}, {"clip": "c2"}]}
+    vectors = spark.createDataFrame([("s", 0, 1.0, 1.2, 1.5, 3.0)], "song string, chord_idx int, alpha double, beta double, gamma double, d double")
+    work = tokens.select("song").distinct()
+    assert sinks.unwritten(work, f"{tmp_path}/vectors", "song").count() == 2
+    sinks.write_vectors(vectors, f"{tmp_path}/vectors")
+    assert [r["song"] for r in sinks.unwritten(work, f"{tmp_path}/vectors", "song").collect()] == ["t"]
+    sinks.write_sidecars(spark.createDataFrame([("t1", "s", 1, "b"), ("t1", "s", 0, "a")], "type string, song string, pos int, tok string"), f"{tmp_path}/sidecars")
+    assert sorted(tuple(r) for r in sinks.read_packed_sidecars(spark, f"{tmp_path}/sidecars").collect()) == [("t1", "s", 0, "a"), ("t1", "s", 1, "b")]
+
+
+def test_whole_jobs_from_folders_to_tables(spark, tmp_path):
+    stems = ["00001_A_C_major_type_0_major", "00002_B_D_minor_type_1_minor", "00003_C_C_major_type_0_major"]
+    rows = [(s, float(4 * k), 4.0, [(212 + k, 64), (230 + k, 64), (243 + k, 64)]) for s in stems for k in range(2)]
+    chords = spark.createDataFrame(rows, f"song string, onset double, duration double, notes {NOTES}")
+    files = midi.as_files(chords, "song").withColumn("song", F.concat("song", F.lit(".mid")))
+    sinks.write_files(files, f"file://{tmp_path}/midi", "song", "content").collect()
+    (tmp_path / "text" / "type_0_major").mkdir(parents=True)
+    own = ["<style>", "Bossa Nova", "|:", ".", "4.0", "C", "maj7", "|", ".", "4.0", "^C", "", "add 9", ":|"]
+    for stem, tokens in ((stems[0], own), (stems[1], own[:7])):
+        (tmp_path / "text" / "type_0_major" / f"{stem}.txt").write_text(repr(tokens))
+    folders = (f"file://{tmp_path}/midi", f"file://{tmp_path}/text")
+    odd = jobs.build_vectors(spark, *folders, f"{tmp_path}/vectors")
+    assert {tuple(r) for r in odd.collect()} == {("counts differ", 1), ("no text", 1)}
+    vectors = spark.read.parquet(f"{tmp_path}/vectors")
+    assert sorted((r["song"], r["chord_idx"]) for r in vectors.collect()) == [(stems[0], 0), (stems[0], 1)]
+    merged, differ = jobs.merged_songs(spark, *folders)
+    assert [r["stem"] for r in differ.collect()] == [stems[1]]
+    tokens = merged.orderBy("pos").collect()
+    text = " ".join(r["tok"] for r in tokens)
+    assert text.startswith("|: . DUR_4.0 R_C Q_maj7 CHORD_START DUR_4.0 PV_212_") and " . DUR_4.0 R_^C X_add 9 CHORD_START" in text and text.endswith("CHORD_END :|")
+    assert [r["span"] for r in tokens][:2] == [-1, 0] and tokens[-1]["span"] == 1
+    vocabulary = merged.select("tok").distinct().withColumn("id", F.lit(7))
+    song_vectors = vectors.withColumnRenamed("song", "stem").withColumnRenamed("chord_idx", "span")
+    (meta,) = jobs.pack(merged, song_vectors, vocabulary, f"{tmp_path}/packed", length=8).collect()
+    packed = spark.read.parquet(f"{tmp_path}/packed").collect()
+    assert meta["n_sequences"] == len(packed) == -(-len(tokens) // 8) and all(len(r["values"]) == len(r["vectors"]) == 8 for r in packed)
+    assert sum(v == 7 for r in packed for v in r["values"]) == len(tokens) and {r["split"] for r in packed} == {"validation"}
+    retuned = jobs.retune_corpus(spark, folders[0])
+    assert retuned.where("type = 'on'").groupBy("scale_type").count().collect()[0]["count"] == 18 and retuned.select("scale_type").distinct().count() == len(dims.SCALES)
+    (tmp_path / "twelve").mkdir()
+    (tmp_path / "twelve" / "00001_A_C_major.txt").write_text(repr([".", "4.0", "C", "maj7", "/", "E"]))
+    (tmp_path / "twelve" / "00002_B_D_minor.txt").write_text("[")
+    made, report = jobs.relabel_corpus(spark, folders[0], f"file://{tmp_path}/twelve")
+    assert {tuple(r) for r in report.collect()} == {("written", 1), ("bad_text", 1), ("missing_text", 1)}
+    assert [r["tok"] for r in made.orderBy("pos").collect()] == [".", "4.0", "C", "maj7", "/", "E"]
+    again = jobs.build_vectors(spark, *folders, f"{tmp_path}/vectors")
+    assert {tuple(r) for r in again.collect()} <= {("counts differ", 1), ("no text", 1)} and spark.read.parquet(f"{tmp_path}/vectors").count() == 2
