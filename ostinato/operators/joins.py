@@ -126,6 +126,11 @@ def first_of_each(df: DataFrame, by: list[str], order: list) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def first_n_of_each(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
+    """The first rows of each group: a limit for each type of files."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
 # --- vocabularies
 
 

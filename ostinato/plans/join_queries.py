@@ -110,6 +110,11 @@ def first_of_type(spark, sf_dir):
     return joins.first_of_each(table(spark, sf_dir, "part"), ["p_type"], ["p_partkey"]).select("p_type", "p_partkey", "p_name")
 
 
+@query("q_first_n", "SELECT p_type, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice, p_partkey) AS r FROM part) WHERE r <= 5")
+def first_n(spark, sf_dir):
+    return joins.first_n_of_each(table(spark, sf_dir, "part"), ["p_type"], ["p_retailprice", "p_partkey"], 5).select("p_type", "p_partkey")
+
+
 @query("q_smallest_n", "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice, p_partkey LIMIT 10")
 def smallest_n(spark, sf_dir):
     return table(spark, sf_dir, "part").orderBy("p_retailprice", "p_partkey").select("p_partkey", "p_retailprice").limit(10)

@@ -169,9 +169,10 @@ def ngram_overlap(spark, sf_dir):
     """An extension: five-word runs that documents share with the benchmark, each counted once."""
 
     def grams(df, *keep):
-        w = F.split(F.lower("text"), " ")
+        # The words are a column of their own, so that a text is split once and not for each of its runs.
+        w = F.col("w")
         runs = F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.array_join(F.slice(w, i, 5), " "))
-        return df.where(F.size(w) >= 5).select(*keep, F.explode(F.array_distinct(runs)).alias("g")).distinct()
+        return df.select(*keep, F.split(F.lower("text"), " ").alias("w")).where(F.size(w) >= 5).select(*keep, F.explode(runs).alias("g")).distinct()
 
     hits = grams(table(spark, sf_dir, "documents"), "doc_id").join(grams(table(spark, sf_dir, "benchmark")), "g")
     return hits.groupBy("doc_id").agg(F.count("*").alias("n"))
