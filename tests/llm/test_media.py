@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import io
+import math
 import random
 import struct
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -254,3 +256,17 @@ def test_archives_on_disk_are_of_the_format(spark, tmp_path):
         assert frame.decompress(rest).startswith(b"WARC/1.1\r\n")
         rest, n = frame.unused_data, n + 1
     assert n == row["records"] == 40
+
+
+def test_features_are_those_of_plain_loops():
+    r = np.random.default_rng(6)
+    for n in (192, 192 * 5, 192 * 300):
+        data = bytes(r.integers(32, 120, n).astype(np.uint8))
+        mean = sum(data) / n
+        deviation = math.sqrt(sum((b - mean) ** 2 for b in data) / n)
+        entropy = -sum(c / n * math.log2(c / n) for c in Counter(data).values())
+        parts = [data[k * n // 64 : (k + 1) * n // 64] for k in range(64)]
+        bits = "".join("1" if sum(p) / len(p) > mean else "0" for p in parts)
+        made = dict(x.split("=") for x in tiff.feature(data, 3).split(";"))
+        assert (made["pages"], made["hash"]) == ("3", f"{int(bits, 2):016x}")
+        assert [float(made[k]) for k in ("mean", "deviation", "entropy")] == pytest.approx([mean, deviation, entropy], abs=1e-4)

@@ -474,3 +474,61 @@ def test_other_text_is_untouched(spark, docs, data):
             new_at = r["text"].index(tail, new_at) if span.startswith("address") and tail else new_at + int(b) - int(a)
         n += 1
     assert n > 3
+
+
+def test_novel_strings_are_those_of_a_plain_scan():
+    """Every run of candidate characters after a sensitive word, measured by compressors made for it alone."""
+    import lzma
+    import math
+    import string
+
+    import zstandard
+
+    r = random.Random(21)
+    novelty = secrets.Novelty()
+    dictionary = secrets.MONTHS + secrets.PROSE + secrets.IDENTIFIERS
+    letters = string.ascii_letters + string.digits + "+/_=-"
+
+    def packed(data: str) -> int:
+        primed = zstandard.ZstdCompressionDict(dictionary.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=9, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False).compress(data.encode()))
+
+    def adaptive(data: str) -> int:
+        return len(lzma.compress(data.encode(), lzma.FORMAT_RAW, filters=secrets.ADAPTIVE))
+
+    def plain(text: str) -> list[tuple[int, int]]:
+        found, at = [], 0
+        ends = [i + len(w) for w in secrets.HINTS for i in range(len(text)) if text[i : i + len(w)].lower() == w]
+        while at < len(text):
+            if text[at] not in letters:
+                at += 1
+                continue
+            end = at
+            while end < len(text) and text[end] in letters:
+                end += 1
+            # A run that a sensitive word begins counts from that word's end.
+            inside = [e for e in ends if at < e < end]
+            start = inside[0] if inside else at
+            if end - start >= secrets.LEAST_BYTES and any(0 <= start - e <= secrets.REACH for e in ends):
+                before, own, after = text[max(0, start - secrets.AROUND) : start], text[start:end], text[end : end + secrets.AROUND]
+                share = min(1, math.log2(len(set(own))) / 6) if len(own) >= secrets.LONG else 1
+                enough = packed(before + after + own) - packed(before + after) >= max(secrets.LEAST_BYTES, secrets.LEAST_RATIO * share * len(own))
+                word = text[at:end] if start > at else own
+                if enough and not any(c.isdigit() for c in own) and len(own) < secrets.LONG:
+                    enough = adaptive(dictionary + " " + word) - adaptive(dictionary + " ") >= secrets.WORD_RATIO * len(word)
+                if enough:
+                    found.append((start, end))
+            at = end
+        return found
+
+    n = 0
+    for _ in range(12):
+        parts = []
+        for _ in range(6):
+            own = r.choice(["".join(r.choices(string.ascii_letters + string.digits, k=r.randrange(8, 40))), "responsibility", "configuration", "".join(r.choices(string.ascii_letters, k=20))])
+            parts.append(f"{r.choice(['the credential is', 'our passphrase:', 'pwd', 'nothing here but', 'a cookie of'])} {own}, {' '.join(r.choices(['lorem', 'of', 'value', 'house'], k=r.randrange(12)))}.")
+        text = " ".join(parts)
+        want = plain(text)
+        assert [(a, b) for a, k, b in novelty.all_spans(text)[1] if k == 3] == want
+        n += len(want)
+    assert n > 20
