@@ -224,11 +224,3 @@ def learning_rate(step: Column, peak: float, least: float, warm: int, last: int)
 def is_duration(token: Column) -> Column:
     """Whether a token reads as a number."""
     return token.try_cast("double").isNotNull()
-
-
-def pan_gains(note: Column, spread_degrees: float) -> Column:
-    """Left and right gain of a note: low ones left, high ones right within a spread, at equal power."""
-    import math
-
-    angle = (note / 127.0 - 0.5) * (spread_degrees * math.pi / 180) + math.pi / 4
-    return F.struct(F.cos(angle).alias("left"), F.sin(angle).alias("right"))
