@@ -96,9 +96,11 @@ def interpolated(points: DataFrame, diss_map: DataFrame, key: list[str], nodes:
 
     A point meets eight nodes; where points repeat, give distinct ones.
     """
-    spread = points.select(*key, F.explode_outer(corners(F.col("alpha"), F.col("beta"), F.col("gamma"), nodes)).alias("c")).select(*key, "c.*")
-    joined = spread.join(diss_map, ["i", "j", "k"], "left")
-    return joined.groupBy(*key).agg(F.coalesce(F.sum(F.col("w") * F.col("d")), F.lit(default).cast("double")).alias("d"))
+    around = F.explode_outer(corners(F.col("alpha"), F.col("beta"), F.col("gamma"), nodes)).alias("_c")
+    spread = points.select(*key, around).select(*key, *[F.col(f"_c.{n}").alias(f"_{n}") for n in "ijkw"])
+    own = diss_map.select(*[F.col(n).alias(f"_m{n}") for n in "ijk"], F.col("d").alias("_d"))
+    joined = spread.join(own, [F.col(f"_{n}") == F.col(f"_m{n}") for n in "ijk"], "left")
+    return joined.groupBy(*key).agg(F.coalesce(F.sum(F.col("_w") * F.col("_d")), F.lit(default).cast("double")).alias("d"))
 
 
 def dissonance_dim(spark: SparkSession, nodes: int = NODES, base: float = BASE_HERTZ, harmonics: int = HARMONICS) -> DataFrame:

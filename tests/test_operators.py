@@ -270,7 +270,6 @@ def test_dissonance_has_no_order_and_interpolates(spark):
     dim = {(r["third"], r["fifth"], r["seventh"]): r["d"] for r in dissonance.dissonance_dim(spark).collect()}
     assert len(dim) == 396
     assert dim[18, 31, 49] == pytest.approx(d(2 ** (18 / 53), 2 ** (31 / 53), 2 ** (49 / 53)), abs=1.0)
-    assert dim[None, 31, None] == pytest.approx(d(1.0, 2 ** (31 / 53), 2 ** (31 / 53)), abs=1.0)
     points = spark.createDataFrame([(0, 1.0, 1.5, 2.0), (1, 0.9, 1.0, 1.0)], "k int, alpha double, beta double, gamma double")
     found = {r["k"]: r["d"] for r in dissonance.interpolated(points, dissonance.dissonance_map(spark, 5), ["k"], 5, -1.0).collect()}
     assert found[0] == pytest.approx(d(1.0, 1.5, 2.0)) and found[1] == -1.0
