@@ -254,14 +254,15 @@ def test_no_matching_block_is_lost(spark):
             if block[1] > got.get(block[0], block)[1] or block[0] not in got:
                 got[block[0]] = block
         got = list(got.values())
-        assert {k: s for k, s, _, _ in got}.items() <= want.items()
+        assert all(s <= want.get(k, 0) for k, s, _, _ in got)  # the best may be ruled out by a better block
         for k, s in want.items():  # all others are ruled out by a better block of another template
             assert any(x[0] == k for x in got) or any(x[1] > s for x in got)
 
 
 def test_every_notice_of_a_text_is_a_block(spark):
     r = random.Random(6)
-    texts = {label: text for label, text in licenses.TEMPLATES}
+    short = [(label, text) for label, text in licenses.TEMPLATES if len(text.split()) < 50]
+    texts = {label: text for label, text in reversed(short)}
     lgpl = texts["lgpl"].replace("terms", "rules").replace("published", "printed")
     filler = " ".join(f"w{i}" for i in range(60))
     mpl = texts["mpl"]
@@ -276,7 +277,7 @@ def test_every_notice_of_a_text_is_a_block(spark):
     frequency = licenses.word_frequencies(table(spark, rows), {w for _, t in licenses.TEMPLATES for w in licenses.words_of(t)})
     matcher = licenses.Matcher(licenses.TEMPLATES, frequency)
     for _ in range(6):
-        parts = [" ".join(w if r.random() < 0.93 else "foo" for w in r.choice(licenses.TEMPLATES)[1].split()) for _ in range(5)]
+        parts = [" ".join(w if r.random() < 0.93 else "foo" for w in r.choice(short)[1].split()) for _ in range(5)]
         words = licenses.words_of(" ".join(x for p in parts for x in (p, *r.choices("the license of lorem".split(), k=r.randrange(4)))))
         got = matcher.blocks(words)
         for k, (_, template) in enumerate(licenses.TEMPLATES):
