@@ -1,6 +1,6 @@
 """The queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from ostinato.llm import langid, licenses, metric_join, mixing, ngram_join, pieces, pii, secrets, tiff, warc
+from ostinato.llm import divergence, langid, licenses, metric_join, mixing, ngram_join, pieces, pii, secrets, tiff, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_pii_pseudonyms": pii.op9_pii_pseudonyms,
     "op10_piece_segmentation": pieces.op10_piece_segmentation,
+    "op11_divergence_audit": divergence.op11_divergence_audit,
 }
 
 ORACLE_SQL = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op3_warc_archives": warc.OP3_SQL,
     "op6_metric_join": metric_join.OP6_SQL,
+    "op11_divergence_audit": divergence.OP11_SQL,
 }
