@@ -454,7 +454,7 @@ def test_equal_values_stay_linked_across_documents(spark):
     assert made[2]["text"] is None and made[3]["text"] == "" and made[4]["text"] == texts[4]
     assert made[5]["n_found"] == 4 and [s.split(":")[0] for s in made[5]["spans"].split(",")] == ["card", "ssn", "address", "date"]
     assert made[5]["text"].startswith("card 4") and len(made[5]["text"]) == len(texts[5]) + sum(len(a) - len(b) for a, b in [(re.search(r"ip ([\d.]+)", made[5]["text"])[1], "10.0.0.1")])
-    assert pii.pseudonymise(frame.where("doc_id < 0")).count() == 0
+    assert pii.pseudonymise(frame.where("doc_id < 0"), KEY).count() == 0
 
 
 def test_other_text_is_untouched(spark, docs, data):
