@@ -68,11 +68,12 @@ def grouped(docs: DataFrame) -> DataFrame:
 
 
 def kept_postings(counts: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
-    """(lang, source, term, n, lang_n, first): the terms that a language keeps; ``first`` is 1 in one row of each."""
-    term = Window.partitionBy("lang", "term")
-    kept = counts.withColumn("held", F.sum("docs").over(term)).withColumn("lang_n", F.sum("n").over(term))
-    kept = kept.withColumn("first", (F.row_number().over(term.orderBy("source")) == 1).cast("int"))
-    return kept.where(F.col("held") >= least_documents).drop("held", "docs")
+    """(lang, source, term, n, hash, lang_n, first): the terms that a language keeps; ``first`` is 1 in one row of each."""
+    # The hash goes first in what is sorted by: numbers compare faster than the texts that decide after it.
+    rows = counts.withColumn("hash", F.xxhash64("lang", "term"))
+    term = Window.partitionBy("hash", "lang", "term")
+    rows = rows.withColumns({"held": F.sum("docs").over(term), "lang_n": F.sum("n").over(term), "first": (F.min("source").over(term) == F.col("source")).cast("int")})
+    return rows.where(F.col("held") >= least_documents).drop("held", "docs")
 
 
 def group_totals(docs: DataFrame, postings: DataFrame) -> DataFrame:
@@ -137,9 +138,9 @@ def overlaps(priced: DataFrame) -> DataFrame:
     """
     cells = priced.withColumn("blocks", (1 + F.floor(F.col("sources") / SOURCES_A_CELL)).cast("int")).withColumn("block", F.pmod(F.xxhash64("source"), "blocks").cast("int"))
     fan = F.sequence(F.lit(0), F.col("blocks") - 1)
-    one = cells.select("lang", "term", "source", "p", "p0", F.col("block").alias("b1"), F.explode(fan).alias("b2"))
-    two = cells.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"), F.col("p0").alias("q0"), F.col("block").alias("b2"), F.explode(fan).alias("b1"))
-    met = one.join(two, ["lang", "term", "b1", "b2"]).where("source < item")
+    one = cells.select("hash", "lang", "term", "source", "p", "p0", F.col("block").alias("b1"), F.explode(fan).alias("b2"))
+    two = cells.select("hash", "lang", "term", F.col("source").alias("item"), F.col("p").alias("q"), F.col("p0").alias("q0"), F.col("block").alias("b2"), F.explode(fan).alias("b1"))
+    met = one.join(two, ["hash", "lang", "term", "b1", "b2"]).where("source < item")
     ahead = gap("p", "q") - gap("p", "q0") - gap("p0", "q") + gap("p0", "q0")
     back = gap("q", "p") - gap("q", "p0") - gap("q0", "p") + gap("q0", "p0")
     sums = met.groupBy("lang", "source", "item").agg(exact_sum(ahead).alias("a"), exact_sum(back).alias("b"))
@@ -165,7 +166,8 @@ def audit(docs: DataFrame, *, least_documents: int = LEAST_DOCUMENTS, most_terms
     pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(*order))).withColumn("part", F.lit("pair"))
 
     terms = priced.select("lang", "source", F.col("term").alias("item"), "p", share("lang_n", "lang_total", "lang_terms").alias("q")).where("p > q").select("lang", "source", "item", gap("p", "q").alias("value"))
-    place = Window.partitionBy("lang", "source", F.pmod(F.xxhash64("item"), F.lit(RANK_PARTS))).orderBy(*order)
+    terms = terms.withColumn("cell", F.xxhash64("lang", "source", F.pmod(F.xxhash64("item"), F.lit(RANK_PARTS))))
+    place = Window.partitionBy("cell", "lang", "source").orderBy(*order)
     best = terms.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= most_terms)
     best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(*order))).where(F.col("rank") <= most_terms)
     columns = ["lang", "source", "part", "item", "value", "rank"]
