@@ -15,7 +15,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 
 from ostinato.llm.rows import map_rows
-from ostinato.llm.storage import read_table
+from ostinato.llm.storage import local, read_table
 
 ROUNDS = 8
 #: The session setting that holds the key. The example key stands in for it in tests and trials only.
@@ -265,8 +265,10 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
 
 
 def session_key(spark: SparkSession) -> bytes:
-    """The key that the session names, else the example key."""
+    """The key that the session names. A local session may go without one, the published example key stands in then."""
     named = spark.conf.get(KEY_SETTING, None)
+    if not named and not local(spark):
+        raise ValueError(f"pseudonyms on a cluster need a key of their own in {KEY_SETTING}: with the example key anybody could undo them")
     return named.encode() if named else EXAMPLE_KEY
 
 

@@ -12,13 +12,20 @@ from pyspark.sql import functions as F
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def local(spark: SparkSession) -> bool:
+    """Whether driver and executors are processes of one machine."""
+    return spark.conf.get("spark.master", "").startswith("local")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (local tests) a new temporary one."""
+    """The folder in ``spark.checkpoint.dir``; only where that is unset, in a local session, a new temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not local(spark):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="ostinato-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
