@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ostinato.operators import ranges
+
 #: Sides that are broadcast by hint are dimensions whose size in bytes the planner bounds; references are at most so many rows.
 MOST_BROADCAST_BYTES, MOST_REFERENCES = 32 << 20, 100_000
 
@@ -167,5 +169,5 @@ def ordered_vocabulary(groups: list[DataFrame]) -> DataFrame:
         own = group.select(F.lit(g).alias("g"), F.col("nth").cast("long").alias("nth"), "tok")
         rows = own if rows is None else rows.unionByName(own)
     first = rows.groupBy("tok").agg(F.min(F.struct("g", "nth", "tok")).alias("at"))
-    # A vocabulary is a few thousand tokens: one window numbers it.
-    return first.select("tok", (F.row_number().over(Window.orderBy("at")) - 1).cast("int").alias("id"))
+    numbered, _ = ranges.numbered(first, ["at"], "id")
+    return numbered.select("tok", F.col("id").cast("int").alias("id"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ostinato.functions import dims, music
+from ostinato.operators.anchors import anchor_groups as anchor_groups
 
 
 def ordered(key: list[str], order: list) -> WindowSpec:
@@ -106,28 +107,6 @@ def deltas(df: DataFrame, key: list[str], order: list, tick: str, name: str = "d
     return df.withColumn(name, F.col(tick) - F.coalesce(F.lag(tick).over(ordered(key, order)), F.lit(0)))
 
 
-def anchor_groups(df: DataFrame, key: list[str], onset: str, tolerance: Column, others: list[str] = []) -> DataFrame:  # noqa: B006
-    """(key, anchor, onset, others): a row joins the group whose first onset is within the tolerance, else it begins one.
-
-    Distances count from a group's first onset, not from its last, so session windows don't give this: it is a fold over
-    sorted onsets. A gap wider than the tolerance surely begins a group, so sequences are cut there first, and only a run
-    without such a gap is held as one array.
-    """
-    gap = F.col(onset) - F.lag(onset).over(ordered(key, [onset, *others]))
-    runs = df.withColumn("_run", F.sum(F.when(gap > tolerance, 1).otherwise(0)).over(before_and_now(key, [onset, *others])))
-    # The state is the group's first onset alone; where a row begins a group its onset is added to the starts.
-    kind = df.schema[onset].dataType
-    grouped = runs.groupBy(*key, "_run").agg(F.array_sort(F.collect_list(F.struct(F.col(onset).alias("onset"), *others))).alias("rows"), F.max(tolerance).alias("tolerance"))
-    folded = F.aggregate(
-        F.transform("rows", lambda r: r["onset"]),
-        F.array().cast(f"array<{kind.simpleString()}>"),
-        lambda starts, at: F.when((F.size(starts) > 0) & (at - F.get(starts, F.size(starts) - 1) <= F.col("tolerance")), starts).otherwise(F.concat(starts, F.array(at))),
-    )
-    placed = grouped.withColumn("_starts", folded).withColumn("_row", F.explode("rows"))
-    anchor = F.array_max(F.filter("_starts", lambda a: a <= F.col("_row.onset")))
-    return placed.select(*key, anchor.alias("anchor"), *[F.col(f"_row.{c}").alias(c) for c in ["onset", *others]])
-
-
 def chords_from_notes(df: DataFrame, key: list[str], anchor: str = "anchor", offset: str = "offset", step: str = "step", velocity: str = "velocity", least: float = 0.25) -> DataFrame:
     """Notes of a group become a chord: from its anchor to the last offset, at least ``least`` long, notes low to high."""
     notes = F.array_sort(F.collect_list(F.struct(F.col(step).alias("step"), F.col(velocity).alias("velocity"))))

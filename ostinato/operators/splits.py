@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ostinato.operators import ranges
+
 
 def seeded(key: Column, seed: int) -> Column:
     """A number of 60 bits that depends on a key and a seed only, the same in any engine that has MD5."""
@@ -62,15 +64,29 @@ def sample_per_group(df: DataFrame, group: str, key: str, n: int, seed: int = 7)
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
+def windowed_order(df: DataFrame, order: list[str], width: int, seed: int = 42, name: str = "place") -> DataFrame:
+    """Adds ``place``: rows in an order are shuffled in runs of ``width`` that stay together; ordinals of two total orders."""
+    numbered, _ = ranges.numbered(df, order, "_i")
+    return ranges.numbered(windowed_shuffle(numbered, "_i", width, seed), ["shuffled", "_i"], name)[0].drop("shuffled", "_i")
+
+
 def random_batch(df: DataFrame, ordinal: str, total: int, size: int, seed: int) -> DataFrame:
     """``size`` draws with replacement from ordinals below ``total``."""
     draws = df.sparkSession.range(size).select(F.col("id").alias("draw"), F.pmod(seeded(F.col("id"), seed), F.lit(total)).alias(ordinal))
     return draws.join(df, ordinal)
 
 
+def drawn(df: DataFrame, order: list[str], size: int, seed: int) -> DataFrame:
+    """``size`` draws with replacement from all rows, in a total order; none from an empty table."""
+    numbered, total = ranges.numbered(df, order, "_i")
+    return random_batch(numbered, "_i", max(1, total), size, seed).drop("_i")
+
+
 def presentation_order(df: DataFrame, group: list[str], key: str, seed: int) -> DataFrame:
-    """Adds ``place``: a shuffled order within each group, such as the clips of a listener."""
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(seeded(F.col(key), seed), key)) - 1)
+    """Adds ``place``: a shuffled order within each group, such as the clips of a listener. Groups may be of any size."""
+    hashed = df.withColumn("_h", seeded(F.col(key), seed))
+    placed = ranges.running(hashed, group, ["_h", key], {"place": ("count", F.lit(1))})
+    return placed.withColumn("place", (F.col("place") - 1).cast("int")).drop("_h")
 
 
 def top_k_filter(df: DataFrame, group: list[str], score: str, k: int) -> DataFrame:
@@ -79,14 +95,22 @@ def top_k_filter(df: DataFrame, group: list[str], score: str, k: int) -> DataFra
     return df.withColumn("_r", F.rank().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
+def with_of_group(df: DataFrame, group: list[str], value: Column, name: str) -> DataFrame:
+    """Adds an aggregate of each group, which is summed up before it is dealt: a group is never one task."""
+    made = df.groupBy(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]).agg(value.alias(name))
+    same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]
+    return df.join(made, same).drop(*[f"_g{i}" for i in range(len(group))])
+
+
 def nucleus(df: DataFrame, group: list[str], score: str, order: list, share: float, shifted: bool = False) -> DataFrame:
     """Rows that reach a share of their group's softmax, from the best; the row that crosses it is the last to stay.
 
-    Running sums are rounded to 9 places before they are compared.
+    With ``shifted`` a row that begins just at the share stays too. Running sums are rounded to 9 places before they are
+    compared; they run over parts of a group, so a group may hold any share of all rows.
     """
-    everything = Window.partitionBy(*group)
-    weighted = df.withColumn("_e", F.exp(F.col(score) - F.max(score).over(everything))).withColumn("prob", F.col("_e") / F.sum("_e").over(everything))
-    running = Window.partitionBy(*group).orderBy(F.col(score).desc(), *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = F.round(F.sum("prob").over(running) - F.col("prob"), 9)
+    topped = with_of_group(df, group, F.max(score), "_top").withColumn("_e", F.exp(F.col(score) - F.col("_top")))
+    weighted = with_of_group(topped, group, F.sum("_e"), "_sum").withColumn("prob", F.col("_e") / F.col("_sum")).withColumn("_down", -F.col(score))
+    summed = ranges.running(weighted, group, ["_down", *order], {"_run": ("sum", F.col("prob"))})
+    before = F.round(F.col("_run") - F.col("prob"), 9)
     keep = before <= share if shifted else before < share
-    return weighted.withColumn("_keep", keep).where("_keep").drop("_e", "_keep")
+    return summed.where(keep).drop("_top", "_e", "_sum", "_down", "_run")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ostinato.functions import dims, dissonance, music
-from ostinato.operators import joins, recurrent, sequence
+from ostinato.operators import joins, recurrent, sequence, splits
 
 START, END = "CHORD_START", "CHORD_END"
 #: What a token outside of chords has for (alpha, beta, gamma, d).
@@ -74,10 +74,7 @@ def vector_prior(sequences: DataFrame, sequence_id: str, token: str, columns: li
 
 def drawn_vectors(prior: DataFrame, order: list[str], n: int, seed: int = 0) -> DataFrame:
     """``n`` draws with replacement from a prior, that are the same on each run."""
-    total = prior.count()
-    numbered = prior.withColumn("_i", F.row_number().over(Window.orderBy(*order)) - 1)
-    draws = prior.sparkSession.range(n).select(F.col("id").alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(1, total))).alias("_i"))
-    return draws.join(numbered, "_i").drop("_i")
+    return splits.drawn(prior, order, n, seed)
 
 
 def described_chords(df: DataFrame, steps: str) -> DataFrame:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ostinato.operators import joins, sequence, splits
+from ostinato.operators import joins, ranges, sequence, splits
 from ostinato.plans.common import LINES_SQL, WORDS_SQL, lines, query, table, words
 
 #: Events in order, cut in fours: as many places as an order of four lines has.
@@ -123,12 +122,9 @@ def smallest_n(spark, sf_dir):
 @query("q_vocab_ids", f"""WITH {WORDS_SQL}, v AS (SELECT word, (row_number() OVER (ORDER BY word) - 1)::INTEGER AS id FROM (SELECT DISTINCT word FROM w))
 SELECT v.id, count(*) AS n FROM w JOIN v USING (word) GROUP BY 1""")
 def vocab_ids(spark, sf_dir):
-    """Ids are ranks in the order of words: each head of three characters is numbered on its own, from where those before end."""
-    counted = words(spark, sf_dir).groupBy("word").agg(F.count("*").alias("n")).withColumn("head", F.substring("word", 1, 3))
-    heads = counted.groupBy("head").agg(F.count("*").alias("words"))
-    starts = heads.select("head", F.coalesce(F.sum("words").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    nth = F.row_number().over(Window.partitionBy("head").orderBy("word")) - 1
-    return counted.withColumn("nth", nth).join(starts, "head").select((F.col("start") + F.col("nth")).cast("int").alias("id"), "n")
+    """Ids are places in the order of words."""
+    counted = words(spark, sf_dir).groupBy("word").agg(F.count("*").alias("n"))
+    return ranges.numbered(counted, ["word"], "id")[0].select(F.col("id").cast("int").alias("id"), "n")
 
 
 @query("q_positional_split", "SELECT o_orderstatus, CASE WHEN row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) <= 100 THEN 'first' ELSE 'second' END AS split, o_orderkey FROM orders")
@@ -148,6 +144,23 @@ def nucleus(spark, sf_dir):
     return splits.nucleus(df, ["user_id"], "logit", ["event_id"], 0.9).select("user_id", "event_id")
 
 
+@query("q_nucleus_shifted", """WITH e AS (SELECT *, exp(value / 50 - max(value / 50) OVER (PARTITION BY event_type)) AS x FROM events), p AS (SELECT *, x / sum(x) OVER (PARTITION BY event_type) AS prob FROM e),
+c AS (SELECT event_type, event_id, round(sum(prob) OVER (PARTITION BY event_type ORDER BY value DESC, event_id ROWS UNBOUNDED PRECEDING) - prob, 9) AS before FROM p) SELECT event_type, event_id FROM c WHERE before <= 0.5""")
+def nucleus_shifted(spark, sf_dir):
+    """Few groups, each of which has a great part of all events."""
+    df = table(spark, sf_dir, "events").withColumn("logit", F.col("value") / 50)
+    return splits.nucleus(df, ["event_type"], "logit", ["event_id"], 0.5, shifted=True).select("event_type", "event_id")
+
+
+@query("q_running_values", """SELECT event_id, count(*) OVER w AS nth, round(sum(value) OVER w, 4) AS total, max(value) OVER w AS most, min(value) OVER w AS least, last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER w AS last_error
+FROM events WINDOW w AS (PARTITION BY event_type = 'click' ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def running_values(spark, sf_dir):
+    """Running values of two sequences that hold all events."""
+    df = table(spark, sf_dir, "events").select("event_id", "ts", "value", "event_type", (F.col("event_type") == "click").alias("clicked"))
+    values = {"nth": ("count", F.lit(1)), "total": ("sum", F.col("value")), "most": ("max", F.col("value")), "least": ("min", F.col("value")), "last_error": ("last", F.when(F.col("event_type") == "error", F.col("event_id")))}
+    return ranges.running(df, ["clicked"], ["ts", "event_id"], values).select("event_id", "nth", F.round("total", 4).alias("total"), "most", "least", "last_error")
+
+
 SEEDED = "('0x' || substr(md5('{seed}|' || {key}), 1, 15))::BIGINT"
 
 

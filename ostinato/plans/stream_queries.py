@@ -303,10 +303,7 @@ def corpus_rows(spark, sf_dir):
 @query("q_windowed_shuffle", """WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders), h AS (SELECT *, ('0x' || substr(md5('42|' || (i // 16)::BIGINT), 1, 15))::BIGINT AS h FROM r) SELECT o_orderkey, (row_number() OVER (ORDER BY h, i) - 1)::BIGINT AS place FROM h""")
 def windowed_shuffle(spark, sf_dir):
     """Orders shuffled in runs of sixteen."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    numbered = orders.withColumn("i", F.row_number().over(sequence.Window.orderBy("o_orderkey")) - 1)
-    made = splits.windowed_shuffle(numbered, "i", 16)
-    return made.select("o_orderkey", (F.row_number().over(sequence.Window.orderBy("shuffled", "i")) - 1).cast("long").alias("place"))
+    return splits.windowed_order(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 16)
 
 
 @query("q_presentation", "SELECT o_orderkey, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY ('0x' || substr(md5('3|' || o_orderkey), 1, 15))::BIGINT, o_orderkey) - 1)::INTEGER AS place FROM orders")
@@ -315,8 +312,7 @@ def presentation(spark, sf_dir):
     return splits.presentation_order(table(spark, sf_dir, "orders"), ["o_orderstatus"], "o_orderkey", 3).select("o_orderkey", "place")
 
 
-@query("q_random_batch", "WITH d AS (SELECT i AS draw, (('0x' || substr(md5('5|' || i), 1, 15))::BIGINT % 200) + 1 AS p_partkey FROM (SELECT unnest(range(0, 500)) AS i)) SELECT draw, p_partkey, p_name FROM d JOIN part USING (p_partkey)")
+@query("q_random_batch", "WITH d AS (SELECT i AS draw, ('0x' || substr(md5('5|' || i), 1, 15))::BIGINT % (SELECT count(*) FROM part) AS nth FROM (SELECT unnest(range(0, 500)) AS i)), p AS (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_partkey, p_name) - 1 AS nth FROM part) SELECT draw, p_partkey, p_name FROM d JOIN p USING (nth)")
 def random_batch(spark, sf_dir):
-    """Five hundred draws with replacement from the first two hundred parts."""
-    part = table(spark, sf_dir, "part").select((F.col("p_partkey") - 1).alias("ordinal"), "p_partkey", "p_name")
-    return splits.random_batch(part, "ordinal", 200, 500, 5).select("draw", "p_partkey", "p_name")
+    """Five hundred draws with replacement from all parts."""
+    return splits.drawn(table(spark, sf_dir, "part").select("p_partkey", "p_name"), ["p_partkey", "p_name"], 500, 5)

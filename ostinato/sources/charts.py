@@ -120,6 +120,9 @@ def read_charts(spark: SparkSession, folder: str, pattern: str = "*.{xml,musicxm
     return _map_files(_binary(spark, folder, pattern), chart_rows, CHART_ROWS)
 
 
+HARMONY_ROWS = "path string, nth int, root string, kind string, kind_text string, bass string, error string"
+
+
 def harmony_rows(content: bytes) -> Iterator[dict]:
     """Root, kind by name, kind as printed, and bass of every harmony, in order."""
     spelled = lambda e, part: _altered(e.findtext(f"{part}/{part}-step"), e.findtext(f"{part}/{part}-alter")) if e.find(f"{part}/{part}-step") is not None else None
@@ -130,7 +133,7 @@ def harmony_rows(content: bytes) -> Iterator[dict]:
 
 def read_harmonies(spark: SparkSession, folder: str, pattern: str = "*.{xml,musicxml}") -> DataFrame:
     """(path, nth, root, kind, kind_text, bass, error): the harmonies of every chart alone."""
-    return _map_files(_binary(spark, folder, pattern), harmony_rows, "path string, nth int, root string, kind string, kind_text string, bass string, error string")
+    return _map_files(_binary(spark, folder, pattern), harmony_rows, HARMONY_ROWS)
 
 
 META_ROWS = "path string, song_name string, composer string, style string, midi_key int, total double, bars int, software string, encoding_date string, error string"
