@@ -1,6 +1,6 @@
 """The queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from ostinato.llm import divergence, langid, lexical, licenses, metric_join, mixing, ngram_join, pieces, pii, secrets, tiff, warc
+from ostinato.llm import divergence, langid, lexical, licenses, lm_scoring, metric_join, mixing, ngram_join, pieces, pii, secrets, tiff, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_pii_pseudonyms": pii.op9_pii_pseudonyms,
     "op10_piece_segmentation": pieces.op10_piece_segmentation,
     "op11_divergence_audit": divergence.op11_divergence_audit,
+    "op12_lm_scoring": lm_scoring.op12_lm_scoring,
     "op13_lexical_search": lexical.op13_lexical_search,
 }
 
