@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ostinato.operators import ranges
+from ostinato.operators.spatial import nearest_reference as nearest_reference
 
-#: Sides that are broadcast by hint are dimensions whose size in bytes the planner bounds; references are at most so many rows.
-MOST_BROADCAST_BYTES, MOST_REFERENCES = 32 << 20, 100_000
+#: Sides that are broadcast by hint are dimensions whose size in bytes the planner bounds.
+MOST_BROADCAST_BYTES = 32 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -70,22 +71,6 @@ def by_name(left: DataFrame, right: DataFrame, left_name: str, right_name: str,
     return left.withColumn("_name", normalised_name(F.col(left_name))).join(names, "_name", "left").drop("_name")
 
 
-def nearest_reference(df: DataFrame, references: DataFrame, axes: list[str], id_column: str, name: str) -> DataFrame:
-    """Adds the name and the distance of the nearest reference; the first of those at the same distance.
-
-    References are a small table. They become one array, so a row meets them in an expression and no pair is emitted.
-    """
-    rows = references.limit(MOST_REFERENCES + 1).count()
-    if rows > MOST_REFERENCES:
-        raise ValueError("references are meant to be a small table")
-    if not rows:
-        return df.withColumn("nearest", F.lit(None).cast("string")).withColumn("distance", F.lit(None).cast("double"))
-    packed = references.groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col(id_column).alias("id"), F.col(name).alias("name"), *[F.col(a).cast("double").alias(f"r{k}") for k, a in enumerate(axes)]))).alias("_refs"))
-    squares = lambda r: sum(((F.col(a).cast("double") - r[f"r{k}"]) * (F.col(a).cast("double") - r[f"r{k}"]) for k, a in enumerate(axes)), F.lit(0.0))
-    best = F.array_min(F.transform("_refs", lambda r: F.struct(squares(r).alias("d"), r["id"].alias("id"), r["name"].alias("name"))))
-    return df.crossJoin(F.broadcast(packed)).withColumn("_best", best).withColumn("nearest", F.col("_best.name")).withColumn("distance", F.sqrt("_best.d")).drop("_best", "_refs")
-
-
 def resolve_fragments(fragments: DataFrame, names: DataFrame, fragment: str, name: str) -> DataFrame:
     """For each fragment that is not empty the shortest name that contains it, then the first by spelling.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ostinato.functions import dissonance, music
+from ostinato.operators import moments
 
 
 def frequencies(df: DataFrame, token: str, top: int | None = None) -> DataFrame:
@@ -36,11 +37,13 @@ def padding_stats(df: DataFrame, real: str, full: int) -> DataFrame:
     """Padding of sequences that are filled up to a length: mean, median, deviation, exact percentiles, and heavy cases."""
     pad = F.greatest(F.lit(full) - F.col(real), F.lit(0))
     rows = df.select(pad.alias("pad"))
-    return rows.agg(
+    counted = rows.agg(
         F.count("*").alias("n"), F.round(F.avg("pad"), 6).alias("mean"), F.round(F.stddev_pop("pad"), 6).alias("std"),
-        *[F.round(F.percentile("pad", F.lit(q)), 6).alias(name) for q, name in ((0.05, "p5"), (0.5, "median"), (0.95, "p95"))],
         F.count_if(F.col("pad") > full * 0.5).alias("over_half"), F.count_if(F.col("pad") > full * 0.9).alias("over_nine_tenths"),
     )
+    placed = moments.exact_quantiles(rows, [], F.col("pad"), {"p5": 0.05, "median": 0.5, "p95": 0.95})
+    one = counted.join(placed, F.lit(True), "left")  # a row each
+    return one.select("n", "mean", "std", *[F.round(c, 6).alias(c) for c in ("p5", "median", "p95")], "over_half", "over_nine_tenths")
 
 
 def vector_stats(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -52,8 +55,10 @@ def vector_stats(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def describe_by(df: DataFrame, group: str, value: str) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles by group."""
-    quartile = lambda q, name: F.round(F.percentile(value, F.lit(q)), 6).alias(name)
-    return df.groupBy(group).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_samp(value), 6).alias("std"), F.min(value).alias("least"), quartile(0.25, "p25"), quartile(0.5, "p50"), quartile(0.75, "p75"), F.max(value).alias("most"))
+    counted = df.groupBy(F.col(group).alias("_g")).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_samp(value), 6).alias("std"), F.min(value).alias("least"), F.max(value).alias("most"))
+    placed = moments.exact_quantiles(df, [group], F.col(value), {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    joined = counted.join(placed, F.col("_g").eqNullSafe(F.col(group)), "left")
+    return joined.select(F.col("_g").alias(group), "n", "mean", "std", "least", *[F.round(c, 6).alias(c) for c in ("p25", "p50", "p75")], "most")
 
 
 def rest_folded(df: DataFrame, label: str, keep: int, other: str = "Other") -> DataFrame:

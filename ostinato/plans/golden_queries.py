@@ -74,62 +74,20 @@ golden("q_kind_symbols", "struct<root: string, kind: string, bass: string>", lam
     (("D", "half-diminished", None), "D ø7 · D half-diminished"), (("A", "min7", None), "A min7 · A m7"),
 ], "Kinds by name and by what is printed.")
 
-golden("q_key_names", "struct<fifths: int, mode: string>", lambda x: several(spelling.key_name(x["fifths"], x["mode"])), [
-    ((0, "major"), "C"), ((6, "major"), "F#"), ((-6, "major"), "Gb"), ((3, "minor"), "F#"), ((-4, "minor"), "F"), ((7, "major"), "-"), ((0, "dorian"), "-"),
-], "Keys on the circle of fifths.")
-
-golden("q_duration_classes", "int", lambda x: several(spelling.duration_class(x)["name"], spelling.duration_class(x)["length"]), [
-    (3072, "whole · 1.0"), (1152, "dotted_quarter · 0.375"), (96, "thirtysecond · 0.0325"), (5, "- · -"),
-], "Names of durations in ticks.")
-
 golden("q_scale_spelling", "string", lambda x: several(spelling.respelled(x, "major"), spelling.respelled(x, "minor"), spelling.respelled(x, "dominant")), [
     ("C", "C · C · C"), ("C#", "Db · C# · C#"), ("Gb", "Gb · F# · F#"), ("Bbb", "A · A · A"), ("D##", "E · E · E"), ("Cb", "B · B · B"), ("A#", "Bb · Bb · Bb"), ("Fb", "E · E · E"),
 ], "Tonics with fewer signs.")
 
-golden("q_scale_degrees", "struct<tonic: string, note: string>", lambda x: several(*[spelling.scale_degree(F.split(F.lit(scale), " "), x["note"]) for scale in ("Eb F G Ab Bb C D", "D E F# G A B C#")]), [
-    (("Eb", "Ab"), "3 · 4"), (("D", "F"), "1 · 2"), (("D", "C#"), "5 · 6"), (("D", "B"), "4 · 5"), (("D", "G#"), "2 · 3"),
-], "Where a note stands in a scale.")
-
-golden("q_spellings", "int", lambda x: joined(spelling.notes_at_semitone(x)), [(0, "C"), (1, "C# · Db"), (6, "F# · Gb"), (11, "B"), (12, "")], "Spellings of pitch classes.")
-
-golden("q_chromatic_distance", "struct<a: string, b: string>", lambda x: several(spelling.chromatic_distance(x["a"], x["b"])), [
-    (("C", "G"), "7"), (("G", "C"), "5"), (("Bb", "A#"), "0"), (("Eb", "F#"), "3"), (("C", "E#"), "-"),
-], "Semitones up from one note to another.")
-
-golden("q_key_of_stem", "string", lambda x: several(retune.key_of_stem(x)["key"], retune.key_of_stem(x)["tonality"]), [
-    ("12_Song_bb_Major", "Bb · major"), ("Song_F#_minor", "F# · minor"), ("Song", "C · major"), ("x_c_minor", "C · minor"), ("x_Eb_major_2", "C · major"),
-], "Keys at the end of stems.")
-
-golden("q_semitone_steps", "int", lambda x: several(retune.steps_of_semitones(x)), [(0, "0"), (4, "17"), (11, "48"), (12, "53"), (19, "84"), (-1, "-5"), (-12, "-53")], "Steps of semitones over octaves.")
-
 golden("q_pure_offsets", "array<int>", lambda x: joined(retune.pure_offsets(x)), [([48, 52, 55, 58], "0 · -1 · 0 · -1"), ([60, 63, 67], "0 · 0 · 0"), ([72, 64], "0 · 0"), ([], "")], "Purer thirds and sevenths.")
 
-golden("q_pattern_bends", "struct<note: int, step: int>", lambda x: several(retune.bend_of_pattern(x["note"], x["step"])), [
-    ((60, 0), "0"), ((64, 18), "309"), ((62, 9), "154"), ((61, 4), "-386"), ((71, 49), "386"), ((60, 52), "8191"),
-], "Bends of notes whose pitch class has a step.")
-
 golden("q_format_styles", "string", lambda x: several(music.format_style(x)), [
     ("Moderately", "Pop"), ("Even 8's", "Even 8ths"), ("Medium Swing", "Jazz"), ("Rock Pop", "Rock"), ("Beatles", "Rock"), ("Afoxe", "Afoxé"), ("Unknown", "Unknown"), ("R'n'B", "RnB"), ("Pop Folk", "Pop"),
 ], "Styles by the older rules.")
 
-golden("q_template_names", "int", lambda x: several(voicing.template_name(x)), [(0, "v_0"), (6, "v_6"), (7, "v_0"), (-1, "v_6")], "Templates in turn.")
-
-golden("q_method_rewrite", "array<string>", lambda x: joined(spelling.as_method_a(x)), [(["H_212_3", "BAR", "XH_1"], "PV_212_3 · BAR · XH_1"), ([], "")], "Notes under the usual prefix.")
-
-golden("q_clean_lists", "array<string>", lambda x: joined(spelling.without_empty(x)), [(["", "a", ""], "a"), ([""], ""), (["b", "c"], "b · c")], "Without empty tokens.")
-
-golden("q_sounding_slots", "array<int>", lambda x: joined(spelling.sounding(x)), [([48, 0, 52, 0], "48 · 52"), ([0, 0], "")], "Slots that are not empty.")
-
-golden("q_plain_meter", "string", lambda x: several(spelling.in_plain_meter(x)), [("4/4", "true"), ("2/4", "true"), ("3/4", "false"), ("6/8", "false")], "Meters that are kept.")
-
 golden("q_coda_end", "array<string>", lambda x: joined(streams.coda_end_moved(x)), [
     (["a", "e||", "b", "|", "c"], "a · | · b · e|| · c"), (["e||", "b", ":|", "|"], "| · b · e|| · :| · |"), (["a", "|"], "a · |"), (["e||", "x"], "| · x"),
 ], "The end before the coda goes to the next bar.")
 
-golden("q_drop_voicings", "array<int>", lambda x: several(joined(voicing.dropped(x, 2)), F.lit("|"), joined(voicing.dropped(x, 3))), [
-    ([0, 4, 7, 11], "-5 · 0 · 4 · 11 · | · -8 · 0 · 7 · 11"), ([0, 4, 7], "-8 · 0 · 7 · | · 0 · 4 · 7"), ([0, 7], "0 · 7 · | · 0 · 7"),
-], "A note from the top an octave lower.")
-
 golden("q_near_octaves", "struct<a: array<int>, b: array<int>>", lambda x: joined(voicing.near_octaves(x["a"], x["b"])), [
     (([48, 64, 67, 0], [43, 71, 77, 0]), "43 · 71 · 65 · 0"), (([60], [73, 0]), "61 · 0"), (([0, 0], [50, 60]), "50 · 60"),
 ], "Notes in the octave nearest to the chord before.")

@@ -69,11 +69,9 @@ d AS (SELECT vec_id, c.label, sum((x - c) ** 2) AS d FROM u JOIN c USING (k) GRO
 def nearest_reference(spark, sf_dir):
     """The nearest centre of a label, over all dimensions."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    n = rows.select(F.max(F.size("v"))).first()[0] or 0
-    e = rows.select("vec_id", "label", *[F.get("v", F.lit(k)).alias(f"x{k}") for k in range(n)])
-    axes = [f"x{k}" for k in range(n)]
-    centres = e.groupBy("label").agg(*[F.round(F.avg(a), 9).alias(a) for a in axes]).withColumn("name", F.concat(F.lit("ref"), F.col("label").cast("string")))
-    return joins.nearest_reference(e, centres, axes, "label", "name").select("vec_id", "nearest", F.round("distance", 6).alias("distance"))
+    each = rows.select("label", F.posexplode("v").alias("k", "x")).groupBy("label", "k").agg(F.round(F.avg("x"), 9).alias("c"))
+    centres = each.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda r: r["c"]).alias("v")).withColumn("name", F.concat(F.lit("ref"), F.col("label").cast("string")))
+    return joins.nearest_reference(rows, centres, "v", "label", "name").select("vec_id", "nearest", F.round("distance", 6).alias("distance"))
 
 
 @query("q_fragment_resolve", """SELECT f.fragment, arg_min(p_name, (length(p_name), p_name)) AS p_name FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS fragment FROM part) f JOIN part ON contains(p_name, fragment) GROUP BY 1""")

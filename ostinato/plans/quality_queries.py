@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ostinato.functions import music
-from ostinato.operators import quality, sequence
+from ostinato.operators import moments, quality, sequence
 from ostinato.plans.common import TOKENS_SQL, WORDS_SQL, query, table, tokens, words
 
 
@@ -42,9 +42,8 @@ def padding_stats(spark, sf_dir):
 @query("q_vector_stats", "SELECT 'd' || k AS dim, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM (SELECT generate_subscripts(embedding, 1) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1")
 def vector_stats(spark, sf_dir):
     """All dimensions of all vectors in one pass."""
-    e = table(spark, sf_dir, "embeddings")
-    dims = range(1, (e.select(F.max(F.size("embedding"))).first()[0] or 0) + 1)
-    return quality.vector_stats(e.select(*[F.get("embedding", F.lit(k - 1)).alias(f"d{k}") for k in dims]), [f"d{k}" for k in dims])
+    made = moments.array_moments(table(spark, sf_dir, "embeddings"), "embedding")
+    return made.select(F.concat(F.lit("d"), (F.col("dim") + 1).cast("string")).alias("dim"), F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
 @query("q_describe_by", "SELECT p_type, count(p_retailprice) AS n, round(avg(p_retailprice), 6) AS mean, round(stddev_samp(p_retailprice), 6) AS std, min(p_retailprice) AS least, round(quantile_cont(p_retailprice, 0.25), 6) AS p25, round(quantile_cont(p_retailprice, 0.5), 6) AS p50, round(quantile_cont(p_retailprice, 0.75), 6) AS p75, max(p_retailprice) AS most FROM part GROUP BY 1")
