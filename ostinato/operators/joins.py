@@ -55,7 +55,7 @@ def set_parity(df: DataFrame, group: str, value: str, reference) -> DataFrame:
     own = df.select(group, value).distinct()
     base = own.where(F.col(group) == reference).select(value)
     groups = own.select(group).where(F.col(group) != reference).distinct()
-    wanted = groups.crossJoin(small(base)) if base.limit(1).count() else groups.join(base, F.lit(False))
+    wanted = groups.crossJoin(small(base))  # groups are few: types of a corpus
     missing = wanted.join(own, [group, value], "left_anti").groupBy(group).agg(F.count("*").alias("missing"))
     extra = own.where(F.col(group) != reference).join(base, value, "left_anti").groupBy(group).agg(F.count("*").alias("extra"))
     return groups.join(missing, group, "left").join(extra, group, "left").fillna(0, ["missing", "extra"])
@@ -71,26 +71,35 @@ def by_name(left: DataFrame, right: DataFrame, left_name: str, right_name: str,
     return left.withColumn("_name", normalised_name(F.col(left_name))).join(names, "_name", "left").drop("_name")
 
 
+#: Characters of the pieces by which names are found.
+PIECE = 3
+
+
+def pieces_of(text: Column, length: Column | int) -> Column:
+    """The distinct pieces of a length that a text has; none if it is shorter."""
+    length = F.lit(length) if isinstance(length, int) else length
+    starts = F.sequence(F.lit(1), F.length(text) - length + 1)
+    return F.when(F.length(text) >= length, F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, length)))).otherwise(F.array().cast("array<string>"))
+
+
 def resolve_fragments(fragments: DataFrame, names: DataFrame, fragment: str, name: str) -> DataFrame:
     """For each fragment that is not empty the shortest name that contains it, then the first by spelling.
 
-    A fragment's first three characters, or fewer, are looked up among the pieces of names of that length, so both sides
-    may be large; what is found is compared as a whole.
+    Names are found by their pieces of three characters. How many names have each piece is counted first, and a fragment
+    is looked up by the one of its pieces that the fewest names have: what many fragments and names share, such as how
+    they begin, brings nothing together. A piece that no name has ends the search for its fragments. Fragments of one or
+    two characters are looked up as they are. Both sides may be large; what is found is compared as a whole.
     """
-    heads = fragments.where(F.length(fragment) > 0).select(fragment, F.substring(fragment, 1, 3).alias("_piece")).distinct()
-    lengths = [r[0] for r in heads.select(F.length("_piece")).distinct().collect()]  # of 1, 2 and 3
-    if not lengths:
-        return fragments.where("false").select(fragment, F.lit("").alias(name))
-    own = F.col("_name")
-
-    def of_length(k: int) -> Column:
-        pieces = F.transform(F.sequence(F.lit(1), F.length(own) - (k - 1)), lambda i: F.substr(own, i, F.lit(k)))
-        return F.when(F.length(own) >= k, pieces).otherwise(F.array().cast("array<string>"))
-
-    pieces = F.array_distinct(F.flatten(F.array(*[of_length(k) for k in lengths])))
-    spread = names.select(F.col(name).alias("_name")).distinct().select("_name", F.explode(pieces).alias("_of"))
-    hits = heads.join(spread, F.col("_piece") == F.col("_of")).where(own.contains(F.col(fragment)))
-    return hits.groupBy(fragment).agg(F.min(F.struct(F.length("_name").alias("n"), "_name")).alias("_m")).select(fragment, F.col("_m._name").alias(name))
+    wanted = fragments.where(F.length(fragment) > 0).select(F.col(fragment).alias("_fragment")).distinct()
+    own = names.select(F.col(name).alias("_name")).where(F.col("_name").isNotNull()).distinct()
+    asked = wanted.select("_fragment", F.explode(pieces_of(F.col("_fragment"), F.least(F.length("_fragment"), F.lit(PIECE)))).alias("_piece"))
+    held = F.flatten(F.array(*[pieces_of(F.col("_name"), k) for k in range(1, PIECE + 1)]))
+    spread = own.select("_name", F.explode(held).alias("_piece")).join(asked.select("_piece").distinct(), "_piece", "left_semi")
+    counted = asked.join(spread.groupBy("_piece").agg(F.count("*").alias("_names")), "_piece", "left")
+    rarest = counted.groupBy("_fragment").agg(F.min(F.struct(F.coalesce("_names", F.lit(0)).alias("n"), "_piece")).alias("_r")).where("_r.n > 0")
+    hits = rarest.select("_fragment", F.col("_r._piece").alias("_piece")).join(spread, "_piece").where(F.col("_name").contains(F.col("_fragment")))
+    best = hits.groupBy("_fragment").agg(F.min(F.struct(F.length("_name").alias("n"), "_name")).alias("_m"))
+    return best.select(F.col("_fragment").alias(fragment), F.col("_m._name").alias(name))
 
 
 def compare_in_order(left: DataFrame, right: DataFrame, key: list[str], position: str, value: str) -> DataFrame:

@@ -330,3 +330,18 @@ def test_splits_are_exact_at_every_ratio(spark):
     made = splits.positional_split(spark.createDataFrame([("a", i) for i in range(5)] + [("b", 1)], "k string, i int"), ["k"], ["i"], 3)
     assert sorted(tuple(r) for r in made.collect()) == [("a", 0, "first"), ("a", 1, "first"), ("a", 2, "first"), ("a", 3, "second"), ("a", 4, "second"), ("b", 1, "first")]
     assert spark.range(10).select(splits.seeded(F.col("id"), 1).alias("h")).distinct().count() == 10
+
+
+def test_fragments_that_all_begin_alike_are_found_by_their_rarest_piece(spark):
+    names = spark.range(20_000).select(F.concat(F.lit("the same beginning "), F.conv(F.col("id"), 10, 16), F.lit(" end")).alias("name"))
+    fragments = spark.range(100_000).select(F.concat(F.lit("the same beginning "), F.conv(F.col("id"), 10, 16), F.lit(" e")).alias("fragment"))
+    made = joins.resolve_fragments(fragments, names, "fragment", "name")
+    assert made.count() == 20_000 and made.where(F.concat("fragment", F.lit("nd")) != F.col("name")).count() == 0
+
+
+def test_short_missing_and_odd_fragments(spark):
+    names = spark.createDataFrame([("abcd",), ("bc",), ("xbc",), ("abc",), (None,), ("",)], "name string")
+    fragments = spark.createDataFrame([("b",), ("bc",), ("abc",), ("abd",), ("",), (None,), ("zzz",), ("abcde",), ("bc",), ("ABC",)], "fragment string")
+    assert {tuple(r) for r in joins.resolve_fragments(fragments, names, "fragment", "name").collect()} == {("b", "bc"), ("bc", "bc"), ("abc", "abc")}
+    assert joins.resolve_fragments(fragments.where("false"), names, "fragment", "name").count() == 0
+    assert joins.resolve_fragments(fragments, names.where("false"), "fragment", "name").count() == 0
