@@ -67,7 +67,7 @@ def test_the_audit_ranks_in_parts_and_blocks(spark, monkeypatch):
 
 
 def test_the_audit_of_no_rows_and_of_long_texts(spark):
-    assert divergence.audit(table(spark, corpus(3)).where("false")).count() == 0
+    assert divergence.audit(table(spark, corpus(5)).where("false")).count() == 0
     rows = [(k, "beta " * 200_000 + "gamma" * k, "en", s) for k, s in enumerate("aabbab")]
     assert {tuple(r) for r in divergence.audit(table(spark, rows)).collect()} == plain_audit(rows)
 
