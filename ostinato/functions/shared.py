@@ -13,7 +13,7 @@ def cut(df: DataFrame) -> DataFrame:
     Only a local session may go without that setting; it gets a temporary folder.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="ostinato-"))
