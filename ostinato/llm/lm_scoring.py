@@ -2,9 +2,9 @@
 
 Words become subword ids of a public byte-level vocabulary. A class of about equal frequency stands for each frequent
 id, or for several rarer ones; the attention model gives the probability of the next class, and the counts over all
-training documents that of the id within it. Each training document gives windows to train on, one and one more for
-so many words, so what is learnt from grows with the corpus. Tasks train on their own windows from common weights, and
-the weights are averaged, a few rounds long. A text is scored in windows that overlap, each id once.
+training documents that of the id within it. All ids of all training documents stand in windows to train on, each once as what
+is to be told. Tasks train on their own windows from common weights, and the weights are averaged after each round, which
+has its share of the windows. A text is scored in windows that overlap, each id once.
 """
 
 from __future__ import annotations
@@ -43,16 +43,18 @@ PRIOR = 20.0
 WIDTH = 16
 #: Inputs of a window, and how many of them the next window doesn't have.
 WINDOW, STRIDE = 24, 20
-#: Bytes for which a document gives one more training window than one, and bytes in which a window's words are sought.
-BYTES_A_WINDOW, WINDOW_BYTES = 10_000, 1_024
-#: Windows that a task trains on, and passes over them.
-WINDOWS_A_TASK = 8192
+#: Bytes in which the words from a place in a text on are sought.
+WINDOW_BYTES = 1_024
+#: Windows that a task trains on, those that move together, and the rounds that share them.
+WINDOWS_A_TASK, PACK = 1 << 16, 64
 ROUNDS = 2
 #: The most frequent words, whose counts every task has.
 HEAD_WORDS = 1 << 17
 #: Words of which a task keeps the ids, and bytes of texts that it takes at once.
 KEPT_WORDS, BLOCK_BYTES = 350_000, 4 << 20
 LEARNING_RATE = 0.02
+#: A task with fewer windows learns from fewer at a time.
+SMALL = 1 << 14
 
 
 def held_out(doc_id: Column) -> Column:
@@ -256,44 +258,46 @@ def window_words(raw: bytes, at: int, size: int = WINDOW_BYTES) -> tuple[list[by
     return words[:-1] if cut_off else words, at == 0, stop >= len(raw)
 
 
-def training_windows(docs: DataFrame, end: int, path: str, known: dict[bytes, float], *, window: int = WINDOW, bytes_a_window: int = BYTES_A_WINDOW) -> DataFrame:
-    """(place, ids) from each document: one window, and one more for each ``bytes_a_window`` of its text.
+def training_windows(docs: DataFrame, end: int, path: str, known: dict[bytes, float], *, window: int = WINDOW) -> DataFrame:
+    """(place, ids): all ids of each document with its end before and after them, cut in windows of one more than ``window``.
 
-    The first begins with the text, the others somewhere in a stretch of their own, at a word. Where a window's words
-    end before it is full, -1 fills it up. ``place`` is a pseudo-random number.
+    A window begins with the last id of the one before it, so each id after the first is to be told once; -1 fills up the
+    last one. ``ids`` has up to ``PACK`` windows of one document as numbers of four bytes, ``place`` is pseudo-random.
     """
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def step():
         table = Words(path, shared.value)
-
         task, rows = TaskContext.get().partitionId(), 0
 
         def take(batch: dict[str, list]) -> dict[str, list]:
             nonlocal rows
             out: dict[str, list] = {"place": [], "ids": []}
-            found = []
-            for text in batch["text"]:
-                raw = text or b""
-                rows += 1
-                state = np.random.default_rng([zlib.crc32(raw), task, rows])  # copies of a text give windows of their own
-                for k in range(1 + len(raw) // bytes_a_window):
-                    found.append(window_words(raw, 0 if k == 0 else k * bytes_a_window - int(state.integers(0, bytes_a_window))))
-                    out["place"].append(int(state.integers(0, 1 << 62)))
-            table.meet([words[:window] for words, *_ in found])
-            for words, begins, ends in found:
-                ids = [end] if begins else []
-                for at in map(table.__getitem__, words[:window]):
-                    ids += table.ids[table.ends[at] : table.ends[at + 1]].tolist()
-                if ends and len(words) <= window:
-                    ids.append(end)
-                out["ids"].append((ids + [-1] * window)[: window + 1])
-            table.shed()
+            for part in blocks(batch["text"]):
+                words = [split_words(t) for t in part]
+                table.meet(words)
+                ids, ends = joined([table.numbers(w) for w in words], table.ids, table.ends, end)
+                for text, own in zip(part, np.split(ids, ends[:-1]), strict=True):
+                    rows += 1
+                    state = np.random.default_rng([zlib.crc32(text or b""), task, rows])  # copies of a text have places of their own
+                    made = cut_in_windows(own, window)
+                    for at in range(0, len(made), PACK):
+                        out["ids"].append(made[at : at + PACK].tobytes())
+                        out["place"].append(int(state.integers(0, 1 << 62)))
+                table.shed()
             return out
 
         return take
 
-    return map_rows(docs.select("text"), step, "place long, ids array<int>")
+    return map_rows(docs.select("text"), step, "place long, ids binary")
+
+
+def cut_in_windows(ids: np.ndarray, window: int) -> np.ndarray:
+    """Windows of ``window`` inputs and the id after each, filled up with -1; no id is to be told twice."""
+    n = max(1, -(-(len(ids) - 1) // window))
+    filled = np.full(n * window + 1, -1, np.int32)
+    filled[: len(ids)] = ids
+    return np.lib.stride_tricks.sliding_window_view(filled, window + 1)[::window]
 
 
 def averaged(tasks: DataFrame, groups: int) -> np.ndarray:
@@ -317,7 +321,7 @@ def averaged(tasks: DataFrame, groups: int) -> np.ndarray:
 
 
 def train(windows: DataFrame, tasks: int, codes: Codes, shape: attention.Shape, *, rounds: int = ROUNDS, rate: float = LEARNING_RATE) -> np.ndarray:
-    """The weights after ``rounds`` passes over the windows, as one row of numbers; each task has its own windows."""
+    """The weights after ``rounds`` rounds, as one row of numbers; each round has its share of the windows, each task its own."""
     spark = windows.sparkSession
     weights = attention.flat(attention.untrained(shape, codes.class_counts))
     if not tasks:
@@ -330,15 +334,15 @@ def train(windows: DataFrame, tasks: int, codes: Codes, shape: attention.Shape,
 
         def fit(batches: Iterator[pa.RecordBatch], shared=shared, r=r) -> Iterator[pa.RecordBatch]:
             start, known = shared.value
-            ids = [b.column(b.schema.get_field_index("ids")).flatten().to_numpy() for b in batches]
+            ids = [np.frombuffer(x, np.int32) for b in batches for x in b.column(b.schema.get_field_index("ids")).to_pylist()]
             if not ids:
                 return
             ids = np.concatenate(ids).reshape(-1, shape.window + 1)
             slots, classes = examples(ids, known)
-            made = attention.train(attention.unflat(start, shape), slots, classes, rate=rate * 0.5**r, batch=32, seed=r)
+            made = attention.train(attention.unflat(start, shape), slots, classes, rate=rate * 0.5**r, batch=32 if len(ids) < SMALL else 128, seed=r)
             yield pa.RecordBatch.from_pylist([{"task": TaskContext.get().partitionId(), "windows": len(ids), "weights": (attention.flat(made).astype(np.float64) * len(ids)).tobytes()}], schema=to)
 
-        weights = averaged(bounded_batches(dealt).mapInArrow(fit, schema), max(1, math.isqrt(tasks))).astype(np.float32)
+        weights = averaged(bounded_batches(dealt.where(F.col("place") % rounds == r)).mapInArrow(fit, schema), max(1, math.isqrt(tasks))).astype(np.float32)
         shared.unpersist()
     return weights
 
@@ -393,8 +397,7 @@ def score(docs: DataFrame, *, path: str = RANKS_FILE, rounds: int = ROUNDS) -> D
     train_rows = rows.where(~held_out(F.col("doc_id")))
     counts = cut(with_subwords(word_counts(train_rows), path))
     totals = counts.agg(F.count("*").alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    measured = train_rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-    n_train = measured["n"]
+    n_train = train_rows.count()
     train_tokens, distinct = totals["n"] + n_train, totals["words"] + (n_train > 0)
     least = head_threshold(counts)
     frequent = counts.where(F.col("n") >= least).select("word", "n").toArrow()  # HEAD_WORDS at most
@@ -403,7 +406,7 @@ def score(docs: DataFrame, *, path: str = RANKS_FILE, rounds: int = ROUNDS) -> D
     codes = Codes(id_counts, begins_word(path))
     codes.learn_pairs(*pair_counts(counts, codes))
     shape = attention.Shape(SLOTS, CLASSES, WIDTH, WINDOW)
-    windows = n_train + measured["bytes"] // BYTES_A_WINDOW  # no fewer than there are
+    windows = n_train + int(id_counts.sum()) // WINDOW  # no fewer than there are
     weights = train(training_windows(train_rows, end, path, head), -(-windows // WINDOWS_A_TASK), codes, shape, rounds=rounds)
     shared = spark.sparkContext.broadcast((head, codes, weights))
 

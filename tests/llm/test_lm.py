@@ -158,6 +158,18 @@ def test_later_ids_do_not_change_earlier_probabilities():
     assert np.allclose(attention.log_probabilities(weights, slots, targets)[:, 3:], attention.log_probabilities(weights, slots, targets, 3))
 
 
+def test_every_id_of_the_training_documents_is_learned_from_once(spark):
+    texts = [None, "", "one", " ".join(f"w{k % 700}" for k in range(9000)), "the cat " * 12, "the cat " * 12]
+    docs = spark.createDataFrame([(None if t is None else t.encode(),) for t in texts], "text binary")
+    end = lm_scoring.encoding(lm_scoring.RANKS_FILE).n_vocab
+    made = lm_scoring.training_windows(docs, end, lm_scoring.RANKS_FILE, {}).collect()
+    windows = np.concatenate([np.frombuffer(r["ids"], np.int32) for r in made]).reshape(-1, lm_scoring.WINDOW + 1)
+    told = Counter(windows[:, 1:][windows[:, 1:] >= 0].tolist())
+    want = Counter(i for t in texts for w in (t or "").split() for i in lm_scoring.subwords(w.encode()))
+    want[end] = len(texts)
+    assert told == want
+
+
 @pytest.mark.parametrize("at", [0, 1, 5, 700, 1500])
 def test_windows_begin_and_end_at_words(at):
     words = [f"W{k:04d}" for k in range(300)]
