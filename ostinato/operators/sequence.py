@@ -31,6 +31,27 @@ def running_count(df: DataFrame, key: list[str], order: list, what: Column, name
     return df.withColumn(name, F.sum(F.when(what, 1).otherwise(0)).over(before_and_now(key, order)))
 
 
+def gathered(df: DataFrame, key: list[str], pos: str = "pos", token: str = "tok") -> DataFrame:
+    """(key, toks): the tokens of each sequence as one array in their order, which costs one row in place of many."""
+    rows = F.array_sort(F.collect_list(F.struct(pos, token)))
+    return df.groupBy(*key).agg(F.transform(rows, lambda r: r[token]).alias("toks"))
+
+
+def places(values: Column, what) -> Column:
+    """Where in an array values meet a condition, from 1."""
+    return F.filter(F.transform(values, lambda t, i: F.when(what(t), i + 1)), lambda i: i.isNotNull())
+
+
+def blocks_of(tokens: Column, start: str = "CHORD_START", end: str = "CHORD_END") -> Column:
+    """The blocks of block_spans in an array of tokens: structs of ``span``, ``at`` (from 1) and the block's ``toks``."""
+    starts, ends, n = places(tokens, lambda t: t == start), places(tokens, lambda t: t == end), F.size(tokens)
+    # The n-th block goes on to the n-th end, but not beyond the next start; an end that came before leaves nothing.
+    bounds = F.zip_with(F.zip_with(starts, F.slice(starts, 2, F.size(starts)), lambda a, b: F.struct(a.alias("a"), F.coalesce(b - 1, n).alias("b"))), F.slice(ends, 1, F.size(starts)), lambda s, e: F.struct(s["a"].alias("a"), F.least(s["b"], F.coalesce(e, n)).alias("b")))
+    made = F.transform(bounds, lambda s, k: F.struct(k.alias("span"), s["a"].alias("at"), s["b"].alias("to")))
+    kept = F.filter(made, lambda s: s["to"] >= s["at"])
+    return F.transform(kept, lambda s: F.struct(s["span"].alias("span"), s["at"].alias("at"), F.slice(tokens, s["at"], s["to"] - s["at"] + 1).alias("toks")))
+
+
 def chord_spans(df: DataFrame, key: list[str], order: list, token: str = "tok", mark: str = ".") -> DataFrame:
     """Adds ``span``: -1 before the first chord, then the number of the chord that is the last to have begun.
 

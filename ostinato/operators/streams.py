@@ -123,52 +123,92 @@ def both_levels(df: DataFrame, key: list[str], pos: str = "pos", token: str = "t
     A chord begins at the first dot after the last block's end; its symbols stand before the block, its notes in it. A root
     after a slash is the bass. The symbols' duration counts, else the block's. A dot at the end counts without a block.
     """
-    tok = F.col(token)
-    rows = df.withColumn("_g", F.coalesce(F.sum((tok == END).cast("int")).over(sequence.ordered(key, [pos]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = [*key, "_g"]
-    rows = rows.withColumn("_in", F.max((tok == START).cast("int")).over(sequence.before_and_now(own, [pos])) > 0)
-    rows = rows.withColumn("_dot", F.min(F.when((tok == ".") & ~F.col("_in"), F.col(pos))).over(Window.partitionBy(*own)))
-    rows = rows.withColumn("_before", F.lag(token).over(sequence.ordered(key, [pos]))).where(F.col(pos) >= F.col("_dot"))
-    text = lambda prefix: F.when(tok.startswith(prefix), F.substr(tok, F.lit(len(prefix) + 1)))
-    symbol, note = ~F.col("_in"), F.regexp_extract(tok, r"^(?:PV|H)_(\d+)_(\d+)$", 1)
-    slashed = F.coalesce(F.col("_before") == "/", F.lit(False))
-    first = lambda v, when: F.min(F.when(when & v.isNotNull(), F.struct(F.col(pos), v.alias("v"))))["v"]
-    last = lambda v, when: F.max(F.when(when & v.isNotNull(), F.struct(F.col(pos), v.alias("v"))))["v"]
-    several = lambda v, when: F.transform(F.array_sort(F.collect_list(F.when(when & v.isNotNull(), F.struct(F.col(pos), v.alias("v"))))), lambda x: x["v"])
-    duration = text("DUR_").try_cast("double")
-    pitch, velocity = F.when(note != "", note.cast("int")), F.when(note != "", F.regexp_extract(tok, r"_(\d+)$", 1).cast("int"))
-    made = rows.groupBy(*own).agg(
-        first(text("R_"), symbol & ~slashed).alias("root"), last(text("Q_"), symbol).alias("quality"), several(text("X_"), symbol).alias("extensions"), last(text("R_"), symbol & slashed).alias("bass"),
-        F.coalesce(last(duration, symbol), first(duration, F.col("_in"))).alias("duration"), several(pitch, F.col("_in")).alias("pitches"), several(velocity, F.col("_in")).alias("velocities"),
+    return both_levels_of(sequence.gathered(df, key, pos, token), key)
+
+
+def _last(values: Column) -> Column:
+    return F.try_element_at(values, F.lit(-1))
+
+
+def _after(prefix: str, values: Column) -> Column:
+    """What follows a prefix in the values that have it."""
+    return F.transform(F.filter(values, lambda t: t.startswith(prefix)), lambda t: F.substr(t, F.lit(len(prefix) + 1)))
+
+
+def _numbers(values: Column, pattern: str, group: int) -> Column:
+    """A group of a pattern as an integer, of the values that match."""
+    return F.transform(F.filter(values, lambda t: t.rlike(pattern)), lambda t: F.regexp_extract(t, pattern, group).cast("int"))
+
+
+def both_levels_of(songs: DataFrame, key: list[str]) -> DataFrame:
+    """both_levels of (key, toks), a row for each song."""
+    toks = F.col("toks")
+    ends = sequence.places(toks, lambda t: t == END)
+    pieces = F.zip_with(F.concat(F.array(F.lit(0)), ends), F.concat(ends, F.array(F.size(toks))), lambda a, b: F.slice(toks, a + 1, b - a))
+    head = lambda b: F.slice(b, 1, F.when(F.array_position(b, START) > 0, F.array_position(b, START) - 1).otherwise(F.size(b)).cast("int"))
+    dotted = F.filter(pieces, lambda b: F.array_position(head(b), ".") > 0)
+    rows = songs.select(*key, F.posexplode(dotted).alias("chord", "_b"))
+    rows = rows.withColumn("_head", head(F.col("_b")))
+    inside = F.slice("_b", F.size("_head") + 1, F.size("_b"))
+    rows = rows.select(*key, "chord", F.slice("_head", F.array_position("_head", ".").cast("int"), F.size("_head")).alias("_symbols"), inside.alias("_inside"))
+    symbols, inside = F.col("_symbols"), F.col("_inside")
+    slashed = lambda i: F.coalesce(F.get("_symbols", i - 1) == "/", F.lit(False))
+    roots = F.filter(symbols, lambda t, i: t.startswith("R_") & ~slashed(i))
+    basses = F.filter(symbols, lambda t, i: t.startswith("R_") & slashed(i))
+    durations = lambda values: F.filter(F.transform(_after("DUR_", values), lambda t: t.try_cast("double")), lambda d: d.isNotNull())
+    note = r"^(?:PV|H)_(\d+)_(\d+)$"
+    return rows.select(
+        *key, F.get(_after("R_", roots), F.lit(0)).alias("root"), _last(_after("Q_", symbols)).alias("quality"), _after("X_", symbols).alias("extensions"), _last(_after("R_", basses)).alias("bass"),
+        F.coalesce(_last(durations(symbols)), F.get(durations(inside), F.lit(0))).alias("duration"), _numbers(inside, note, 1).alias("pitches"), _numbers(inside, note, 2).alias("velocities"), "chord",
     )
-    return made.withColumn("chord", F.row_number().over(sequence.ordered(key, ["_g"])) - 1).drop("_g")
 
 
 def chord_summary(df: DataFrame, key: list[str], pos: str = "pos", token: str = "tok", bar: str = "BAR") -> DataFrame:
     """(key, chord, bar_number, root, duration, pitches, velocities) of the blocks of a stream; bars count from the first."""
-    tok = F.col(token)
-    rows = sequence.running_count(df, key, [pos], tok.startswith(bar), "bar_number")
-    rows = sequence.block_spans(rows, key, [pos], token, START, END).where("span >= 0")
-    part = lambda pattern, k=1: F.regexp_extract(tok, pattern, k)
-    note = F.when(part(r"^PV_(\d+)_(\d+)$") != "", F.struct(F.col(pos), part(r"^PV_(\d+)_(\d+)$").cast("int").alias("p"), part(r"^PV_(\d+)_(\d+)$", 2).cast("int").alias("v")))
-    some = lambda prefix, kind: F.max_by(F.substr(tok, F.lit(len(prefix) + 1)), F.when(tok.startswith(prefix), F.col(pos))).try_cast(kind)
-    made = rows.groupBy(*key, "span").agg(F.min("bar_number").alias("bar_number"), some("ROOT_", "int").alias("root"), some("DUR_", "double").alias("duration"), F.array_sort(F.collect_list(note)).alias("_n"))
-    return made.select(*key, F.col("span").alias("chord"), "bar_number", "root", "duration", F.transform("_n", lambda n: n["p"]).alias("pitches"), F.transform("_n", lambda n: n["v"]).alias("velocities"))
+    return chord_summary_of(sequence.gathered(df, key, pos, token), key, bar)
+
+
+def _block(toks: Column) -> dict[str, Column]:
+    note = r"^PV_(\d+)_(\d+)$"
+    return {"root": _last(_after("ROOT_", toks)).try_cast("int"), "duration": _last(_after("DUR_", toks)).try_cast("double"), "pitches": _numbers(toks, note, 1), "velocities": _numbers(toks, note, 2)}
+
+
+def chord_summary_of(songs: DataFrame, key: list[str], bar: str = "BAR") -> DataFrame:
+    """chord_summary of (key, toks), a row for each song."""
+    blocks = songs.withColumn("_blocks", sequence.blocks_of(F.col("toks")))
+    # Bars from the block before to this one; blocks are few beside tokens, so their running sum is a window.
+    before = F.concat(F.array(F.lit(0)), F.transform("_blocks", lambda b: b["at"]))
+    bars = F.zip_with("_blocks", F.slice(before, 1, F.size("_blocks")), lambda b, a: F.struct(b.alias("b"), F.size(F.filter(F.slice("toks", a + 1, b["at"] - a), lambda t: t.startswith(bar))).alias("bars")))
+    rows = blocks.select(*key, F.explode(bars).alias("_x")).select(*key, F.col("_x.b.span").alias("chord"), F.col("_x.bars").alias("_bars"), F.col("_x.b.toks").alias("_toks"))
+    made = _block(F.col("_toks"))
+    rows = rows.select(*key, "chord", "_bars", *[made[c].alias(c) for c in made])
+    return rows.select(*key, "chord", F.sum("_bars").over(sequence.before_and_now(key, ["chord"])).alias("bar_number"), *made)
 
 
 def readable(df: DataFrame, key: list[str], pos: str = "pos", token: str = "tok") -> DataFrame:
     """(key, line, text): a stream as lines: its start and end, a line for each bar and one for the chords in it."""
-    tok = F.col(token)
-    marks = df.where(tok.isin("<start>", "<end>") | tok.startswith("BAR")).select(*key, F.col(pos).alias("_p"), F.when(tok == "<start>", "── START ──").when(tok == "<end>", "── END ──").when(tok == "BAR", "  |").otherwise(F.concat(F.lit("  "), F.replace(tok, F.lit("BAR_"), F.lit("Bar ")))).alias("text"), F.lit(True).alias("_mark"))
-    chords = chord_summary(df, key, pos, token)
-    starts = sequence.block_spans(df, key, [pos], token, START, END).where((F.col("span") >= 0) & (tok == START)).select(*key, F.col("span").alias("chord"), F.col(pos).alias("_p"))
-    steps = F.when(F.size("pitches") > 0, F.array_join(F.transform("pitches", lambda p: p.cast("string")), ",")).otherwise("—")
-    value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("?"))
-    text = F.concat(F.lit("  [root="), value("root"), F.lit(" | steps="), steps, F.lit(" | dur="), value("duration"), F.lit("]"))
-    spoken = chords.join(starts, [*key, "chord"]).select(*key, "_p", text.alias("text"), F.lit(False).alias("_mark"))
-    rows = marks.unionByName(spoken).withColumn("_m", F.sum(F.col("_mark").cast("int")).over(sequence.before_and_now(key, ["_p"])))
-    lines = rows.groupBy(*key, "_m", "_mark").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "text"))), lambda x: x["text"]), "").alias("text"))
-    return lines.select(*key, (F.row_number().over(sequence.ordered(key, ["_m", F.col("_mark").desc()])) - 1).alias("line"), "text")
+    return readable_of(sequence.gathered(df, key, pos, token), key).select(*key, F.posexplode("lines").alias("line", "text"))
+
+
+def readable_of(songs: DataFrame, key: list[str]) -> DataFrame:
+    """(key, lines): readable of (key, toks), a row and an array of lines for each song."""
+    mark = lambda t: F.when(t == "<start>", "── START ──").when(t == "<end>", "── END ──").when(t == "BAR", "  |").when(t.startswith("BAR"), F.concat(F.lit("  "), F.replace(t, F.lit("BAR_"), F.lit("Bar "))))
+    value = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
+
+    def spoken(toks: Column) -> Column:
+        own = _block(toks)
+        steps = F.array_join(F.transform(own["pitches"], lambda p: p.cast("string")), ",")
+        return F.concat(F.lit("  [root="), value(own["root"]), F.lit(" | steps="), F.coalesce(F.nullif(steps, F.lit("")), F.lit("—")), F.lit(" | dur="), value(own["duration"]), F.lit("]"))
+
+    item = lambda at, text, marked: F.struct(at.cast("int").alias("at"), text.alias("text"), F.lit(marked).alias("mark"))
+    marks = F.filter(F.transform("toks", lambda t, i: item(i + 1, mark(t), True)), lambda x: x["text"].isNotNull())
+    rows = songs.withColumn("_blocks", sequence.blocks_of(F.col("toks"))).select(*key, marks.alias("_marks"), F.transform("_blocks", lambda b: item(b["at"], spoken(b["toks"]), False)).alias("_spoken"))
+    rows = rows.select(*key, F.array_sort(F.concat("_marks", "_spoken")).alias("_items"))
+    # A mark is a line, and so is what is spoken between two.
+    own_line = lambda x, i: x["mark"] | (i == 0) | F.coalesce(F.get("_items", i - 1)["mark"], F.lit(False))
+    rows = rows.withColumn("_at", F.filter(F.transform("_items", lambda x, i: F.when(own_line(x, i), i + 1)), lambda i: i.isNotNull()))
+    text = lambda a, b: F.array_join(F.transform(F.slice("_items", a, F.coalesce(b, F.size("_items") + 1) - a), lambda x: x["text"]), "")
+    return rows.select(*key, F.zip_with("_at", F.slice("_at", 2, F.size("_at")), text).alias("lines"))
 
 
 def readable_chords(df: DataFrame, key: list[str], pos: str = "pos", token: str = "tok") -> DataFrame:
@@ -294,5 +334,6 @@ def twelve_tone_messages(chords: DataFrame, key: list[str], ticks_per_beat: int
     rows = chords.where((F.size("pitches") > 0) & F.col("duration").isNotNull()).withColumn("_notes", twelve_tone_notes(F.col("pitches")))
     ticks = (F.col("duration") * ticks_per_beat).cast("long")
     message = lambda kind, value, first: F.transform("_notes", lambda n, i: F.struct(F.when(i == 0, first).otherwise(F.lit(0)).cast("long").alias("delta"), F.lit(kind).alias("type"), F.lit(0).alias("channel"), n.alias("note"), F.lit(value).alias("value")))
-    spread = rows.select(*key, "chord", F.posexplode(F.concat(message("on", velocity, F.lit(0)), message("off", 0, ticks))).alias("_i", "m"))
-    return spread.select(*key, (F.row_number().over(sequence.ordered(key, ["chord", "_i"])) - 1).alias("nth"), "m.*")
+    rows = rows.withColumn("_first", F.coalesce(F.sum(F.size("_notes") * 2).over(sequence.ordered(key, ["chord"]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    spread = rows.select(*key, "_first", F.posexplode(F.concat(message("on", velocity, F.lit(0)), message("off", 0, ticks))).alias("_i", "m"))
+    return spread.select(*key, (F.col("_first") + F.col("_i")).cast("int").alias("nth"), "m.*")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ostinato.functions import dims, dissonance, spelling
 from ostinato.operators import joins, quality, recurrent, sequence, splits, streams, voicing
-from ostinato.plans.common import LINES_SQL, TOKENS_SQL, WORDS_SQL, lines, query, table, tokens, words
+from ostinato.plans.common import LINES_SQL, TOKENS_SQL, WORDS_SQL, lines, query, songs, table, tokens, words
 from ostinato.plans.harmony_queries import DIM_SQL, as_lines
 from ostinato.sources import midi
 
@@ -24,23 +24,25 @@ BOTH_SQL = f"""{LINES_SQL}, ch AS (SELECT l_orderkey, pos, ({ROOTS})[(l_partkey
 
 
 def both_levels(spark, sf_dir):
-    """(l_orderkey, pos, tok): orders as streams of both levels, with a bar line after each chord."""
+    """(l_orderkey, toks): orders as streams of both levels, with a bar line after each chord."""
     some = lambda c, *t: F.when(c, F.array(*t)).otherwise(F.array().cast("array<string>"))
-    quality_ = pick(QUALITIES, F.col("l_suppkey"))
-    note = lambda c: F.concat(F.lit("PV_"), (F.col(c) % 319 + 106).cast("string"), F.lit("_3"))
-    toks = F.concat(
-        F.array(F.lit("."), F.concat(F.lit("DUR_"), (F.col("l_linenumber") % 4 + 1).cast("string"), F.lit(".0")), F.concat(F.lit("R_"), pick(ROOTS, F.col("l_partkey")))), some(quality_ != "", F.concat(F.lit("Q_"), quality_)),
-        some(F.col("l_partkey") % 3 == 0, F.lit("X_add 9")), some(F.col("l_partkey") % 5 == 0, F.lit("/"), F.concat(F.lit("R_"), pick(ROOTS, F.col("l_suppkey")))),
-        F.array(F.lit("CHORD_START"), F.lit("DUR_8.0"), note("l_partkey")), some(F.col("l_suppkey") % 2 == 0, note("l_suppkey")), F.array(F.lit("CHORD_END"), F.lit("BAR")),
-    )
-    rows = lines(spark, sf_dir).select("l_orderkey", F.col("pos").alias("line"), F.posexplode(toks).alias("i", "tok"))
-    return rows.select("l_orderkey", (F.row_number().over(sequence.ordered(KEY, ["line", "i"])) - 1).alias("pos"), "tok")
+
+    def toks(col):
+        quality_ = pick(QUALITIES, col("l_suppkey"))
+        note = lambda c: F.concat(F.lit("PV_"), (col(c) % 319 + 106).cast("string"), F.lit("_3"))
+        return F.concat(
+            F.array(F.lit("."), F.concat(F.lit("DUR_"), (col("l_linenumber") % 4 + 1).cast("string"), F.lit(".0")), F.concat(F.lit("R_"), pick(ROOTS, col("l_partkey")))), some(quality_ != "", F.concat(F.lit("Q_"), quality_)),
+            some(col("l_partkey") % 3 == 0, F.lit("X_add 9")), some(col("l_partkey") % 5 == 0, F.lit("/"), F.concat(F.lit("R_"), pick(ROOTS, col("l_suppkey")))),
+            F.array(F.lit("CHORD_START"), F.lit("DUR_8.0"), note("l_partkey")), some(col("l_suppkey") % 2 == 0, note("l_suppkey")), F.array(F.lit("CHORD_END"), F.lit("BAR")),
+        )
+
+    return songs(spark, sf_dir, toks)
 
 
 @query("q_both_levels", f"WITH {BOTH_SQL} SELECT l_orderkey, pos AS chord, root, quality, coalesce(ext, '') AS extensions, bass, dur::DOUBLE AS duration, concat_ws(' ', p1, p2) AS pitches FROM ch")
 def read_both_levels(spark, sf_dir):
     """The chords of streams of both levels, field by field."""
-    made = streams.both_levels(both_levels(spark, sf_dir), KEY)
+    made = streams.both_levels_of(both_levels(spark, sf_dir), KEY)
     return made.select("l_orderkey", "chord", "root", "quality", F.array_join("extensions", " ").alias("extensions"), "bass", "duration", F.array_join(F.transform("pitches", lambda p: p.cast("string")), " ").alias("pitches"))
 
 
@@ -48,23 +50,22 @@ def read_both_levels(spark, sf_dir):
 SELECT what, value, count(*) AS n, round(count(*) * 100 / sum(count(*)) OVER (PARTITION BY what)::DOUBLE, 6) AS pct FROM h GROUP BY 1, 2""")
 def chord_histograms(spark, sf_dir):
     """Notes, durations, qualities and roots of chords."""
-    return quality.chord_histograms(streams.both_levels(both_levels(spark, sf_dir), KEY))
+    return quality.chord_histograms(streams.both_levels_of(both_levels(spark, sf_dir), KEY))
 
 
 @query("q_chord_summary", f"WITH {BOTH_SQL} SELECT l_orderkey, pos AS chord, pos AS bar_number, 8.0::DOUBLE AS duration, concat_ws(' ', p1, p2) AS pitches, CASE WHEN p2 IS NULL THEN '3' ELSE '3 3' END AS velocities FROM ch")
 def chord_summary(spark, sf_dir):
     """Blocks with the number of their bar."""
     text = lambda c: F.array_join(F.transform(c, lambda p: p.cast("string")), " ").alias(c)
-    return streams.chord_summary(both_levels(spark, sf_dir), KEY).select("l_orderkey", "chord", F.col("bar_number").cast("int").alias("bar_number"), "duration", text("pitches"), text("velocities"))
+    return streams.chord_summary_of(both_levels(spark, sf_dir), KEY).select("l_orderkey", "chord", F.col("bar_number").cast("int").alias("bar_number"), "duration", text("pitches"), text("velocities"))
 
 
 @query("q_readable", f"""WITH {BOTH_SQL}, t AS (SELECT l_orderkey, pos * 2 AS line, '  [root=? | steps=' || concat_ws(',', p1, p2) || ' | dur=8.0]' AS text FROM ch UNION ALL SELECT l_orderkey, pos * 2 + 1, '  |' FROM ch)
 SELECT l_orderkey, md5(string_agg(text, chr(10) ORDER BY line)) AS digest, count(*) AS n FROM t GROUP BY 1""")
 def readable(spark, sf_dir):
     """Streams as lines to read."""
-    made = streams.readable(both_levels(spark, sf_dir), KEY)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
-    return made.groupBy("l_orderkey").agg(F.md5(text).alias("digest"), F.count("*").alias("n"))
+    made = streams.readable_of(both_levels(spark, sf_dir), KEY)
+    return made.select("l_orderkey", F.md5(F.array_join("lines", "\n")).alias("digest"), F.size("lines").cast("long").alias("n"))
 
 
 @query("q_twelve_tone_messages", f"""WITH {BOTH_SQL}, n AS (SELECT l_orderkey, pos, list_sort(list_distinct(list_transform(list_filter([p1, p2], lambda p: p IS NOT NULL), lambda p: least(greatest(round_even((p - 106) * 12 / 53.0::DOUBLE, 0)::INTEGER + 36, 0), 127)))) AS notes FROM ch),
@@ -72,7 +73,7 @@ m AS (SELECT l_orderkey, pos, 0 AS k, generate_subscripts(notes, 1) AS i, unnest
 SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY pos, k, i) - 1)::INTEGER AS nth, CASE WHEN k = 1 AND i = 1 THEN 3840 ELSE 0 END::BIGINT AS delta, CASE k WHEN 0 THEN 'on' ELSE 'off' END AS type, note::INTEGER AS note FROM m""")
 def twelve_tone_messages(spark, sf_dir):
     """Streams as messages of twelve tones."""
-    made = streams.twelve_tone_messages(streams.chord_summary(both_levels(spark, sf_dir), KEY), KEY)
+    made = streams.twelve_tone_messages(streams.chord_summary_of(both_levels(spark, sf_dir), KEY), KEY)
     return made.select("l_orderkey", "nth", "delta", "type", "note")
 
 

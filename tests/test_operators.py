@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from ostinato.functions import dims, dissonance, music, spelling
 from ostinato.operators import joins, quality, recurrent, relabel, retune, sequence, splits, streams, voicing
+from ostinato.plans import catalogue
 
 # The scale of each type on C.
 SCALES = {
@@ -345,3 +348,20 @@ def test_short_missing_and_odd_fragments(spark):
     assert {tuple(r) for r in joins.resolve_fragments(fragments, names, "fragment", "name").collect()} == {("b", "bc"), ("bc", "bc"), ("abc", "abc")}
     assert joins.resolve_fragments(fragments.where("false"), names, "fragment", "name").count() == 0
     assert joins.resolve_fragments(fragments, names.where("false"), "fragment", "name").count() == 0
+
+
+def test_blocks_of_an_array_are_those_of_rows_also_where_ends_are_missing(spark):
+    pick = random.Random(4)
+    rows = [(song, i, pick.choice(["CHORD_START", "CHORD_END", "a", "b"])) for song in range(60) for i in range(pick.randrange(1, 25))]
+    df = spark.createDataFrame(rows, "song int, pos int, tok string")
+    want = {tuple(r) for r in sequence.block_spans(df, ["song"], ["pos"]).where("span >= 0").collect()}
+    made = sequence.gathered(df, ["song"]).select("song", F.explode(sequence.blocks_of(F.col("toks"))).alias("b")).select("song", "b.*").collect()
+    assert {(r["song"], r["at"] - 1 + i, t, r["span"]) for r in made for i, t in enumerate(r["toks"])} == want
+
+
+@pytest.mark.parametrize("name", ["q_both_levels", "q_chord_histograms", "q_chord_summary", "q_readable", "q_twelve_tone_messages"])
+def test_streams_of_both_levels_are_never_sorted_token_by_token(spark, data, name):
+    plan = catalogue.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    # Windows stand over chords or over counted values, and nothing spreads tokens.
+    assert plan.count("Window ") <= (2 if name == "q_twelve_tone_messages" else 1) and "Project" in plan
+    assert "row_number" not in plan and plan.count("collect_list") == 1 and "posexplode(flatten" not in plan
