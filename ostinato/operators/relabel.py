@@ -1,7 +1,7 @@
 """Charts of twelve semitones relabelled in 53 steps: roots and qualities by the scale of their key, the rest as it is.
 
-What a token is depends on its neighbours only, so everything is a window over one sequence and a join with a dimension of
-names, which is made of the scales.
+What a token is depends on its neighbours only, so a song is one array of tokens, and the names of its scale, which come
+from a join with a dimension made of the scales, are another.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ostinato.functions import dims, music, spelling
-from ostinato.operators import joins, sequence
 
 # Third, fifth and seventh of each quality in semitones, and tokens that are no chord.
 QUALITY_SEMITONES = {
@@ -19,6 +18,7 @@ QUALITY_SEMITONES = {
     "ø7": (3, 6, 10), "o_maj7": (3, 6, 11), "aug": (4, 8, None), "power": (None, 7, None), "N.C.": (None, None, None),
 }
 PLAIN = (4, 7, None)
+PLAIN_SEMITONES = tuple(-1 if x is None else x for x in PLAIN)
 STRUCTURE = [".", "|", "||", ":|", "|:", "b||", "e||", "/", "N.C.", "<style>"]
 BEFORE_NO_QUALITY = ["|", "|:", ":|", "e||", "b||", "/", "."]
 
@@ -59,15 +59,34 @@ def name_dim(spark: SparkSession, unnamed: bool = False) -> DataFrame:
     return rows.select("type", "tonic", "pc", "third", "fifth", "seventh", note.alias("root_name"), music.chord_name(F.col("_third"), F.col("_fifth"), F.col("_seventh")).alias("quality_name"))
 
 
-def _named(rows: DataFrame, dim: DataFrame) -> DataFrame:
-    """Names of the root in ``_root`` with the semitones in ``_third``, ``_fifth`` and ``_seventh``."""
-    on = ["type", "tonic", "pc", "third", "fifth", "seventh"]
-    dim = dim.select(*[F.col(c).alias(f"d_{c}") for c in on], "root_name", "quality_name")
-    own = [F.col("type"), F.col("tonic"), F.col("_pc"), *[F.coalesce(f"_{c}", F.lit(-1)) for c in on[3:]]]
-    hit = None
-    for a, c in zip(own, on, strict=True):
-        hit = a == F.col(f"d_{c}") if hit is None else hit & (a == F.col(f"d_{c}"))
-    return rows.join(joins.small(dim), hit, "left").drop(*[f"d_{c}" for c in on])
+def _code(third, fifth, seventh):
+    return third * 10_000 + fifth * 100 + seventh
+
+
+#: Codes of the intervals that qualities have, as name_dim has them.
+SHAPES = sorted(_code(*(-1 if x is None else x for x in v)) for v in set(QUALITY_SEMITONES.values()))
+
+
+def _with_names(songs: DataFrame, dim: DataFrame) -> DataFrame:
+    """Adds ``_names`` of the song's type and tonic: a struct for each pitch class and shape in turn."""
+    entry = F.struct("pc", _code(F.col("third"), F.col("fifth"), F.col("seventh")).alias("code"), "root_name", "quality_name")
+    names = dim.groupBy("type", "tonic").agg(F.array_sort(F.collect_list(entry)).alias("_names"))
+    return songs.join(F.broadcast(names), ["type", "tonic"], "left")  # as many rows as there are scales and keys
+
+
+def _name(root: Column, semitones: list[Column]) -> Column:
+    """The names of a chord, null where its root or its intervals are not in the dimension."""
+    return _name_of_code(root, _code(*semitones))
+
+
+def _name_of_code(root: Column, code: Column) -> Column:
+    at = F.array_position(F.array(*[F.lit(c) for c in SHAPES]), code)
+    return F.get("_names", (pitch_class_of(root) * len(SHAPES) + F.nullif(at, F.lit(0)) - 1).cast("int"))
+
+
+def _gathered(df: DataFrame, key: list[str], pos: str, token: str) -> DataFrame:
+    toks = F.transform(F.array_sort(F.collect_list(F.struct(pos, token))), lambda r: r[token])
+    return df.groupBy(*key).agg(toks.alias("toks"), F.first("type").alias("type"), F.first("tonic").alias("tonic"))
 
 
 def _semitones(quality: Column, k: int) -> Column:
@@ -75,37 +94,35 @@ def _semitones(quality: Column, k: int) -> Column:
     return F.coalesce(known[quality], F.lit(-1 if PLAIN[k] is None else PLAIN[k]))
 
 
-def _emitted(rows: DataFrame, key: list[str], pos: str, parts: Column) -> DataFrame:
-    spread = rows.withColumn("_parts", F.filter(parts, lambda p: p.isNotNull())).select(*key, pos, F.posexplode("_parts").alias("_nth", "tok"))
-    return spread.select(*key, (F.row_number().over(sequence.ordered(key, [pos, "_nth"])) - 1).alias(pos), "tok")
+def relabelled(df: DataFrame, key: list[str], dim: DataFrame, pos: str = "pos", token: str = "tok") -> DataFrame:
+    """(key, pos, tok) of (key, pos, tok, type, tonic), of which a song has one type and tonic, by relabelled_of."""
+    return relabelled_of(_gathered(df, key, pos, token), key, dim).select(*key, F.posexplode("toks").alias(pos, "tok"))
 
 
-def relabelled(df: DataFrame, key: list[str], dim: DataFrame, pos: str = "pos", token: str = "tok") -> DataFrame:
-    """(key, pos, tok) of (key, pos, tok, type, tonic): a root becomes the name of its step, its quality that of its chord.
+def relabelled_of(songs: DataFrame, key: list[str], dim: DataFrame) -> DataFrame:
+    """(key, toks) of (key, toks, type, tonic): a root becomes the name of its step, its quality that of its chord.
 
     A root is a spelled pitch class that doesn't follow a slash; the token after it is its quality unless it is structural,
     a form mark, a duration or a root. A root without a quality gets the name of a plain chord, if that has one; a quality
     whose chord has no name stays. After a slash only the root is renamed. ``dim`` is name_dim.
     """
-    w = sequence.ordered(key, [pos])
-    tok, before, after = F.col(token), F.lag(token).over(w), F.lead(token).over(w)
-    rows = df.withColumns({"_before": before, "_before2": F.lag(token, 2).over(w), "_after": after})
     key_name = lambda c: c.isin(dims.TONICS)
     other = lambda c: c.isin(STRUCTURE) | c.startswith("Form_") | music.is_duration(c) | key_name(c)
-    is_bass = key_name(tok) & (F.coalesce(F.col("_before"), F.lit("")) == "/")
-    is_root = key_name(tok) & ~is_bass
-    root_before = key_name(F.col("_before")) & (F.coalesce(F.col("_before2"), F.lit("")) != "/")
-    is_quality = F.coalesce(root_before, F.lit(False)) & ~other(tok)
-    has_quality = F.coalesce(~other(F.col("_after")), F.lit(False))
-    kind = F.when(is_bass, "bass").when(is_root & has_quality, "root").when(is_root, "bare").when(is_quality, "quality").otherwise("same")
-    rows = rows.withColumn("_kind", kind)
-    quality = F.when(F.col("_kind") == "root", F.col("_after")).when(F.col("_kind") == "quality", tok)
-    root = F.when(F.col("_kind") == "quality", F.col("_before")).otherwise(tok)
-    rows = rows.withColumn("_pc", pitch_class_of(root)).withColumns({f"_{c}": _semitones(quality, k) for k, c in enumerate(("third", "fifth", "seventh"))})
-    made = _named(rows, dim)
-    named = F.nullif(F.col("quality_name"), F.lit(""))
-    parts = F.when(F.col("_kind").isin("root", "bass"), F.array("root_name")).when(F.col("_kind") == "bare", F.array(F.col("root_name"), named)).when(F.col("_kind") == "quality", F.array(F.coalesce(named, tok))).otherwise(F.array(tok))
-    return _emitted(made, key, pos, parts)
+    semitones = lambda quality: [_semitones(quality, k) for k in range(3)]
+    text = lambda c: F.coalesce(c, F.lit(""))
+
+    def parts(tok: Column, i: Column) -> Column:
+        before, after = F.get("toks", i - 1), F.get("toks", i + 1)
+        is_quality = F.coalesce(key_name(before) & (text(F.get("toks", i - 2)) != "/"), F.lit(False)) & ~other(tok)
+        root, plain = _name(tok, semitones(F.lit(""))), lambda name: F.nullif(name["quality_name"], F.lit(""))
+        bare = F.when((text(before) != "/") & ~F.coalesce(~other(after), F.lit(False)), plain(root))
+        return F.when(key_name(tok), F.array(root["root_name"], bare)).when(is_quality, F.array(F.coalesce(plain(_name(before, semitones(tok))), tok))).otherwise(F.array(tok))
+
+    return _spread(_with_names(songs, dim), key, parts)
+
+
+def _spread(songs: DataFrame, key: list[str], parts) -> DataFrame:
+    return songs.select(*key, F.filter(F.flatten(F.transform("toks", parts)), lambda t: t.isNotNull()).alias("toks"))
 
 
 def semitones_of_text(quality: Column) -> list[Column]:
@@ -126,28 +143,35 @@ def semitones_of_text(quality: Column) -> list[Column]:
 
 
 def relabelled_by_text(df: DataFrame, key: list[str], dim: DataFrame, pos: str = "pos", token: str = "tok") -> DataFrame:
-    """The older rule: as relabelled, but a quality is read by what its text holds, and may itself be a spelled root.
+    """(key, pos, tok) of (key, pos, tok, type, tonic), of which a song has one type and tonic, by relabelled_by_text_of."""
+    return relabelled_by_text_of(_gathered(df, key, pos, token), key, dim).select(*key, F.posexplode("toks").alias(pos, "tok"))
+
+
+def relabelled_by_text_of(songs: DataFrame, key: list[str], dim: DataFrame) -> DataFrame:
+    """The older rule: as relabelled_of, but a quality is read by what its text holds, and may itself be a spelled root.
 
     So of roots that follow each other every second one is a quality. A name stands after every root, also an empty one.
     ``dim`` is name_dim with names for all steps.
     """
-    w = sequence.ordered(key, [pos])
-    tok, before = F.col(token), F.lag(token).over(w)
-    rows = df.withColumns({"_after_slash": F.coalesce(before == "/", F.lit(False)), "_spelled": tok.isin(dims.TONICS)})
-    rows = rows.withColumn("_rootlike", F.col("_spelled") & ~F.col("_after_slash"))
-    # Runs of spelled tokens: the first, third ... are roots, the others their qualities.
-    rows = rows.withColumn("_run", F.sum((~F.col("_rootlike")).cast("int")).over(sequence.before_and_now(key, [pos])))
-    nth = F.row_number().over(sequence.ordered([*key, "_run", "_rootlike"], [pos]))
-    rows = rows.withColumn("_is_root", F.col("_rootlike") & (nth % 2 == 1))
+    slashed = lambda i: F.coalesce(F.get("toks", i - 1) == "/", F.lit(False))
     blocked = lambda c: c.isin(BEFORE_NO_QUALITY) | c.startswith("Form_") | F.regexp_replace(c, r"^([^.]*)\.", "$1").rlike(r"^\d+$")
-    rows = rows.withColumns({"_next": F.lead(token).over(w), "_root_before": F.coalesce(F.lag("_is_root").over(w), F.lit(False))})
-    is_quality = F.col("_root_before") & ~F.col("_is_root") & ~blocked(tok)
-    rows = rows.withColumn("_kind", F.when(F.col("_after_slash") & F.col("_spelled"), "bass").when(F.col("_is_root"), "root").when(is_quality, "quality").otherwise("same"))
-    quality = F.when((F.col("_kind") == "root") & ~blocked(F.col("_next")), F.col("_next")).otherwise("")
-    rows = rows.withColumn("_pc", pitch_class_of(tok)).withColumns(dict(zip(("_third", "_fifth", "_seventh"), semitones_of_text(F.coalesce(quality, F.lit(""))), strict=True)))
-    made = _named(rows, dim)
-    parts = F.when(F.col("_kind") == "root", F.array("root_name", "quality_name")).when(F.col("_kind") == "bass", F.array("root_name")).when(F.col("_kind") == "quality", F.array().cast("array<string>")).otherwise(F.array(tok))
-    return _emitted(made, key, pos, parts)
+    # Runs of spelled tokens: the first, third ... are roots (R), the others their qualities (q).
+    letters = F.array_join(F.transform("toks", lambda t, i: F.when(t.isin(dims.TONICS) & ~slashed(i), "R").otherwise("x")), "")
+    roles = F.split(F.regexp_replace(letters, "RR", "Rq"), "")
+    # Each step once for each token: a root's quality, the code of its intervals, its names.
+    named = _with_names(songs, dim).withColumn("_roles", roles)
+    quality = lambda role, i: F.when(role == "R", F.when(~blocked(F.get("toks", i + 1)), F.get("toks", i + 1)).otherwise(""))
+    named = named.withColumn("_qualities", F.transform("_roles", quality))
+    named = named.withColumn("_codes", F.transform("_qualities", lambda q: F.when(q.isNotNull(), _code(*semitones_of_text(q)))))
+    named = named.withColumn("_roots", F.transform("_codes", lambda c, i: F.when(c.isNotNull(), _name_of_code(F.get("toks", i), c))))
+
+    def parts(tok: Column, i: Column) -> Column:
+        root = F.get("_roots", i)
+        is_quality = F.coalesce(F.get("_roles", i - 1) == "R", F.lit(False)) & ~blocked(tok)
+        bass = _name_of_code(tok, F.lit(_code(*PLAIN_SEMITONES)))["root_name"]
+        return F.when(F.get("_roles", i) == "R", F.array(root["root_name"], root["quality_name"])).when(slashed(i) & tok.isin(dims.TONICS), F.array(bass)).when(is_quality, F.array().cast("array<string>")).otherwise(F.array(tok))
+
+    return _spread(named, key, parts)
 
 
 def pair_corpus(files: DataFrame, texts: DataFrame, stem: str = "stem", base: str = "base") -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ostinato.functions import dims, dissonance, music, spelling
 from ostinato.operators import quality, recurrent, relabel, retune, sequence, streams
-from ostinato.plans.common import LINES_SQL, lines, query, table
+from ostinato.plans.common import LINES_SQL, lines, query, songs, table
 from ostinato.plans.tuning_queries import SCALE_ROWS_SQL
 
 # --- dissonance
@@ -243,14 +243,15 @@ CHART_SQL = f"""{LINES_SQL}, ch AS (SELECT l_orderkey, pos, ({dims.TONICS})[(l_p
 
 
 def charts(spark, sf_dir):
-    """Orders as charts (l_orderkey, pos, tok, type, tonic): a dot, a duration, a root, a quality and a bass for each line."""
-    pick = lambda values, c: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(c) % len(values) + 1).cast("int"))
-    bass = F.when(F.col("l_partkey") % 4 == 0, F.array(F.lit("/"), pick(dims.TONICS, "l_suppkey"))).otherwise(F.array().cast("array<string>"))
-    toks = F.filter(F.concat(F.array(F.lit("."), F.lit("4.0"), pick(dims.TONICS, "l_partkey"), pick(QUALITY_LIST, "l_suppkey")), bass, F.array(F.lit("|"))), lambda t: t != "")
-    rows = lines(spark, sf_dir).select("l_orderkey", F.col("pos").alias("line"), F.posexplode(toks).alias("at", "tok"))
-    placed = rows.withColumn("pos", F.row_number().over(sequence.ordered(["l_orderkey"], ["line", "at"])) - 1)
+    """Orders as charts (l_orderkey, toks, type, tonic): a dot, a duration, a root, a quality and a bass for each line."""
+    pick = lambda values, c: F.element_at(F.array(*[F.lit(v) for v in values]), (c % len(values) + 1).cast("int"))
+
+    def toks(col):
+        bass = F.when(col("l_partkey") % 4 == 0, F.array(F.lit("/"), pick(dims.TONICS, col("l_suppkey")))).otherwise(F.array().cast("array<string>"))
+        return F.filter(F.concat(F.array(F.lit("."), F.lit("4.0"), pick(dims.TONICS, col("l_partkey")), pick(QUALITY_LIST, col("l_suppkey"))), bass, F.array(F.lit("|"))), lambda t: t != "")
+
     kind = F.element_at(F.array(*[F.lit(k) for k in dims.SCALES]), (F.col("l_orderkey") % 14 + 1).cast("int"))
-    return placed.select("l_orderkey", "pos", "tok", kind.alias("type"), (F.col("l_orderkey") % 12).cast("int").alias("tonic"))
+    return songs(spark, sf_dir, toks).select("l_orderkey", "toks", kind.alias("type"), (F.col("l_orderkey") % 12).cast("int").alias("tonic"))
 
 
 PC_SQL = "(([0, 1, 1, 2, 3, 3, 4, 5, 6, 6, 7, 8, 8, 9, 10, 10, 11])[list_position({names}, {{0}})])".format(names=dims.TONICS)
@@ -279,8 +280,8 @@ j AS (SELECT ch.*, n.root_name, n.cn, b.name AS bass_name FROM ch JOIN named n O
 SELECT l_orderkey, string_agg('. 4.0 ' || root_name || CASE WHEN cn <> '' THEN ' ' || cn WHEN quality <> '' THEN ' ' || quality ELSE '' END || coalesce(' / ' || bass_name, '') || ' |', ' ' ORDER BY pos) AS chart FROM j GROUP BY 1""")
 def relabelled(spark, sf_dir):
     """Charts of all orders relabelled by their type and key, each as one line."""
-    made = relabel.relabelled(charts(spark, sf_dir), ["l_orderkey"], relabel.name_dim(spark))
-    return as_lines(made)
+    made = relabel.relabelled_of(charts(spark, sf_dir), ["l_orderkey"], relabel.name_dim(spark))
+    return made.select("l_orderkey", F.array_join("toks", " ").alias("chart"))
 
 
 def as_lines(df):
@@ -295,8 +296,8 @@ j AS (SELECT ch.*, n.root_name, n.cn, b.name AS bass_name FROM ch JOIN named n O
 SELECT l_orderkey, string_agg('. 4.0 ' || root_name || ' ' || cn || coalesce(' / ' || bass_name, '') || ' |', ' ' ORDER BY pos) AS chart FROM j GROUP BY 1""")
 def relabelled_by_text(spark, sf_dir):
     """The same by the older rule."""
-    made = relabel.relabelled_by_text(charts(spark, sf_dir), ["l_orderkey"], relabel.name_dim(spark, unnamed=True))
-    return as_lines(made)
+    made = relabel.relabelled_by_text_of(charts(spark, sf_dir), ["l_orderkey"], relabel.name_dim(spark, unnamed=True))
+    return made.select("l_orderkey", F.array_join("toks", " ").alias("chart"))
 
 
 @query("q_corpus_pairs", """WITH f AS (SELECT page_id, CASE WHEN page_id % 5 = 4 THEN 'odd_' || page_id ELSE page_id || '_Song ' || (page_id % 3) || '_Db_major_type_' || (page_id % 7) || '_major' END AS stem FROM pages)

@@ -365,3 +365,9 @@ def test_streams_of_both_levels_are_never_sorted_token_by_token(spark, data, nam
     # Windows stand over chords or over counted values, and nothing spreads tokens.
     assert plan.count("Window ") <= (2 if name == "q_twelve_tone_messages" else 1) and "Project" in plan
     assert "row_number" not in plan and plan.count("collect_list") == 1 and "posexplode(flatten" not in plan
+
+
+@pytest.mark.parametrize("name", ["q_relabelled", "q_relabelled_by_text"])
+def test_charts_are_relabelled_without_rows_of_tokens(spark, data, name):
+    plan = catalogue.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window " not in plan and "posexplode" not in plan
