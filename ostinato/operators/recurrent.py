@@ -44,6 +44,19 @@ def per_sequence(df: DataFrame, key: str, columns: list[str], run: Callable[[lis
     return bounded(grouped).mapInArrow(call, schema)
 
 
+def per_song(songs: DataFrame, key: str, run: Callable[[list], tuple], schema: str) -> DataFrame:
+    """Calls ``run`` with the tokens of each row of (key, toks); it returns one row without the key."""
+    schema = f"{key} {songs.schema[key].dataType.simpleString()}, {schema}"
+    to = to_arrow_schema(StructType.fromDDL(schema))
+
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [run(tokens) for tokens in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(to[0].type), *(pa.array([r[i] for r in made], f.type) for i, f in enumerate(list(to)[1:]))], schema=to)
+
+    return bounded(songs.select(key, "toks")).mapInArrow(call, schema)
+
+
 # --- cleaning
 
 
@@ -164,6 +177,17 @@ def expand_charts(df: DataFrame, key: str) -> DataFrame:
     return per_sequence(df.select(key, F.col("pos").cast("int").alias("pos"), "tok"), key, ["pos", "tok"], run, "pos int, tok string, source_pos int, ok boolean")
 
 
+def expanded_songs(songs: DataFrame, key: str) -> DataFrame:
+    """expand_charts of (key, toks), a row for each song; ``source_pos`` is the place in the array."""
+
+    def run(tokens: list[str]) -> tuple:
+        played = expand(tokens)
+        return (["|" if tokens[k] in ("|:", ":|") else tokens[k] for k in played], played, True) if played is not None else ([None], [None], False)
+
+    made = per_song(songs, key, run, "toks array<string>, places array<int>, ok boolean")
+    return made.select(key, "ok", F.posexplode(F.arrays_zip("toks", "places")).alias("pos", "_x")).select(key, "pos", F.col("_x.toks").alias("tok"), F.col("_x.places").alias("source_pos"), "ok")
+
+
 def without_doubled(tokens: list[str]) -> list[str]:
     """A token list without immediate repeats of an extension such as ``add 9``."""
     return [b for a, b in pairwise(["", *tokens]) if not (a == b and b.split(" ")[0] in ("add", "alter", "subtract"))]
@@ -178,7 +202,7 @@ def without_contradictions(tokens: list[str], passes: int = 4) -> list[str]:
     """
     tokens = list(tokens)
     for _ in range(passes):
-        at = 0
+        at, whole = 0, len(tokens)
         while at < len(tokens):
             if "." in tokens[at]:
                 seen: list[str] = []
@@ -190,11 +214,13 @@ def without_contradictions(tokens: list[str], passes: int = 4) -> list[str]:
                         break
                     if last not in seen:
                         seen.append(last)
-                    gone = CONTRADICTIONS.get(tuple(seen))
+                    gone = CONTRADICTIONS.get(tuple(seen)) if 3 <= len(seen) <= 4 else None
                     if gone is not None and (place := seen.index(gone) + here - 2) < len(tokens):
                         tokens.pop(place)
                     here += 1
             at += 1
+        if len(tokens) == whole:
+            break  # what changed nothing changes nothing again
     return tokens
 
 
@@ -204,6 +230,11 @@ def repaired_charts(df: DataFrame, key: str) -> DataFrame:
     return per_sequence(rows, key, ["pos", "tok"], lambda events: list(enumerate(without_contradictions([e["tok"] for e in events]))), "pos int, tok string")
 
 
+def repaired_songs(songs: DataFrame, key: str) -> DataFrame:
+    """(key, toks) of (key, toks), a row for each song, without contradicting qualities."""
+    return per_song(songs, key, lambda tokens: (without_contradictions([t or "" for t in tokens]),), "toks array<string>")
+
+
 # --- stuck notes, in windows
 
 

@@ -250,10 +250,9 @@ def note_messages(spark, sf_dir):
 @query("q_repaired_charts")
 def repaired_charts(spark, sf_dir):
     """Charts of all orders without contradicting qualities."""
-    toks = F.concat(F.array(F.lit("."), F.lit("4.0"), F.lit("C")), F.when(F.col("l_partkey") % 2 == 0, F.array(F.lit("dom7"), F.lit("add 9"), F.lit("sus7"))).otherwise(F.array(F.lit("dom7"), F.lit("sus4"), F.lit("add b9"))), F.array(F.lit("|")))
-    rows = lines(spark, sf_dir).select("l_orderkey", F.col("pos").alias("line"), F.posexplode(toks).alias("i", "tok"))
-    placed = rows.select("l_orderkey", (F.col("line") * 7 + F.col("i")).alias("pos"), "tok")
-    return as_lines(recurrent.repaired_charts(placed, "l_orderkey"))
+    toks = lambda col: F.concat(F.array(F.lit("."), F.lit("4.0"), F.lit("C")), F.when(col("l_partkey") % 2 == 0, F.array(F.lit("dom7"), F.lit("add 9"), F.lit("sus7"))).otherwise(F.array(F.lit("dom7"), F.lit("sus4"), F.lit("add b9"))), F.array(F.lit("|")))
+    made = recurrent.repaired_songs(songs(spark, sf_dir, toks), "l_orderkey")
+    return made.select("l_orderkey", F.array_join("toks", " ").alias("chart"))
 
 
 @query("q_voiced_charts")
@@ -280,9 +279,8 @@ def template_voicings(spark, sf_dir):
 @query("q_played_charts")
 def played_charts(spark, sf_dir):
     """Orders as charts with repeats, played out."""
-    toks = F.array(F.lit("|:"), F.concat(F.lit("a"), F.col("l_partkey").cast("string")), F.lit("Repeat_1"), F.lit("b"), F.lit(":|"), F.lit("Repeat_2"), F.lit("c"))
-    rows = lines(spark, sf_dir).select("l_orderkey", F.col("pos").alias("line"), F.posexplode(toks).alias("i", "tok"))
-    return recurrent.expand_charts(rows.select("l_orderkey", (F.col("line") * 7 + F.col("i")).alias("pos"), "tok"), "l_orderkey")
+    toks = lambda col: F.array(F.lit("|:"), F.concat(F.lit("a"), col("l_partkey").cast("string")), F.lit("Repeat_1"), F.lit("b"), F.lit(":|"), F.lit("Repeat_2"), F.lit("c"))
+    return recurrent.expanded_songs(songs(spark, sf_dir, toks), "l_orderkey")
 
 
 @query("q_encoded_songs")

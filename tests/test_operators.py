@@ -371,3 +371,22 @@ def test_streams_of_both_levels_are_never_sorted_token_by_token(spark, data, nam
 def test_charts_are_relabelled_without_rows_of_tokens(spark, data, name):
     plan = catalogue.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window " not in plan and "posexplode" not in plan
+
+
+@pytest.mark.parametrize("name", ["q_repaired_charts", "q_played_charts"])
+def test_charts_go_to_python_as_arrays_without_rows_of_tokens(spark, data, name):
+    plan = catalogue.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    python = plan[plan.index("MapInArrow"):]
+    assert "Window " not in plan and "Generate" not in python and plan.count("collect_list") == 1
+
+
+def test_songs_as_arrays_are_repaired_and_played_as_rows_are(spark):
+    pick = random.Random(8)
+    words = [".", "4.0", "C", "dom7", "sus4", "sus7", "add b9", "add 9", "add 13", "|", "|:", ":|", "Repeat_1", "Form_A", "e||", "b||"]
+    rows = [(song, i, pick.choice(words)) for song in range(80) for i in range(pick.randrange(1, 40))]
+    df = spark.createDataFrame([*rows, *((99, i, t) for i, t in enumerate(["|:", "x", ":|"] * 900))], "song int, pos int, tok string")
+    songs = sequence.gathered(df, ["song"])
+    played = lambda d: sorted(map(tuple, d.collect()))
+    text = lambda made: {r["song"]: r["toks"] for r in made.collect()}
+    assert played(recurrent.expanded_songs(songs, "song").na.fill("").na.fill(-1)) == played(recurrent.expand_charts(df, "song").na.fill("").na.fill(-1))
+    assert text(recurrent.repaired_songs(songs, "song")) == text(sequence.gathered(recurrent.repaired_charts(df, "song"), ["song"]))
