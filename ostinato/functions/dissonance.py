@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,9 +41,49 @@ def bound(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def roughness_of_rows(voices: np.ndarray, harmonics: int = HARMONICS, decay: bool = False) -> np.ndarray:
+    """roughness_of the partials of each row of voices; pairs are added in the same order, for all rows at once."""
+    c, over = dims.ROUGHNESS, np.arange(1, harmonics + 1)
+    hertz = (voices[:, :, None] * over).reshape(len(voices), -1)
+    loud = np.broadcast_to(1.0 / over if decay else np.ones(harmonics), (voices.shape[1], harmonics)).reshape(-1)[None, :].repeat(len(voices), axis=0)
+    order = np.lexsort((loud, hertz), axis=1)
+    f, a = (np.ascontiguousarray(np.take_along_axis(x, order, axis=1).T) for x in (hertz, loud))
+    total = np.zeros(len(voices))
+    for i in range(len(f)):
+        scale, row = c["dstar"] / (f[i] * c["s1"] + c["s2"]), np.zeros(len(voices))
+        for j in range(i + 1, len(f)):
+            x = scale * (f[j] - f[i])
+            row += np.minimum(a[i], a[j]) * (c["c1"] * np.exp(x * c["a1"]) + c["c2"] * np.exp(x * c["a2"]))
+        total += row
+    return total
+
+
+def dissonance_of_voices(hertz: Column, harmonics: int = HARMONICS, decay: bool = False) -> Column:
+    """roughness_of the partials of an array of voices, in Arrow batches: for columns of tables, whose rows are many.
+
+    As an expression each of some hundred pairs is interpreted for each row. Null where a voice is missing.
+    """
+
+    @F.arrow_udf("double")
+    def of(rows: pa.Array) -> pa.Array:
+        made, sizes = np.full(len(rows), np.nan), rows.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+        known = np.ones(len(rows), bool)
+        for n in np.unique(sizes):
+            own = np.flatnonzero(sizes == n)
+            if n <= 0:
+                made[own], known[own] = 0.0, n == 0
+                continue
+            voices = rows.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+            known[own] = ~np.isnan(voices).any(axis=1)
+            made[own] = roughness_of_rows(voices, harmonics, decay)
+        return pa.array(made, pa.float64(), mask=~known)
+
+    return of(hertz)
+
+
 def dissonance_of_steps(steps: Column, harmonics: int = HARMONICS) -> Column:
     """The dissonance of absolute steps at their own height, with fading partials; 0 for fewer than two notes."""
-    found = bound(partials_of(F.transform(steps, music.hertz_of_step), harmonics, decay=True), roughness_of)
+    found = dissonance_of_voices(F.transform(steps, music.hertz_of_step), harmonics, decay=True)
     return F.when(F.size(steps) >= 2, found).otherwise(F.lit(0.0))
 
 

@@ -83,10 +83,11 @@ def described_chords(df: DataFrame, steps: str) -> DataFrame:
     rows = df.withColumn("root_step", root).withColumn("root_hz", music.hertz_of_step(F.col("root_step"))).withColumn("intervals", music.intervals(F.col(steps), F.col("root_step")))
     rows = rows.withColumn("_t", music.chord_tones(F.col("intervals"))).withColumn("_r", music.tone_ratios(F.col("_t")))
     ratios = [F.col(f"_r.{c}") for c in ("alpha", "beta", "gamma")]
+    above = lambda base: dissonance.dissonance_of_voices(F.array(base, *[base * r for r in ratios]))
     return rows.withColumns({
         "third": F.col("_t.third"), "fifth": F.col("_t.fifth"), "seventh": F.col("_t.seventh"), "chord_type": music.chord_label(F.col("_t")),
         "alpha": ratios[0], "beta": ratios[1], "gamma": ratios[2], "is_triad": F.col("_t.seventh").isNull(), "extras": music.extra_intervals(F.col("intervals")),
-        "d_root": dissonance.dissonance_of_ratios(*ratios, F.col("root_hz")), "d_220": dissonance.dissonance_of_ratios(*ratios),
+        "d_root": above(F.col("root_hz")), "d_220": above(F.lit(dissonance.BASE_HERTZ)),
         "in_tetrahedron": (ratios[0] <= ratios[1]) & (ratios[1] <= ratios[2]),
     }).drop("_t", "_r")
 
