@@ -10,13 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ostinato.functions.batches import bounded
+from ostinato.functions.batches import arrow, bounded, plain
 
 # Qualities and extensions that contradict each other, and the one to take out.
 CONTRADICTIONS = {
@@ -36,11 +37,11 @@ def per_sequence(df: DataFrame, key: str, columns: list[str], run: Callable[[lis
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, events = (batch.column(k).to_pylist() for k in (0, 1))
+            keys, events = (plain(batch.column(k)) for k in (0, 1))
             made = [(k, *row) for k, rows in zip(keys, events, strict=True) for row in run(rows)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in made], f.type) for i, f in enumerate(to)], schema=to)
+            yield pa.RecordBatch.from_arrays([arrow([r[i] for r in made], f.type) for i, f in enumerate(to)], schema=to)
 
-    grouped = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("_events"))
+    grouped = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_events"))
     return bounded(grouped).mapInArrow(call, schema)
 
 
@@ -51,12 +52,36 @@ def per_song(songs: DataFrame, key: str, run: Callable[[list], tuple], schema: s
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [run(tokens) for tokens in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(to[0].type), *(pa.array([r[i] for r in made], f.type) for i, f in enumerate(list(to)[1:]))], schema=to)
+            made = [run(tokens) for tokens in plain(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(to[0].type), *(arrow([r[i] for r in made], f.type) for i, f in enumerate(list(to)[1:]))], schema=to)
 
     return bounded(songs.select(key, "toks")).mapInArrow(call, schema)
 
 
+def each_of_song(songs: DataFrame, key: str, place: str, run: Callable[[list], list[tuple]], schema: str) -> DataFrame:
+    """Calls ``run`` with the array of each row of (key, array); it returns tuples that can be hashed, a row each.
+
+    A row has the key, its place from 0 and the tuple's values. What repeats within a batch is made an Arrow value once.
+    """
+    schema = f"{key} {songs.schema[key].dataType.simpleString()}, {place} int, {schema}"
+    to = to_arrow_schema(StructType.fromDDL(schema))
+
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known: dict[tuple, int] = {}
+            which: list[int] = []
+            ends = [0]
+            for events in plain(batch.column(1)):
+                which += [known.setdefault(row, len(known)) for row in run(events)]
+                ends.append(len(which))
+            sizes, taken = np.diff(ends), pa.array(np.array(which, np.int32))
+            keys = batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))).cast(to[0].type)
+            places = pa.array((np.arange(len(which)) - np.repeat(ends[:-1], sizes)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([keys, places, *(arrow([r[i] for r in known], f.type).take(taken) for i, f in enumerate(list(to)[2:]))], schema=to)
+
+    return bounded(songs).mapInArrow(call, schema)
+
+
 # --- cleaning
 
 

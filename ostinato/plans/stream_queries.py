@@ -258,10 +258,12 @@ def repaired_charts(spark, sf_dir):
 @query("q_voiced_charts")
 def voiced_charts(spark, sf_dir):
     """Charts of all orders voiced, with extensions and basses."""
-    bass = F.when(F.col("l_partkey") % 3 == 0, F.array(F.lit("/"), pick(["E", "Bb"], F.col("l_partkey")))).otherwise(F.array().cast("array<string>"))
-    toks = F.concat(F.array(F.lit("."), F.lit("4.0"), pick(list("CDEFGAB"), F.col("l_partkey")), pick(["maj7", "m7", "dom7", "o7"], F.col("l_suppkey")), pick(["add 9", "alter b5", "|"], F.col("l_suppkey"))), bass)
-    rows = lines(spark, sf_dir).select("l_orderkey", F.col("pos").alias("line"), F.posexplode(toks).alias("i", "tok"))
-    made = voicing.voice_charts(rows.select("l_orderkey", (F.col("line") * 9 + F.col("i")).alias("pos"), "tok"), "l_orderkey")
+
+    def toks(col):
+        bass = F.when(col("l_partkey") % 3 == 0, F.array(F.lit("/"), pick(["E", "Bb"], col("l_partkey")))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.array(F.lit("."), F.lit("4.0"), pick(list("CDEFGAB"), col("l_partkey")), pick(["maj7", "m7", "dom7", "o7"], col("l_suppkey")), pick(["add 9", "alter b5", "|"], col("l_suppkey"))), bass)
+
+    made = voicing.voice_songs(songs(spark, sf_dir, toks), "l_orderkey")
     return made.select("l_orderkey", "chord", F.array_join(F.transform("voicing", lambda n: n.cast("string")), " ").alias("voicing"), "duration", "label")
 
 
@@ -270,9 +272,8 @@ SELECT l_orderkey, a::INTEGER AS pos, CASE (a % 3) WHEN 0 THEN root || ' ' || (r
     ELSE root || ' ' || (root + 3) || ' ' || (root + 7) || ' ' || (root + 10) || ' ' || (root + 14) || ' 0 0 0' END AS slots FROM c""")
 def template_voicings(spark, sf_dir):
     """Templates of a quality by their place, for all lines."""
-    toks = F.array(F.lit("."), F.lit("4.0"), pick(["C", "D", "E"], F.col("l_partkey")), F.lit("m7"))
-    rows = lines(spark, sf_dir).select("l_orderkey", F.col("pos").alias("line"), F.posexplode(toks).alias("i", "tok"))
-    made = voicing.template_voicings(rows.select("l_orderkey", (F.col("line") * 4 + F.col("i")).alias("pos"), "tok"), "l_orderkey").where("tok = 'm7'")
+    toks = lambda col: F.array(F.lit("."), F.lit("4.0"), pick(["C", "D", "E"], col("l_partkey")), F.lit("m7"))
+    made = voicing.template_songs(songs(spark, sf_dir, toks), "l_orderkey").where("tok = 'm7'")
     return made.select("l_orderkey", "pos", F.array_join(F.transform("slots", lambda n: n.cast("string")), " ").alias("slots"))
 
 

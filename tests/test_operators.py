@@ -402,3 +402,27 @@ def test_dissonance_of_many_rows_goes_in_batches(spark):
         assert all((d is None and e is None) or abs(d - e) < 1e-9 for d, e in found.values()) and found[1][0] > 0 and found[3][0] is None and found[6][0] == 0
     plan = streams.described_chords(spark.createDataFrame([([200, 217, 231],)], "steps array<int>"), "steps").select("d_root", "d_220")._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "aggregate(" not in plan
+
+
+def test_voices_of_all_candidates_move_as_of_each(spark):
+    import random
+
+    rng = random.Random(3)
+    for _ in range(300):
+        before, root, quality = tuple(rng.choices(range(24, 90), k=rng.randint(1, 7))), rng.choice(list(voicing.ROOT_NOTES.values())), rng.choice([*voicing.CLOSED, "none"])
+        options, centre = voicing.candidates(root, quality), sum(before) / len(before)
+        best = min(options, key=lambda v: voicing.movement(before, v) + 0.1 * abs(sum(v) / len(v) - centre))  # noqa: B023
+        assert voicing.following(before, root, quality) == (options[0] if voicing.movement(before, best) == float("inf") else best)
+
+
+def test_charts_of_one_row_each_are_voiced_as_rows_of_tokens(spark):
+    """A song is one array: no token is a row before or after a shuffle of tokens."""
+    charts = ["x . 4.0 C maj7 add 9_x . 2.0 D m7 / E".replace("_", " "), ". 4.0 C N.C. . 4.0 G dom7", "", "| |", ". 1.0 F ø7 . 1.0 F ø7 . E m7 alter"]
+    df = spark.createDataFrame([(f"s{k}", i, t) for k, c in enumerate(charts) for i, t in enumerate(c.split(" "))], "song string, pos int, tok string")
+    songs = sequence.gathered(df, ["song"])
+    rows = lambda made: sorted(map(repr, made.collect()))
+    assert rows(voicing.voice_songs(songs, "song")) == rows(voicing.voice_charts(df, "song"))
+    made = voicing.template_songs(songs, "song")
+    assert rows(made.select("song", "pos", "tok", "slots")) == rows(voicing.template_voicings(df, "song").select("song", "pos", "tok", "slots"))
+    want = {f"s{k}": [tuple(s) for s in voicing.template_slots(c.split(" "))] for k, c in enumerate(charts)}
+    assert {k: [tuple(r["slots"]) for r in made.where(F.col("song") == k).orderBy("pos").collect()] for k in want} == want
