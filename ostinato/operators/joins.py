@@ -12,13 +12,17 @@ from ostinato.operators.spatial import nearest_reference as nearest_reference
 MOST_BROADCAST_BYTES = 32 << 20
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if the planner's bound on its bytes allows it, else as it is, for the planner to decide.
+def is_small(df: DataFrame, most: int = MOST_BROADCAST_BYTES) -> bool:
+    """Whether the planner's bound on a table's bytes is at most ``most``.
 
     The bound comes from the files' sizes and the plan, so no job is run; it is never below what is read.
     """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(str(size)) <= MOST_BROADCAST_BYTES else df
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if the planner's bound on its bytes allows it, else as it is, for the planner to decide."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def positional(left: DataFrame, right: DataFrame, key: list[str], position: str) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ostinato.functions import music
-from ostinato.operators import moments, quality, sequence
+from ostinato.operators import joins, moments, quality, sequence
 from ostinato.plans.common import TOKENS_SQL, WORDS_SQL, query, table, tokens, words
 
 
@@ -171,10 +171,15 @@ def ngram_overlap(spark, sf_dir):
         # The words are a column of their own, so that a text is split once and not for each of its runs.
         w = F.col("w")
         runs = F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.array_join(F.slice(w, i, 5), " "))
-        return df.select(*keep, F.split(F.lower("text"), " ").alias("w")).where(F.size(w) >= 5).select(*keep, F.explode(runs).alias("g")).distinct()
-
-    hits = grams(table(spark, sf_dir, "documents"), "doc_id").join(grams(table(spark, sf_dir, "benchmark")), "g")
-    return hits.groupBy("doc_id").agg(F.count("*").alias("n"))
+        return df.select(*keep, F.split(F.lower("text"), " ").alias("w")).where(F.size(w) >= 5).select(*keep, F.explode(runs).alias("g"))
+
+    # Runs meet the benchmark's before any of them is told apart: what a document doesn't share with it, most of it, stays where
+    # it was read. A benchmark that is too large to be sent to every task (it is stored compressed, and each of its words is
+    # in five runs) is joined by a shuffle of distinct runs.
+    documents, wanted = grams(table(spark, sf_dir, "documents"), "doc_id"), table(spark, sf_dir, "benchmark")
+    own = grams(wanted).distinct()
+    hits = documents.join(F.broadcast(own), "g") if joins.is_small(wanted, joins.MOST_BROADCAST_BYTES // 16) else documents.distinct().join(own, "g")
+    return hits.distinct().groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query("q_tokens_per_chord", f"WITH {TOKENS_SQL} SELECT round(count(*) / (count(*) FILTER (tok = 'CHORD_START'))::DOUBLE, 6) AS ratio, count(DISTINCT l_orderkey) AS songs FROM tokens")

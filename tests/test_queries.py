@@ -58,3 +58,17 @@ def test_entry_points(spark):
     assert __spark_entry__.oracle_sql().keys() <= __spark_entry__.queries().keys()
     assert __spark_entry__.entry(spark).columns == ["kind", "n", "span_sum", "last_span"]
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_runs_that_a_benchmark_lacks_are_not_shuffled(spark, data):
+    from ostinato.operators import joins
+
+    small = catalogue.QUERIES["q_ngram_overlap"](spark, data)
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(doc_id" not in plan[plan.index("BroadcastHashJoin") :]
+    most, joins.MOST_BROADCAST_BYTES = joins.MOST_BROADCAST_BYTES, 16
+    try:
+        large = catalogue.QUERIES["q_ngram_overlap"](spark, data)
+        assert sorted(map(tuple, large.collect())) == sorted(map(tuple, small.collect()))
+    finally:
+        joins.MOST_BROADCAST_BYTES = most
