@@ -222,5 +222,5 @@ def learning_rate(step: Column, peak: float, least: float, warm: int, last: int)
 
 
 def is_duration(token: Column) -> Column:
-    """Whether a token reads as a number."""
-    return token.try_cast("double").isNotNull()
+    """Whether a token reads as a number. What can't begin one isn't tried, as a failed try costs far more than the look."""
+    return F.when(token.rlike(r"^[\x00-\x20]*[-+.0-9iInN]"), token.try_cast("double").isNotNull()).otherwise(F.lit(False))

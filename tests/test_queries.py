@@ -72,3 +72,9 @@ def test_runs_that_a_benchmark_lacks_are_not_shuffled(spark, data):
         assert sorted(map(tuple, large.collect())) == sorted(map(tuple, small.collect()))
     finally:
         joins.MOST_BROADCAST_BYTES = most
+
+
+@pytest.mark.parametrize(("name", "windows"), [("q_readable_chords", 0), ("q_decode_stream", 1), ("q_element_counter", 0), ("q_token_vectors", 0)])
+def test_tokens_of_a_song_are_one_array_and_no_sorted_rows(spark, data, name, windows):
+    plan = catalogue.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bWindow \[", plan)) == windows
