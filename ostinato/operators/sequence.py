@@ -52,6 +52,12 @@ def blocks_of(tokens: Column, start: str = "CHORD_START", end: str = "CHORD_END"
     return F.transform(kept, lambda s: F.struct(s["span"].alias("span"), s["at"].alias("at"), F.slice(tokens, s["at"], s["to"] - s["at"] + 1).alias("toks")))
 
 
+def chords_of(tokens: Column, mark: str = ".") -> Column:
+    """The chords of chord_spans in an array of tokens: an array for each, from its mark to before the next."""
+    at = places(tokens, lambda t: t == mark)
+    return F.zip_with(at, F.concat(F.slice(at, 2, F.size(at)), F.array(F.size(tokens) + 1)), lambda a, b: F.slice(tokens, a, F.coalesce(b, a) - a))
+
+
 def chord_spans(df: DataFrame, key: list[str], order: list, token: str = "tok", mark: str = ".") -> DataFrame:
     """Adds ``span``: -1 before the first chord, then the number of the chord that is the last to have begun.
 
@@ -180,14 +186,23 @@ def decode_stream(df: DataFrame, key: list[str], pos: str = "pos", token: str =
 
     Blocks without a note are dropped and don't advance the time.
     """
-    inside = inside_blocks(df, key, [pos], token=token)
-    note = F.regexp_extract(F.col(token), r"^(?:PV|H|P)_(\d+)(?:_(\d+))?$", 1)
-    bin_ = F.regexp_extract(F.col(token), r"^(?:PV|H)_(\d+)_(\d+)$", 2)
-    after = F.lead(token).over(Window.partitionBy(*key, "span").orderBy(pos))
-    legacy = F.when(after.rlike(r"^V_\d+$"), F.regexp_extract(after, r"^V_(\d+)$", 1))
-    rows = inside.withColumn("_note", F.when(note != "", F.struct(note.cast("int").alias("step"), music.velocity_of_bin(F.coalesce(F.nullif(bin_, F.lit("")), legacy, F.lit("4")).cast("int")).alias("velocity"))))
-    rows = rows.withColumn("_dur", F.expr(f"try_cast(regexp_extract({token}, '^DUR_(.+)$', 1) AS DOUBLE)"))
-    chords = rows.groupBy(*key, "span").agg(F.coalesce(F.max_by("_dur", F.when(F.col("_dur").isNotNull(), F.col(pos))), F.lit(1.0)).alias("duration"), F.array_sort(F.collect_list("_note")).alias("notes"))
+    return decoded_songs(gathered(df, key, pos, token), key)
+
+
+def decoded_songs(songs: DataFrame, key: list[str], end: str = "CHORD_END") -> DataFrame:
+    """decode_stream of (key, toks), a row for each song: only chords are rows of their own, tokens never are."""
+    closed = F.filter(blocks_of(F.col("toks"), end=end), lambda b: F.coalesce(F.array_contains(b["toks"], end), F.lit(False)))
+    rows = songs.select(*key, F.explode(closed).alias("_b")).select(*key, F.col("_b.span").cast("int").alias("span"), F.col("_b.toks").alias("_toks"))
+    number = lambda t, pattern, group: F.nullif(F.regexp_extract(t, pattern, group), F.lit(""))
+
+    def note(token: Column, i: Column) -> Column:
+        level = F.coalesce(number(token, r"^(?:PV|H)_(\d+)_(\d+)$", 2), number(F.get("_toks", i + 1), r"^V_(\d+)$", 1), F.lit("4"))
+        return F.struct(number(token, r"^(?:PV|H|P)_(\d+)(?:_(\d+))?$", 1).cast("int").alias("step"), music.velocity_of_bin(level.cast("int")).alias("velocity"))
+
+    sounds = lambda t: t.rlike(r"^(?:PV|H|P)_(\d+)(?:_(\d+))?$")
+    notes = F.filter(F.transform("_toks", lambda t, i: F.when(sounds(t), note(t, i))), lambda n: n.isNotNull())
+    durations = F.filter(F.transform("_toks", lambda t: F.when(t.startswith("DUR_"), F.regexp_extract(t, "^DUR_(.+)$", 1).try_cast("double"))), lambda d: d.isNotNull())
+    chords = rows.select(*key, "span", F.coalesce(F.try_element_at(durations, F.lit(-1)), F.lit(1.0)).alias("duration"), F.sort_array(notes).alias("notes"))
     return onsets(chords.where(F.size("notes") > 0), key, ["span"], "duration").select(*key, F.col("span").alias("chord"), "onset", "duration", "notes")
 
 

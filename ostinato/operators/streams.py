@@ -60,6 +60,26 @@ def token_vectors(df: DataFrame, key: list[str], dim: DataFrame, pos: str = "pos
     return joins.on_spans(spanned, vectors, key, "span", dict(zip(("alpha", "beta", "gamma", "d"), default, strict=True)))
 
 
+def token_vectors_of(songs: DataFrame, key: list[str], dim: DataFrame, default: tuple = DEFAULT_VECTOR) -> DataFrame:
+    """token_vectors of (key, toks), a row for each song, as (key, pos, tok, span, alpha, beta, gamma, d).
+
+    A stream is cut into its blocks and what is between them; each piece gets its vector before its tokens become rows.
+    """
+    names = ("alpha", "beta", "gamma", "d")
+    found = songs.select(*key, "toks", sequence.blocks_of(F.col("toks"), START, END).alias("_blocks"))
+    piece = lambda span, at, toks: F.struct(span.cast("int").alias("span"), at.cast("int").alias("at"), toks.alias("toks"))
+    after = F.concat(F.array(F.lit(1)), F.transform("_blocks", lambda b: b["at"] + F.size(b["toks"])))
+    until = F.concat(F.transform("_blocks", lambda b: b["at"]), F.array(F.size("toks") + 1))
+    between = F.filter(F.zip_with(after, until, lambda a, b: piece(F.lit(-1), a, F.slice("toks", a, b - a))), lambda p: F.size(p["toks"]) > 0)
+    pieces = F.concat(between, F.transform("_blocks", lambda b: piece(b["span"], b["at"], b["toks"])))
+    rows = found.select(*key, F.explode(pieces).alias("_p")).select(*key, "_p.span", "_p.at", "_p.toks")
+    steps = F.array_sort(F.array_distinct(F.filter(F.transform("toks", note_step), lambda s: s.isNotNull())))
+    rows = chord_vectors(rows.withColumn("_steps", F.when(F.col("span") >= 0, steps).otherwise(F.array().cast("array<int>"))), "_steps", None, dim)
+    values = [F.when(F.col("span") >= 0, F.coalesce(F.col(c), F.lit(v))).otherwise(F.lit(v)).alias(c) for c, v in zip(names, default, strict=True)]
+    told = rows.select(*key, "span", "at", "toks", *values)
+    return told.select(*key, "at", "span", *names, F.posexplode("toks").alias("_i", "tok")).select(*key, (F.col("at") - 1 + F.col("_i")).alias("pos"), "tok", "span", *names)
+
+
 def vector_ranges(df: DataFrame, columns: list[str]) -> DataFrame:
     """(n, n_distinct, least and most of each column): how much vectors differ."""
     ends = [f(c).alias(f"{name}_{c}") for c in columns for f, name in ((F.min, "least"), (F.max, "most"))]
@@ -214,15 +234,17 @@ def readable_of(songs: DataFrame, key: list[str]) -> DataFrame:
 
 def readable_chords(df: DataFrame, key: list[str], pos: str = "pos", token: str = "tok") -> DataFrame:
     """(key, chord, text): the tokens of each chord but its duration and numbers, joined by spaces, up to what ends it."""
+    return readable_chords_of(sequence.gathered(df, key, pos, token), key)
+
+
+def readable_chords_of(songs: DataFrame, key: list[str]) -> DataFrame:
+    """readable_chords of (key, toks), a row for each song."""
     stops = (".", "|", ":|", "|:", "N.C.", "<end>")
-    tok = F.col(token)
-    rows = sequence.chord_spans(df, key, [pos], token).where("span >= 0")
-    own = [*key, "span"]
-    rows = rows.withColumn("_nth", F.row_number().over(sequence.ordered(own, [pos])) - 1)
-    ended = F.max(((F.col("_nth") > 1) & (tok.isin(*stops) | tok.startswith("Form_"))).cast("int")).over(sequence.before_and_now(own, [pos]))
-    kept = rows.withColumn("_ended", ended).where((F.col("_nth") > 1) & (F.col("_ended") == 0) & ~music.is_duration(tok))
-    made = kept.groupBy(*own).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, token))), lambda r: r[token]), " ").alias("text"))
-    return made.select(*key, (F.row_number().over(sequence.ordered(key, ["span"])) - 1).alias("chord"), "text")
+    ends = lambda t: F.coalesce(t.isin(*stops) | t.startswith("Form_"), F.lit(False))
+    bodies = F.transform(sequence.chords_of(F.col("toks")), lambda c: F.slice(c, 3, F.size(c)))
+    whole = F.transform(bodies, lambda c: F.slice(c, 1, F.coalesce(F.array_min(sequence.places(c, ends)) - 1, F.size(c)).cast("int")))
+    kept = F.filter(F.transform(whole, lambda c: F.filter(c, lambda t: ~music.is_duration(t))), lambda c: F.size(c) > 0)
+    return songs.select(*key, F.posexplode(F.transform(kept, lambda c: F.array_join(c, " "))).alias("chord", "text"))
 
 
 def chord_symbols(df: DataFrame, key: list[str], ignore: list[str], pos: str = "pos", token: str = "tok", header: int = 4) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ostinato.functions import music
 from ostinato.operators import recurrent, sequence, voicing
-from ostinato.plans.common import LINE_ORDER, LINES_SQL, MESSAGES_SQL, TOKENS_SQL, WORDS_SQL, lines, messages, query, table, tokens, words
+from ostinato.plans.common import LINE_ORDER, LINES_SQL, MESSAGES_SQL, TOKENS_SQL, WORDS_SQL, lines, messages, query, table, token_songs, tokens, words
 
 KEY = ["l_orderkey"]
 
@@ -205,15 +205,15 @@ def encode_chords(spark, sf_dir):
         WHEN l_quantity <= 7 THEN 6.0 WHEN l_quantity <= 10 THEN 8.0 WHEN l_quantity <= 14 THEN 12.0 ELSE 16.0 END::DOUBLE AS duration, step, vel FROM chords
 ) SELECT l_orderkey, pos AS chord, sum(duration) OVER (PARTITION BY l_orderkey ORDER BY pos) - duration AS onset, duration, step::INTEGER AS step, least(greatest(round_even(vel / 8.0 * 127, 0), 1), 127)::INTEGER AS velocity FROM d""")
 def decode_stream(spark, sf_dir):
-    made = sequence.decode_stream(tokens(spark, sf_dir), KEY)
+    made = sequence.decoded_songs(token_songs(spark, sf_dir), KEY)
     return made.select("l_orderkey", "chord", "onset", "duration", F.col("notes")[0]["step"].alias("step"), F.col("notes")[0]["velocity"].alias("velocity"))
 
 
 @query("q_element_counter", f"""WITH {TOKENS_SQL}, s AS (SELECT l_orderkey, pos, tok, sum((tok = '.')::INT) OVER (PARTITION BY l_orderkey ORDER BY pos) AS k FROM tokens),
 n AS (SELECT (row_number() OVER (PARTITION BY l_orderkey, k ORDER BY pos) - 1)::INTEGER AS element FROM s WHERE k > 0) SELECT element, count(*) AS n FROM n GROUP BY 1""")
 def element_counter(spark, sf_dir):
-    spans = sequence.chord_spans(tokens(spark, sf_dir), KEY, ["pos"]).where("span >= 0")
-    return sequence.with_position(spans, [*KEY, "span"], ["pos"], "element").groupBy("element").agg(F.count("*").alias("n"))
+    places = F.transform(sequence.chords_of(F.col("toks")), lambda c: F.sequence(F.lit(0), F.size(c) - 1))
+    return token_songs(spark, sf_dir).select(F.explode(F.flatten(places)).alias("element")).groupBy("element").agg(F.count("*").alias("n"))
 
 
 @query("q_clean_chords")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ostinato.functions import dims, dissonance, spelling
 from ostinato.operators import joins, quality, recurrent, sequence, splits, streams, voicing
-from ostinato.plans.common import LINES_SQL, TOKENS_SQL, WORDS_SQL, lines, query, songs, table, tokens, words
+from ostinato.plans.common import LINES_SQL, TOKENS_SQL, WORDS_SQL, lines, query, songs, table, token_songs, tokens, words
 from ostinato.plans.harmony_queries import DIM_SQL, as_lines
 from ostinato.sources import midi
 
@@ -81,7 +81,7 @@ def twelve_tone_messages(spark, sf_dir):
 SELECT inside = 1 AS inside, count(*) AS n, CASE WHEN inside = 1 THEN (SELECT round(d, 5) FROM dim WHERE third IS NULL AND fifth = 31 AND seventh IS NULL) ELSE 0.0 END AS d, CASE WHEN inside = 1 THEN round(pow(2, 31 / 53.0::DOUBLE), 6) ELSE 1.0 END AS beta FROM s GROUP BY 1, 3, 4""")
 def token_vectors(spark, sf_dir):
     """Every token of the orders' streams with its chord's vector: single notes are a bare fifth."""
-    made = streams.token_vectors(tokens(spark, sf_dir), KEY, dissonance.dissonance_dim(spark))
+    made = streams.token_vectors_of(token_songs(spark, sf_dir), KEY, dissonance.dissonance_dim(spark))
     return made.groupBy((F.col("span") >= 0).alias("inside"), F.round("d", 5).alias("d"), F.round("beta", 6).alias("beta")).agg(F.count("*").alias("n"))
 
 
@@ -101,16 +101,21 @@ def merged_levels(spark, sf_dir):
 PLAIN_SQL = f"{LINES_SQL}, ch AS (SELECT l_orderkey, pos, (['C', 'F#', 'Bb'])[(l_partkey % 3 + 1)::INTEGER] AS root, (['dom7', 'm7', 'maj'])[(l_suppkey % 3 + 1)::INTEGER] AS quality, CASE WHEN l_partkey % 4 = 0 THEN 'add 9' END AS ext FROM lines)"
 
 
+def plain_songs(spark, sf_dir):
+    def toks(col):
+        ext = F.when(col("l_partkey") % 4 == 0, F.array(F.lit("add 9"))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.array(F.lit("."), F.lit("2.0"), pick(["C", "F#", "Bb"], col("l_partkey")), pick(["dom7", "m7", "maj"], col("l_suppkey"))), ext, F.array(F.lit("|")))
+
+    return songs(spark, sf_dir, toks)
+
+
 def plain_charts(spark, sf_dir):
-    ext = F.when(F.col("l_partkey") % 4 == 0, F.array(F.lit("add 9"))).otherwise(F.array().cast("array<string>"))
-    toks = F.concat(F.array(F.lit("."), F.lit("2.0"), pick(["C", "F#", "Bb"], F.col("l_partkey")), pick(["dom7", "m7", "maj"], F.col("l_suppkey"))), ext, F.array(F.lit("|")))
-    rows = lines(spark, sf_dir).select("l_orderkey", F.col("pos").alias("line"), F.posexplode(toks).alias("i", "tok"))
-    return rows.select("l_orderkey", (F.row_number().over(sequence.ordered(KEY, ["line", "i"])) - 1).alias("pos"), "tok")
+    return plain_songs(spark, sf_dir).select("l_orderkey", F.posexplode("toks").alias("pos", "tok"))
 
 
 @query("q_readable_chords", f"WITH {PLAIN_SQL} SELECT l_orderkey, pos AS chord, concat_ws(' ', root, quality, ext) AS text FROM ch")
 def readable_chords(spark, sf_dir):
-    return streams.readable_chords(plain_charts(spark, sf_dir), KEY)
+    return streams.readable_chords_of(plain_songs(spark, sf_dir), KEY)
 
 
 @query("q_symbols_back", f"WITH {PLAIN_SQL} SELECT l_orderkey, pos AS nth, root || CASE quality WHEN 'dom7' THEN '7' ELSE quality END || coalesce(' ' || ext, '') AS symbol FROM ch")
