@@ -163,6 +163,14 @@ def notes_until_next(df: DataFrame, key: list[str], order: list, kind: str = "ty
 def encode_chords(df: DataFrame, key: list[str], onset: str = "onset", duration: str = "duration", notes: str = "notes", beats: float = 4.0, prefix: str = "PV") -> DataFrame:
     """(key, pos, tok): the token stream of chords with their bars, rhythm and notes, and a start and an end token.
 
+    encoded_arrays as rows.
+    """
+    return encoded_arrays(df, key, onset, duration, notes, beats, prefix).select(*key, F.posexplode("toks").alias("pos", "tok"))
+
+
+def encoded_arrays(df: DataFrame, key: list[str], onset: str = "onset", duration: str = "duration", notes: str = "notes", beats: float = 4.0, prefix: str = "PV") -> DataFrame:
+    """(key, toks): the token stream of each sequence of chords as one array.
+
     A note is one token of step and velocity bin; at most eight, the lowest, are kept and steps are clamped to their range.
     """
     order = [onset]
@@ -178,7 +186,7 @@ def encode_chords(df: DataFrame, key: list[str], onset: str = "onset", duration:
     )
     grouped = timed.select(*key, F.col(onset).alias("_at"), chord.alias("_toks")).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_at", "_toks"))).alias("_all"))
     stream = F.concat(F.array(F.lit("<start>")), F.flatten(F.transform("_all", lambda c: c["_toks"])), F.array(F.lit("<end>")))
-    return grouped.select(*key, F.posexplode(stream).alias("pos", "tok"))
+    return grouped.select(*key, stream.alias("toks"))
 
 
 def decode_stream(df: DataFrame, key: list[str], pos: str = "pos", token: str = "tok") -> DataFrame:

@@ -307,8 +307,12 @@ def prompts(wanted: DataFrame, vocabulary: DataFrame, tonality: str = "C_major",
 
 def encoded_songs(chords: DataFrame, key: str, least: int = 3, most: int = 2, prefix: str = "PV") -> DataFrame:
     """The token stream of each song's chords (key, onset, duration, notes) after they were cleaned."""
-    cleaned = recurrent.clean_chords(chords, key, least, most, with_notes=True)
-    return sequence.encode_chords(cleaned, [key], prefix=prefix)
+    return encoded_arrays(chords, key, least, most, prefix).select(key, F.posexplode("toks").alias("pos", "tok"))
+
+
+def encoded_arrays(chords: DataFrame, key: str, least: int = 3, most: int = 2, prefix: str = "PV") -> DataFrame:
+    """encoded_songs as (key, toks), a row for each song."""
+    return sequence.encoded_arrays(recurrent.clean_chords(chords, key, least, most, with_notes=True), [key], prefix=prefix)
 
 
 def preprocessed_songs(chords: DataFrame, key: str, metadata: DataFrame, dim: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ostinato.functions import music
 from ostinato.operators import recurrent, sequence, voicing
-from ostinato.plans.common import LINE_ORDER, LINES_SQL, MESSAGES_SQL, TOKENS_SQL, WORDS_SQL, lines, messages, query, table, token_songs, tokens, words
+from ostinato.plans.common import LINE_ORDER, LINES_SQL, MESSAGES_SQL, TOKENS_SQL, WORDS_SQL, line_arrays, lines, messages, query, table, token_songs, tokens, words
 
 KEY = ["l_orderkey"]
 
@@ -219,12 +219,13 @@ def element_counter(spark, sf_dir):
 @query("q_clean_chords")
 def clean_chords(spark, sf_dir):
     """Undersized chords are merged into their nearest neighbours; orders are sequences."""
-    df = with_onsets(spark, sf_dir).select("l_orderkey", "onset", F.col("l_quantity").alias("duration"), F.transform(F.sequence(F.lit(0), (F.col("l_suppkey") % 4).cast("int")), lambda k: F.struct((F.col("l_partkey") % 200 + k * 13 + 110).cast("int").alias("step"), F.lit(64).alias("velocity"))).alias("notes"))
+    df = sequence.onsets(table(spark, sf_dir, "lineitem"), KEY, LINE_ORDER, "l_quantity").select("l_orderkey", "onset", F.col("l_quantity").alias("duration"), F.transform(F.sequence(F.lit(0), (F.col("l_suppkey") % 4).cast("int")), lambda k: F.struct((F.col("l_partkey") % 200 + k * 13 + 110).cast("int").alias("step"), F.lit(64).alias("velocity"))).alias("notes"))
     return recurrent.clean_chords(df, "l_orderkey")
 
 
 @query("q_voice_leading")
 def voice_leading(spark, sf_dir):
     """Each chord takes the voicing that is nearest to the one chosen before it."""
-    df = lines(spark, sf_dir).select("l_orderkey", "pos", (F.col("l_partkey") % 12 + 42).cast("int").alias("root"), F.element_at(F.array(F.lit("maj7"), F.lit("m7"), F.lit("dom7"), F.lit("ø7")), (F.col("l_suppkey") % 4 + 1).cast("int")).alias("quality"))
-    return voicing.voice_lead(df, "l_orderkey")
+    quality = lambda line: F.element_at(F.array(F.lit("maj7"), F.lit("m7"), F.lit("dom7"), F.lit("ø7")), (line["l_suppkey"] % 4 + 1).cast("int"))
+    chord = lambda line: F.struct((line["l_partkey"] % 12 + 42).cast("int").alias("root"), quality(line).alias("quality"))
+    return voicing.lead_songs(line_arrays(spark, sf_dir).select("l_orderkey", F.transform("lines", chord).alias("chords")), "l_orderkey")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ostinato.functions import dims, dissonance, spelling
 from ostinato.operators import joins, quality, recurrent, sequence, splits, streams, voicing
 from ostinato.plans.common import LINES_SQL, TOKENS_SQL, WORDS_SQL, lines, query, songs, table, token_songs, tokens, words
-from ostinato.plans.harmony_queries import DIM_SQL, as_lines
+from ostinato.plans.harmony_queries import DIM_SQL
 from ostinato.sources import midi
 
 KEY = ["l_orderkey"]
@@ -293,7 +293,7 @@ def played_charts(spark, sf_dir):
 def encoded_songs(spark, sf_dir):
     """Orders cleaned and encoded."""
     df = lines(spark, sf_dir).select("l_orderkey", (F.col("pos") * 2.0).alias("onset"), F.lit(2.0).alias("duration"), F.transform(F.sequence(F.lit(0), (F.col("l_suppkey") % 4).cast("int")), lambda k: F.struct((F.col("l_partkey") % 200 + k * 13 + 110).cast("int").alias("step"), F.lit(64).alias("velocity"))).alias("notes"))
-    return as_lines(streams.encoded_songs(df, "l_orderkey"))
+    return streams.encoded_arrays(df, "l_orderkey").select("l_orderkey", F.array_join("toks", " ").alias("chart"))
 
 
 @query("q_corpus_rows", f"""WITH {LINES_SQL}, s AS (SELECT l_orderkey, string_agg('. ' || (['C maj7', 'F# m7'])[(l_partkey % 2 + 1)::INTEGER], ' ' ORDER BY pos) AS body, count(*) AS n FROM lines GROUP BY 1)

@@ -78,3 +78,10 @@ def test_runs_that_a_benchmark_lacks_are_not_shuffled(spark, data):
 def test_tokens_of_a_song_are_one_array_and_no_sorted_rows(spark, data, name, windows):
     plan = catalogue.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"\bWindow \[", plan)) == windows
+
+
+def test_recurrences_get_arrays_without_windows_that_they_do_not_need(spark, data):
+    plan = lambda name: catalogue.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bWindow \[", plan("q_voice_leading"))) == 0
+    assert len(re.findall(r"\bWindow \[", plan("q_clean_chords"))) == 1
+    assert "Generate" not in plan("q_encoded_songs")
