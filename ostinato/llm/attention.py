@@ -54,89 +54,132 @@ def times(x: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return (x.reshape(-1, x.shape[-1]) @ weight).reshape(*x.shape[:-1], weight.shape[1])
 
 
-def exponentials(values: np.ndarray) -> np.ndarray:
-    """In place. Values beyond what single precision holds are cut; logits of a trained model stay far below."""
-    np.clip(values, -FAR, FAR, out=values)
+def exponentials(values: np.ndarray, most: float = np.inf) -> np.ndarray:
+    """In place. Values beyond what single precision holds are cut; where none is greater than ``most``, they needn't be looked at."""
+    if not most <= FAR:
+        np.clip(values, -FAR, FAR, out=values)
     return np.exp(values, out=values)
 
 
+def norm(values: np.ndarray) -> float:
+    """The greatest length of a row: no product of two rows is greater than that of their norms."""
+    return float(np.sqrt(np.einsum("...i,...i->...", values, values).max(initial=0)))
+
+
+def keep_memory() -> None:
+    """Lets the allocator keep the memory of a step's arrays for the next step: it does so up to the size of the largest block freed."""
+    np.empty(31 << 20, np.uint8)
+
+
 def row_sums(values: np.ndarray) -> np.ndarray:
     """Sums over the last axis, as a product."""
     return values @ np.ones(values.shape[-1], values.dtype)
 
 
+def joint(w: dict[str, np.ndarray]) -> np.ndarray:
+    """The matrices of queries, with their scale, keys and values beside each other, for one product."""
+    return np.concatenate((w["query"] * np.float32(len(w["query"]) ** -0.5), w["key"], w["value"]), axis=1)
+
+
 def attended(w: dict[str, np.ndarray], x: np.ndarray, first: int) -> tuple[np.ndarray, ...]:
     """The layer's output for rows ``first`` and later of each window; the rows before are only attended to."""
     length, width = x.shape[1], x.shape[2]
-    own = np.ascontiguousarray(x[:, first:])
-    q, k, v = times(own, w["query"]), times(x, w["key"]), times(x, w["value"])
-    seen_by = (q * np.float32(width**-0.5)) @ k.transpose(0, 2, 1)
-    exponentials(seen_by)
+    q, k, v = np.split(times(x, joint(w)), 3, axis=2)
+    seen_by = q[:, first:] @ k.transpose(0, 2, 1)
+    exponentials(seen_by, norm(q) * norm(k))
     seen_by *= np.tri(length, dtype=np.float32)[first:]
     seen_by *= (np.float32(1) / row_sums(seen_by))[..., None]
-    rest = own + seen_by @ v
-    hidden = np.maximum(times(rest, w["mix"]), 0)
-    return rest + hidden, q, k, v, seen_by, hidden
+    rest = seen_by @ v
+    rest += x[:, first:]
+    hidden = times(rest, w["mix"])
+    np.maximum(hidden, 0, out=hidden)
+    return rest + hidden, q, k, v, seen_by, hidden, rest
+
+
+def embedded(w: dict[str, np.ndarray], slots: np.ndarray) -> np.ndarray:
+    x = np.take(w["embed"], slots, axis=0)
+    x += w["place"][: slots.shape[1]]
+    return x
+
+
+def outputs(w: dict[str, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logits of all rows, and a bound of them."""
+    made = h.reshape(-1, h.shape[-1]) @ w["out"]
+    made += w["bias"]
+    return made, norm(h) * norm(w["out"].T) + float(np.abs(w["bias"]).max(initial=0))
 
 
 def log_probabilities(w: dict[str, np.ndarray], slots: np.ndarray, targets: np.ndarray, first: int = 0) -> np.ndarray:
     """The natural logarithm of each target class's probability, for rows ``first`` and later of each window."""
-    x = w["embed"][slots] + w["place"][: slots.shape[1]]
+    x = embedded(w, slots)
     h = attended(w, x, first)[0]
-    logits = h.reshape(-1, h.shape[2]) @ w["out"]
-    logits += w["bias"]
+    logits, most = outputs(w, h)
     aim = np.take_along_axis(logits, targets[:, first:].reshape(-1, 1), 1)[:, 0]
-    return (np.clip(aim, -FAR, FAR) - np.log(row_sums(exponentials(logits)))).reshape(h.shape[:2])
+    return (np.clip(aim, -FAR, FAR) - np.log(row_sums(exponentials(logits, most)))).reshape(h.shape[:2])
 
 
 def gradients(w: dict[str, np.ndarray], slots: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """The mean loss of the targets that aren't negative, and its gradient."""
     batch, length = slots.shape
-    x = w["embed"][slots] + w["place"][:length]
-    h, q, k, v, seen_by, hidden = attended(w, x, 0)
+    x = embedded(w, slots)
+    h, q, k, v, seen_by, hidden, rest = attended(w, x, 0)
     d = h.shape[2]
     rows = lambda a: a.reshape(-1, a.shape[-1])
-    p = exponentials(rows(h) @ w["out"] + w["bias"])
-    p /= p.sum(axis=1, keepdims=True)
-    aim, there = targets.ravel(), targets.ravel() >= 0
+    p = exponentials(*outputs(w, h))
+    there = targets.ravel() >= 0
     n = max(1, int(there.sum()))
-    at = np.flatnonzero(there), aim[there]
-    loss = float(-np.log(np.maximum(p[at], 1e-30)).sum() / n)
-    p[at] -= 1
-    p *= (there / n).astype(np.float32)[:, None]
-    grad = {"out": rows(h).T @ p, "bias": p.sum(axis=0)}
-    dh = (p @ w["out"].T).reshape(batch, length, d)
-    du = dh * (hidden > 0)
-    grad["mix"] = rows(x + seen_by @ v).T @ rows(du)
-    dres = dh + times(du, w["mix"].T)
-    dv = seen_by.transpose(0, 2, 1) @ dres
+    at = np.flatnonzero(there), targets.ravel()[there]
+    share = np.float32(1) / row_sums(p)
+    loss = float(-np.log(np.maximum(p[at] * share[at[0]], 1e-30)).sum() / n)
+    share *= there
+    share *= np.float32(1 / n)
+    p *= share[:, None]
+    p[at] -= np.float32(1 / n)
+    grad = {"out": rows(h).T @ p, "bias": np.ones(len(p), p.dtype) @ p}
+    dres = (p @ w["out"].T).reshape(batch, length, d)
+    du = dres * (hidden > 0)
+    grad["mix"] = rows(rest).T @ rows(du)
+    dres += times(du, w["mix"].T)
     ds = dres @ v.transpose(0, 2, 1)
-    ds = seen_by * (ds - (ds * seen_by).sum(axis=-1, keepdims=True)) * np.float32(d**-0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    for name, g in (("query", dq), ("key", dk), ("value", dv)):
-        grad[name] = rows(x).T @ rows(g)
-    dx = dres + times(dq, w["query"].T) + times(dk, w["key"].T) + times(dv, w["value"].T)
+    ds -= np.einsum("bij,bij->bi", ds, seen_by)[..., None]
+    ds *= seen_by
+    own = np.concatenate((ds @ k, ds.transpose(0, 2, 1) @ q, seen_by.transpose(0, 2, 1) @ dres), axis=2)
+    grad["query"], grad["key"], grad["value"] = np.split(rows(x).T @ rows(own), 3, axis=1)
+    grad["query"] = grad["query"] * np.float32(d**-0.5)
+    dres += times(own, joint(w).T)
     grad["place"] = np.zeros_like(w["place"])
-    grad["place"][:length] = dx.sum(axis=0)
+    grad["place"][:length] = dres.sum(axis=0)
     grad["embed"] = np.zeros_like(w["embed"])
-    order = np.argsort(slots, axis=None, kind="stable")
-    present, starts = np.unique(slots.ravel()[order], return_index=True)
-    grad["embed"][present] = np.add.reduceat(rows(dx)[order], starts, axis=0)
+    short = slots.ravel().astype(np.uint16) if len(w["embed"]) <= 1 << 16 else slots.ravel()  # short numbers are sorted by digits
+    order = np.argsort(short, kind="stable")
+    present = short[order]
+    starts = np.flatnonzero(np.append(True, present[1:] != present[:-1]))
+    grad["embed"][present[starts]] = np.add.reduceat(rows(dres)[order], starts, axis=0)
     return loss, grad
 
 
 def train(w: dict[str, np.ndarray], slots: np.ndarray, targets: np.ndarray, *, rate: float, batch: int, seed: int) -> dict[str, np.ndarray]:
     """One pass of Adam over all windows, in an order drawn from the seed."""
-    w = {name: a.copy() for name, a in w.items()}
-    mean, square = ({name: np.zeros_like(a) for name, a in w.items()} for _ in range(2))
+    keep_memory()
+    values = flat(w)
+    mean, square, made = np.zeros_like(values), np.zeros_like(values), np.empty_like(values)
+    parts = np.split(values, np.cumsum([w[name].size for name in sorted(w)])[:-1])
+    w = {name: part.reshape(w[name].shape) for name, part in zip(sorted(w), parts, strict=True)}  # views, changed with ``values``
     order = np.random.default_rng(seed).permutation(len(slots))
     steps = -(-len(order) // batch)
     for step, at in enumerate(range(0, len(order), batch), 1):
         take = order[at : at + batch]
-        _, grad = gradients(w, slots[take], targets[take])
+        g = flat(gradients(w, slots[take], targets[take])[1])
         pace = np.float32(rate * (1 - 0.9 * (step - 1) / steps) * np.sqrt(1 - 0.99**step) / (1 - 0.9**step))
-        for name, g in grad.items():
-            mean[name] += np.float32(0.1) * (g - mean[name])
-            square[name] += np.float32(0.01) * (g * g - square[name])
-            w[name] -= pace * mean[name] / (np.sqrt(square[name]) + np.float32(1e-8))
+        for average, share in ((mean, np.float32(0.1)), (square, np.float32(0.01))):
+            np.subtract(g, average, out=made)
+            made *= share
+            average += made
+            if average is mean:
+                g *= g
+        np.sqrt(square, out=made)
+        made += np.float32(1e-8)
+        np.divide(mean, made, out=made)
+        made *= pace
+        values -= made
     return w

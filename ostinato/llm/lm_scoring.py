@@ -14,7 +14,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ostinato.llm import attention
 from ostinato.llm.rows import arrow_schema, bounded_batches, map_rows
-from ostinato.llm.storage import cut, read_table
+from ostinato.llm.storage import cut, read_table, stored
 
 RANKS_FILE = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The pattern that the vocabulary's files split text by before their merges: a fixed value of theirs.
@@ -137,14 +137,24 @@ class Words(dict):
         self.words: list[bytes] = []
         self.ids, self.ends, self.adds = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0)
 
-    def meet(self, texts: list[list[bytes]]) -> None:
-        """Gives numbers to all words of texts that have none yet."""
-        new, ids, lengths = encoded_words([w for w in set().union(*texts) if w not in self], self.path)
-        self.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
-        self.words += new
-        self.ends = np.concatenate((self.ends, len(self.ids) + np.cumsum(lengths)))
-        self.ids = np.concatenate((self.ids, ids))
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self.words)
+        self.words.append(word)
+        return number
+
+    def meet(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """The numbers of the words of texts; those without one get the next ones."""
+        found = [np.fromiter(map(self.__getitem__, words), np.int64, len(words)) for words in texts]
+        met = len(self.adds)
+        new = self.words[met:]
+        order, ids, lengths = encoded_words(new, self.path)
+        rank = np.argsort(np.fromiter(map(self.__getitem__, order), np.int64, len(order)))
+        starts, lengths = (np.cumsum(lengths) - lengths)[rank], lengths[rank]
+        ends = np.cumsum(lengths)
+        self.ids = np.concatenate((self.ids, ids[np.arange(len(ids)) + np.repeat(starts - ends + lengths, lengths)]))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + ends))
         self.adds = np.concatenate((self.adds, np.fromiter((self.known.get(w, -1.0) for w in new), np.float64, len(new))))
+        return found
 
     def shed(self) -> None:
         """Forgets all words once there are too many; numbers that were given out before say nothing then."""
@@ -152,9 +162,6 @@ class Words(dict):
             self.clear()
             self.__init__(self.path, self.known)
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n): how often each word stands in all documents."""
@@ -258,44 +265,97 @@ def window_words(raw: bytes, at: int, size: int = WINDOW_BYTES) -> tuple[list[by
     return words[:-1] if cut_off else words, at == 0, stop >= len(raw)
 
 
-def training_windows(docs: DataFrame, end: int, path: str, known: dict[bytes, float], *, window: int = WINDOW) -> DataFrame:
-    """(place, ids): all ids of each document with its end before and after them, cut in windows of one more than ``window``.
+def number_type(end: int) -> np.dtype:
+    """Two bytes for an id where they do, as ids make up most of what is stored and shuffled; the largest value is for none."""
+    return np.dtype(np.uint16 if end < np.iinfo(np.uint16).max else np.int32)
+
+
+def encoded_texts(rows: DataFrame, end: int, path: str, known: dict[bytes, float]) -> DataFrame:
+    """(key, doc_id, n_tokens, n_head, head_sum, words, times, ids) of each row, whose text is read and split once for it.
 
-    A window begins with the last id of the one before it, so each id after the first is to be told once; -1 fills up the
-    last one. ``ids`` has up to ``PACK`` windows of one document as numbers of four bytes, ``place`` is pseudo-random.
+    ``ids`` are those of the whole text with its end before and after them, as numbers of ``number_type``; ``words`` and
+    ``times`` are the words that ``known`` doesn't have, the others' sum of logarithms is ``head_sum``.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+    shared, kind = rows.sparkSession.sparkContext.broadcast(known), number_type(end)
 
     def step():
         table = Words(path, shared.value)
-        task, rows = TaskContext.get().partitionId(), 0
+        task, made = TaskContext.get().partitionId() << 33, 0
+
+        def block(texts: list[bytes | None], out: dict[str, list]) -> None:
+            found = table.meet([split_words(t) for t in texts])
+            out["n_tokens"] += [len(x) + 1 for x in found]
+            heads = [table.adds[x] for x in found]
+            out["n_head"] += [int((a >= 0).sum()) for a in heads]
+            out["head_sum"] += [float(a[a >= 0].sum()) for a in heads]
+            rest = [np.unique(x[a < 0], return_counts=True) for x, a in zip(found, heads, strict=True)]
+            out["words"] += [[table.words[i] for i in which.tolist()] for which, _ in rest]
+            out["times"] += [n.tolist() for _, n in rest]
+            ids, ends = joined(found, table.ids, table.ends, end)
+            out["ids"] += [x.tobytes() for x in np.split(ids.astype(kind), ends[:-1])]
+
+        def call(batch: dict[str, list]) -> dict[str, list]:
+            nonlocal made
+            texts = batch["text"]
+            out: dict[str, list] = {"key": list(range(task + made, task + made + len(texts))), "doc_id": batch["doc_id"]} | {k: [] for k in ("n_tokens", "n_head", "head_sum", "words", "times", "ids")}
+            made += len(texts)
+            for part in blocks(texts):
+                block(part, out)
+                table.shed()
+            return out
+
+        return call
+
+    schema = "key long, doc_id long, n_tokens long, n_head long, head_sum double, words array<binary>, times array<long>, ids binary"
+    return map_rows(rows.select("doc_id", "text"), step, schema)
 
+
+def windows_of(encoded: DataFrame, end: int, *, window: int = WINDOW, rounds: int = 1, turn: int = 0) -> DataFrame:
+    """(place, ids): the ids of each row, cut in windows of one more than ``window``; those whose place has its turn in that round.
+
+    A window begins with the last id of the one before it, so each id after the first is to be told once; the largest
+    number fills up the last one. ``ids`` has up to ``PACK`` windows of one document, ``place`` is pseudo-random.
+    """
+    kind = number_type(end)
+
+    def step():
         def take(batch: dict[str, list]) -> dict[str, list]:
-            nonlocal rows
             out: dict[str, list] = {"place": [], "ids": []}
-            for part in blocks(batch["text"]):
-                words = [split_words(t) for t in part]
-                table.meet(words)
-                ids, ends = joined([table.numbers(w) for w in words], table.ids, table.ends, end)
-                for text, own in zip(part, np.split(ids, ends[:-1]), strict=True):
-                    rows += 1
-                    state = np.random.default_rng([zlib.crc32(text or b""), task, rows])  # copies of a text have places of their own
-                    made = cut_in_windows(own, window)
-                    for at in range(0, len(made), PACK):
+            for key, ids in zip(batch["key"], batch["ids"], strict=True):
+                state = np.random.default_rng([zlib.crc32(ids), key])  # copies of a text have places of their own
+                made = cut_in_windows(np.frombuffer(ids, kind), window)
+                for at, place in zip(range(0, len(made), PACK), state.integers(0, 1 << 62, -(-len(made) // PACK)).tolist(), strict=True):
+                    if place % rounds == turn:
                         out["ids"].append(made[at : at + PACK].tobytes())
-                        out["place"].append(int(state.integers(0, 1 << 62)))
-                table.shed()
+                        out["place"].append(place)
             return out
 
         return take
 
-    return map_rows(docs.select("text"), step, "place long, ids binary")
+    return map_rows(encoded.select("key", "ids"), step, "place long, ids binary")
+
+
+def training_windows(docs: DataFrame, end: int, path: str, known: dict[bytes, float], *, window: int = WINDOW) -> DataFrame:
+    """(place, ids): the windows of all texts, as by ``windows_of``, in numbers of four bytes with -1 for none."""
+
+    def step():
+        return lambda batch: {"place": batch["place"], "ids": [signed(x, end).tobytes() for x in batch["ids"]]}
+
+    rows = docs.select(F.lit(None).cast("long").alias("doc_id"), "text")
+    return map_rows(windows_of(encoded_texts(rows, end, path, known), end, window=window), step, "place long, ids binary")
+
+
+def signed(ids: bytes, end: int) -> np.ndarray:
+    """Ids of four bytes, with -1 for none."""
+    made = np.frombuffer(ids, number_type(end)).astype(np.int32)
+    made[made > end] = -1
+    return made
 
 
 def cut_in_windows(ids: np.ndarray, window: int) -> np.ndarray:
-    """Windows of ``window`` inputs and the id after each, filled up with -1; no id is to be told twice."""
+    """Windows of ``window`` inputs and the id after each, filled up with the largest number; no id is to be told twice."""
     n = max(1, -(-(len(ids) - 1) // window))
-    filled = np.full(n * window + 1, -1, np.int32)
+    filled = np.full(n * window + 1, np.iinfo(ids.dtype).max, ids.dtype)
     filled[: len(ids)] = ids
     return np.lib.stride_tricks.sliding_window_view(filled, window + 1)[::window]
 
@@ -309,7 +369,7 @@ def averaged(tasks: DataFrame, groups: int) -> np.ndarray:
         total, windows = None, 0
         for batch in batches:
             for row in batch.to_pylist():
-                values = np.frombuffer(row["weights"], np.float64)
+                values = np.frombuffer(row["weights"], np.float32) * np.float64(row["windows"])
                 total = values if total is None else total + values
                 windows += row["windows"]
         if total is not None:
@@ -320,13 +380,11 @@ def averaged(tasks: DataFrame, groups: int) -> np.ndarray:
     return sum(np.frombuffer(r["weights"], np.float64) for r in sums) / windows if windows else np.zeros(0)
 
 
-def train(windows: DataFrame, tasks: int, codes: Codes, shape: attention.Shape, *, rounds: int = ROUNDS, rate: float = LEARNING_RATE) -> np.ndarray:
-    """The weights after ``rounds`` rounds, as one row of numbers; each round has its share of the windows, each task its own."""
-    spark = windows.sparkSession
+def train(windows: Callable[[int], DataFrame], spark: SparkSession, tasks: int, end: int, codes: Codes, shape: attention.Shape, *, rounds: int = ROUNDS, rate: float = LEARNING_RATE) -> np.ndarray:
+    """The weights after ``rounds`` rounds, as one row of numbers; ``windows`` gives each round its share, each task has its own."""
     weights = attention.flat(attention.untrained(shape, codes.class_counts))
     if not tasks:
         return weights
-    dealt = cut(windows.repartition(tasks, "place").sortWithinPartitions("place", "ids"))
     schema = "task int, windows long, weights binary"
     to = arrow_schema(schema)
     for r in range(rounds):
@@ -334,15 +392,16 @@ def train(windows: DataFrame, tasks: int, codes: Codes, shape: attention.Shape,
 
         def fit(batches: Iterator[pa.RecordBatch], shared=shared, r=r) -> Iterator[pa.RecordBatch]:
             start, known = shared.value
-            ids = [np.frombuffer(x, np.int32) for b in batches for x in b.column(b.schema.get_field_index("ids")).to_pylist()]
+            ids = [signed(x, end) for b in batches for x in b.column(b.schema.get_field_index("ids")).to_pylist()]
             if not ids:
                 return
             ids = np.concatenate(ids).reshape(-1, shape.window + 1)
             slots, classes = examples(ids, known)
             made = attention.train(attention.unflat(start, shape), slots, classes, rate=rate * 0.5**r, batch=32 if len(ids) < SMALL else 128, seed=r)
-            yield pa.RecordBatch.from_pylist([{"task": TaskContext.get().partitionId(), "windows": len(ids), "weights": (attention.flat(made).astype(np.float64) * len(ids)).tobytes()}], schema=to)
+            yield pa.RecordBatch.from_pylist([{"task": TaskContext.get().partitionId(), "windows": len(ids), "weights": attention.flat(made).tobytes()}], schema=to)
 
-        weights = averaged(bounded_batches(dealt.where(F.col("place") % rounds == r)).mapInArrow(fit, schema), max(1, math.isqrt(tasks))).astype(np.float32)
+        dealt = windows(r).repartition(tasks, "place").sortWithinPartitions("place", "ids")  # each round's windows are moved once, and not kept
+        weights = averaged(bounded_batches(dealt).mapInArrow(fit, schema), max(1, math.isqrt(tasks))).astype(np.float32)
         shared.unpersist()
     return weights
 
@@ -359,6 +418,7 @@ class Scorer:
     def __init__(self, weights: np.ndarray, codes: Codes, shape: attention.Shape, stride: int = STRIDE):
         self.w, self.codes, self.shape, self.stride = attention.unflat(weights, shape), codes, shape, stride
         self.at_once = 128
+        attention.keep_memory()
 
     def __call__(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """For texts whose ids' numbers, each with the end's before and after it, are joined; ``ends`` are their ends."""
@@ -395,7 +455,7 @@ def score(docs: DataFrame, *, path: str = RANKS_FILE, rounds: int = ROUNDS) -> D
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     train_rows = rows.where(~held_out(F.col("doc_id")))
-    counts = cut(with_subwords(word_counts(train_rows), path))
+    counts = stored(with_subwords(word_counts(train_rows), path), "counts")
     totals = counts.agg(F.count("*").alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     n_train = train_rows.count()
     train_tokens, distinct = totals["n"] + n_train, totals["words"] + (n_train > 0)
@@ -407,42 +467,25 @@ def score(docs: DataFrame, *, path: str = RANKS_FILE, rounds: int = ROUNDS) -> D
     codes.learn_pairs(*pair_counts(counts, codes))
     shape = attention.Shape(SLOTS, CLASSES, WIDTH, WINDOW)
     windows = n_train + int(id_counts.sum()) // WINDOW  # no fewer than there are
-    weights = train(training_windows(train_rows, end, path, head), -(-windows // WINDOWS_A_TASK), codes, shape, rounds=rounds)
-    shared = spark.sparkContext.broadcast((head, codes, weights))
+    encoded = stored(encoded_texts(rows, end, path, head), "encoded")
+    learned = encoded.where(~held_out(F.col("doc_id")))
+    weights = train(lambda r: windows_of(learned, end, rounds=rounds, turn=r), spark, -(-windows // WINDOWS_A_TASK), end, codes, shape, rounds=rounds)
+    shared, kind = spark.sparkContext.broadcast((codes, weights)), number_type(end)
 
     def step():
-        known, own, values = shared.value
-        scorer, table = Scorer(values, own, shape), Words(path, known)
-        task, made = TaskContext.get().partitionId() << 33, 0
-
-        def block(texts: list[bytes | None], out: dict[str, list]) -> None:
-            words = [split_words(t) for t in texts]
-            table.meet(words)
-            found = [table.numbers(w) for w in words]
-            ids, word_ends, adds = own.number[table.ids], table.ends, table.adds
-            out["n_tokens"] += [len(x) + 1 for x in found]
-            heads = [adds[x] for x in found]
-            out["n_head"] += [int((a >= 0).sum()) for a in heads]
-            out["head_sum"] += [float(a[a >= 0].sum()) for a in heads]
-            rest = [np.unique(x[a < 0], return_counts=True) for x, a in zip(found, heads, strict=True)]
-            out["words"] += [[table.words[i] for i in which.tolist()] for which, _ in rest]
-            out["times"] += [n.tolist() for _, n in rest]
-            out["model"] += scorer(*joined(found, ids, word_ends, int(own.number[end]))).tolist()
+        own, values = shared.value
+        scorer = Scorer(values, own, shape)
 
         def call(batch: dict[str, list]) -> dict[str, list]:
-            nonlocal made
-            texts = batch["text"]
-            out: dict[str, list] = {"key": list(range(task + made, task + made + len(texts))), "doc_id": batch["doc_id"], "n_tokens": [], "n_head": [], "head_sum": [], "words": [], "times": [], "model": []}
-            made += len(texts)
-            for part in blocks(texts):
-                block(part, out)
-                table.shed()
-            return out
+            model: list[float] = []
+            for part in blocks(batch.pop("ids"), BLOCK_BYTES // 2):
+                model += scorer(own.number[np.frombuffer(b"".join(part), kind)], np.cumsum([len(x) // kind.itemsize for x in part])).tolist()
+            return {**batch, "model": model}
 
         return call
 
-    scored = cut(map_rows(rows, step, "key long, doc_id long, n_tokens long, n_head long, head_sum double, words array<binary>, times array<long>, model double"))
-    rare = scored.select("key", F.explode(F.arrays_zip("words", "times")).alias("x")).select("key", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    scored = cut(map_rows(encoded.drop("words", "times"), step, "key long, doc_id long, n_tokens long, n_head long, head_sum double, model double"))
+    rare = encoded.select("key", F.explode(F.arrays_zip("words", "times")).alias("x")).select("key", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     rare = rare.join(counts.where(F.col("n") < least), "word").groupBy("key").agg(F.sum("times").alias("n_rare"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare_sum"))
     known_end = 1 if n_train else 0
     base = F.col("head_sum") + F.coalesce("rare_sum", F.lit(0.0)) + F.lit(math.log10(n_train + 1)) - F.col("n_tokens") * F.lit(math.log10(train_tokens + 1 * (distinct + 1)))

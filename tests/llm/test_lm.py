@@ -190,3 +190,15 @@ def test_many_words_at_once_are_encoded_as_each_alone():
     raw = [w.encode() for w in words] * 200
     assert lm_scoring.subwords_of_all(raw, at_once=7) == [lm_scoring.subwords(w) for w in raw]
     assert lm_scoring.subwords_of_all([]) == []
+
+
+def test_ids_are_kept_and_dealt_in_two_bytes_and_each_round_has_its_share(spark):
+    texts = ["", "one", " ".join(f"w{k % 700}" for k in range(9000)), "the cat " * 12, "x" * 200 + " the   y"]
+    docs = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "doc_id long, text binary")
+    end = lm_scoring.encoding(lm_scoring.RANKS_FILE).n_vocab
+    encoded = lm_scoring.encoded_texts(docs, end, lm_scoring.RANKS_FILE, {})
+    own = {r["doc_id"]: np.frombuffer(r["ids"], np.uint16).tolist() for r in encoded.collect()}
+    assert own == {i: [end, *(x for w in t.encode().split() for x in lm_scoring.subwords(w)), end] for i, t in enumerate(texts)}
+    deal = lambda **turn: sorted((r["place"], r["ids"]) for r in lm_scoring.windows_of(encoded, end, **turn).collect())
+    assert deal() == sorted(deal(rounds=2, turn=0) + deal(rounds=2, turn=1))
+    assert sum(len(x) for _, x in deal()) == 2 * sum(-(-(len(x) - 1) // lm_scoring.WINDOW) * (lm_scoring.WINDOW + 1) for x in own.values())
