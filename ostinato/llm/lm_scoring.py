@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ostinato.llm import attention
-from ostinato.llm.rows import arrow_schema, bounded_batches, map_rows
+from ostinato.llm.rows import BLOCK_BYTES, arrow_schema, blocks, bounded_batches, map_rows
 from ostinato.llm.storage import cut, read_table, stored
 
 RANKS_FILE = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -50,8 +50,8 @@ WINDOWS_A_TASK, PACK = 1 << 16, 64
 ROUNDS = 2
 #: The most frequent words, whose counts every task has.
 HEAD_WORDS = 1 << 17
-#: Words of which a task keeps the ids, and bytes of texts that it takes at once.
-KEPT_WORDS, BLOCK_BYTES = 350_000, 4 << 20
+#: Words of which a task keeps the ids.
+KEPT_WORDS = 350_000
 LEARNING_RATE = 0.02
 #: A task with fewer windows learns from fewer at a time.
 SMALL = 1 << 14
@@ -500,20 +500,6 @@ def score(docs: DataFrame, *, path: str = RANKS_FILE, rounds: int = ROUNDS) -> D
     )
 
 
-def blocks(texts: list[bytes | None], size: int = BLOCK_BYTES) -> Iterator[list[bytes | None]]:
-    """Texts in order, as many together as have about so many bytes; a longer text stands alone."""
-    part, held = [], 0
-    for text in texts:
-        own = len(text or b"")
-        if part and held + own > size:
-            yield part
-            part, held = [], 0
-        part.append(text)
-        held += own
-    if part:
-        yield part
-
-
 def joined(texts: list[np.ndarray], ids: np.ndarray, word_ends: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of texts given as numbers of words, each text with the end's id before and after it; and their ends."""
     words = np.concatenate(texts) if texts else np.zeros(0, np.int64)

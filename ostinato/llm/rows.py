@@ -10,6 +10,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 BYTES_PER_BATCH = 32 << 20
+#: Bytes, or characters, of texts that a task works on at once.
+BLOCK_BYTES = 4 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
@@ -39,3 +41,17 @@ def map_rows(df: DataFrame, step: Callable[[], Callable[[dict[str, list]], dict[
             yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in to], schema=to)
 
     return bounded_batches(df).mapInArrow(run, schema)
+
+
+def blocks(texts: list[bytes | str | None], size: int = BLOCK_BYTES) -> Iterator[list[bytes | str | None]]:
+    """Texts in order, as many together as have about so many bytes; a longer text stands alone."""
+    part, held = [], 0
+    for text in texts:
+        own = len(text or b"")
+        if part and held + own > size:
+            yield part
+            part, held = [], 0
+        part.append(text)
+        held += own
+    if part:
+        yield part

@@ -112,3 +112,39 @@ def test_all_documents_of_the_query(spark, data):
     assert made.count() == docs.count()
     assert made.where("not round_trip").count() == 0
     assert made.where("size(scores) = 0 and ids is not null").count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chunks_that_go_together_are_segmented_as_each_alone(seed, monkeypatch):
+    r, vocabulary = random.Random(seed), small()
+    chunks = sorted({"".join(r.choice(f"aabbcc{MARK}é\x00日😀") for _ in range(r.randrange(1, 14))) for _ in range(300)}, key=len, reverse=True)
+    ids, lengths, scores, margins = pieces.forward_all(vocabulary, vocabulary.links.by_code(), chunks)
+    for chunk, end, n, score, margin in zip(chunks, lengths.cumsum().tolist(), lengths.tolist(), scores.tolist(), margins.tolist(), strict=True):
+        best, own, alone = pieces.forward(vocabulary, chunk)
+        assert (tuple(ids[end - n : end].tolist()), score, margin) == (own, best[-1], alone)
+    # Short chunks never go alone, and what is forgotten between blocks or too long for keeping changes nothing.
+    texts = ["".join(r.choice("abc  é") for _ in range(r.randrange(80))) for _ in range(60)]
+    whole = [(ids.tolist(), score, others) for ids, score, others in pieces.Encoder(vocabulary, 4).encode_all(texts)]
+    monkeypatch.setattr(pieces, "KEPT_LENGTH", 3)
+    monkeypatch.setattr(pieces, "KEPT_CHUNKS", 5)
+    encoder = pieces.Encoder(vocabulary, 4)
+    assert [encoder.encode(text) for text in texts] == whole
+    monkeypatch.undo()
+    monkeypatch.setattr(pieces, "forward", lambda *_: pytest.fail("a chunk went alone"))
+    pieces.Encoder(vocabulary, 1).encode("ab ca abc")
+
+
+def test_links_lead_where_the_trie_does():
+    vocabulary = pieces.load_vocabulary()
+    links, by_code = vocabulary.links, vocabulary.links.by_code()
+    for piece in [*vocabulary.pieces[300::97], "\x00", "qqzx"]:
+        node, into, known = 0, vocabulary.trie, None
+        for c in piece:
+            place = links.base[node] + by_code[ord(c)]
+            assert (links.owner[place] == node) == (c in into)
+            if c not in into:
+                break
+            known, node = into[c], links.target[place]
+            into = known[2]
+            assert (links.ids[node], links.scores[node]) == tuple(known[:2])
+    assert len(links.owner) < 8 * len(links.ids)
