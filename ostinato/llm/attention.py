@@ -54,18 +54,12 @@ def times(x: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return (x.reshape(-1, x.shape[-1]) @ weight).reshape(*x.shape[:-1], weight.shape[1])
 
 
-def exponentials(values: np.ndarray, most: float = np.inf) -> np.ndarray:
-    """In place. Values beyond what single precision holds are cut; where none is greater than ``most``, they needn't be looked at."""
-    if not most <= FAR:
-        np.clip(values, -FAR, FAR, out=values)
+def exponentials(values: np.ndarray) -> np.ndarray:
+    """In place. Values beyond what single precision holds are cut; logits of a trained model stay far below."""
+    np.clip(values, -FAR, FAR, out=values)
     return np.exp(values, out=values)
 
 
-def norm(values: np.ndarray) -> float:
-    """The greatest length of a row: no product of two rows is greater than that of their norms."""
-    return float(np.sqrt(np.einsum("...i,...i->...", values, values).max(initial=0)))
-
-
 def keep_memory() -> None:
     """Lets the allocator keep the memory of a step's arrays for the next step: it does so up to the size of the largest block freed."""
     np.empty(31 << 20, np.uint8)
@@ -86,7 +80,7 @@ def attended(w: dict[str, np.ndarray], x: np.ndarray, first: int) -> tuple[np.nd
     length, width = x.shape[1], x.shape[2]
     q, k, v = np.split(times(x, joint(w)), 3, axis=2)
     seen_by = q[:, first:] @ k.transpose(0, 2, 1)
-    exponentials(seen_by, norm(q) * norm(k))
+    exponentials(seen_by)
     seen_by *= np.tri(length, dtype=np.float32)[first:]
     seen_by *= (np.float32(1) / row_sums(seen_by))[..., None]
     rest = seen_by @ v
@@ -102,20 +96,20 @@ def embedded(w: dict[str, np.ndarray], slots: np.ndarray) -> np.ndarray:
     return x
 
 
-def outputs(w: dict[str, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logits of all rows, and a bound of them."""
+def outputs(w: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
+    """Logits of all rows."""
     made = h.reshape(-1, h.shape[-1]) @ w["out"]
     made += w["bias"]
-    return made, norm(h) * norm(w["out"].T) + float(np.abs(w["bias"]).max(initial=0))
+    return made
 
 
 def log_probabilities(w: dict[str, np.ndarray], slots: np.ndarray, targets: np.ndarray, first: int = 0) -> np.ndarray:
     """The natural logarithm of each target class's probability, for rows ``first`` and later of each window."""
     x = embedded(w, slots)
     h = attended(w, x, first)[0]
-    logits, most = outputs(w, h)
+    logits = outputs(w, h)
     aim = np.take_along_axis(logits, targets[:, first:].reshape(-1, 1), 1)[:, 0]
-    return (np.clip(aim, -FAR, FAR) - np.log(row_sums(exponentials(logits, most)))).reshape(h.shape[:2])
+    return (np.clip(aim, -FAR, FAR) - np.log(row_sums(exponentials(logits)))).reshape(h.shape[:2])
 
 
 def gradients(w: dict[str, np.ndarray], slots: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -125,7 +119,7 @@ def gradients(w: dict[str, np.ndarray], slots: np.ndarray, targets: np.ndarray)
     h, q, k, v, seen_by, hidden, rest = attended(w, x, 0)
     d = h.shape[2]
     rows = lambda a: a.reshape(-1, a.shape[-1])
-    p = exponentials(*outputs(w, h))
+    p = exponentials(outputs(w, h))
     there = targets.ravel() >= 0
     n = max(1, int(there.sum()))
     at = np.flatnonzero(there), targets.ravel()[there]
