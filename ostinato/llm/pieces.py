@@ -34,6 +34,8 @@ NEVER = -(1 << 62)
 CHUNKS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Results are kept of chunks up to this length, and of so many in a task.
 KEPT_LENGTH, KEPT_CHUNKS = 40, 200_000
+#: Places of chunks that go through the forward pass at once, and bytes of a batch that are in Python at once.
+PLACES, SLICE_BYTES = 1 << 19, 1 << 20
 
 
 class Vocabulary:
@@ -201,7 +203,7 @@ def forward_all(vocabulary: Vocabulary, by_code: np.ndarray, chunks: list[str])
     reach = np.searchsorted(-lengths, -np.arange(width + 1), side="left")  # chunks longer than a place come first
     best, second = np.full((width + 1, n), NEVER), np.full((width + 1, n), NEVER)
     best[0] = 0
-    came, piece = np.zeros((width + 1, n), np.int64), np.zeros((width + 1, n), np.int64)
+    came, piece = np.zeros((width + 1, n), np.int32), np.zeros((width + 1, n), np.int32)
 
     def take(i: int, j: int, rows: np.ndarray, score: np.ndarray, own: np.ndarray) -> None:
         way, other, was = best[i, rows] + score, second[i, rows] + score, best[j, rows]
@@ -303,7 +305,7 @@ class Encoder:
         self.ids, self.ends, self.scores, self.margins = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self) -> None:
-        """Segments the chunks that got numbers and have no results yet: short ones all at once, longer ones alone."""
+        """Segments the chunks that got numbers and have no results yet: short ones many at once, longer ones alone."""
         new, self.kept.new = self.kept.new, []
         parts: list[tuple] = []
         order = sorted(range(len(new)), key=lambda k: -len(new[k]))
@@ -311,8 +313,11 @@ class Encoder:
         for k in order[:longer]:
             best, ids, margin = forward(self.vocabulary, new[k])
             parts.append((np.asarray(ids, np.int32), [len(ids)], [best[-1]], [margin]))
-        if len(new) > longer:
-            parts.append(forward_all(self.vocabulary, self.by_code, [new[k] for k in order[longer:]]))
+        at = longer
+        while at < len(new):  # chunks of about a length go together, as each takes the room of the longest
+            own = order[at : at + max(1, PLACES // (len(new[order[at]]) + 1))]
+            parts.append(forward_all(self.vocabulary, self.by_code, [new[k] for k in own]))
+            at += len(own)
         if not parts:
             return
         ids, lengths, scores, margins = (np.concatenate([x[k] for x in parts]) for k in range(4))
@@ -420,7 +425,7 @@ def encode_texts(docs: DataFrame, *, n: int = 4, vocabulary: Vocabulary | None =
         return call
 
     schema = "doc_id long, n_pieces long, ids array<int>, scores array<double>, others array<array<struct<at: int, drop: int, ids: array<int>>>>, round_trip boolean"
-    return map_rows(docs.select("doc_id", "text"), step, schema)
+    return map_rows(docs.select("doc_id", "text"), step, schema, SLICE_BYTES)
 
 
 def decode_ids(encoded: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:

@@ -26,8 +26,15 @@ def arrow_schema(schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
-def map_rows(df: DataFrame, step: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
-    """Maps lists of column values to lists of column values, batch by batch.
+def slices(batch: pa.RecordBatch, size: int | None) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of equally many rows that have about so many bytes, if there is such a bound."""
+    rows = max(1, batch.num_rows * size // max(batch.nbytes, 1)) if size else max(1, batch.num_rows)
+    for at in range(0, max(1, batch.num_rows), rows):
+        yield batch.slice(at, rows)
+
+
+def map_rows(df: DataFrame, step: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str, size: int | None = None) -> DataFrame:
+    """Maps lists of column values to lists of column values, batch by batch, or by ``slices`` of batches of so many bytes.
 
     ``step`` is called once in each task and returns the function for its batches, so that tables and caches are made
     once. Rows may be fewer or more than those read. Text never leaves the task that read it.
@@ -36,7 +43,7 @@ def map_rows(df: DataFrame, step: Callable[[], Callable[[dict[str, list]], dict[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = step()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, size)):
             made = call({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
             yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in to], schema=to)
 

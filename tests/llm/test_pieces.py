@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ostinato.llm import pieces
 from ostinato.llm.pieces import MARK, PARTS, Vocabulary
+from ostinato.llm.rows import slices
 
 SCHEMA = "doc_id long, text string"
 
@@ -148,3 +151,26 @@ def test_links_lead_where_the_trie_does():
             into = known[2]
             assert (links.ids[node], links.scores[node]) == tuple(known[:2])
     assert len(links.owner) < 8 * len(links.ids)
+
+
+def test_memory_of_many_new_chunks_is_bounded():
+    r = random.Random(3)
+    encoder, texts = pieces.Encoder(small(), 1), [" ".join("".join(r.choices("abc", k=5 if i else 40)) + chr(200 + i) * (i > 0) for i in range(400)) for _ in range(150)]
+    tracemalloc.start()
+    try:
+        numbers = [encoder.kept[MARK + chunk] for text in texts for chunk in text.split(" ")]
+        before = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        encoder.learn()
+        peak = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    assert len(set(numbers)) > 40_000 and peak < 32 << 20, peak
+
+
+def test_batches_are_sliced_by_their_bytes():
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * 1000] * 100})
+    assert [x.num_rows for x in slices(batch, 10_000)] == [9] * 11 + [1]
+    assert [x.num_rows for x in slices(batch, None)] == [100]
+    assert [x.num_rows for x in slices(batch, 1)] == [1] * 100
+    assert [x.num_rows for x in slices(batch.slice(0, 0), 10)] == [0]
