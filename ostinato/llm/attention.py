@@ -122,33 +122,33 @@ def gradients(w: dict[str, np.ndarray], slots: np.ndarray, targets: np.ndarray)
     p = exponentials(outputs(w, h))
     there = targets.ravel() >= 0
     n = max(1, int(there.sum()))
-    at = np.flatnonzero(there), targets.ravel()[there]
-    share = np.float32(1) / row_sums(p)
-    loss = float(-np.log(np.maximum(p[at] * share[at[0]], 1e-30)).sum() / n)
-    share *= there
-    share *= np.float32(1 / n)
-    p *= share[:, None]
-    p[at] -= np.float32(1 / n)
-    grad = {"out": rows(h).T @ p, "bias": np.ones(len(p), p.dtype) @ p}
-    dres = (p @ w["out"].T).reshape(batch, length, d)
+    told = np.flatnonzero(there)
+    at = told * p.shape[1] + targets.ravel()[told]  # one number for row and class: pairs are several times slower
+    sums = row_sums(p)
+    own = p.ravel()[at]
+    loss = float(-np.log(np.maximum(own / sums[told], 1e-30)).sum() / n)
+    p.ravel()[at] = own - sums[told]
+    share = there * (np.float32(1 / n) / sums)  # of rows of ``p``, which is wider than what it is multiplied with
+    grad = {"out": (p.T @ (rows(h) * share[:, None])).T, "bias": share @ p}
+    dres = p @ w["out"].T
+    dres *= share[:, None]
+    dres = dres.reshape(batch, length, d)
     du = dres * (hidden > 0)
     grad["mix"] = rows(rest).T @ rows(du)
     dres += times(du, w["mix"].T)
     ds = dres @ v.transpose(0, 2, 1)
     ds -= np.einsum("bij,bij->bi", ds, seen_by)[..., None]
     ds *= seen_by
-    own = np.concatenate((ds @ k, ds.transpose(0, 2, 1) @ q, seen_by.transpose(0, 2, 1) @ dres), axis=2)
-    grad["query"], grad["key"], grad["value"] = np.split(rows(x).T @ rows(own), 3, axis=1)
+    own = np.empty((batch, length, 3 * d), dres.dtype)
+    for part, (a, b) in enumerate(((ds, k), (ds.transpose(0, 2, 1), q), (seen_by.transpose(0, 2, 1), dres))):
+        np.matmul(a, b, out=own[..., part * d : (part + 1) * d])
+    grad["query"], grad["key"], grad["value"] = np.split((rows(own).T @ rows(x)).T, 3, axis=1)
     grad["query"] = grad["query"] * np.float32(d**-0.5)
     dres += times(own, joint(w).T)
     grad["place"] = np.zeros_like(w["place"])
     grad["place"][:length] = dres.sum(axis=0)
-    grad["embed"] = np.zeros_like(w["embed"])
-    short = slots.ravel().astype(np.uint16) if len(w["embed"]) <= 1 << 16 else slots.ravel()  # short numbers are sorted by digits
-    order = np.argsort(short, kind="stable")
-    present = short[order]
-    starts = np.flatnonzero(np.append(True, present[1:] != present[:-1]))
-    grad["embed"][present[starts]] = np.add.reduceat(rows(dres)[order], starts, axis=0)
+    places = (slots.reshape(-1, 1) * d + np.arange(d)).ravel()
+    grad["embed"] = np.bincount(places, dres.ravel(), w["embed"].size).astype(dres.dtype).reshape(w["embed"].shape)
     return loss, grad
 
 

@@ -10,6 +10,7 @@ has its share of the windows. A text is scored in windows that overlap, each id
 from __future__ import annotations
 
 import base64
+import hashlib
 import math
 import re
 import zlib
@@ -322,12 +323,13 @@ def windows_of(encoded: DataFrame, end: int, *, window: int = WINDOW, rounds: in
         def take(batch: dict[str, list]) -> dict[str, list]:
             out: dict[str, list] = {"place": [], "ids": []}
             for key, ids in zip(batch["key"], batch["ids"], strict=True):
-                state = np.random.default_rng([zlib.crc32(ids), key])  # copies of a text have places of their own
-                made = cut_in_windows(np.frombuffer(ids, kind), window)
-                for at, place in zip(range(0, len(made), PACK), state.integers(0, 1 << 62, -(-len(made) // PACK)).tolist(), strict=True):
-                    if place % rounds == turn:
-                        out["ids"].append(made[at : at + PACK].tobytes())
-                        out["place"].append(place)
+                own = b"%d %d" % (zlib.crc32(ids), key)  # copies of a text have places of their own
+                starts = range(0, windows_in(len(ids) // kind.itemsize, window), PACK)
+                taken = [(at, place) for at in starts if (place := pseudo_random(b"%b %d" % (own, at))) % rounds == turn]
+                made = cut_in_windows(np.frombuffer(ids, kind), window) if taken else None
+                for at, place in taken:
+                    out["ids"].append(made[at : at + PACK].tobytes())
+                    out["place"].append(place)
             return out
 
         return take
@@ -352,12 +354,23 @@ def signed(ids: bytes, end: int) -> np.ndarray:
     return made
 
 
+def pseudo_random(of: bytes) -> int:
+    """62 bits that look drawn at random and are always the same; a generator of its own for each text takes ten times as long."""
+    return int.from_bytes(hashlib.blake2b(of, digest_size=8).digest()) >> 2
+
+
+def windows_in(ids: int, window: int) -> int:
+    return max(1, -(-(ids - 1) // window))
+
+
 def cut_in_windows(ids: np.ndarray, window: int) -> np.ndarray:
     """Windows of ``window`` inputs and the id after each, filled up with the largest number; no id is to be told twice."""
-    n = max(1, -(-(len(ids) - 1) // window))
+    n = windows_in(len(ids), window)
     filled = np.full(n * window + 1, np.iinfo(ids.dtype).max, ids.dtype)
     filled[: len(ids)] = ids
-    return np.lib.stride_tricks.sliding_window_view(filled, window + 1)[::window]
+    made = np.empty((n, window + 1), ids.dtype)
+    made[:, :-1], made[:, -1] = filled[:-1].reshape(n, window), filled[window::window]
+    return made
 
 
 def averaged(tasks: DataFrame, groups: int) -> np.ndarray:
@@ -408,8 +421,8 @@ def train(windows: Callable[[int], DataFrame], spark: SparkSession, tasks: int,
 
 def examples(ids: np.ndarray, codes: Codes) -> tuple[np.ndarray, np.ndarray]:
     """Slots of windows' ids and classes of the ids that follow, -1 after a text's end."""
-    numbers = codes.number[np.maximum(ids, 0)]
-    return codes.slot[numbers[:, :-1]], np.where(ids[:, 1:] < 0, -1, codes.cls[numbers[:, 1:]])
+    slot, cls = codes.slot[codes.number], codes.cls[codes.number]  # by id
+    return np.append(slot, slot[0])[ids[:, :-1]], np.append(cls, -1)[ids[:, 1:]]  # the last one is for none
 
 
 class Scorer:
@@ -417,7 +430,7 @@ class Scorer:
 
     def __init__(self, weights: np.ndarray, codes: Codes, shape: attention.Shape, stride: int = STRIDE):
         self.w, self.codes, self.shape, self.stride = attention.unflat(weights, shape), codes, shape, stride
-        self.at_once = 128
+        self.at_once = 384
         attention.keep_memory()
 
     def __call__(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:

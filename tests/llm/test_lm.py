@@ -202,3 +202,34 @@ def test_ids_are_kept_and_dealt_in_two_bytes_and_each_round_has_its_share(spark)
     deal = lambda **turn: sorted((r["place"], r["ids"]) for r in lm_scoring.windows_of(encoded, end, **turn).collect())
     assert deal() == sorted(deal(rounds=2, turn=0) + deal(rounds=2, turn=1))
     assert sum(len(x) for _, x in deal()) == 2 * sum(-(-(len(x) - 1) // lm_scoring.WINDOW) * (lm_scoring.WINDOW + 1) for x in own.values())
+
+
+def test_examples_of_windows_that_end_early():
+    made = codes()
+    ids = np.asarray([[3, 7, 39, 2], [5, 0, -1, -1]], np.int32)
+    slots, classes = lm_scoring.examples(ids, made)
+    numbers = made.number
+    assert slots[0].tolist() == made.slot[numbers[[3, 7, 39]]].tolist() and slots[1, :2].tolist() == made.slot[numbers[[5, 0]]].tolist()
+    assert classes.tolist() == [made.cls[numbers[[7, 39, 2]]].tolist(), [made.cls[numbers[0]], -1, -1]]
+
+
+def test_windows_are_cut_only_for_the_round_that_takes_them(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{k % 9}" for k in range(40)).encode()) for i in range(40)], "doc_id long, text binary")
+    end = lm_scoring.encoding(lm_scoring.RANKS_FILE).n_vocab
+    ids = lm_scoring.encoded_texts(docs, end, lm_scoring.RANKS_FILE, {}).collect()
+    cut, plain = [], lm_scoring.cut_in_windows
+    monkeypatch.setattr(lm_scoring, "cut_in_windows", lambda *a: cut.append(1) or plain(*a))
+    steps = []
+    monkeypatch.setattr(lm_scoring, "map_rows", lambda df, step, schema: steps.append(step()))
+    made = []
+    for turn in (0, 1):
+        lm_scoring.windows_of(spark.createDataFrame(ids), end, rounds=2, turn=turn)
+        made.append(steps[-1]({"key": [r["key"] for r in ids], "ids": [bytes(r["ids"]) for r in ids]})["place"])
+    assert len(cut) == 40 and len(set(made[0] + made[1])) == 40 and min(map(len, made)) > 8  # copies have places of their own
+
+
+def test_windows_overlap_by_one_id():
+    for n in (2, 3, 5, 6, 13):
+        made = lm_scoring.cut_in_windows(np.arange(n, dtype=np.uint16), 4)
+        assert [x for row in made for x in row[1:].tolist() if x < 65535] == list(range(1, n))
+        assert all(row[0] == 4 * k for k, row in enumerate(made))
