@@ -308,7 +308,7 @@ def encoded_texts(rows: DataFrame, end: int, path: str, known: dict[bytes, float
         return call
 
     schema = "key long, doc_id long, n_tokens long, n_head long, head_sum double, words array<binary>, times array<long>, ids binary"
-    return map_rows(rows.select("doc_id", "text"), step, schema)
+    return map_rows(rows.select("doc_id", "text"), step, schema, BLOCK_BYTES)
 
 
 def windows_of(encoded: DataFrame, end: int, *, window: int = WINDOW, rounds: int = 1, turn: int = 0) -> DataFrame:
@@ -497,7 +497,7 @@ def score(docs: DataFrame, *, path: str = RANKS_FILE, rounds: int = ROUNDS) -> D
 
         return call
 
-    scored = cut(map_rows(encoded.drop("words", "times"), step, "key long, doc_id long, n_tokens long, n_head long, head_sum double, model double"))
+    scored = cut(map_rows(encoded.drop("words", "times"), step, "key long, doc_id long, n_tokens long, n_head long, head_sum double, model double", BLOCK_BYTES))
     rare = encoded.select("key", F.explode(F.arrays_zip("words", "times")).alias("x")).select("key", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     rare = rare.join(counts.where(F.col("n") < least), "word").groupBy("key").agg(F.sum("times").alias("n_rare"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare_sum"))
     known_end = 1 if n_train else 0

@@ -220,7 +220,7 @@ def test_windows_are_cut_only_for_the_round_that_takes_them(spark, monkeypatch):
     cut, plain = [], lm_scoring.cut_in_windows
     monkeypatch.setattr(lm_scoring, "cut_in_windows", lambda *a: cut.append(1) or plain(*a))
     steps = []
-    monkeypatch.setattr(lm_scoring, "map_rows", lambda df, step, schema: steps.append(step()))
+    monkeypatch.setattr(lm_scoring, "map_rows", lambda df, step, schema, *_: steps.append(step()))
     made = []
     for turn in (0, 1):
         lm_scoring.windows_of(spark.createDataFrame(ids), end, rounds=2, turn=turn)
@@ -233,3 +233,17 @@ def test_windows_overlap_by_one_id():
         made = lm_scoring.cut_in_windows(np.arange(n, dtype=np.uint16), 4)
         assert [x for row in made for x in row[1:].tolist() if x < 65535] == list(range(1, n))
         assert all(row[0] == 4 * k for k, row in enumerate(made))
+
+
+def test_texts_and_ids_are_in_python_a_slice_at_a_time(spark, monkeypatch):
+    sizes, plain = [], lm_scoring.map_rows
+    monkeypatch.setattr(lm_scoring, "map_rows", lambda df, step, schema, size=None: sizes.append((df.columns, size)) or plain(df, step, schema, size))
+    lm_scoring.score(table(spark, corpus(20)), rounds=0).count()
+    bounded = [columns for columns, size in sizes if size == lm_scoring.BLOCK_BYTES]
+    assert ["doc_id", "text"] in bounded and any("ids" in columns and "key" in columns for columns in bounded)
+    monkeypatch.undo()
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 300)
+    docs = spark.createDataFrame([(i, b"some words of a text" * 5) for i in range(40)], "doc_id long, text binary").coalesce(1)
+    end = lm_scoring.encoding(lm_scoring.RANKS_FILE).n_vocab
+    keys = [r["key"] for r in lm_scoring.encoded_texts(docs, end, lm_scoring.RANKS_FILE, {}).collect()]
+    assert sorted(keys) == list(range(40))
