@@ -9,18 +9,26 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import math
 import re
-from functools import lru_cache
+import secrets
+import warnings
+from functools import cache, lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from ostinato.llm.rows import map_rows
+from ostinato.llm.rows import BLOCK_BYTES, map_rows
 from ostinato.llm.storage import local, read_table
 
 ROUNDS = 8
 #: The session setting that holds the key. The example key stands in for it in tests and trials only.
 KEY_SETTING = "spark.ostinato.pseudonymKey"
 EXAMPLE_KEY = b"an example key, not a secret"
+#: Values are numbers up to so many bits, of which half and a byte make the longest digest there is.
+NUMBER_BITS = 1008
+#: Characters of the longest values that a task remembers.
+REMEMBERED = 256
 
 
 def feistel(value: int, size: int, key: bytes, tweak: str, backward: bool = False) -> int:
@@ -42,6 +50,30 @@ def feistel(value: int, size: int, key: bytes, tweak: str, backward: bool = Fals
             return value
 
 
+def other_letters(letters: list[int], size: int, key: bytes, tweak: str) -> list[int]:
+    """A keyed permutation of the strings of so many letters, which are numbers below ``size``.
+
+    A string that is too long for one number goes through a Feistel network of its two halves, whose letters are added one
+    by one, in linear time.
+    """
+    if len(letters) * math.log2(size) > NUMBER_BITS:
+        at = len(letters) // 2
+        left, right = (np.array(x, np.uint8) for x in (letters[:at], letters[at:]))
+        for i in range(ROUNDS):
+            seed = hashlib.blake2b(f"{tweak}|{size}|{len(letters)}|{i}|".encode() + right.tobytes(), key=key[:64]).digest()
+            mixed = np.frombuffer(hashlib.shake_256(seed).digest(2 * len(left)), "<u2") % size
+            left, right = right, ((left + mixed) % size).astype(np.uint8)
+        return [*left.tolist(), *right.tolist()]
+    value, made = 0, []
+    for x in letters:
+        value = value * size + x
+    value = feistel(value, size ** len(letters), key, tweak)
+    for _ in letters:
+        value, x = divmod(value, size)
+        made.append(x)
+    return made[::-1]
+
+
 def refill(shape: str, digits: str) -> str:
     """``shape`` with its digits replaced one by one."""
     fresh = iter(digits)
@@ -185,17 +217,9 @@ def email(text: str, key: bytes) -> str | None:
     local, domain = text.rsplit("@", 1)
     tweak = f"email{re.sub('[A-Za-z0-9]', '', local)}@{domain.lower()}"
     for first, last, size in (("a", "z", 26), ("A", "Z", 26), ("0", "9", 10)):
-        own = [c for c in local if first <= c <= last]
-        if not own:
-            continue
-        value = 0
-        for c in own:
-            value = value * size + ord(c) - ord(first)
-        value, fresh = feistel(value, size ** len(own), key, tweak + first), []
-        for _ in own:
-            value, d = divmod(value, size)
-            fresh.append(chr(ord(first) + d))
-        local = "".join(fresh.pop() if first <= c <= last else c for c in local)
+        if own := [ord(c) - ord(first) for c in local if first <= c <= last]:
+            fresh = iter(other_letters(own, size, key, tweak + first))
+            local = "".join(chr(ord(first) + next(fresh)) if first <= c <= last else c for c in local)
     return f"{local}@{domain}"
 
 
@@ -214,7 +238,11 @@ DIGIT = re.compile(r"\d", re.ASCII)
 
 def pseudonymiser(key: bytes):
     """A function from a text to its pseudonymised text and the (start, end, kind) of what it replaced."""
-    cached = lru_cache(1 << 16)(lambda k, value: FORMATS[k][2](value, key))
+
+    def pseudonym(k: int, value: str) -> str | None:
+        return FORMATS[k][2](value, key)
+
+    cached = lru_cache(1 << 16)(pseudonym)
 
     def replace(text: str | None) -> tuple[str | None, list[tuple[int, int, str]]]:
         if not text or not (DIGIT.search(text) or "@" in text):
@@ -227,7 +255,7 @@ def pseudonymiser(key: bytes):
             while m := pattern.search(text, at):
                 start, at = m.start(), m.end()
                 for end in iban_ends(text, start, at) if kind == "iban" else [at]:
-                    if taken.find(1, start, end) < 0 and (made := cached(k, text[start:end])) is not None:
+                    if taken.find(1, start, end) < 0 and (made := (cached if end - start <= REMEMBERED else pseudonym)(k, text[start:end])) is not None:
                         found.append((start, end, kind, made))
                         taken[start:end] = b"\1" * (end - start)
                         at = end
@@ -261,15 +289,27 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
 
         return call
 
-    return map_rows(docs.select("doc_id", "text"), step, "doc_id long, text string, n_found long, spans string")
+    return map_rows(docs.select("doc_id", "text"), step, "doc_id long, text string, n_found long, spans string", BLOCK_BYTES)
+
+
+@cache
+def own_key() -> bytes:
+    """A random key of this process, the same for all its queries; no setting or file gets it."""
+    return secrets.token_bytes(32)
 
 
 def session_key(spark: SparkSession) -> bytes:
-    """The key that the session names. A local session may go without one, the published example key stands in then."""
-    named = spark.conf.get(KEY_SETTING, None)
-    if not named and not local(spark):
-        raise ValueError(f"pseudonyms on a cluster need a key of their own in {KEY_SETTING}: with the example key anybody could undo them")
-    return named.encode() if named else EXAMPLE_KEY
+    """The key that the session names. Without one, the published example key stands in in a local session only.
+
+    On a cluster a random key does, which isn't kept: nobody can undo its pseudonyms afterwards, and those of another
+    application don't agree with them.
+    """
+    if named := spark.conf.get(KEY_SETTING, None):
+        return named.encode()
+    if local(spark):
+        return EXAMPLE_KEY
+    warnings.warn(f"{KEY_SETTING} isn't set: a random key is used, so pseudonyms agree within this application only", stacklevel=2)
+    return own_key()
 
 
 def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import itertools
 import random
 import re
 import time
@@ -438,6 +439,37 @@ def test_the_key_comes_from_the_session(spark):
     spark.conf.unset(pii.KEY_SETTING)
 
 
+def test_a_cluster_without_a_key_gets_a_random_one(spark, data, monkeypatch):
+    example = {r["doc_id"]: r for r in pii.op9_pii_pseudonyms(spark, data).collect()}
+    monkeypatch.setattr(pii, "local", lambda _: False)
+    with pytest.warns(UserWarning, match=pii.KEY_SETTING):
+        made, again = ({r["doc_id"]: r for r in pii.op9_pii_pseudonyms(spark, data).collect()} for _ in range(2))
+    assert made == again and {k: r["spans"] for k, r in made.items()} == {k: r["spans"] for k, r in example.items()}
+    assert all((made[k]["text"] == r["text"]) == (r["n_found"] == 0) for k, r in example.items())
+    spark.conf.set(pii.KEY_SETTING, "another")
+    assert pii.session_key(spark) == b"another"
+    spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_local_parts_of_any_length(monkeypatch):
+    replace = pii.pseudonymiser(KEY)
+    for n in (214, 215, 303, 304, 3100, 5001, 1_000_000):
+        for unit in ("a", "Z", "7", "b.C-8"):
+            text = (unit * n)[:n].rstrip(".-") + "@example.com"
+            start = time.monotonic()
+            made, spans = replace(f"<{text}>")
+            assert time.monotonic() - start < 20
+            assert spans == [(1, 1 + len(text), "email")] and made != f"<{text}>" and replace(text)[0] == made[1:-1]
+            shape = str.maketrans({**dict.fromkeys("abcdefghijklmnopqrstuvwxyz", "a"), **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A"), **dict.fromkeys("0123456789", "0")})
+            assert made[1:-1].translate(shape) == text.translate(shape) and made.endswith("@example.com>")
+    assert pii.email("z" * 12 + "@b.org", KEY) == "ifeyqlovpnov@b.org"
+    monkeypatch.setattr(pii, "NUMBER_BITS", 0)
+    for size, n in ((10, 1), (10, 3), (26, 2), (10, 4)):
+        strings = list(itertools.product(range(size), repeat=n))
+        made = [tuple(pii.other_letters(list(x), size, KEY, "t")) for x in strings]
+        assert sorted(made) == strings and made != strings
+
+
 def test_dates_with_the_day_first_stay_apart():
     days = [f"{d:02d}/{m:02d}/1999" for d in range(13, 29) for m in range(1, 13)]
     made = [pii.date(d, KEY) for d in days]
